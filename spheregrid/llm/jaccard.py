@@ -9,7 +9,9 @@ when ``d <= radius`` (0.2 for a similarity of 0.8).  The join:
    pivots are its own shingles; ties go to the rarer one.  A set within the
    radius can lack at most ``floor(radius * |x|)`` of them, so the window
    replicates a set to its first ``|x| - ceil(0.8 |x|) + 1`` pivots and no
-   link is lost.  Cells that share a set merge to regions.
+   link is lost.  Counting shingles by hash parts maps sets to vectors without
+   enlarging distances; pairs of a cell that are too far apart even there can't
+   link.  Cells merge to regions along the pairs that can.
 3. Regions of up to ``leaf`` sets join exactly in one task.
 4. Larger regions split at document pivots: every set goes to its nearest
    pivot's region and, by the triangle inequality, to each region whose pivot
@@ -40,6 +42,11 @@ from spheregrid.llm.tokens import mix, shingle_sets
 
 #: At most so many of the commonest shingles are told to the tasks (12 bytes each); they order pivots, nothing is left out.
 COMMON = 1 << 16
+#: Parts of a sketch.
+SKETCH_BITS = 6
+SKETCH = 1 << SKETCH_BITS
+#: Sets of a cell up to which all pairs are looked at at once, and up to which the sketches are looked at at all.
+FEW, MANY = 32, 4096
 #: Document pivots of one region and round.
 PIVOTS = 32
 #: Rounding slack of the windows; links themselves are decided in integers.
@@ -54,18 +61,23 @@ def _signature(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _batches(batches: Iterator[pa.RecordBatch], width: int):
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
             values, offsets = shingle_sets(part.column("text"), width)
             yield part, values, offsets, _signature(values, offsets)
 
 
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, n_shingles, node, sketch)``; the sketch counts a set's shingles in ``SKETCH`` hash parts, up to 255 each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, offsets, node in _batches(batches, width):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(node)], ["doc_id", "n_shingles", "node"])
+        for part, values, offsets, node in _batches(batches, width):
+            sizes = np.diff(offsets)
+            place = np.repeat(np.arange(len(sizes)), sizes) * SKETCH + (mix(values.view(np.uint64)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            counts = np.minimum(np.bincount(place, minlength=len(sizes) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(node), pa.array([x.tobytes() for x in counts], pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
 
 
 def _common(docs: DataFrame, width: int, at_least: int) -> list:
@@ -126,6 +138,80 @@ def _cells(docs: DataFrame, width: int, percent: int, common: list) -> DataFrame
     return docs.mapInArrow(run, "s long, node long")
 
 
+def _near(a: np.ndarray, b: np.ndarray, m: np.ndarray | int, n: np.ndarray | int, percent: int) -> np.ndarray:
+    """Whether two sets of sizes ``m`` and ``n`` can link.
+
+    Counting by parts is a contraction: the sketches' L1 distance is at most
+    the symmetric difference, which is at most ``(1-t)/(1+t)`` of ``m + n`` for
+    sets of similarity ``t``.
+    """
+    far = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    return (100 + percent) * far <= (100 - percent) * (m + n)
+
+
+def _spanning(sketch: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the sets of a large cell that can link: breadth-first, each set's row of distances once."""
+    rest, out = np.arange(len(size)), []
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            one = queue.pop()
+            hit = _near(sketch[one], sketch[rest], size[one], size[rest], percent)
+            out += [(one, int(x)) for x in rest[hit]]
+            queue += rest[hit].tolist()
+            rest = rest[~hit]
+    return out
+
+
+def _shared(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: edges that join, in each cell, all sets that can link by their sketches."""
+    alone = Window.partitionBy("s")
+    shared = cells.withColumn("n", F.count("*").over(alone)).where("n > 1").select("s", "node")
+    sketches = members.where("n_shingles > 0").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
+    rows = shared.join(sketches, "node").select("s", "node", "sketch", "size").repartition("s").sortWithinPartitions("s", "node")
+
+    def edges(s: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        lengths = np.diff(np.append(starts, len(s)))
+        run = np.repeat(lengths, lengths)
+        a, b = [], []
+        for lag in range(1, min(FEW, int(lengths.max()))):
+            at = np.flatnonzero((s[lag:] == s[:-lag]) & (run[lag:] <= FEW))
+            at = at[_near(sketch[at], sketch[at + lag], size[at], size[at + lag], percent)]
+            a.append(node[at])
+            b.append(node[at + lag])
+        for start, length in zip(starts[lengths > FEW].tolist(), lengths[lengths > FEW].tolist(), strict=True):
+            own = slice(start, start + length)
+            pairs = _spanning(sketch[own], size[own], percent) if length <= MANY else [(k, k + 1) for k in range(length - 1)]
+            if pairs:
+                i, j = np.array(pairs).T
+                a.append(node[own][i])
+                b.append(node[own][j])
+        if not a:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+        return both[:, 0], both[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "node", "size")]
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            held.append((*columns, sketch))
+            s, node, size, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+            # All but the last cell are complete; of a cell that is larger than memory should hold, the last row goes on.
+            cut = int(np.searchsorted(s, s[-1])) if s[-1] != s[0] else (len(s) - 1 if len(s) > 4 * MANY else 0)
+            if cut:
+                a, b = edges(s[: cut + 1] if s[cut - 1] == s[cut] else s[:cut], *(x[: cut + 1] if s[cut - 1] == s[cut] else x[:cut] for x in (node, size, sketch)))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            held = [(s[cut:], node[cut:], size[cut:], sketch[cut:])]
+        if held:
+            a, b = edges(*held[0])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
 def _linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * inter >= percent * (a + b - inter)
 
@@ -254,7 +340,7 @@ def _split(sets: DataFrame, sizes: DataFrame, percent: int, leaf: int, depth: in
     return links.select("a", "b"), saved(parts)
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = 1000, at_least: int = 24, max_depth: int = 4) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = 1000, at_least: int = 12, max_depth: int = 4) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
 
     * Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a set is the distinct
@@ -267,8 +353,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = saved(_nodes(docs, width))
     cells = _cells(docs, width, percent, _common(docs, width, at_least))
-    chain = cells.withColumn("b", F.lag("node").over(Window.partitionBy("s").orderBy("node"))).where("b <> node").select(F.col("node").alias("a"), "b").distinct()
-    regions = saved(connected_components(chain).select("node", F.col("component").alias("region")))
+    regions = saved(connected_components(_shared(cells, members, percent)).select("node", F.col("component").alias("region")))
 
     # The sets of the documents that share a cell, one for each node.
     wanted = members.join(regions, "node").groupBy("node", "region").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))

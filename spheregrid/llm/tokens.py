@@ -126,13 +126,17 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarra
     words = Words(texts)
     h, counts = words.hashes(), words.counts
     n = len(h)
-    value = np.zeros(n, np.uint64)
+    factor = mix(np.arange(1, width + 1, dtype=np.uint64) * BASE) | np.uint64(1)
+    value = h * factor[0]
+    for k in range(1, min(width, n)):
+        value[: n - k] += h[k:] * factor[k]
     left = np.repeat(words.first[1:], counts) - np.arange(n)  # words up to the end of the text, this one included
-    for k in range(width):
-        shifted = np.zeros(n, np.uint64)
-        shifted[: n - k] = h[k:] if k else h
-        value = np.where(left > k, mix(value * BASE + shifted + np.uint64(k + 1)), value)
-    keep = (left >= width) | ((np.arange(n) == np.repeat(words.first[:-1], counts)) & (np.repeat(counts, counts) < width))
+    keep = left >= width
+    short = words.first[:-1][(counts > 0) & (counts < width)]
+    for at in short.tolist():
+        value[at] = (h[at : at + left[at]] * factor[: left[at]]).sum() + np.uint64(left[at])
+    value = mix(value)
+    keep[short] = True
     value, doc = value[keep].view(np.int64), words.doc[keep]
     sizes = np.bincount(doc, minlength=len(counts)) if len(doc) else np.zeros(len(counts), np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
