@@ -42,9 +42,8 @@ from spheregrid.llm.tokens import mix, shingle_sets
 
 #: At most so many of the commonest shingles are told to the tasks (12 bytes each); they order pivots, nothing is left out.
 COMMON = 1 << 16
-#: Parts of a sketch.
-SKETCH_BITS = 6
-SKETCH = 1 << SKETCH_BITS
+#: Parts of a sketch, and of the wide one that looks again at what the first lets through.
+SKETCH, WIDE = 64, 256
 #: Sets of a cell up to which all pairs are looked at at once, and up to which the sketches are looked at at all.
 FEW, MANY = 32, 4096
 #: Document pivots of one region and round.
@@ -68,16 +67,17 @@ def _batches(batches: Iterator[pa.RecordBatch], width: int):
 
 
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, n_shingles, node, sketch)``; the sketch counts a set's shingles in ``SKETCH`` hash parts, up to 255 each."""
+    """``(doc_id, n_shingles, node, sketch, wide)``; a sketch counts a set's shingles by hash parts, up to 255 each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offsets, node in _batches(batches, width):
             sizes = np.diff(offsets)
-            place = np.repeat(np.arange(len(sizes)), sizes) * SKETCH + (mix(values.view(np.uint64)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-            counts = np.minimum(np.bincount(place, minlength=len(sizes) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(node), pa.array([x.tobytes() for x in counts], pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
+            place = np.repeat(np.arange(len(sizes)), sizes) * WIDE + (mix(values.view(np.uint64)) >> np.uint64(56)).astype(np.int64)
+            counts = np.bincount(place, minlength=len(sizes) * WIDE).reshape(-1, WIDE)
+            cut = lambda x: pa.array([row.tobytes() for row in np.minimum(x, 255).astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(node), cut(counts.reshape(len(sizes), SKETCH, -1).sum(axis=2)), cut(counts)], ["doc_id", "n_shingles", "node", "sketch", "wide"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary, wide binary")
 
 
 def _common(docs: DataFrame, width: int, at_least: int) -> list:
@@ -170,16 +170,18 @@ def _shared(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     sketches = members.where("n_shingles > 0").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
     rows = shared.join(sketches, "node").select("s", "node", "sketch", "size").repartition("s").sortWithinPartitions("s", "node")
 
-    def edges(s: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def edges(s: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         lengths = np.diff(np.append(starts, len(s)))
         run = np.repeat(lengths, lengths)
-        a, b = [], []
+        none = np.zeros(0, np.int64)
+        a, b, firm = [none], [none], [none.astype(bool)]
         for lag in range(1, min(FEW, int(lengths.max()))):
             at = np.flatnonzero((s[lag:] == s[:-lag]) & (run[lag:] <= FEW))
             at = at[_near(sketch[at], sketch[at + lag], size[at], size[at + lag], percent)]
             a.append(node[at])
             b.append(node[at + lag])
+            firm.append(np.zeros(len(at), bool))
         for start, length in zip(starts[lengths > FEW].tolist(), lengths[lengths > FEW].tolist(), strict=True):
             own = slice(start, start + length)
             pairs = _spanning(sketch[own], size[own], percent) if length <= MANY else [(k, k + 1) for k in range(length - 1)]
@@ -187,10 +189,8 @@ def _shared(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 i, j = np.array(pairs).T
                 a.append(node[own][i])
                 b.append(node[own][j])
-        if not a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        return both[:, 0], both[:, 1]
+                firm.append(np.ones(len(i), bool))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, firm)], ["a", "b", "firm"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -199,17 +199,31 @@ def _shared(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
             held.append((*columns, sketch))
             s, node, size, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
-            # All but the last cell are complete; of a cell that is larger than memory should hold, the last row goes on.
-            cut = int(np.searchsorted(s, s[-1])) if s[-1] != s[0] else (len(s) - 1 if len(s) > 4 * MANY else 0)
-            if cut:
-                a, b = edges(s[: cut + 1] if s[cut - 1] == s[cut] else s[:cut], *(x[: cut + 1] if s[cut - 1] == s[cut] else x[:cut] for x in (node, size, sketch)))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            # All cells but the last are complete; of one that is larger than memory should hold, the last row goes on.
+            if s[-1] != s[0]:
+                cut = int(np.searchsorted(s, s[-1]))
+                yield edges(s[:cut], node[:cut], size[:cut], sketch[:cut])
+            else:
+                cut = len(s) - 1 if len(s) > 4 * MANY else 0
+                if cut:
+                    yield edges(s, node, size, sketch)
             held = [(s[cut:], node[cut:], size[cut:], sketch[cut:])]
         if held:
-            a, b = edges(*held[0])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield edges(*held[0])
 
-    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    found = rows.mapInArrow(run, "a long, b long, firm boolean").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("firm").alias("firm"))
+    # The edges of a spanning forest stay; those of a cell of which all pairs were looked at can go one by one.
+    wide = members.where("n_shingles > 0").groupBy("node").agg(F.first("wide").alias("wide"), F.first("n_shingles").alias("size"))
+    found = found.join(wide.withColumnsRenamed({"node": "a", "wide": "wide_a", "size": "size_a"}), "a").join(wide.withColumnsRenamed({"node": "b", "wide": "wide_b", "size": "size_b"}), "b")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, WIDE) for c in ("wide_a", "wide_b"))
+            m, n = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
+            keep = batch.column("firm").to_numpy(zero_copy_only=False) | _near(x, y, m, n, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    return found.mapInArrow(again, "a long, b long")
 
 
 def _linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:

@@ -22,7 +22,10 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 1500, 112_640
 #: At most so many languages: all dictionaries together stay under 60 MB.
 MAX_LANGUAGES = 512
 PIECE = 2048
-LEVEL = 3
+#: Short matches against the dictionary count, repetitions at any distance do too.
+PARAMETERS = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=16, search_log=4, min_match=4, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+#: Bytes of the parts of the sample that are judged apart.
+PART = 300
 #: A decision is accepted if the best encoding is smaller than the next by this share.
 MIN_MARGIN = 0.01
 
@@ -57,7 +60,23 @@ def fit_dictionaries(labelled: DataFrame, seed: int = 5) -> dict[str, bytes]:
     texts: dict[str, list[bytes]] = {}
     for r in few.where(F.col("at") <= SAMPLE_DOCS).orderBy("lang", "at").select("lang", "text").collect():
         texts.setdefault(r["lang"], []).append(normal(r["text"])[:SAMPLE_BYTES])
-    return {lang: b" ".join(parts)[-DICTIONARY_BYTES:] for lang, parts in sorted(texts.items())}
+    return {lang: _joined(parts) for lang, parts in _agreeing(texts).items()}
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    return b" ".join(parts)[-DICTIONARY_BYTES:]
+
+
+def _agreeing(texts: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
+    """The parts of each language's sample that the other half of the sample takes for that language.
+
+    Passages in another language would make its texts fit the wrong
+    dictionary.  A language of which nothing agrees keeps all its parts.
+    """
+    parts = {lang: [t[k : k + PART] for t in each for k in range(0, len(t), PART) if k == 0 or len(t) - k >= PART // 5] for lang, each in sorted(texts.items())}
+    judges = [Encoders({lang: _joined(own[half::2]) for lang, own in parts.items()}) for half in (1, 0)]
+    kept = {lang: [x for half in (0, 1) for x in own[half::2] if judges[half].smallest(x) == lang] for lang, own in parts.items()}
+    return {lang: kept[lang] or parts[lang] for lang in parts}
 
 
 class Encoders:
@@ -68,17 +87,23 @@ class Encoders:
         self.each = []
         for lang in self.langs:
             content = zstandard.ZstdCompressionDict(dictionaries[lang].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            one = zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
+            content.precompute_compress(compression_params=PARAMETERS)
+            one = zstandard.ZstdCompressor(dict_data=content, compression_params=PARAMETERS)
             self.each.append((one, len(one.compress(b" "))))
 
+    def sizes(self, data: bytes) -> list[int]:
+        pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
+        return [sum(len(one.compress(p)) - empty for p in pieces) for one, empty in self.each]
+
+    def smallest(self, data: bytes) -> str:
+        sizes = self.sizes(data)
+        return self.langs[min(range(len(sizes)), key=sizes.__getitem__)]
+
     def decide(self, text: str | None, min_margin: float) -> tuple[str, float, bool]:
         """(language or und, margin from 0 to 1, accepted)."""
         if text is None or not self.langs or not _LETTER.search(text):
             return "und", 0.0, False
-        data = normal(text)
-        pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
-        sizes = [sum(len(one.compress(p)) - empty for p in pieces) for one, empty in self.each]
+        sizes = self.sizes(normal(text))
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.langs[0], 1.0, True
