@@ -1,0 +1 @@
+"""Gridded planetary and raster-style analytics as Spark DataFrame operations."""

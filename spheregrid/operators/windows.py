@@ -1,0 +1,154 @@
+"""Scans and stencils over rows and columns of a grid ``(i, j, value)``.
+
+A window per row (or column) keeps every scan in the JVM; rows of a global
+raster hold some ten thousand cells, so the partitions stay small and many.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window, WindowSpec
+
+
+def _line(axis: int) -> WindowSpec:
+    """Windows along j in a row (axis 1) or along i in a column (axis 0)."""
+    return Window.partitionBy("i").orderBy("j") if axis == 1 else Window.partitionBy("j").orderBy("i")
+
+
+def directional_distance(grid: DataFrame, water: str, axis: int, sign: int, spacing: float, cap: float, wrap_width: int | None = None, name: str = "distance") -> DataFrame:
+    """Cells to the next water along an axis, times ``spacing``, at most ``cap``; 0 on water, ``cap`` without any.
+
+    ``wrap_width`` closes the rows of ``axis`` 1 to rings.
+    """
+    pos = F.col("j" if axis == 1 else "i")
+    at = F.when(F.col(water), pos)
+    line = _line(axis)
+    if sign > 0:
+        found = F.min(at).over(line.rowsBetween(0, Window.unboundedFollowing))
+        around = F.min(at).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + (wrap_width or 0)
+        gap = F.coalesce(found, around) - pos if wrap_width else found - pos
+    else:
+        found = F.max(at).over(line.rowsBetween(Window.unboundedPreceding, 0))
+        around = F.max(at).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - (wrap_width or 0)
+        gap = pos - F.coalesce(found, around) if wrap_width else pos - found
+    return grid.withColumn(name, F.least(F.coalesce(gap * F.lit(float(spacing)), F.lit(float(cap))), F.lit(float(cap))))
+
+
+def slope(grid: DataFrame, value: str, scale: float = 1.0, name: str = "slope") -> DataFrame:
+    """Length of the central-difference gradient, edges replicated."""
+    v = F.col(value)
+
+    def diff(axis: int) -> Column:
+        line = _line(axis)
+        return (F.coalesce(F.lead(v).over(line), v) - F.coalesce(F.lag(v).over(line), v)) / 2
+
+    return grid.withColumn("_dx", diff(1)).withColumn("_dy", diff(0)).withColumn(name, F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")) * scale).drop("_dx", "_dy")
+
+
+def gradient(value: Column, axis: int) -> Column:
+    """Central differences inside, one-sided ones at the ends."""
+    line = _line(axis)
+    after, before = F.lead(value).over(line), F.lag(value).over(line)
+    return F.when(before.isNull(), after - value).when(after.isNull(), value - before).otherwise((after - before) / 2)
+
+
+def hillshade(grid: DataFrame, value: str, gain: float, name: str = "shade") -> DataFrame:
+    """Light from the north-west: 0.5 + gain (dv/di + dv/dj), within 0 and 1."""
+    shaded = grid.withColumn("_gi", F.coalesce(gradient(F.col(value), 0), F.lit(0.0))).withColumn("_gj", F.coalesce(gradient(F.col(value), 1), F.lit(0.0)))
+    return shaded.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + gain * (F.col("_gi") + F.col("_gj"))))).drop("_gi", "_gj")
+
+
+def _edge_mean(value: Column, axis: int, radius: int, size: int) -> Column:
+    """Mean of 2 radius + 1 cells of a full line, the end cells repeated beyond the ends."""
+    pos, line = F.col("j" if axis == 1 else "i"), _line(axis)
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inner = F.sum(value).over(line.rowsBetween(-radius, radius))
+    before = F.greatest(F.lit(0), F.lit(radius) - pos) * F.first(value).over(whole)
+    after = F.greatest(F.lit(0), pos + radius - (size - 1)) * F.last(value).over(whole)
+    return (inner + before + after) / (2 * radius + 1)
+
+
+def box_blur(grid: DataFrame, value: str, radius: int, height: int, width: int, name: str = "blur") -> DataFrame:
+    """Separable box mean of a full grid, edges replicated."""
+    once = grid.withColumn("_row", _edge_mean(F.col(value).cast("double"), 1, radius, width))
+    return once.withColumn(name, _edge_mean(F.col("_row"), 0, radius, height)).drop("_row")
+
+
+def continentality(grid: DataFrame, height_column: str, radius: int, height: int, width: int, name: str = "cont") -> DataFrame:
+    """How far inland: the land share within ``radius``, from one half up, on land only."""
+    land = grid.withColumn("_land", (F.col(height_column) > 0).cast("double"))
+    blurred = box_blur(land, "_land", radius, height, width, "_mean")
+    return blurred.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_mean") - 0.5) / 0.5)) * F.col("_land")).drop("_land", "_mean")
+
+
+def extrema(grid: DataFrame, value: str, radius: int = 2) -> DataFrame:
+    """``lo`` and ``hi`` over the (2 radius + 1)^2 cells around, cut off at the edges."""
+    row, column = _line(1).rowsBetween(-radius, radius), _line(0).rowsBetween(-radius, radius)
+    once = grid.withColumn("_lo", F.min(value).over(row)).withColumn("_hi", F.max(value).over(row))
+    return once.withColumn("lo", F.min("_lo").over(column)).withColumn("hi", F.max("_hi").over(column)).drop("_lo", "_hi")
+
+
+def _ring(value: Column, step: int) -> Column:
+    """The neighbour along a closed row."""
+    line = _line(1)
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.coalesce(F.lead(value).over(line), F.first(value).over(whole)) if step > 0 else F.coalesce(F.lag(value).over(line), F.last(value).over(whole))
+
+
+def diffuse(grid: DataFrame, value: str, coefficient: float, height: int, cosine: Column, sea: float | None = None) -> DataFrame:
+    """One explicit diffusion step on a full grid: rows are closed, the first and last row stay, the east-west part grows with 1/cos^2; cells up to ``sea`` stay."""
+    v = F.col(value)
+    out = grid.withColumn("_east", _ring(v, 1)).withColumn("_west", _ring(v, -1)).withColumn("_up", F.lag(v).over(_line(0))).withColumn("_down", F.lead(v).over(_line(0)))
+    lap = (F.col("_up") + F.col("_down") - 2 * v) + (F.col("_east") + F.col("_west") - 2 * v) / (cosine * cosine)
+    moves = (F.col("i") > 0) & (F.col("i") < height - 1)
+    if sea is not None:
+        moves = moves & (v > sea)
+    return out.withColumn(value, F.when(moves, v + coefficient * lap).otherwise(v)).drop("_east", "_west", "_up", "_down")
+
+
+def gaussian(grid: DataFrame, value: str, sigma: float, width: int, name: str, wrap: bool = True) -> DataFrame:
+    """Separable Gaussian to four sigmas: rows closed (or replicated), columns replicated; of a full grid."""
+    import math
+
+    radius = int(4 * sigma + 0.5)
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    weights = [w / sum(weights) for w in weights]
+
+    def along(df: DataFrame, source: str, target: str, axis: int, closed: bool) -> DataFrame:
+        line = _line(axis)
+        pos = "j" if axis == 1 else "i"
+        near = df.withColumn("_line", F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos), F.col(source))).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))), lambda x: x[source]))
+        size = F.size("_line")
+        k = lambda d: F.pmod(F.col(pos) + d, size) if closed else F.greatest(F.lit(0), F.least(size - 1, F.col(pos) + d))
+        total = F.lit(0.0)
+        for d, w in zip(range(-radius, radius + 1), weights, strict=True):
+            total = total + F.col("_line")[k(d)] * w
+        return near.withColumn(target, total).drop("_line")
+
+    return along(along(grid, value, "_g", 1, wrap), "_g", name, 0, False).drop("_g")
+
+
+def zonal_fill(grid: DataFrame, value: str, valid: str, band: int, height: int, name: str = "filled") -> DataFrame:
+    """Invalid cells take their latitude's mean; valid ones stay.
+
+    Row sums and counts of valid cells are smoothed over ``band`` rows and
+    divided; rows without any are interpolated between the nearest ones with
+    some; above the first and below the last such row five bands are averaged.
+    Only the small table of rows is scanned, then joined back.
+    """
+    rows = grid.groupBy("i").agg(F.sum(F.when(F.col(valid), F.col(value)).cast("double")).alias("s"), F.count_if(F.col(valid)).alias("n"))
+    dense = grid.sparkSession.range(height).select(F.col("id").cast("int").alias("i")).join(rows, "i", "left").select("i", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("n", F.lit(0)).alias("n"))
+    every = Window.orderBy("i")
+    near = every.rowsBetween(-(band // 2), (band - 1) // 2)
+    ends = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dense = dense.withColumn("m", F.when(F.sum("n").over(near) > 0, F.sum("s").over(near) / F.sum("n").over(near)))
+    past, ahead = every.rowsBetween(Window.unboundedPreceding, 0), every.rowsBetween(0, Window.unboundedFollowing)
+    known = F.when(F.col("m").isNotNull(), F.struct("i", "m"))
+    dense = dense.withColumn("a", F.last(known, ignorenulls=True).over(past)).withColumn("b", F.first(known, ignorenulls=True).over(ahead))
+    dense = dense.withColumn("first", F.min(F.when(F.col("n") > 0, F.col("i"))).over(ends)).withColumn("last", F.max(F.when(F.col("n") > 0, F.col("i"))).over(ends))
+    wide = lambda low, high: F.sum(F.when(F.col("i").between(low, high), F.col("s"))).over(ends) / F.sum(F.when(F.col("i").between(low, high), F.col("n"))).over(ends)
+    dense = dense.withColumn("top", wide(F.col("first"), F.col("first") + 5 * band - 1)).withColumn("bottom", wide(F.col("last") - 5 * band + 1, F.col("last")))
+    line = F.when(F.col("a").isNull(), F.col("b.m")).when(F.col("b").isNull() | (F.col("a.i") == F.col("b.i")), F.col("a.m")).otherwise(F.col("a.m") + (F.col("b.m") - F.col("a.m")) * (F.col("i") - F.col("a.i")) / (F.col("b.i") - F.col("a.i")))
+    fill = dense.select("i", F.when(F.col("i") < F.col("first"), F.col("top")).when(F.col("i") > F.col("last"), F.col("bottom")).otherwise(line).alias("_fill"))
+    return grid.join(fill, "i", "left").withColumn(name, F.when(F.col(valid), F.col(value).cast("double")).otherwise(F.col("_fill"))).drop("_fill")
