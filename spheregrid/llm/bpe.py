@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spheregrid.llm.common import gathered, small_batches
+
 #: Text of a chunk, and of all chunks' words for one bucket.
 CHUNK_BYTES, BUCKET_BYTES = 16_000_000, 4_000_000
 #: White space beside white space or at an end, or a character that marks splits.
@@ -84,14 +86,6 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = pc.binary_length(batch.column("text").cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False)
-        chunk = np.cumsum(sizes) // CHUNK_BYTES
-        for at in np.unique(chunk, return_index=True)[1].tolist():
-            yield batch.slice(at, int(np.searchsorted(chunk, chunk[at], side="right")) - at)
-
-
 def _split(texts: pa.Array, tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words in each text, the number of each word, and the distinct words."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -141,13 +135,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, decode: bool = Tr
     byte level and split before a single space, as public ones of this kind do.
     """
     path = path or tokenizer_path()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, total // BUCKET_BYTES)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(path)
-        for batch in _chunks(batches):
+        for batch in gathered(batches, CHUNK_BYTES):
             _, _, distinct = _split(batch.column("text"), tokenizer)
             order, bucket, raw = _bucketed(distinct, buckets)
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -159,7 +153,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, decode: bool = Tr
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(path)
-        for batch in _chunks(batches):
+        for batch in gathered(batches, CHUNK_BYTES):
             counts, numbers, distinct = _split(batch.column("text"), tokenizer)
             order, _, _ = _bucketed(distinct, buckets)
             place = np.empty(len(order), np.int64)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,39 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand texts to Python a few megabytes at a time.
+
+    A text has kilobytes and some have many more, so the default of 10,000 rows
+    would take much of an executor's memory on both sides.  A smaller setting stays.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in chunks of some ``size`` bytes of ``text``, in the same way whenever they are read."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        sizes = pc.binary_length(batch.column("text").cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False)
+        start = 0
+        ends = total + np.cumsum(sizes)
+        while start < batch.num_rows:
+            stop = int(np.searchsorted(ends, size)) + 1
+            if stop > batch.num_rows:
+                held.append(batch.slice(start))
+                total = int(ends[-1])
+                break
+            held.append(batch.slice(start, stop - start))
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, ends, start, total = [], ends - ends[stop - 1], stop, 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spheregrid.llm.common import connected_components, saved
+from spheregrid.llm.common import connected_components, saved, small_batches
 from spheregrid.llm.tokens import mix, shingle_sets
 
 #: At most so many of the commonest shingles are told to the tasks (12 bytes each); they order pivots, nothing is left out.
 COMMON = 1 << 16
 #: Parts of a sketch, and of the wide one that looks again at what the first lets through.
-SKETCH, WIDE = 64, 256
+SKETCH, WIDE = 64, 1024
 #: Sets of a cell up to which all pairs are looked at at once, and up to which the sketches are looked at at all.
 FEW, MANY = 32, 4096
 #: Document pivots of one region and round.
@@ -72,7 +72,7 @@ def _nodes(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offsets, node in _batches(batches, width):
             sizes = np.diff(offsets)
-            place = np.repeat(np.arange(len(sizes)), sizes) * WIDE + (mix(values.view(np.uint64)) >> np.uint64(56)).astype(np.int64)
+            place = np.repeat(np.arange(len(sizes)), sizes) * WIDE + (mix(values.view(np.uint64)) >> np.uint64(54)).astype(np.int64)
             counts = np.bincount(place, minlength=len(sizes) * WIDE).reshape(-1, WIDE)
             cut = lambda x: pa.array([row.tobytes() for row in np.minimum(x, 255).astype(np.uint8)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(node), cut(counts.reshape(len(sizes), SKETCH, -1).sum(axis=2)), cut(counts)], ["doc_id", "n_shingles", "node", "sketch", "wide"])
@@ -81,14 +81,14 @@ def _nodes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _common(docs: DataFrame, width: int, at_least: int) -> list:
-    """The commonest shingles with a count; counts below 3 within one task's batch of sets are not sent."""
+    """The commonest shingles with a count; counts of 1 within one task's batch of sets are not sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= 3
+            often = counts >= 2
             return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often])], ["s", "n"])
 
         size = 0
@@ -99,7 +99,7 @@ def _common(docs: DataFrame, width: int, at_least: int) -> list:
                     seen.add(one)
                     held.append(values[offsets[i] : offsets[i + 1]])
                     size += len(held[-1])
-            if size > 8_000_000:
+            if size > 1_500_000:
                 yield counted()
                 held, size = [], 0
         if held:
@@ -213,7 +213,8 @@ def _shared(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
     found = rows.mapInArrow(run, "a long, b long, firm boolean").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("firm").alias("firm"))
     # The edges of a spanning forest stay; those of a cell of which all pairs were looked at can go one by one.
-    wide = members.where("n_shingles > 0").groupBy("node").agg(F.first("wide").alias("wide"), F.first("n_shingles").alias("size"))
+    found = saved(found)
+    wide = members.where("n_shingles > 0").join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("wide").alias("wide"), F.first("n_shingles").alias("size"))
     found = found.join(wide.withColumnsRenamed({"node": "a", "wide": "wide_a", "size": "size_a"}), "a").join(wide.withColumnsRenamed({"node": "b", "wide": "wide_b", "size": "size_b"}), "b")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +365,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf:
     * Repeated rows are returned each; equal texts are one class.
     * Other columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = saved(_nodes(docs, width))
     cells = _cells(docs, width, percent, _common(docs, width, at_least))
     regions = saved(connected_components(_shared(cells, members, percent)).select("node", F.col("component").alias("region")))
@@ -383,7 +384,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf:
     for depth in range(max_depth + 1):
         sizes = sets.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("total"))
         sizes = saved(sizes.where("n > 1"))
-        large = sizes.where((F.col("n") > leaf) | (F.col("total") > 4000 * leaf)).where("n > 1")
+        large = sizes.where((F.col("n") > leaf) | (F.col("total") > 1500 * leaf)).where("n > 1")
         small = sizes.join(large.select("region"), "region", "left_anti")
         links.append(saved(_leaves(sets.join(small.select("region"), "region", "left_semi"), percent)))
         if large.isEmpty():

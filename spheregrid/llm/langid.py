@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spheregrid.llm.common import small_batches
+
 #: Bounds of the fitting sample: documents of a language, bytes of each one's normal form, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 1500, 112_640
 #: At most so many languages: all dictionaries together stay under 60 MB.
@@ -130,7 +132,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
             lang, score, accepted = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([rows, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=["row", "lang_pred", "score", "accepted"])
 
-    return docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, parts: int = 4, part: int = 2, min_margin: float = MIN_MARGIN) -> DataFrame:

@@ -21,19 +21,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spheregrid.llm.common import small_batches
+
 from spheregrid.llm.langid import held_out
 from spheregrid.llm.sequences import backward, forward, packed_order
-from spheregrid.llm.tokens import Words, mix
+from spheregrid.llm.tokens import Words, mix, shingle_sets
 
 #: Bound of the fitting sample: documents of each label.
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 2000
 #: A document of the sample counts with so many characters from a hashed place in it.
-SAMPLE_CHARS = 12_000
+SAMPLE_CHARS = 4000
 #: First bytes of a token that are features of it, beside the whole token.
 PREFIXES = (4, 5, 6, 7, 8)
-#: Document frequency among toxic ones from which a feature can mark a token, and its share of all its documents.
-MIN_TOXIC, MIN_SHARE = 9, 0.97
+#: Share of a feature's documents that must be toxic for it to mark a token.
+MIN_SHARE = 0.97
 THRESHOLD = 0.7
+#: Marginals below this don't add up to a document's score.
+NOISE = 0.01
+#: Added to the expected number of toxic tokens.
+FLOOR = 1e-3
 _BUCKETS = 1 << 22
 
 
@@ -83,33 +89,50 @@ def forward_backward(counts: np.ndarray, toxic: np.ndarray, edge: np.ndarray) ->
     return out, pairs
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Crf:
+def families(texts: list[str], hashes: int = 6) -> np.ndarray:
+    """Which of the sample's texts to learn from: the first of each family that shares a min-hash, so copies don't count as evidence."""
+    values, offsets = shingle_sets(pa.array(texts, pa.string()), 3)
+    seen: set[tuple[int, int]] = set()
+    keep = np.ones(len(texts), bool)
+    for i in range(len(texts)):
+        own = values[offsets[i] : offsets[i + 1]].view(np.uint64)
+        if len(own):
+            signature = {(k, int(mix(own + np.uint64(k)).min())) for k in range(hashes)}
+            keep[i] = not (signature & seen)
+            seen |= signature
+    return keep
+
+
+def fit(texts: list[str], toxic: list[int], rounds: int = 25) -> Crf:
     """A CRF from a bounded number of labelled documents, in memory."""
-    y = np.array(toxic, int)
+    keep = families(texts)
+    texts, y = [t for t, k in zip(texts, keep, strict=True) if k], np.array(toxic, int)[keep]
     words = Words(pa.array(texts, pa.string()), alnum=True)
     columns = token_features(words)
     document = words.doc
-    # Documents of either label that hold each feature.
-    tables = []
-    for hashes in columns:
-        pair = np.unique(np.stack([hashes, document], 1), axis=0) if len(hashes) else np.zeros((0, 2), np.int64)
-        tables.append(pair)
-    pairs = np.concatenate(tables) if tables else np.zeros((0, 2), np.int64)
-    pairs = pairs[pairs[:, 0] != 0]
-    names, code = np.unique(pairs[:, 0], return_inverse=True)
-    bad = np.bincount(code, weights=y[pairs[:, 1]], minlength=len(names))
-    every = np.bincount(code, minlength=len(names))
-    rate = max(y.mean() if len(y) else 0.5, 1e-3)
-    good = (every - bad) * rate / max(1 - rate, 1e-3)  # as if both labels were equally common
-    chosen = (bad >= min(MIN_TOXIC, max(2, y.sum() / 20))) & (bad / np.maximum(bad + good, 1e-9) >= MIN_SHARE)
-    feature = names[chosen]
+    # Features that mark toxic tokens: whole tokens first, then ever shorter beginnings of the tokens that are still unexplained.
+    rate = min(max(y.mean() if len(y) else 0.5, 1e-3), 0.99)
+    open_, chosen = np.ones(len(document), bool), [np.zeros(0, np.int64)]
+    for hashes in [columns[0], *columns[:0:-1]]:
+        own = open_ & (hashes != 0)
+        pairs = np.unique(np.stack([hashes[own], document[own]], 1), axis=0)
+        names, code = np.unique(pairs[:, 0], return_inverse=True)
+        bad = np.bincount(code, weights=y[pairs[:, 1]], minlength=len(names))
+        good = (np.bincount(code, minlength=len(names)) - bad) * rate / (1 - rate)  # as if both labels were equally common
+        # So many toxic documents that no feature of clean origin is likely to reach them by chance; with few labels, a seventh of them.
+        enough = np.log(max(len(names), 1) / 0.01) / -np.log(rate)
+        marks = names[(bad >= min(enough, max(3.0, 0.15 * y.sum()))) & (bad / np.maximum(bad + good, 1e-9) >= MIN_SHARE)]
+        chosen.append(marks)
+        open_ &= ~np.isin(hashes, marks)
+    feature = np.unique(np.concatenate(chosen))
     hit = [np.isin(h, feature) for h in columns]
     tag = np.zeros(len(document), bool)
     for h in hit:
         tag |= h
     tag &= y[document] == 1 if len(y) else False
     index = [np.searchsorted(feature, h[k]) for h, k in zip(columns, hit, strict=True)]
-    weight, bias, edge = np.zeros(len(feature)), -4.0, np.zeros((2, 2))
+    # Near the optimum, which is far out where features separate: a clean token's marginal must be tiny, as long texts have many.
+    weight, bias, edge = np.full(len(feature), 6.0), -12.0, np.zeros((2, 2))
     # Adagrad on the conditional log-likelihood with an L2 prior.
     past = [np.full(len(feature), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     starts = np.zeros(len(document), bool)
@@ -130,21 +153,26 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Crf:
             past[name] = past[name] + now**2
             move = now / np.sqrt(past[name])
             if name == 0:
-                weight = weight + move
+                weight = weight + 0.5 * move
             elif name == 1:
-                bias += 0.5 * float(move)
+                bias += 0.1 * float(move)
             else:
-                edge = edge + 0.3 * move
+                # Only how toxic tokens follow each other is free; the rest would repeat the bias.
+                edge[1, 1] += 0.3 * move[1, 1]
     model = Crf(feature, weight, bias, edge, (1.0, 0.0), 0.0)
-    # Calibration: logistic regression of the label on the log of the expected number of toxic tokens.
-    x = np.log(_expected(words, model) + 1e-4)
-    a, b = 1.0, 2.0
-    for _ in range(400):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        a += 0.05 * (float(((y - p) * x).mean()) - 1e-3 * a)
-        b += 0.5 * (float((y - p).mean()) - 1e-4 * b)
+    # Calibration: logistic regression of the label, both labels weighing the same, on the log of the expected number of toxic tokens.
+    x = np.stack([np.log(_expected(words, _marginals(words, model)) + FLOOR), np.ones(len(y))], axis=1)
+    balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    theta, prior = np.array([1.0, 2.0]), np.array([1.0, 2.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        slope = x.T @ (balance * (y - p)) - 1e-3 * (theta - prior)
+        curve = (x * (balance * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        move = np.linalg.solve(curve, slope)
+        theta = theta + move / max(1.0, 2 * float(np.abs(move).max()))
+    a, b = map(float, theta)
     model.calibration = (max(a, 1e-3), b)
-    model.empty = float(1 / (1 + np.exp(-(model.calibration[0] * np.log(1e-4) + b))))
+    model.empty = float(1 / (1 + np.exp(-(model.calibration[0] * np.log(FLOOR) + b))))
     return model
 
 
@@ -152,8 +180,9 @@ def _marginals(words: Words, model: Crf) -> np.ndarray:
     return forward_backward(words.counts, model.emission(words), model.edge)[0]
 
 
-def _expected(words: Words, model: Crf) -> np.ndarray:
-    return np.bincount(words.doc, weights=_marginals(words, model), minlength=len(words.counts))
+def _expected(words: Words, marginal: np.ndarray) -> np.ndarray:
+    """Expected toxic tokens of each text, without the noise of the many tokens that are hardly possible."""
+    return np.bincount(words.doc, weights=np.where(marginal >= NOISE, marginal, 0.0), minlength=len(words.counts))
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Crf:
@@ -199,15 +228,15 @@ def tag(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -> DataFrame:
                 part = batch.slice(at, 1000)
                 words = Words(part.column("text"), alnum=True)
                 marginal = _marginals(words, own)
-                expected = np.bincount(words.doc, weights=marginal, minlength=part.num_rows)
-                score = 1 / (1 + np.exp(-np.clip(a * np.log(expected + 1e-4) + b, -30, 30)))
+                expected = _expected(words, marginal)
+                score = 1 / (1 + np.exp(-np.clip(a * np.log(expected + FLOOR) + b, -30, 30)))
                 hit = np.flatnonzero(marginal >= 0.5)
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(words.doc[hit], minlength=part.num_rows))]).astype(np.int32)
                 origin = words.offsets[words.doc[hit]]
                 items = pa.StructArray.from_arrays([pa.array(words.start[hit] - origin), pa.array(words.end[hit] - origin), pa.array(marginal[hit])], ["start", "end", "probability"])
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), items)], ["row", "score", "predicted", "spans"])
 
-    return docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1, threshold: float = THRESHOLD) -> DataFrame:
