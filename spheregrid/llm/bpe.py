@@ -3,7 +3,7 @@
 Texts are split at single spaces into words (` word`), where the tokenizer's
 own splitting can't cross; a text with other runs of white space is split by
 the tokenizer itself.  Words travel in the packed form of a chunk of documents
-(some 16 MB of text):
+(some 8 MB of text):
 
 * ``words(bucket, chunk, words)``: a chunk's distinct words, by hash bucket;
 * ``positions(chunk, ...)``: for each document the numbers of its words.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from spheregrid.llm.common import gathered, small_batches
 
 #: Text of a chunk, and of all chunks' words for one bucket.
-CHUNK_BYTES, BUCKET_BYTES = 16_000_000, 4_000_000
+CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 4_000_000
 #: White space beside white space or at an end, or a character that marks splits.
 _IRREGULAR = re.compile(r"\s\s|^\s|\s$|\x00|\x85|\xa0|[  -‏ -  ⁠　﻿\x1c-\x1f]")
 
@@ -191,9 +191,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, decode: bool = Tr
         size, flat = np.concatenate(sizes), np.concatenate(ids)
         start = np.cumsum(size) - size
         tokenizer = Tokenizer(path)
+        # The id-to-piece join, once for each distinct word of the chunk.
         pieces = tokenizer.pieces() if decode else []
-        length = np.array([len(p) for p in pieces], np.int64)
-        origin, letters = np.cumsum(length) - length, np.frombuffer(b"".join(pieces), np.uint8)
+        piece_of = [pieces[k] for k in flat.tolist()] if decode else []
+        edges = [0, *np.cumsum(size).tolist()]
+        spoken = [b"".join(piece_of[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)] if decode else []
         out_ids, out_docs, out_text = [], [], []
         for doc_ids, counts, blob in zip(*(rows.column(c).to_pylist() for c in ("doc_ids", "counts", "numbers")), strict=True):
             number = np.frombuffer(_unpack(blob), np.uint32).astype(np.int64)
@@ -205,9 +207,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, decode: bool = Tr
             out_docs.append(pa.array(doc_ids, pa.int64()))
             out_ids.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token.astype(np.int32))))
             if decode:
-                text = letters[_ranges(origin[token], length[token])].tobytes()
-                cuts = np.concatenate([[0], np.cumsum(length[token])])[bounds].tolist()
-                out_text.append(pa.array([text[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.string()))
+                at, texts = 0, []
+                for n in counts:
+                    texts.append(b"".join([spoken[k] for k in number[at : at + n].tolist()]).decode("utf-8", "replace"))
+                    at += n
+                out_text.append(pa.array(texts, pa.string()))
             else:
                 out_text.append(pa.nulls(len(doc_ids), pa.string()))
         if not out_docs:

@@ -223,9 +223,9 @@ def tag(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -> DataFrame:
         own = told.value
         a, b = own.calibration
         for batch in batches:
-            # A quarter of a batch at a time bounds the memory of long texts.
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            # A part of a batch at a time bounds the memory of long texts.
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
                 words = Words(part.column("text"), alnum=True)
                 marginal = _marginals(words, own)
                 expected = _expected(words, marginal)

@@ -109,8 +109,9 @@ def test_toxicity_held_out(spark, docs, labels):
 
 
 def test_toxic_spans_and_edges(spark):
-    clean = [f"the {w} went home and saw a {v}" for w in ("cat", "dog", "cow", "hen") for v in ("tree", "house", "car", "man", "fish")]
-    rows = [(i, t, 0) for i, t in enumerate(clean)] + [(100 + i, t.replace("went", "loser went"), 1) for i, t in enumerate(clean)]
+    rng = np.random.default_rng(0)
+    some = lambda n: [" ".join(f"w{k}" for k in rng.integers(400, size=12)) for _ in range(n)]
+    rows = [(i, t, 0) for i, t in enumerate(some(40))] + [(100 + i, f"{t} loser {u}", 1) for i, (t, u) in enumerate(zip(some(40), some(40)))]
     table = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, score string")
     label = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
     model = fit_sample(table, label)
