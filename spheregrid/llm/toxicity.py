@@ -132,7 +132,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 25) -> Crf:
     tag &= y[document] == 1 if len(y) else False
     index = [np.searchsorted(feature, h[k]) for h, k in zip(columns, hit, strict=True)]
     # Near the optimum, which is far out where features separate: a clean token's marginal must be tiny, as long texts have many.
-    weight, bias, edge = np.full(len(feature), 6.0), -12.0, np.zeros((2, 2))
+    weight, bias, edge = np.full(len(feature), 14.0), -12.0, np.zeros((2, 2))
     # Adagrad on the conditional log-likelihood with an L2 prior.
     past = [np.full(len(feature), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     starts = np.zeros(len(document), bool)
