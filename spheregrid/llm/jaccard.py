@@ -12,7 +12,8 @@ when ``d <= radius`` (0.2 for a similarity of 0.8).  The join:
    link is lost.  Counting shingles by hash parts maps sets to vectors without
    enlarging distances; pairs of a cell that are too far apart even there can't
    link.  Cells merge to regions along the pairs that can.
-3. Regions of up to ``leaf`` sets join exactly in one task.
+3. Regions of up to ``leaf`` sets (and ``LEAF_SHINGLES`` shingles) join exactly in
+   one task.
 4. Larger regions split at document pivots: every set goes to its nearest
    pivot's region and, by the triangle inequality, to each region whose pivot
    is within ``min(d_nearest + 2 radius, reach + radius)``; sets that no pivot
@@ -46,6 +47,8 @@ COMMON = 1 << 16
 SKETCH, WIDE = 64, 1024
 #: Sets of a cell up to which all pairs are looked at at once, and up to which the sketches are looked at at all.
 FEW, MANY = 32, 4096
+#: Shingles of all sets of a region that one task joins (8 bytes each, some ten times that at work).
+LEAF_SHINGLES = 2_000_000
 #: Document pivots of one region and round.
 PIVOTS = 32
 #: Rounding slack of the windows; links themselves are decided in integers.
@@ -355,7 +358,7 @@ def _split(sets: DataFrame, sizes: DataFrame, percent: int, leaf: int, depth: in
     return links.select("a", "b"), saved(parts)
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = 1000, at_least: int = 12, max_depth: int = 4) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = 4000, at_least: int = 12, max_depth: int = 4) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
 
     * Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a set is the distinct
@@ -384,7 +387,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf:
     for depth in range(max_depth + 1):
         sizes = sets.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("total"))
         sizes = saved(sizes.where("n > 1"))
-        large = sizes.where((F.col("n") > leaf) | (F.col("total") > 1500 * leaf)).where("n > 1")
+        large = sizes.where((F.col("n") > leaf) | (F.col("total") > LEAF_SHINGLES)).where("n > 1")
         small = sizes.join(large.select("region"), "region", "left_anti")
         links.append(saved(_leaves(sets.join(small.select("region"), "region", "left_semi"), percent)))
         if large.isEmpty():
