@@ -6,6 +6,7 @@ from 16-bit digits.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -125,13 +126,16 @@ class Perlin:
 
     def __init__(self, seed: int):
         order = np.random.default_rng(seed).permutation(256)
-        self.table = F.array(*[F.lit(int(v)) for v in np.concatenate([order, order])])
-        self.gradients = [F.array(*[F.lit(float(g[k])) for g in GRADIENTS]) for k in range(3)]
-
-    def _at(self, index: Column) -> Column:
-        return F.element_at(self.table, (index + 1).cast("int"))
+        # Parsed once at planning: a single constant in the plan, not hundreds of them.
+        constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+        self.table = constant([int(v) for v in np.concatenate([order, order])], "int")
+        self.gradients = [constant([float(g[k]) for g in GRADIENTS], "double") for k in range(3)]
 
     def __call__(self, p: tuple[Column, Column, Column]) -> Column:
+        return bound(F.struct(*[c.alias(n) for c, n in zip(p, "xyz", strict=True)]), self._value)
+
+    def _value(self, q: Column) -> Column:
+        p = [q[n] for n in "xyz"]
         cell = [F.floor(c) for c in p]
         low = [F.pmod(c, F.lit(256)).cast("int") for c in cell]
         t = [c - b for c, b in zip(p, cell, strict=True)]
@@ -139,8 +143,8 @@ class Perlin:
         value = {}
         for corner in range(8):
             b = [(corner >> k) & 1 for k in range(3)]
-            index = self._at(self._at(self._at(F.pmod(low[0] + b[0], F.lit(256))) + F.pmod(low[1] + b[1], F.lit(256))) + F.pmod(low[2] + b[2], F.lit(256))) % 12
-            value[corner] = sum((F.element_at(self.gradients[k], (index + 1).cast("int")) * (t[k] - b[k]) for k in range(3)), F.lit(0.0))
+            index = self.table[self.table[self.table[low[0] + b[0]] + low[1] + b[1]] + low[2] + b[2]] % 12
+            value[corner] = sum((self.gradients[k][index] * (t[k] - b[k]) for k in range(3)), F.lit(0.0))
         for k in range(3):
             value = {c >> 1: value[c] + fade[k] * (value[c | 1] - value[c]) for c in value if not c & 1}
         return value[0]
