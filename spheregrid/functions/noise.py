@@ -135,19 +135,25 @@ class Perlin:
         return bound(F.struct(*[c.alias(n) for c, n in zip(p, "xyz", strict=True)]), self._value)
 
     def _value(self, q: Column) -> Column:
+        """Each quantity that several corners read is worked out once: cell and place in it, then the fades."""
         p = [q[n] for n in "xyz"]
-        cell = [F.floor(c) for c in p]
-        low = [F.pmod(c, F.lit(256)).cast("int") for c in cell]
-        t = [c - b for c, b in zip(p, cell, strict=True)]
-        fade = [x * x * x * (x * (x * 6 - 15) + 10) for x in t]
-        value = {}
+        inside = F.struct(*[(c - F.floor(c)).alias(f"t{n}") for c, n in zip(p, "xyz", strict=True)], *[F.pmod(F.floor(c), F.lit(256)).cast("int").alias(f"c{n}") for c, n in zip(p, "xyz", strict=True)])
+        fades = lambda r: F.struct(*[r[f"{a}{n}"].alias(f"{a}{n}") for a in "tc" for n in "xyz"], *[(r[f"t{n}"] * r[f"t{n}"] * r[f"t{n}"] * (r[f"t{n}"] * (r[f"t{n}"] * 6 - 15) + 10)).alias(f"f{n}") for n in "xyz"])
+        return bound(bound(inside, fades), self._corners)
+
+    def _gradient(self, r: Column, corner: list[int]) -> Callable[[Column], Column]:
+        return lambda g: sum((self.gradients[k][g] * (r[f"t{n}"] - corner[k]) for k, n in enumerate("xyz")), F.lit(0.0))
+
+    def _corners(self, r: Column) -> Column:
+        total = F.lit(0.0)
         for corner in range(8):
             b = [(corner >> k) & 1 for k in range(3)]
-            index = self.table[self.table[self.table[low[0] + b[0]] + low[1] + b[1]] + low[2] + b[2]] % 12
-            value[corner] = sum((self.gradients[k][index] * (t[k] - b[k]) for k in range(3)), F.lit(0.0))
-        for k in range(3):
-            value = {c >> 1: value[c] + fade[k] * (value[c | 1] - value[c]) for c in value if not c & 1}
-        return value[0]
+            index = self.table[self.table[self.table[r["cx"] + b[0]] + r["cy"] + b[1]] + r["cz"] + b[2]] % 12
+            weight = F.lit(1.0)
+            for k, n in enumerate("xyz"):
+                weight = weight * (r[f"f{n}"] if b[k] else 1 - r[f"f{n}"])
+            total = total + weight * bound(index, self._gradient(r, b))
+        return total
 
 
 def scaled(p: tuple[Column, Column, Column], by: float) -> tuple[Column, Column, Column]:
@@ -167,8 +173,7 @@ def ridged(noise: Perlin, p: tuple[Column, Column, Column], frequency: float, oc
     """Ridges where the noise crosses zero; each octave is weighted by the one before."""
     total, amplitude, norm, weight = F.lit(0.0), 1.0, 0.0, F.lit(1.0)
     for _ in range(octaves):
-        ridge = 1 - F.abs(noise(scaled(p, frequency)))
-        ridge = ridge * ridge * weight
+        ridge = F.pow(1 - F.abs(noise(scaled(p, frequency))), F.lit(2.0)) * weight
         weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ridge * 2))
         total, norm = total + ridge * amplitude, norm + amplitude
         frequency, amplitude = frequency * lacunarity, amplitude * gain
