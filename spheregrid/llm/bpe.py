@@ -32,7 +32,7 @@ from spheregrid.llm.common import gathered, small_batches
 #: Text of a chunk, and of all chunks' words for one bucket.
 CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 4_000_000
 #: White space beside white space or at an end, or a character that marks splits.
-_IRREGULAR = re.compile(r"\s\s|^\s|\s$|\x00|\x85|\xa0|[  -‏ -  ⁠　﻿\x1c-\x1f]")
+_IRREGULAR = re.compile(r"\s\s|^\s|\s$|[\x00\x1c-\x1f\x85\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 
 
 def tokenizer_path() -> str:
