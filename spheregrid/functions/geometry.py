@@ -68,8 +68,10 @@ def normalize(a: Sequence[Column]) -> Vector:
 
 
 def face_uv_to_dir(face: Column, u: Column, v: Column) -> Vector:
+    """Normal plus warped tangents, of length sqrt(1 + s^2 + t^2) as the axes are orthonormal."""
     s, t = warp(u), warp(v)
-    return normalize([_by_face(face, 0, k) + s * _by_face(face, 1, k) + t * _by_face(face, 2, k) for k in range(3)])
+    size = F.sqrt(1 + s * s + t * t)
+    return tuple((_by_face(face, 0, k) + s * _by_face(face, 1, k) + t * _by_face(face, 2, k)) / size for k in range(3))
 
 
 def dir_to_face(d: Sequence[Column]) -> Column:

@@ -39,24 +39,23 @@ def roots(spark: SparkSession) -> DataFrame:
 
 
 def with_distance(nodes: DataFrame, camera: tuple[float, float, float], radius: float) -> DataFrame:
-    c = node_centre()
-    away = F.sqrt(sum(((c[k] * radius - float(camera[k])) * (c[k] * radius - float(camera[k])) for k in range(3)), F.lit(0.0)))
-    return nodes.withColumn("dist", away)
+    """``nodes`` with ``dist`` from the camera to each centre; the centre is a column, so it is worked out once."""
+    c = [F.col("_c")[k] * radius - float(camera[k]) for k in range(3)]
+    return nodes.withColumn("_c", F.array(*node_centre())).withColumn("dist", F.sqrt(c[0] * c[0] + c[1] * c[1] + c[2] * c[2])).drop("_c")
 
 
 def select_leaves(spark: SparkSession, camera: tuple[float, float, float], radius: float, factor: float = 2.5, max_level: int = 18) -> DataFrame:
     """Leaves of the subdivision in which a node splits while the camera is nearer to its centre than ``factor`` sizes; one level a round."""
     open_, leaves = roots(spark), None
     for level in range(min(max_level, 30) + 1):
-        seen = with_distance(open_, camera, radius)
+        seen = settled(with_distance(open_, camera, radius))
         split = (F.col("dist") < factor * node_size(radius)) & F.lit(level < max_level)
         done = seen.where(~split).select(*NODE, "dist")
         leaves = done if leaves is None else leaves.unionByName(done)
-        open_ = children(seen.where(split).select(*NODE))
-        if level % 6 == 5:
-            open_, leaves = settled(open_), settled(leaves)
-            if open_.isEmpty():
-                break
+        more = seen.where(split).select(*NODE)
+        if more.isEmpty():
+            break
+        open_ = children(more)
     return leaves
 
 
