@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,7 +67,8 @@ def ending(state: str) -> tuple[int, tuple[str, ...]]:
     return INSERT * (len(before) + 1), (*before, "assistant")
 
 
-def solve(roles: list[str | None], start: str) -> dict[str, tuple[int, list]]:
+@functools.lru_cache(4096)
+def solve(roles: tuple[str | None, ...], start: str) -> dict[str, tuple[int, list]]:
     """For each state in which the turns can end: the least cost from ``start`` and the moves taken."""
     best: dict[str, tuple[int, tuple | None]] = {start: (0, None)}
     for role in roles:
@@ -86,6 +88,14 @@ def solve(roles: list[str | None], start: str) -> dict[str, tuple[int, list]]:
     return out
 
 
+def _runs(pdf: pd.DataFrame, keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The rows of each key, ordered by the first of ``columns``."""
+    ordered = pdf.sort_values([*keys, columns[0]], kind="stable")
+    rows = zip(*(ordered[c].tolist() for c in [*keys, *columns]), strict=True)
+    for key, own in itertools.groupby(rows, key=lambda x: x[: len(keys)]):
+        yield key, [x[len(keys) :] for x in own]
+
+
 def repair(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """``(conv_id, position, turn, role, new_role, action, inserted, cost, piece)``, one row for each row of ``turns(conv_id, turn, role, text)``.
 
@@ -103,61 +113,66 @@ def repair(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     rows = running(rows, ["conv"], "block", [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")], F.lit(1), "position").drop("block")
     rows = rows.withColumn("segment", F.floor(F.col("position") / segment).cast("long"))
 
+    # Many segments share a call: a group is some 20,000 rows, whatever their conversations.
+    groups = max(8, turns.count() // 20_000)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("conv", "segment"), F.lit(groups)))
+
     def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
-        roles = [r if isinstance(r, str) else None for r in pdf.sort_values("position")["role"]]
-        out = [(pdf["conv"].iloc[0], pdf["segment"].iloc[0], s, to, cost) for s in STATES for to, (cost, _) in solve(roles, s).items()]
+        out = []
+        for (conv, number), own in _runs(pdf, ["conv", "segment"], ["position", "role"]):
+            roles = tuple(r if isinstance(r, str) else None for _, r in own)
+            out += [(conv, number, s, to, cost) for s in STATES for to, (cost, _) in solve(roles, s).items()]
         return pd.DataFrame(out, columns=["conv", "segment", "a", "b", "cost"])
 
-    costs = rows.select("conv", "segment", "position", "role").groupBy("conv", "segment").applyInPandas(matrix, "conv string, segment long, a string, b string, cost long")
+    costs = rows.select("part", "conv", "segment", "position", "role").groupBy("part").applyInPandas(matrix, "conv string, segment long, a string, b string, cost long")
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         """Through which states the cheapest path enters and leaves each segment."""
-        best: dict[str, tuple[int, tuple | None]] = {"start": (0, None)}
-        segments = sorted(pdf["segment"].unique())
-        steps = {k: list(zip(g["a"], g["b"], g["cost"], strict=True)) for k, g in pdf.groupby("segment")}
-        for k in segments:
-            new: dict[str, tuple[int, tuple | None]] = {}
-            for a, b, cost in sorted(steps[k], key=lambda x: (STATES.index(x[0]), STATES.index(x[1]))):
-                if a in best and (b not in new or best[a][0] + cost < new[b][0]):
-                    new[b] = (best[a][0] + int(cost), (best[a][1], a, b))
-            best = new
-        end = min(best, key=lambda s: (best[s][0] + ending(s)[0], STATES.index(s)))
-        total, path, out = best[end][0] + ending(end)[0], best[end][1], []
-        for k in reversed(segments):
-            out.append((pdf["conv"].iloc[0], k, path[1], path[2], total, k == segments[-1]))
-            path = path[0]
+        out = []
+        for (conv,), own in _runs(pdf, ["conv"], ["segment", "a", "b", "cost"]):
+            best: dict[str, tuple[int, tuple | None]] = {"start": (0, None)}
+            for number, steps in itertools.groupby(own, key=lambda x: x[0]):
+                new: dict[str, tuple[int, tuple | None]] = {}
+                for _, a, b, cost in sorted(steps, key=lambda x: (STATES.index(x[1]), STATES.index(x[2]))):
+                    if a in best and (b not in new or best[a][0] + cost < new[b][0]):
+                        new[b] = (best[a][0] + int(cost), (best[a][1], number, a, b))
+                best = new
+            end = min(best, key=lambda s: (best[s][0] + ending(s)[0], STATES.index(s)))
+            total, path, last = best[end][0] + ending(end)[0], best[end][1], True
+            while path:
+                out.append((conv, path[1], path[2], path[3], total, last))
+                path, last = path[0], False
         return pd.DataFrame(out, columns=["conv", "segment", "a", "b", "cost", "ends"])
 
-    chosen = costs.groupBy("conv").applyInPandas(compose, "conv string, segment long, a string, b string, cost long, ends boolean")
+    whole = costs.withColumn("part", F.pmod(F.xxhash64("conv"), F.lit(groups)))
+    chosen = whole.groupBy("part").applyInPandas(compose, "conv string, segment long, a string, b string, cost long, ends boolean")
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position").reset_index(drop=True)
-        roles = [r if isinstance(r, str) else None for r in pdf["role"]]
-        state = pdf["a"].iloc[0]
-        steps = solve(roles, state)[pdf["b"].iloc[0]][1]
-        new, actions, inserted, pieces = [], [], [], []
-        for k, ((action, to, before), text) in enumerate(zip(steps, pdf["text"], strict=True)):
-            piece = ""
-            for role in before:
-                piece += (CLOSE if state != "start" else "") + OPEN.format(role)
-                state = role
-            if action.endswith("merge"):
-                piece += "\n" + text
-            else:
-                piece += (CLOSE if state != "start" else "") + OPEN.format(to) + text
-            state, after = to, ()
-            if k == len(steps) - 1 and pdf["ends"].iloc[0]:
-                after = ending(state)[1]
-                piece += CLOSE + "".join(OPEN.format(role) + CLOSE for role in after)
-            new.append(to)
-            actions.append(action)
-            inserted.append([*before, *after])
-            pieces.append(piece)
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "position": pdf["position"], "turn": pdf["turn"], "role": roles, "new_role": new, "action": actions, "inserted": inserted, "cost": pdf["cost"], "piece": pieces})
+        out = []
+        columns = ["position", "conv_id", "turn", "role", "text", "a", "b", "cost", "ends"]
+        for _, own in _runs(pdf, ["conv", "segment"], columns):
+            roles = tuple(x[3] if isinstance(x[3], str) else None for x in own)
+            state = own[0][5]
+            steps = solve(roles, state)[own[0][6]][1]
+            for k, ((action, to, before), x, role) in enumerate(zip(steps, own, roles, strict=True)):
+                piece = ""
+                for new in before:
+                    piece += (CLOSE if state != "start" else "") + OPEN.format(new)
+                    state = new
+                if action.endswith("merge"):
+                    piece += "\n" + x[4]
+                else:
+                    piece += (CLOSE if state != "start" else "") + OPEN.format(to) + x[4]
+                state, after = to, ()
+                if k == len(steps) - 1 and x[8]:
+                    after = ending(state)[1]
+                    piece += CLOSE + "".join(OPEN.format(new) + CLOSE for new in after)
+                out.append((x[1], x[0], x[2], role, to, action, [*before, *after], x[7], piece))
+        return pd.DataFrame(out, columns=["conv_id", "position", "turn", "role", "new_role", "action", "inserted", "cost", "piece"])
 
     schema = "conv_id long, position long, turn long, role string, new_role string, action string, inserted array<string>, cost long, piece string"
     joined = rows.join(chosen, ["conv", "segment"])
     # Nullable integers must not pass through floats.
     joined = joined.withColumn("conv_id", F.col("conv_id").cast("string")).withColumn("turn", F.col("turn").cast("string"))
     text = schema.replace("conv_id long", "conv_id string").replace("turn long", "turn string")
-    return joined.groupBy("conv", "segment").applyInPandas(write, text).withColumn("conv_id", F.col("conv_id").cast("long")).withColumn("turn", F.col("turn").cast("long"))
+    return joined.groupBy("part").applyInPandas(write, text).withColumn("conv_id", F.col("conv_id").cast("long")).withColumn("turn", F.col("turn").cast("long"))
