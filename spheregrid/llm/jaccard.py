@@ -166,28 +166,32 @@ def _spanning(sketch: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[
     return out
 
 
-def _shared(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: edges that join, in each cell, all sets that can link by their sketches."""
+def _shared(cells: DataFrame, members: DataFrame, percent: int, few: int = FEW, many: int = MANY) -> DataFrame:
+    """``(a, b)``: edges that join, in each cell, all sets that can link by their sketches; cells of more than ``many`` sets are joined as they are."""
     alone = Window.partitionBy("s")
     shared = cells.withColumn("n", F.count("*").over(alone)).where("n > 1").select("s", "node")
     sketches = members.where("n_shingles > 0").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
     rows = shared.join(sketches, "node").select("s", "node", "sketch", "size").repartition("s").sortWithinPartitions("s", "node")
 
-    def edges(s: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    def edges(s: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: np.ndarray, begun: bool) -> pa.RecordBatch:
+        """The edges of whole cells; if ``begun``, the first one is the rest of a cell whose earlier rows hang together by its first row."""
         starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         lengths = np.diff(np.append(starts, len(s)))
         run = np.repeat(lengths, lengths)
         none = np.zeros(0, np.int64)
         a, b, firm = [none], [none], [none.astype(bool)]
-        for lag in range(1, min(FEW, int(lengths.max()))):
-            at = np.flatnonzero((s[lag:] == s[:-lag]) & (run[lag:] <= FEW))
+        chain = lengths > many
+        chain[0] |= begun
+        for lag in range(1, min(few, int(lengths.max()))):
+            at = np.flatnonzero((s[lag:] == s[:-lag]) & (run[lag:] <= few))
             at = at[_near(sketch[at], sketch[at + lag], size[at], size[at + lag], percent)]
             a.append(node[at])
             b.append(node[at + lag])
             firm.append(np.zeros(len(at), bool))
-        for start, length in zip(starts[lengths > FEW].tolist(), lengths[lengths > FEW].tolist(), strict=True):
+        large = chain | (lengths > few)
+        for start, length, whole in zip(starts[large].tolist(), lengths[large].tolist(), chain[large].tolist(), strict=True):
             own = slice(start, start + length)
-            pairs = _spanning(sketch[own], size[own], percent) if length <= MANY else [(k, k + 1) for k in range(length - 1)]
+            pairs = [(k, k + 1) for k in range(length - 1)] if whole else _spanning(sketch[own], size[own], percent)
             if pairs:
                 i, j = np.array(pairs).T
                 a.append(node[own][i])
@@ -197,22 +201,28 @@ def _shared(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        begun = False  # whether the first row held stands for rows of its cell that have gone
         for batch in batches:
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "node", "size")]
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
             held.append((*columns, sketch))
             s, node, size, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+            # Tasks that read equal texts have sent the same row each.
+            once = np.concatenate([[True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])])
+            s, node, size, sketch = s[once], node[once], size[once], sketch[once]
             # All cells but the last are complete; of one that is larger than memory should hold, the last row goes on.
             if s[-1] != s[0]:
                 cut = int(np.searchsorted(s, s[-1]))
-                yield edges(s[:cut], node[:cut], size[:cut], sketch[:cut])
+                yield edges(s[:cut], node[:cut], size[:cut], sketch[:cut], begun)
+                begun = False
             else:
-                cut = len(s) - 1 if len(s) > 4 * MANY else 0
+                cut = len(s) - 1 if len(s) > 4 * many else 0
                 if cut:
-                    yield edges(s, node, size, sketch)
+                    yield edges(s, node, size, sketch, begun)
+                    begun = True
             held = [(s[cut:], node[cut:], size[cut:], sketch[cut:])]
         if held:
-            yield edges(*held[0])
+            yield edges(*held[0], begun)
 
     found = rows.mapInArrow(run, "a long, b long, firm boolean").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("firm").alias("firm"))
     # The edges of a spanning forest stay; those of a cell of which all pairs were looked at can go one by one.
@@ -358,7 +368,7 @@ def _split(sets: DataFrame, sizes: DataFrame, percent: int, leaf: int, depth: in
     return links.select("a", "b"), saved(parts)
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = 4000, at_least: int = 12, max_depth: int = 4) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = 4000, at_least: int = 12, max_depth: int = 4, few: int = FEW, many: int = MANY) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
 
     * Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a set is the distinct
@@ -371,7 +381,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf:
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = saved(_nodes(docs, width))
     cells = _cells(docs, width, percent, _common(docs, width, at_least))
-    regions = saved(connected_components(_shared(cells, members, percent)).select("node", F.col("component").alias("region")))
+    regions = saved(connected_components(_shared(cells, members, percent, few, many)).select("node", F.col("component").alias("region")))
 
     # The sets of the documents that share a cell, one for each node.
     wanted = members.join(regions, "node").groupBy("node", "region").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))

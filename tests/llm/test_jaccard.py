@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from spheregrid.llm.jaccard import keep_one_of_each, ngram_jaccard_join
+from spheregrid.llm.tokens import mix, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,3 +82,34 @@ def test_edge_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 5]
     assert ngram_jaccard_join(docs.where("false")).collect() == []
+
+
+def hot_cells(sizes, seed=5):
+    """Pairs of near copies that meet in one cell only, which they share with unrelated sets: one cell of each size."""
+    rng = random.Random(seed)
+    some = [" ".join(f"{rng.randrange(10**6)}" for _ in range(5)) for _ in range(20_000)]
+    values, _ = shingle_sets(pa.array(some))
+    first = sorted(range(len(some)), key=mix(values.view("uint64")).__getitem__)
+    texts = []
+    for n, at in zip(sizes, first):
+        for _ in range(n // 2):
+            text = f"{some[at]} {rng.randrange(10**6)} {rng.randrange(10**6)} {rng.randrange(10**6)}"
+            texts += [text, f"{text} {rng.randrange(10**6)}"]
+        texts += [f"{some[at]} alone {n} {n}"] * (n % 2)
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_large_cells_match_brute_force(spark):
+    rows = hot_cells([3, 4, 5, 7, 8, 9, *range(15, 20), *range(30, 40), 64, 65])
+    # Equal texts that different tasks read.
+    rows += [(10_000 + i, t) for i, t in rows[::3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "5")
+    try:
+        out = sorted(map(tuple, ngram_jaccard_join(docs, few=2, many=4, at_least=10**9).collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert out == brute(rows)
