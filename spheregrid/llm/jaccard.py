@@ -33,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -51,6 +52,8 @@ FEW, MANY = 32, 4096
 LEAF_SHINGLES = 2_000_000
 #: Document pivots of one region and round.
 PIVOTS = 32
+#: Bytes of the texts that are cut to shingles at once (some fifty times that at work); a longer text is alone.
+TEXT_BYTES = 4_000_000
 #: Rounding slack of the windows; links themselves are decided in integers.
 SLACK = 1e-9
 
@@ -63,10 +66,15 @@ def _signature(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _batches(batches: Iterator[pa.RecordBatch], width: int):
     for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
+        ends = np.cumsum(pc.binary_length(batch.column("text").cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(at + 200, max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, side="right"))))
+            part = batch.slice(at, stop - at)
             values, offsets = shingle_sets(part.column("text"), width)
             yield part, values, offsets, _signature(values, offsets)
+            at = stop
 
 
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
@@ -304,21 +312,27 @@ def _leaves(sets: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("region").applyInArrow(run, "a long, b long").where("a <> b")
 
 
-def _blocks(sets: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
+def _share(times: int, leaf: int, leaf_shingles: int) -> Column:
+    """In how many parts a region of ``n`` sets with ``total`` shingles goes, ``times`` of which are a leaf by both measures; no more than sets."""
+    return F.least(F.greatest(F.ceil(F.col("n") * times / leaf), F.ceil(F.col("total") * times / leaf_shingles)), F.col("n")).cast("int")
+
+
+def _blocks(sets: DataFrame, sizes: DataFrame, leaf: int, leaf_shingles: int) -> DataFrame:
     """Each region as all pairs of its blocks of half a leaf: exact, without a task over the whole region."""
-    blocks = sets.join(sizes, "region").withColumn("k", F.ceil(F.col("n") * 2 / leaf).cast("int"))
+    blocks = sets.join(sizes, "region").withColumn("k", _share(2, leaf, leaf_shingles))
     blocks = blocks.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     return blocks.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "node", "shingles")
 
 
-def _distances(sets: DataFrame, sizes: DataFrame, leaf: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """The pivots of each region, and each set with its intersection with every pivot."""
+def _distances(sets: DataFrame, sizes: DataFrame, leaf: int, leaf_shingles: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The pivots of each region (fewer where they would have more shingles than a leaf), and each set with its intersection with every pivot."""
     sized = sets.join(sizes, "region")
     few = sized.where(F.pmod(F.xxhash64("node", F.lit(depth)), F.col("n")) < 4 * PIVOTS).withColumn("at", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(depth)), "node")) - 1)
-    pivots = saved(few.where(F.col("at") < PIVOTS).select("region", "at", "node", "shingles", "n"))
-    salt = lambda n: F.ceil(n / leaf).cast("int")
-    left = sized.withColumn("salt", F.pmod(F.xxhash64("node"), salt(F.col("n"))).cast("int")).select("region", "salt", "node", "shingles")
-    right = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salt(F.col("n")) - 1))).select("region", "salt", "at", F.col("shingles").alias("pivot"))
+    most = F.greatest(F.least(F.lit(PIVOTS), F.floor(F.lit(leaf_shingles) * F.col("n") / F.col("total"))), F.lit(2))
+    pivots = saved(few.where(F.col("at") < most).select("region", "at", "node", "shingles", "n", "total"))
+    salt = _share(1, leaf, leaf_shingles)
+    left = sized.withColumn("salt", F.pmod(F.xxhash64("node"), salt).cast("int")).select("region", "salt", "node", "shingles")
+    right = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salt - 1))).select("region", "salt", "at", F.col("shingles").alias("pivot"))
 
     def run(key: tuple, docs: pa.Table, own: pa.Table) -> pa.Table:
         inter = np.full((docs.num_rows, PIVOTS), -1, np.int64)
@@ -330,15 +344,16 @@ def _distances(sets: DataFrame, sizes: DataFrame, leaf: int, depth: int) -> tupl
                 inter[:, at] = sets.overlap_with(values)
                 union[:, at] = sets.sizes + len(values) - inter[:, at]
         pack = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, PIVOTS, dtype=np.int32)), pa.array(x.ravel()))
-        return pa.table({"region": pa.array(np.full(docs.num_rows, key[0].as_py())), "node": docs.column("node"), "inter": pack(inter), "union": pack(union)})
+        size = docs.column("shingles").combine_chunks().value_lengths().cast(pa.int64())
+        return pa.table({"region": pa.array(np.full(docs.num_rows, key[0].as_py())), "node": docs.column("node"), "size": size, "inter": pack(inter), "union": pack(union)})
 
-    return pivots, saved(left.groupBy("region", "salt").cogroup(right.groupBy("region", "salt")).applyInArrow(run, "region long, node long, inter array<long>, union array<long>"))
+    return pivots, saved(left.groupBy("region", "salt").cogroup(right.groupBy("region", "salt")).applyInArrow(run, "region long, node long, size long, inter array<long>, union array<long>"))
 
 
-def _split(sets: DataFrame, sizes: DataFrame, percent: int, leaf: int, depth: int) -> tuple[DataFrame, DataFrame]:
+def _split(sets: DataFrame, sizes: DataFrame, percent: int, leaf: int, leaf_shingles: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """Links to the pivots of large regions, and the parts that still have to be joined."""
     radius, home = 1 - percent / 100, 0.5
-    pivots, measured = _distances(sets, sizes, leaf, depth)
+    pivots, measured = _distances(sets, sizes, leaf, leaf_shingles, depth)
     near = measured.select("region", "node", F.posexplode(F.arrays_zip("inter", "union")).alias("at", "x")).where("x.inter >= 0").select("region", "node", "at", (F.col("x.inter") * 100 >= F.col("x.union") * percent).alias("link"), (1 - F.col("x.inter") / F.col("x.union")).alias("d"))
     links = near.where("link").join(pivots.select("region", "at", F.col("node").alias("b")), ["region", "at"]).select(F.col("node").alias("a"), "b", "region", "at")
     # Pivots that link to a common set: at most PIVOTS^2 pairs a region.
@@ -359,16 +374,16 @@ def _split(sets: DataFrame, sizes: DataFrame, percent: int, leaf: int, depth: in
     done = F.bool_or(F.col("link") & (F.col("d") + radius + SLACK < F.coalesce("reach", F.lit(1e9))))
     nearest = state.groupBy("region", "node").agg(done.alias("done"), F.min(F.struct("d", "at")).alias("best"))
     active = saved(nearest.where("not done").select("region", "node", "best"))
-    left = active.groupBy("region").agg(F.count("*").alias("m"))
+    left = active.join(measured.select("region", "node", "size"), ["region", "node"]).groupBy("region").agg(((F.count("*") > leaf) | (F.sum("size") > leaf_shingles)).alias("large"))
     near = near.join(active, ["region", "node"]).join(left, ["region"])
     # Within a home radius of 0.5 the window reaches 0.7; beyond it a set stays in the far region.
-    inside = near.where((F.col("m") > leaf) & (F.col("d") <= F.least(F.col("best.d") + 2 * radius, F.lit(home + radius)) + SLACK)).select(F.xxhash64("region", "at", F.lit(depth)).alias("part"), "region", "node")
-    far = active.join(left, "region").where((F.col("m") <= leaf) | (F.col("best.d") >= home)).select(F.xxhash64("region", F.lit(-1), F.lit(depth)).alias("part"), "region", "node")
+    inside = near.where(F.col("large") & (F.col("d") <= F.least(F.col("best.d") + 2 * radius, F.lit(home + radius)) + SLACK)).select(F.xxhash64("region", "at", F.lit(depth)).alias("part"), "region", "node")
+    far = active.join(left, "region").where(~F.col("large") | (F.col("best.d") >= home)).select(F.xxhash64("region", F.lit(-1), F.lit(depth)).alias("part"), "region", "node")
     parts = inside.union(far).join(sets, ["region", "node"]).select(F.col("part").alias("region"), "node", "shingles")
     return links.select("a", "b"), saved(parts)
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = 4000, at_least: int = 12, max_depth: int = 4, few: int = FEW, many: int = MANY) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = 4000, at_least: int = 12, max_depth: int = 4, few: int = FEW, many: int = MANY, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
 
     * Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a set is the distinct
@@ -397,20 +412,20 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf:
     for depth in range(max_depth + 1):
         sizes = sets.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("total"))
         sizes = saved(sizes.where("n > 1"))
-        large = sizes.where((F.col("n") > leaf) | (F.col("total") > LEAF_SHINGLES)).where("n > 1")
+        large = sizes.where((F.col("n") > leaf) | (F.col("total") > leaf_shingles)).where("n > 1")
         small = sizes.join(large.select("region"), "region", "left_anti")
         links.append(saved(_leaves(sets.join(small.select("region"), "region", "left_semi"), percent)))
         if large.isEmpty():
             break
         rest = sets.join(large.select("region"), "region", "left_semi")
         if depth == max_depth:
-            links.append(saved(_leaves(_blocks(rest, large.select("region", "n"), leaf), percent)))
+            links.append(saved(_leaves(_blocks(rest, large.select("region", "n", "total"), leaf, leaf_shingles), percent)))
             break
-        found, parts = _split(rest, large.select("region", "n"), percent, leaf, depth)
+        found, parts = _split(rest, large.select("region", "n", "total"), percent, leaf, leaf_shingles, depth)
         links.append(saved(found.where("a <> b").distinct()))
         # Parts that together are no smaller than what they came from would never end.
         if parts.count() > 2 * rest.count():
-            links.append(saved(_leaves(_blocks(rest, large.select("region", "n"), leaf), percent)))
+            links.append(saved(_leaves(_blocks(rest, large.select("region", "n", "total"), leaf, leaf_shingles), percent)))
             break
         sets = parts
     edges = links[0]

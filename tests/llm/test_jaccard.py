@@ -6,7 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from spheregrid.llm.jaccard import keep_one_of_each, ngram_jaccard_join
+from spheregrid.llm.jaccard import _blocks, _split, keep_one_of_each, ngram_jaccard_join
 from spheregrid.llm.tokens import mix, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,3 +113,26 @@ def test_large_cells_match_brute_force(spark):
     finally:
         spark.conf.set(name, before)
     assert out == brute(rows)
+
+
+@pytest.mark.parametrize("most,depth", [(1500, 3), (3000, 0)])
+def test_few_long_sets_match_brute_force(spark, most, depth):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_jaccard_join(docs, leaf_shingles=most, max_depth=depth, at_least=3)
+    assert sorted(map(tuple, out.collect())) == brute(rows)
+
+
+def test_long_sets_are_parted(spark):
+    """60 unrelated sets of 100 shingles, and no leaf holds more than 1,000."""
+    sets = spark.createDataFrame([(7, i, list(range(1000 * i, 1000 * i + 100))) for i in range(60)], "region long, node long, shingles array<long>")
+    sizes = spark.createDataFrame([(7, 60, 6000)], "region long, n long, total long")
+    most = lambda df: max(r["count"] for r in df.groupBy("region").count().collect())
+    parts = _blocks(sets, sizes, 4000, 1000)
+    assert 5 <= parts.select("region").distinct().count() and most(parts) <= 25
+    # Three groups of 20 whose sets have distance 0.5 in their group: 11 pivots leave, the others are parted.
+    rows = [(7, i, sorted({*range(i % 3 * 1000, i % 3 * 1000 + 60), *range(9000 + 100 * i, 9000 + 100 * i + 30)})) for i in range(60)]
+    sets = spark.createDataFrame(rows, "region long, node long, shingles array<long>")
+    sizes = spark.createDataFrame([(7, 60, 5400)], "region long, n long, total long")
+    _, parts = _split(sets, sizes, 80, 4000, 1000, 0)
+    assert parts.select("region").distinct().count() > 1 and parts.select("node").distinct().count() == 49
