@@ -31,8 +31,10 @@ from spheregrid.llm.tokens import Words
 STATES = 6
 #: Words with a class of their own, and classes for all others; one more class ends a text.
 COMMON, SHARED = 1024, 512
-#: Documents on which Baum-Welch starts (in memory), with so many rounds; then rounds over the whole training corpus.
-START_DOCS, START_ROUNDS, ROUNDS = 1500, 20, 2
+#: Rounds of Baum-Welch, each over the whole training corpus.
+ROUNDS = 22
+#: Tokens whose recursions run side by side: the steps of the longest text are shared by many others.
+STEP_TOKENS = 600_000
 CHUNK_BYTES, BUCKET_WORDS = 8_000_000, 400_000
 SMOOTHING = 0.1
 
@@ -113,6 +115,21 @@ def _decoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint16)).astype(np.int64), np.array([len(p) for p in parts], np.int64)
 
 
+def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The decoded texts of all batches, some ``STEP_TOKENS`` at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            held.append(_decoded(batch.slice(at, 200)))
+            size += len(held[-1][0])
+            if size >= STEP_TOKENS:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _baum_welch(encoded: DataFrame, model: Hmm, frequency: np.ndarray) -> Hmm:
     """One round over the whole training corpus; every task sends one sum for each parameter."""
     told = encoded.sparkSession.sparkContext.broadcast(model)
@@ -121,9 +138,8 @@ def _baum_welch(encoded: DataFrame, model: Hmm, frequency: np.ndarray) -> Hmm:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = told.value
         total = np.zeros(states + states * states + states * classes)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 800):
-                total += np.concatenate([x.ravel() for x in own.counts(*_decoded(batch.slice(at, 800)))])
+        for classes_, counts in _side_by_side(batches):
+            total += np.concatenate([x.ravel() for x in own.counts(classes_, counts)])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "v"])
 
@@ -258,16 +274,7 @@ def score_documents(docs: DataFrame, parts: int = 10, part: int = 0, states: int
     pairs = table.where("bucket < 0").groupBy("chunk").cogroup(counted.where("chunk is not null").select("bucket", "chunk", "data").groupBy("chunk"))
     encoded = saved(pairs.applyInArrow(encode, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"))
 
-    # A start from a bounded sample; what counts are the rounds over the whole corpus.
-    key = F.xxhash64("doc_id", "n_tokens")
-    few = F.pmod(key, F.lit(1 << 30)) < int(min(1.0, 2 * START_DOCS / max(1, train_docs)) * (1 << 30))
-    some = encoded.where("not held_out and n_tokens > 1").where(few).orderBy(key).limit(START_DOCS).select("classes").collect()
     model = Hmm.first(len(frequency), states, seed, frequency)
-    if some:
-        kept = [np.frombuffer(_unpack(r["classes"]), np.uint16)[:2000].astype(np.int64) for r in some]
-        flat, counts = np.concatenate(kept), np.array([len(x) for x in kept])
-        for _ in range(START_ROUNDS):
-            model = Hmm.of_counts(*model.counts(flat, counts), frequency)
     for _ in range(rounds):
         model = _baum_welch(encoded, model, frequency)
     final = docs.sparkSession.sparkContext.broadcast(model)

@@ -157,3 +157,20 @@ def test_hmm_scores(spark, docs):
     assert all(r["score"] <= 0 for r in got)
     assert sum(r["score"] for r in test) > sum(r["base_score"] for r in test)
     assert score_documents(table.where("false")).collect() == []
+
+
+def test_hmm_learns_from_whole_texts(spark, monkeypatch):
+    """What only the ends of long texts show: after token 2,000 every x follows a y, at whatever number of texts."""
+    rng = np.random.default_rng(2)
+    head = lambda n: " ".join(rng.choice(["a", "b"], n))
+    rows = [(i, f"{head(2100)} " + "x x x x y y y y " * 30) for i in range(40)] + [(100 + i, head(100)) for i in range(10)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    counts = Hmm.counts
+    monkeypatch.setattr(Hmm, "counts", lambda self, *a: seen.append(1) or counts(self, *a))
+    got = score_documents(table, states=3).collect()
+    # No round of training runs in the driver, on a part of the rows.
+    assert not seen and len(got) == len(rows)
+    long = [r for r in got if r["n_tokens"] > 2000]
+    # An x or y costs log10(2) less where the model knows which part of the text it is in, beside what runs of four save.
+    assert all(r["score"] - r["base_score"] > 240 * 0.3 for r in long)
