@@ -27,10 +27,10 @@ from spheregrid.llm.langid import held_out
 from spheregrid.llm.sequences import backward, forward, packed_order
 from spheregrid.llm.tokens import Words, mix, shingle_sets
 
-#: Bound of the fitting sample: documents of each label.
-SAMPLE_DOCS = 2000
-#: A document of the sample counts with so many characters from a hashed place in it.
-SAMPLE_CHARS = 4000
+#: Bounds of the fitting sample: documents of each label, whole, and bytes of their texts; the document that reaches the bound is the last.
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 12_000_000
+#: Texts of the sample that are cut to tokens at once.
+PART_BYTES = 1_000_000
 #: First bytes of a token that are features of it, beside the whole token.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Share of a feature's documents that must be toxic for it to mark a token.
@@ -89,27 +89,44 @@ def forward_backward(counts: np.ndarray, toxic: np.ndarray, edge: np.ndarray) ->
     return out, pairs
 
 
+def _parts(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in turn, some ``PART_BYTES`` characters at a time."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= PART_BYTES or i == len(texts) - 1:
+            yield texts[start : i + 1]
+            start, size = i + 1, 0
+
+
 def families(texts: list[str], hashes: int = 6) -> np.ndarray:
     """Which of the sample's texts to learn from: the first of each family that shares a min-hash, so copies don't count as evidence."""
-    values, offsets = shingle_sets(pa.array(texts, pa.string()), 3)
     seen: set[tuple[int, int]] = set()
-    keep = np.ones(len(texts), bool)
-    for i in range(len(texts)):
-        own = values[offsets[i] : offsets[i + 1]].view(np.uint64)
-        if len(own):
-            signature = {(k, int(mix(own + np.uint64(k)).min())) for k in range(hashes)}
-            keep[i] = not (signature & seen)
+    keep: list[bool] = []
+    for part in _parts(texts):
+        values, offsets = shingle_sets(pa.array(part, pa.string()), 3)
+        for i in range(len(part)):
+            own = values[offsets[i] : offsets[i + 1]].view(np.uint64)
+            signature = {(k, int(mix(own + np.uint64(k)).min())) for k in range(hashes)} if len(own) else set()
+            keep.append(not (signature & seen))
             seen |= signature
-    return keep
+    return np.array(keep, bool)
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 25) -> Crf:
     """A CRF from a bounded number of labelled documents, in memory."""
     keep = families(texts)
     texts, y = [t for t, k in zip(texts, keep, strict=True) if k], np.array(toxic, int)[keep]
-    words = Words(pa.array(texts, pa.string()), alnum=True)
-    columns = token_features(words)
-    document = words.doc
+    # A part at a time, as the work on bytes takes many times their size; what stays is a hash of each feature.
+    each, counts = [[np.zeros(0, np.int64)] for _ in range(1 + len(PREFIXES))], [np.zeros(0, np.int64)]
+    for part in _parts(texts):
+        words = Words(pa.array(part, pa.string()), alnum=True)
+        counts.append(words.counts)
+        for own, hashes in zip(each, token_features(words), strict=True):
+            own.append(hashes)
+    columns, counts = [np.concatenate(x) for x in each], np.concatenate(counts)
+    del each
+    document = np.repeat(np.arange(len(counts)), counts)
     # Features that mark toxic tokens: whole tokens first, then ever shorter beginnings of the tokens that are still unexplained.
     rate = min(max(y.mean() if len(y) else 0.5, 1e-3), 0.99)
     open_, chosen = np.ones(len(document), bool), [np.zeros(0, np.int64)]
@@ -131,20 +148,25 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 25) -> Crf:
         tag |= h
     tag &= y[document] == 1 if len(y) else False
     index = [np.searchsorted(feature, h[k]) for h, k in zip(columns, hit, strict=True)]
+    del columns
     # Near the optimum, which is far out where features separate: a clean token's marginal must be tiny, as long texts have many.
     weight, bias, edge = np.full(len(feature), 14.0), -12.0, np.zeros((2, 2))
     # Adagrad on the conditional log-likelihood with an L2 prior.
     past = [np.full(len(feature), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
     starts = np.zeros(len(document), bool)
-    starts[words.first[:-1][words.counts > 0]] = True
+    starts[(np.cumsum(counts) - counts)[counts > 0]] = True
     inner = np.flatnonzero(~starts)
     seen = np.zeros((2, 2))
     np.add.at(seen, (tag[inner - 1].astype(int), tag[inner].astype(int)), 1)
-    for _ in range(rounds if len(feature) else 0):
+
+    def emission() -> np.ndarray:
         log = np.full(len(document), bias)
         for k, i in zip(hit, index, strict=True):
             log[k] += weight[i]
-        marginal, expected = forward_backward(words.counts, log, edge)
+        return log
+
+    for _ in range(rounds if len(feature) else 0):
+        marginal, expected = forward_backward(counts, emission(), edge)
         error = tag - marginal
         slope = -0.01 * weight
         for k, i in zip(hit, index, strict=True):
@@ -161,7 +183,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 25) -> Crf:
                 edge[1, 1] += 0.3 * move[1, 1]
     model = Crf(feature, weight, bias, edge, (1.0, 0.0), 0.0)
     # Calibration: logistic regression of the label, both labels weighing the same, on the log of the expected number of toxic tokens.
-    x = np.stack([np.log(_expected(words, _marginals(words, model)) + FLOOR), np.ones(len(y))], axis=1)
+    x = np.stack([np.log(_expected(document, len(counts), forward_backward(counts, emission(), edge)[0]) + FLOOR), np.ones(len(y))], axis=1)
     balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     theta, prior = np.array([1.0, 2.0]), np.array([1.0, 2.0])
     for _ in range(50):
@@ -180,14 +202,17 @@ def _marginals(words: Words, model: Crf) -> np.ndarray:
     return forward_backward(words.counts, model.emission(words), model.edge)[0]
 
 
-def _expected(words: Words, marginal: np.ndarray) -> np.ndarray:
+def _expected(document: np.ndarray, n: int, marginal: np.ndarray) -> np.ndarray:
     """Expected toxic tokens of each text, without the noise of the many tokens that are hardly possible."""
-    return np.bincount(words.doc, weights=np.where(marginal >= NOISE, marginal, 0.0), minlength=len(words.counts))
+    return np.bincount(document, weights=np.where(marginal >= NOISE, marginal, 0.0), minlength=n)
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Crf:
     """The CRF of a bounded hash sample of ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``; at most ``SAMPLE_DOCS`` of each label.
 
+    The documents of the sample are whole.  Where their texts have more than
+    ``SAMPLE_BYTES`` of a label, the sample has fewer of them.
+
     Rows with a null ``doc_id``, text or label teach nothing; of a document
     with several labels any toxic one counts.
     """
@@ -198,12 +223,15 @@ def fit_sample(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Crf:
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, 1.3 * SAMPLE_DOCS / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, 1.3 * SAMPLE_DOCS / max(1, counts.get(0, 0)))))
     few = known.where(F.pmod(key, F.lit(1 << 30)) < share * (1 << 30)).withColumn("key", key)
-    few = few.withColumn("at", F.row_number().over(Window.partitionBy("toxic").orderBy("key", "doc_id"))).where(F.col("at") <= SAMPLE_DOCS).select("doc_id", "toxic")
-    # A clean document's part says as much as the whole; a toxic one may be toxic in few places.
-    long = F.length("text") > SAMPLE_CHARS
-    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1
-    text = F.when(long, F.substring(F.col("text"), place.cast("int"), F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
-    rows = docs.where("text is not null").join(F.broadcast(few), "doc_id").select("doc_id", "toxic", text.alias("text")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    few = few.withColumn("at", F.row_number().over(Window.partitionBy("toxic").orderBy("key", "doc_id"))).where(F.col("at") <= SAMPLE_DOCS).select("doc_id", "toxic", "at")
+    rows = docs.where("text is not null").join(F.broadcast(few), "doc_id")
+    last, size = {0: 0, 1: 0}, {0: 0, 1: 0}
+    for r in rows.groupBy("doc_id", "toxic", "at").agg(F.max(F.octet_length("text")).alias("bytes")).orderBy("at", "doc_id").collect():
+        if size[r["toxic"]] < SAMPLE_BYTES:
+            last[r["toxic"]] = r["at"]
+        size[r["toxic"]] += r["bytes"]
+    rows = rows.where(F.col("at") <= F.when(F.col("toxic") == 1, F.lit(last[1])).otherwise(F.lit(last[0])))
+    rows = rows.select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
@@ -228,7 +256,7 @@ def tag(docs: DataFrame, model: Crf, threshold: float = THRESHOLD) -> DataFrame:
                 part = batch.slice(at, 400)
                 words = Words(part.column("text"), alnum=True)
                 marginal = _marginals(words, own)
-                expected = _expected(words, marginal)
+                expected = _expected(words.doc, len(words.counts), marginal)
                 score = 1 / (1 + np.exp(-np.clip(a * np.log(expected + FLOOR) + b, -30, 30)))
                 hit = np.flatnonzero(marginal >= 0.5)
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(words.doc[hit], minlength=part.num_rows))]).astype(np.int32)

@@ -174,3 +174,14 @@ def test_hmm_learns_from_whole_texts(spark, monkeypatch):
     long = [r for r in got if r["n_tokens"] > 2000]
     # An x or y costs log10(2) less where the model knows which part of the text it is in, beside what runs of four save.
     assert all(r["score"] - r["base_score"] > 240 * 0.3 for r in long)
+
+
+def test_toxic_word_late_in_long_texts(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n: " ".join(f"w{k}" for k in rng.integers(400, size=n))
+    rows = [(i, some(6000), 0) for i in range(20)] + [(100 + i, f"{some(6000)} loser {some(20)}", 1) for i in range(20)]
+    table = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = fit_sample(table, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    odd = spark.createDataFrame([(1, "You loser!"), (2, "the cat"), (3, some(6000)), (4, f"{some(9000)} loser")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["predicted"], len(r["spans"])) for r in tag(odd, model).select("row.doc_id", "predicted", "spans").collect()}
+    assert got == {1: (1, 1), 2: (0, 0), 3: (0, 0), 4: (1, 1)}
