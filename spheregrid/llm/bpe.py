@@ -10,11 +10,13 @@ the tokenizer itself.  Words travel in the packed form of a chunk of documents
 
 All occurrences of a word meet in its bucket, where it is encoded once; the
 ids go back to the chunks and are joined to the positions.  Decoding joins the
-ids to the table of pieces.  No table of words is gathered or broadcast.
+ids to the table of pieces, which is as large as the tokenizer's vocabulary
+and told to every task.  No table of words is gathered or broadcast.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from spheregrid.llm.common import gathered, small_batches
 
-#: Text of a chunk, and of all chunks' words for one bucket.
-CHUNK_BYTES, BUCKET_BYTES = 8_000_000, 4_000_000
+#: Text of a chunk, and of the part of a chunk that is put together at once.
+CHUNK_BYTES, PART_BYTES = 8_000_000, 1_000_000
+#: Buckets of distinct words for so much text; they grow with its power 0.6, about as vocabularies do.
+BUCKETS, BUCKET_TEXT = 16, 64_000_000
 #: White space beside white space or at an end, or a character that marks splits.
 _IRREGULAR = re.compile(r"\s\s|^\s|\s$|[\x00\x1c-\x1f\x85\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 
@@ -42,8 +46,14 @@ def tokenizer_path() -> str:
     return path("byte_bpe_50k.json")
 
 
+@functools.lru_cache(1)
+def opened(path: str) -> Tokenizer:
+    """The tokenizer of a file, opened once in a process."""
+    return Tokenizer(path)
+
+
 class Tokenizer:
-    """The tokenizer of a file, opened once in a task."""
+    """The tokenizer of a file."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -68,15 +78,14 @@ class Tokenizer:
     def encode(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.base.encode_batch(words, add_special_tokens=False)]
 
-    def pieces(self) -> list[bytes]:
-        """The bytes of each id: the join table for decoding."""
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, one after the other, and where each starts: the join table for decoding."""
         table = byte_of_char()
-        size = self.base.get_vocab_size(with_added_tokens=True)
         out = []
-        for i in range(size):
+        for i in range(1 + max(self.base.get_vocab(with_added_tokens=True).values())):
             piece = self.base.id_to_token(i) or ""
             out.append(piece.encode() if piece in self.special or any(c not in table for c in piece) else bytes(table[c] for c in piece))
-        return out
+        return np.frombuffer(b"".join(out), np.uint8), np.cumsum([0, *map(len, out)])
 
 
 def byte_of_char() -> dict[str, int]:
@@ -137,10 +146,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, decode: bool = Tr
     path = path or tokenizer_path()
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, total // BUCKET_BYTES)
+    buckets = max(BUCKETS, int(BUCKETS * (total / BUCKET_TEXT) ** 0.6))
+    table_of_pieces = docs.sparkSession.sparkContext.broadcast(opened(path).pieces() if decode else None)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(path)
+        tokenizer = opened(path)
         for batch in gathered(batches, CHUNK_BYTES):
             _, _, distinct = _split(batch.column("text"), tokenizer)
             order, bucket, raw = _bucketed(distinct, buckets)
@@ -152,7 +162,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, decode: bool = Tr
             yield pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array(np.full(len(edges), _name(batch))), pa.array(blobs, pa.binary())], ["bucket", "chunk", "words"])
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(path)
+        tokenizer = opened(path)
         for batch in gathered(batches, CHUNK_BYTES):
             counts, numbers, distinct = _split(batch.column("text"), tokenizer)
             order, _, _ = _bucketed(distinct, buckets)
@@ -162,7 +172,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, decode: bool = Tr
             yield pa.RecordBatch.from_arrays([pa.array([_name(batch)]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["chunk", "doc_ids", "counts", "numbers"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known, last = Tokenizer(path), {}, None
+        tokenizer, known, last = opened(path), {}, None
         for batch in batches:
             for bucket, chunk, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "words")), strict=True):
                 if bucket != last:
@@ -188,32 +198,37 @@ def encode_documents(docs: DataFrame, path: str | None = None, decode: bool = Tr
             data = np.frombuffer(_unpack(blob), np.uint32)
             sizes.append(data[1 : 1 + data[0]].astype(np.int64))
             ids.append(data[1 + data[0] :])
-        size, flat = np.concatenate(sizes), np.concatenate(ids)
+        size, flat = np.concatenate(sizes), np.concatenate(ids).astype(np.int64)
         start = np.cumsum(size) - size
-        tokenizer = Tokenizer(path)
-        # The id-to-piece join, once for each distinct word of the chunk.
-        pieces = tokenizer.pieces() if decode else []
-        piece_of = [pieces[k] for k in flat.tolist()] if decode else []
-        edges = [0, *np.cumsum(size).tolist()]
-        spoken = [b"".join(piece_of[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)] if decode else []
+        del sizes, ids
+        if decode:
+            # The id-to-piece join, once for each distinct word of the chunk: its bytes, and where they start.
+            letters, at = table_of_pieces.value
+            length = np.diff(at)[flat]
+            spoken = letters[_ranges(at[flat], length)]
+            word_at = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(size)])]
+            word_bytes = np.diff(word_at)
         out_ids, out_docs, out_text = [], [], []
         for doc_ids, counts, blob in zip(*(rows.column(c).to_pylist() for c in ("doc_ids", "counts", "numbers")), strict=True):
-            number = np.frombuffer(_unpack(blob), np.uint32).astype(np.int64)
+            number = np.frombuffer(_unpack(blob), np.uint32)
             if len(number) and number.max() >= len(size):
                 raise RuntimeError("the documents came in another order when they were read again")
-            own = size[number]
-            token = flat[_ranges(start[number], own)].astype(np.int64)
-            bounds = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-            out_docs.append(pa.array(doc_ids, pa.int64()))
-            out_ids.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(token.astype(np.int32))))
-            if decode:
-                at, texts = 0, []
-                for n in counts:
-                    texts.append(b"".join([spoken[k] for k in number[at : at + n].tolist()]).decode("utf-8", "replace"))
-                    at += n
-                out_text.append(pa.array(texts, pa.string()))
-            else:
-                out_text.append(pa.nulls(len(doc_ids), pa.string()))
+            # Some documents at a time, so that what grows with their tokens and bytes stays small.
+            ends = np.cumsum(counts, dtype=np.int64)
+            first = done = 0
+            while first < len(doc_ids):
+                last = min(len(doc_ids), max(first + 1, int(np.searchsorted(ends, done + PART_BYTES // 6, side="right"))))
+                own = number[done : ends[last - 1]].astype(np.int64)
+                bounds = np.concatenate([[0], ends[first:last] - done])
+                of_word = size[own]
+                token = flat[_ranges(start[own], of_word)].astype(np.int32)
+                out_docs.append(pa.array(doc_ids[first:last], pa.int64()))
+                out_ids.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(of_word)])[bounds].astype(np.int32)), pa.array(token)))
+                if decode:
+                    out_text.append(_strings(spoken[_ranges(word_at[own], word_bytes[own])], np.concatenate([[0], np.cumsum(word_bytes[own])])[bounds]))
+                else:
+                    out_text.append(pa.nulls(last - first, pa.string()))
+                first, done = last, int(ends[last - 1])
         if not out_docs:
             return pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]).empty_table()
         return pa.table({"doc_id": pa.concat_arrays(out_docs), "ids": pa.concat_arrays(out_ids), "decoded": pa.concat_arrays(out_text)})
@@ -224,6 +239,16 @@ def encode_documents(docs: DataFrame, path: str | None = None, decode: bool = Tr
     return places.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(joined, "doc_id long, ids array<int>, decoded string")
 
 
+def _strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Texts of UTF-8 bytes; what isn't UTF-8 is replaced as a lenient decoder does."""
+    texts = pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        texts = pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+    return texts
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers start, start+1, ..., start+size-1 of each pair, one after the other."""
     ends = np.cumsum(size)
