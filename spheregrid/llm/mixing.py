@@ -1,6 +1,7 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Every document gets a hash-random key; each source is range-sorted by it and
+Every document gets a hash-random key of its id and text (rows that share both
+are interchangeable, so reruns agree whatever the partitions); each source is range-sorted by it and
 distributed prefix sums of token counts cut it at its exact budget.  A budget
 above the source's size takes whole epochs first.
 """
@@ -19,6 +20,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACED = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
+def document_key(seed: int) -> Column:
+    """The random order of documents: a null text counts as empty."""
+    return hash_key(seed, F.col("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -68,9 +74,8 @@ def mixture(docs: DataFrame, seed: int = 1) -> DataFrame:
     each.  The words taken of a source are its target rounded down.  Other
     columns are ignored; an empty table gives no rows.
     """
-    key = hash_key(seed, F.col("doc_id"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    return _mixed(saved(rows.withColumn("key", key))).select("doc_id", "size", "source_size", "target", "taken")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), document_key(seed).alias("key"))
+    return _mixed(saved(rows)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
@@ -80,7 +85,7 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     left (its ``n_chars``, if there is such a column, follows); a document of
     which nothing is taken is left out.
     """
-    wrapped = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), hash_key(seed, F.col("doc_id")).alias("key"))
+    wrapped = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), document_key(seed).alias("key"))
     taken = _mixed(wrapped)
     times = F.when(F.col("epochs") > 0, F.array_repeat(F.col("size"), F.col("epochs").cast("int"))).otherwise(F.array().cast("array<bigint>"))
     copies = F.filter(F.concat(times, F.array(F.col("last"))), lambda x: x > 0)

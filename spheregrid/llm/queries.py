@@ -71,15 +71,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Exact integer scores of the stated query set, ranked.
 OP9_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+WITH c AS (
+  SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings WHERE vec_id IS NOT NULL
+), v AS (
+  SELECT vec_id, p, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS q FROM c
+  WHERE vec_id NOT IN (SELECT vec_id FROM c WHERE x IS NULL OR NOT isfinite(x))
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(sum(a.q * b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.p = b.p AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id, b.vec_id
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
@@ -89,7 +88,7 @@ FROM s QUALIFY rank <= 5
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('1|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS key
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS stratum
@@ -117,5 +116,50 @@ FROM r
 """
 
 
+#: CRC-32 byte by byte with its table of 256 entries, then ranks, fractions and positions by window functions.
+OP5_SQL = r"""
+WITH t AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS t
+), d AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: CAST('0x' || p AS BIGINT)) AS bytes
+  FROM documents
+), c AS (
+  SELECT doc_id, source, CAST(size AS BIGINT) AS size,
+         CAST(xor(list_reduce(bytes, lambda a, b: xor(a // 256, t.t[xor(a % 256, b) + 1]), 4294967295), 4294967295) AS BIGINT) AS text_crc32
+  FROM d, t
+), r AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS LAST) AS stratum, count(*) OVER (PARTITION BY source) AS n,
+         row_number() OVER (PARTITION BY source ORDER BY md5('1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || text_crc32), doc_id) - 1 AS rank
+  FROM c
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY (2 * rank + 1)::DOUBLE / (2 * n), stratum) - 1 AS position, count(*) OVER () AS total FROM r
+), s AS (SELECT *, CAST(floor(position * 8 / total) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, CAST(position - ceil(shard * total / 8) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+#: All pairs by shared shingles, and the smallest id reachable by the links.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, len(w) AS many, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w
+), s AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, many, i, concat_ws(' ', a, lead(a, 1) OVER d, lead(a, 2) OVER d, lead(a, 3) OVER d, lead(a, 4) OVER d) AS s
+    FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i))
+  WHERE i <= greatest(1, many - 4)
+), n AS (
+  SELECT w.doc_id, count(s.s) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id
+), l AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n AS x ON x.doc_id = p.a JOIN n AS y ON y.doc_id = p.b WHERE 100 * p.m >= 80 * (x.n + y.n - p.m)
+), c(doc_id, reached) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT c.doc_id, l.b FROM c JOIN l ON l.a = c.reached
+)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(c.reached) AS component_id FROM n JOIN c ON c.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixture": OP7_SQL, "op9_exact_topk": OP9_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op5_stratified_shards": OP5_SQL, "op7_mixture": OP7_SQL, "op9_exact_topk": OP9_SQL}

@@ -40,6 +40,11 @@ def fill(sizes, share=1.5, weights=(3, 1, 2), epochs=2):
     return target
 
 
+def key_of(row):
+    text = hashlib.md5((row[1] or "").encode()).hexdigest()
+    return hashlib.md5(f"1|{'' if row[0] is None else row[0]}|{text}".encode()).hexdigest()
+
+
 def brute_mixture(rows):
     size = [len(WORD.findall(r[1] or "")) for r in rows]
     sizes = Counter()
@@ -47,7 +52,7 @@ def brute_mixture(rows):
         sizes[r[2]] += n
     target, out = fill(sizes), []
     for source in sizes:
-        own = sorted((k for k, r in enumerate(rows) if r[2] == source), key=lambda k: (hashlib.md5(f"1|{'' if rows[k][0] is None else rows[k][0]}".encode()).hexdigest(), rows[k][0] or 0))
+        own = sorted((k for k, r in enumerate(rows) if r[2] == source), key=lambda k: (key_of(rows[k]), rows[k][0] or 0))
         epochs = int(target[source] // sizes[source]) if sizes[source] else 0
         left = int(target[source] + 1e-9) - epochs * sizes[source]
         for k in own:
@@ -99,3 +104,11 @@ def test_shards(spark, n):
         assert all(abs(mix[s] - every[s] / 8) <= 2 for mix in mixes.values() for s in every)
     text = {(r[0], r[1] or ""): (len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows}
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r[0], *text[r[0], r[1] or ""]) for r in rows)
+
+
+def test_mixture_agrees_between_runs(spark):
+    """Rows that share an id, in two partitionings of the table."""
+    rows = [(7 if k % 10 else k, " ".join(["w"] * (1 + k % 13)), "ab"[k % 2]) for k in range(440)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted(map(tuple, mixture(df).collect())) for df in (table.coalesce(1), table.repartition(7, "text")))
+    assert one == two
