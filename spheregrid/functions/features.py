@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from spheregrid.operators.windows import slope
 
 # What each layer is divided by (those in LOG after log1p of its positive part).
 SCALE = {"height": 4000.0, "slope": 6.0, "flowacc": 6.0, "dist_up": 8.0, "dist_down": 8.0, "dist_left": 8.0, "dist_right": 8.0, "lat": 90.0, "tavg": 30.0, "trange": 40.0, "prec": 9.0}
 LOG = {"slope", "prec"}
+#: Layers that are taken as they are.
+PLAIN = {"ocean", "water", "noise"}
 # Channel orders of the conditioning and of the context vector.
 COND = ("height", "slope", "ocean", "water", "flowacc", "dist_up", "dist_down", "dist_left", "dist_right", "lat", "tavg", "trange", "prec", "noise")
 CTX = ("height", "water", "flowacc", "dist_up", "dist_down", "dist_left", "dist_right", "tavg", "trange", "prec", "lat")
-#: Where each directional layer's content goes when a patch turns a quarter counter-clockwise.
+# Fixed values, from geometry: where each directional layer's content goes when a patch turns a quarter counter-clockwise.
 TURN = {"dist_up": "dist_left", "dist_left": "dist_down", "dist_down": "dist_right", "dist_right": "dist_up"}
 FLIP = {"dist_left": "dist_right", "dist_right": "dist_left"}
 
 
 def norm(name: str, x: Column) -> Column:
+    """A layer in the units of the model; a name that isn't known raises."""
+    if name not in SCALE and name not in PLAIN:
+        raise KeyError(name)
     value = F.log1p(F.greatest(x, F.lit(0.0))) if name in LOG else x.cast("double")
     return value / SCALE.get(name, 1.0)
 
@@ -26,19 +34,35 @@ def vector(names: tuple[str, ...]) -> Column:
     return F.array(*[norm(n, F.col(n)) for n in names])
 
 
-def conditioning(cells: DataFrame, px_km: float, trained_px_km: float) -> DataFrame:
-    """``cond``: ocean is ``height < 0`` and the slope is rescaled to the resolution of training."""
-    ready = cells.withColumn("ocean", (F.col("height") < 0).cast("double")).withColumn("slope", F.col("slope") * (trained_px_km / px_km))
+def conditioning(cells: DataFrame, px_km: float, trained_px_km: float, sea: float = 0.0, coarse: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``cells(keys, i, j, layers)`` with ``cond``.
+
+    Heights count from ``sea``, ocean is what lies below it, and the slope of
+    the heights is rescaled to the resolution of training.  With ``coarse``
+    (joint mode) the height and what derives from it come from that table.
+    """
+    if coarse is not None:
+        given = [c for c in coarse.columns if c not in (*keys, "i", "j")]
+        cells = cells.drop(*given).join(coarse, [*keys, "i", "j"])
+    level = cells.withColumn("height", F.col("height") - sea)
+    ready = slope(level, "height", trained_px_km / px_km, "slope", keys).withColumn("ocean", (F.col("height") < 0).cast("double"))
     return ready.withColumn("cond", vector(COND))
 
 
+def stacked(colour: Column, height: Column) -> Column:
+    """The channels of a patch's cell as one array: its colour, then its height in the model's units."""
+    return F.concat(colour.cast("array<double>"), F.array(norm("height", height)))
+
+
 def unit_rgb(x: Column) -> Column:
     return x.cast("float") / 255
 
 
 def augment(patches: DataFrame, n: int, quarter_turns: int, flip: bool, i: str = "i", j: str = "j") -> DataFrame:
-    """Cells turned counter-clockwise, then mirrored left to right; directional layers change names with them."""
+    """Cells turned counter-clockwise, then mirrored left to right; directional layers, of the context too, change names with them."""
+
     def moved(df: DataFrame, new_i: Column, new_j: Column, names: dict[str, str]) -> DataFrame:
+        names = names | {f"ctx_{a}": f"ctx_{b}" for a, b in names.items()}
         others = [F.col(c).alias(names.get(c, c)) for c in df.columns if c not in (i, j)]
         return df.select(new_i.cast("int").alias(i), new_j.cast("int").alias(j), *others)
 

@@ -1,7 +1,7 @@
 """Deterministic noise keyed by position, seed or cell: 64-bit wrapping hashes and gradient noise as Column expressions.
 
 ANSI arithmetic raises on overflow, so products modulo 2^64 are put together
-from 16-bit digits.
+from halves and quarters.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Odd multipliers of the position hash (x, y, z, seed, and its last mixing step).
@@ -19,6 +19,7 @@ LAST = 0x7FB5D329728EA185
 # The multipliers of the cell hash.
 CELL_A, CELL_B, CELL_MIX = 73856093, 19349663, 1274126177
 OFFSET = 1 << 20
+_LOW = (1 << 32) - 1
 
 
 def _signed(x: int) -> int:
@@ -31,24 +32,25 @@ def bound(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(x), f)[0]
 
 
-def times(x: Column, factor: int) -> Column:
-    """x * factor modulo 2^64 of a BIGINT column: 16-bit digits, whose products and carries never overflow."""
+def _halves(x: Column) -> tuple[Column, Column]:
+    """The low and high 32 bits of a BIGINT column."""
+    return x.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(x, 32)
+
+
+def _product(low: Column, high: Column, factor: int) -> Column:
+    """(high, low) * factor modulo 2^64: products of 32 by 16 bits, which never overflow."""
     k = [(factor >> (16 * n)) & 0xFFFF for n in range(4)]
+    a, b = low * F.lit(k[0]), low * F.lit(k[1])
+    t = a + F.shiftleft(b.bitwiseAND(F.lit(0xFFFF)), 16)
+    top = F.shiftrightunsigned(t, 32) + F.shiftrightunsigned(b, 16)
+    for part, n in ((low, 2), (high, 0)):
+        top = top + part * F.lit(k[n]) + F.shiftleft((part * F.lit(k[n + 1])).bitwiseAND(F.lit(0xFFFF)), 16)
+    return F.shiftleft(top, 32).bitwiseOR(t.bitwiseAND(F.lit(_LOW)))
 
-    def product(v: Column) -> Column:
-        d = [F.shiftrightunsigned(v, 16 * n).bitwiseAND(F.lit(0xFFFF)) for n in range(4)]
-        out, carry = None, F.lit(0).cast("long")
-        for n in range(4):
-            digit = carry
-            for m in range(n + 1):
-                if k[n - m]:
-                    digit = digit + d[m] * F.lit(k[n - m])
-            part = F.shiftleft(digit.bitwiseAND(F.lit(0xFFFF)), 16 * n)
-            out = part if out is None else out.bitwiseOR(part)
-            carry = F.shiftrightunsigned(digit, 16)
-        return out
 
-    return bound(x, product)
+def times(x: Column, factor: int) -> Column:
+    """x * factor modulo 2^64 of a BIGINT column."""
+    return bound(x, lambda v: _product(*_halves(v), factor))
 
 
 def _finish(x: Column) -> Column:
@@ -75,40 +77,48 @@ def hash01(a: Column, b: Column) -> Column:
     return x.bitwiseAND(F.lit((1 << 24) - 1)) / F.lit(float(1 << 24))
 
 
-def lattice(x: Column, y: Column, z: Column, seed: int | Column) -> Column:
-    """Value in [-1, 1) of a lattice point."""
-    key = F.lit(_signed(seed * KEY_SEED)) if isinstance(seed, int) else times(seed.cast("long"), KEY_SEED)
-    h = times(x.cast("long"), KEY_X).bitwiseXOR(times(y.cast("long"), KEY_Y)).bitwiseXOR(times(z.cast("long"), KEY_Z)).bitwiseXOR(key)
-    return F.shiftrightunsigned(_finish(h), 11) / F.lit(float(1 << 53)) * 2 - 1
-
-
 def smooth(t: Column) -> Column:
     return t * t * (3 - 2 * t)
 
 
-def value_noise(p: tuple[Column, Column, Column], seed: int) -> Column:
-    """Smooth noise: the eight lattice corners around ``p``, weighted."""
-    base = [F.floor(c) for c in p]
-    w = [smooth(c - b) for c, b in zip(p, base, strict=True)]
+def value_noise(df: DataFrame, p: tuple[Column, Column, Column], seed: int, name: str) -> DataFrame:
+    """``df`` with smooth noise in ``name``: the eight lattice corners around ``p``, weighted.
+
+    Every step is a column of its own, so nothing is worked out twice and all
+    of it stays in generated code: two products for each axis (base and base +
+    1) and one for each corner.
+    """
+    axes = tuple(zip("xyz", p, (KEY_X, KEY_Y, KEY_Z), strict=True))
+    df = df.withColumns({f"_p{n}": c.cast("double") for n, c, _ in axes})
+    df = df.withColumns({f"_b{n}": F.floor(f"_p{n}") for n, _, _ in axes})
+    df = df.withColumns({f"_w{n}": smooth(F.col(f"_p{n}") - F.col(f"_b{n}")) for n, _, _ in axes})
+    df = df.withColumns({f"_h{n}{d}": _product(*_halves(F.col(f"_b{n}") + d), k) for n, _, k in axes for d in (0, 1)})
+    corners = [[(c >> k) & 1 for k in range(3)] for c in range(8)]
+    mixed = {f"_m{c}": F.col(f"_hx{x}").bitwiseXOR(F.col(f"_hy{y}")).bitwiseXOR(F.col(f"_hz{z}")).bitwiseXOR(F.lit(_signed(seed * KEY_SEED))) for c, (x, y, z) in enumerate(corners)}
+    df = df.withColumns(mixed)
+    df = df.withColumns({m: F.col(m).bitwiseXOR(F.shiftrightunsigned(m, 31)) for m in mixed})
+    df = df.withColumns({m: _product(*_halves(F.col(m)), LAST) for m in mixed})
     total = F.lit(0.0)
-    for corner in range(8):
-        bits = [(corner >> k) & 1 for k in range(3)]
+    for m, bits in zip(mixed, corners, strict=True):
         weight = F.lit(1.0)
-        for k in range(3):
-            weight = weight * (w[k] if bits[k] else 1 - w[k])
-        total = total + weight * lattice(base[0] + bits[0], base[1] + bits[1], base[2] + bits[2], seed)
-    return total
-
-
-def detail_height(p: tuple[Column, Column, Column], radius: float, coarse: float, fine: float, roughness: float, seed: int) -> Column:
-    """Octaves of value noise from wavelength ``coarse``, halved while above ``fine`` (16 at most)."""
-    total, wave = F.lit(0.0), coarse
-    for octave in range(16):
-        if wave <= fine:
+        for n, bit in zip("xyz", bits, strict=True):
+            weight = weight * (F.col(f"_w{n}") if bit else 1 - F.col(f"_w{n}"))
+        value = F.shiftrightunsigned(F.col(m).bitwiseXOR(F.shiftrightunsigned(m, 27)), 11) / F.lit(float(1 << 53)) * 2 - 1
+        total = total + weight * value
+    return df.withColumn(name, total).drop(*mixed, *[f"_{a}{n}" for a in "pbw" for n in "xyz"], *[f"_h{n}{d}" for n in "xyz" for d in (0, 1)])
+
+
+def detail_height(df: DataFrame, p: tuple[Column, Column, Column], radius: float, coarse: float, fine: Column | float, roughness: float, seed: int, name: str = "detail", octaves: int = 16) -> DataFrame:
+    """``df`` with octaves of value noise in ``name``, from wavelength ``coarse`` and halved while above ``fine`` (``octaves`` at most)."""
+    least = fine if isinstance(fine, Column) else F.lit(float(fine))
+    df, wave = df.withColumn(name, F.lit(0.0)), coarse
+    for octave in range(octaves):
+        if not isinstance(fine, Column) and wave <= fine:
             break
-        total = total + value_noise(tuple(c * (radius / wave) for c in p), seed + octave) * (wave * roughness)
+        df = value_noise(df, tuple(c * (radius / wave) for c in p), seed + octave, "_octave")
+        df = df.withColumn(name, F.col(name) + F.when(least < wave, F.col("_octave") * (wave * roughness)).otherwise(F.lit(0.0))).drop("_octave")
         wave /= 2
-    return total
+    return df
 
 
 def surface_height(base: Column, detail: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spheregrid.functions.geometry import cell_area_km2, row_cos
 from spheregrid.functions.noise import hash01
 from spheregrid.sources.tables import settled
 
@@ -36,7 +37,10 @@ def fill_depressions(grid: DataFrame, height: int, width: int, eps: float, sea:
 
     Falls from infinity until nothing changes; the minimum over the
     neighbourhood comes from two windows, along rows (closed) and columns.
+    Integer heights with an ``eps`` that isn't whole are filled in double.
     """
+    if dict(grid.dtypes)["h"] in ("bigint", "int") and eps != int(eps):
+        grid = grid.withColumn("h", F.col("h").cast("double"))
     outlet = (F.col("h") <= sea) | (F.col("i") == 0) | (F.col("i") == height - 1)
     kind = dict(grid.dtypes)["h"]
     top = F.lit(1 << 60).cast(kind) if kind in ("bigint", "int") else F.lit(float("inf"))
@@ -95,24 +99,35 @@ def accumulate(forest: DataFrame, own: str, name: str = "acc") -> DataFrame:
     Pointer jumping: after round r every cell holds the sum of all within
     2^r steps upstream, so rounds grow with the logarithm of the longest path.
     """
+    kind = dict(forest.dtypes)[own]
     state = settled(forest.select("c", F.when(F.col("rec") != F.col("c"), F.col("rec")).alias("r"), F.col(own).alias("a")))
-    while not state.where("r is not null").isEmpty():
-        gain = state.where("r is not null").groupBy(F.col("r").alias("c")).agg(F.sum("a").alias("g"))
+    while True:
+        # Only cells that still point somewhere jump; those that have arrived just receive.
+        open_ = state.where("r is not null")
+        if open_.isEmpty():
+            break
+        gain = open_.groupBy(F.col("r").alias("c")).agg(F.sum("a").alias("g"))
         hop = state.select(F.col("c").alias("r"), F.col("r").alias("rr"))
-        kind = dict(state.dtypes)["a"]
-        state = settled(state.join(gain, "c", "left").join(hop, "r", "left").select("c", F.col("rr").alias("r"), (F.col("a") + F.coalesce("g", F.lit(0))).cast(kind).alias("a")))
+        jumped = open_.join(hop, "r").select("c", F.col("rr").alias("r"), "a").unionByName(state.where("r is null"))
+        state = settled(jumped.join(gain, "c", "left").select("c", "r", (F.col("a") + F.coalesce("g", F.lit(0))).cast(kind).alias("a")))
     return forest.join(state.select("c", F.col("a").alias(name)), "c")
 
 
 def flow_depth(forest: DataFrame) -> DataFrame:
-    """``(c, root, depth)``: where each cell drains to, and in how many steps."""
-    state = settled(forest.select("c", F.col("rec").alias("r"), F.when(F.col("rec") != F.col("c"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("d")))
+    """``(c, root, depth)``: where each cell drains to, and in how many steps.
+
+    A cell that points to a root has arrived and takes part in no further join,
+    so no join has all cells of a basin under one key.
+    """
+    every = settled(forest.select("c", F.col("rec").alias("r"), F.when(F.col("rec") != F.col("c"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("d"), (F.col("rec") == F.col("c")).alias("done")))
     while True:
-        hop = state.select(F.col("c").alias("r"), F.col("r").alias("rr"), F.col("d").alias("dd"))
-        new = settled(state.join(hop, "r").select("c", F.col("rr").alias("r"), (F.col("d") + F.col("dd")).alias("d"), (F.col("dd") > 0).alias("moved")))
-        state = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return state.select("c", F.col("r").alias("root"), F.col("d").alias("depth"))
+        open_ = every.where("not done")
+        if open_.isEmpty():
+            return every.select("c", F.col("r").alias("root"), F.col("d").alias("depth"))
+        # Whoever points to a cell that has arrived takes over its root.
+        hop = every.select(F.col("c").alias("r"), F.col("r").alias("rr"), F.col("d").alias("dd"), F.col("done").alias("rdone"))
+        moved = open_.join(hop, "r").select("c", F.col("rr").alias("r"), (F.col("d") + F.col("dd")).alias("d"), F.col("rdone").alias("done"))
+        every = settled(moved.unionByName(every.where("done")))
 
 
 def donors(forest: DataFrame) -> DataFrame:
@@ -160,8 +175,28 @@ def incise(forest: DataFrame, factor: str, sea: float = 0, name: str = "h2") ->
     fixed = (F.col("rec") == F.col("c")) | (F.col("h") <= sea)
     state = forest.select("c", F.when(~fixed, F.col("rec")).alias("r"), F.when(fixed, F.greatest(F.col("h").cast("double"), F.lit(float(sea)))).otherwise(F.col("h") / (1 + F.col(factor))).alias("a"), F.when(fixed, F.lit(0.0)).otherwise(F.col(factor) / (1 + F.col(factor))).alias("b"))
     state = settled(state)
-    while not state.where("r is not null").isEmpty():
+    while True:
+        open_ = state.where("r is not null")
+        if open_.isEmpty():
+            break
         hop = state.select(F.col("c").alias("r"), F.col("r").alias("rr"), F.col("a").alias("ra"), F.col("b").alias("rb"))
-        state = settled(state.join(hop, "r", "left").select("c", F.col("rr").alias("r"), (F.col("a") + F.when(F.col("r").isNotNull(), F.col("b") * F.col("ra")).otherwise(F.lit(0.0))).alias("a"), F.when(F.col("r").isNotNull(), F.col("b") * F.col("rb")).otherwise(F.col("b")).alias("b")))
+        jumped = open_.join(hop, "r").select("c", F.col("rr").alias("r"), (F.col("a") + F.col("b") * F.col("ra")).alias("a"), (F.col("b") * F.col("rb")).alias("b"))
+        state = settled(jumped.unionByName(state.where("r is null")))
     new = state.select("c", F.col("a").alias("_a"))
     return forest.join(new, "c").withColumn(name, F.when(fixed, F.col("h").cast("double")).otherwise(F.col("_a"))).drop("_a")
+
+
+def route(grid: DataFrame, height: int, width: int, sea: float = 0.0, eps: float = 1e-3) -> DataFrame:
+    """``grid`` filled, routed and accumulated: ``f``, the cell ``c``, its receiver ``rec`` and the area ``acc`` (km2) that drains through it."""
+    filled = settled(fill_depressions(grid.withColumn("h", F.col("h").cast("double")), height, width, eps, sea))
+    cell = F.col("i").cast("long") * width + F.col("j")
+    forest = receivers(filled, "f", width, sea, row_cos(F.col("i"), height))
+    area = filled.withColumn("c", cell).withColumn("_area", cell_area_km2(F.col("i"), height, width))
+    return accumulate(settled(area.join(forest, "c")), "_area").drop("_area")
+
+
+def water_layers(grid: DataFrame, height: int, width: int, sea: float = 0.0) -> DataFrame:
+    """``(i, j, water, ocean, flowacc)``: ocean and lakes, ocean alone, and log10(1 + km2) of what drains through."""
+    routed = settled(route(grid.select("i", "j", "h"), height, width, sea))
+    marked = lake_mask(routed, "f", width, sea=sea)
+    return marked.select("i", "j", ((F.col("h") <= sea) | F.col("lake")).alias("water"), (F.col("h") <= sea).alias("ocean"), F.log10(1 + F.col("acc")).alias("flowacc"))

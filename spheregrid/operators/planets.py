@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spheregrid.functions.geometry import EARTH_RADIUS_KM, cell_area_km2, equirect_grid, face_pixels, face_uv_to_dir, row_cos
-from spheregrid.functions.noise import Perlin, domain_warp, fbm, ridged
+from spheregrid.functions.geometry import EARTH_RADIUS_KM, cell_area_km2, dir_to_latlon, equirect_grid, face_pixels, face_uv_to_dir, row_cos
+from spheregrid.functions.noise import Perlin, domain_warp, fbm, hash01, ridged
 from spheregrid.operators.hydro import accumulate, fill_depressions, incise, receivers, stochastic_receivers
 from spheregrid.operators.windows import continentality, diffuse, gaussian
 from spheregrid.sources.tables import settled
@@ -17,6 +17,7 @@ from spheregrid.sources.tables import settled
 XYZ = ("x", "y", "z")
 
 
+# The defaults of planets and erosion, and the constants of relief and climate in the formulas below.
 @dataclass(frozen=True)
 class PlanetParams:
     seed: int = 0
@@ -37,10 +38,10 @@ def _clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 class Planet:
     """Fields over directions ``(x, y, z)``; every stage is a column, so no expression repeats another."""
 
-    def __init__(self, spark: SparkSession, params: PlanetParams, samples: int = 200_000):
+    def __init__(self, spark: SparkSession, params: PlanetParams, samples: int = 200_000, threshold: float | None = None):
         self.spark, self.params = spark, params
         self.noises = [Perlin(params.seed * 7 + k) for k in range(7)]
-        self.threshold = self._calibrate(samples)
+        self.threshold = self._calibrate(samples) if threshold is None else threshold
 
     def _warped(self, d: DataFrame, noise: int, frequency: float, strength: float, name: str) -> DataFrame:
         moved = domain_warp(self.noises[noise], tuple(F.col(c) for c in XYZ), frequency, strength)
@@ -91,6 +92,13 @@ class Planet:
         x, y, z = face_uv_to_dir(F.col("face"), F.col("u"), F.col("v"))
         return self.height(grid.withColumn("x", x).withColumn("y", y).withColumn("z", z))
 
+    def face_layers(self, n: int, which: list[int], radius: int | None = None) -> DataFrame:
+        """``(face, i, j, lat, lon, height, tavg, trange, prec)`` of whole faces; the coast reaches ``radius`` pixels inland."""
+        heights = settled(self.face(n, which))
+        lat, lon = dir_to_latlon([F.col(c) for c in XYZ])
+        inland = continentality(heights, "h", radius or max(4, n // 40), n, n, keys=["face"])
+        return self.climate(inland.withColumn("lat", lat).withColumn("lon", lon)).select("face", "i", "j", "lat", "lon", F.col("h").alias("height"), "tavg", "trange", "prec")
+
 
 def climate_equirect(planet: Planet, grid: DataFrame, height: int, width: int) -> DataFrame:
     return planet.climate(continentality(grid, "h", max(4, height // 20), height, width))
@@ -111,6 +119,17 @@ class ErosionParams:
     diffusion: float = 0.5
     routing_power: float = 0.0  # 0: steepest descent; above: random by slope to this power
     eps: float = 1e-3
+    k_variation: float = 0.0  # spread of the logarithm of the rock's resistance; 0: the same rock everywhere
+    k_variation_cells: float = 4.0  # over how many cells it is smoothed
+
+
+def resistance(cells: DataFrame, width: int, spread: float, over: float) -> DataFrame:
+    """``cells(i, j)`` with ``rock``: a smooth log-normal factor, from normals keyed by the cell, smoothed and scaled to ``spread``."""
+    cell = F.col("i").cast("long") * width + F.col("j")
+    normal = F.sqrt(-2 * F.log(1 - hash01(cell, F.lit(1)))) * F.cos(2 * math.pi * hash01(cell, F.lit(2)))
+    field = settled(gaussian(cells.select("i", "j", normal.alias("_n")), "_n", over, width, "_s").select("i", "j", "_s"))
+    size = field.agg(F.stddev_pop("_s")).first()[0] or 0.0
+    return field.select("i", "j", F.exp(F.col("_s") * (spread / max(size, 1e-9))).alias("rock"))
 
 
 def erode(base: DataFrame, height: int, width: int, params: ErosionParams, sea: float = 0.0) -> DataFrame:
@@ -122,6 +141,8 @@ def erode(base: DataFrame, height: int, width: int, params: ErosionParams, sea:
     dx = math.pi * EARTH_RADIUS_KM * 1000 / height
     coefficient = min(params.diffusion * params.dt / dx**2, 0.2 * 0.15**2)
     cell = F.col("i").cast("long") * width + F.col("j")
+    rock = resistance(base, width, params.k_variation, params.k_variation_cells) if params.k_variation > 0 else base.select("i", "j", F.lit(1.0).alias("rock"))
+    rock = settled(rock)
     state = settled(base.select("i", "j", F.when(F.col("h") > sea, sea + 0.35 * (F.col("h") - sea)).otherwise(F.col("h")).alias("h"), "uplift"))
     for step in range(params.iterations):
         raised = state.withColumn("h", F.when(F.col("h") > sea, F.col("h") + F.col("uplift") * params.dt).otherwise(F.col("h")))
@@ -130,13 +151,13 @@ def erode(base: DataFrame, height: int, width: int, params: ErosionParams, sea:
             forest = stochastic_receivers(filled, "f", width, step, params.routing_power, sea, cosine)
         else:
             forest = receivers(filled, "f", width, sea, cosine)
-        cells = filled.select(cell.alias("c"), "i", "j", "h", "uplift", cell_area_km2(F.col("i"), height, width).alias("area"))
+        cells = filled.join(rock, ["i", "j"]).select(cell.alias("c"), "i", "j", "h", "uplift", "rock", cell_area_km2(F.col("i"), height, width).alias("area"))
         routed = accumulate(settled(forest.join(cells, "c")), "area")
         ri, rj = F.floor(F.col("rec") / width), F.col("rec") % width
         gap = F.least(F.abs(F.col("j") - rj), F.lit(1))
         distance = dx * F.sqrt((F.col("i") - ri) * (F.col("i") - ri) + (gap * cosine) * (gap * cosine))
         # A root has no distance; its factor isn't used.
-        routed = routed.withColumn("factor", params.dt * params.k * F.pow(F.col("acc") * 1e6, F.lit(params.m)) / F.greatest(distance, F.lit(1e-9)))
+        routed = routed.withColumn("factor", params.dt * params.k * F.col("rock") * F.pow(F.col("acc") * 1e6, F.lit(params.m)) / F.greatest(distance, F.lit(1e-9)))
         cut = incise(settled(routed), "factor", sea).select("i", "j", F.col("h2").alias("h"), "uplift", (F.col("h") > sea).alias("_land"))
         smooth = diffuse(cut, "h", coefficient, height, cosine, sea)
         state = settled(smooth.withColumn("h", F.when(F.col("_land"), F.greatest(F.col("h"), F.lit(sea + 0.5))).otherwise(F.col("h"))).drop("_land"))

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spheregrid.functions.geometry import face_uv_to_dir
+from spheregrid.functions.geometry import dir_to_latlon, face_uv_to_dir, length
+from spheregrid.functions.noise import detail_height, surface_height
+from spheregrid.operators.resample import sample_face
 from spheregrid.sources.tables import settled
 
 NODE = ["face", "level", "x", "y"]
@@ -64,3 +66,28 @@ def patch_changes(wanted: DataFrame, built: DataFrame, budget: int = 12) -> Data
     drop = built.join(wanted, NODE, "left_anti").select(*NODE, F.lit("drop").alias("action"))
     build = wanted.join(built, NODE, "left_anti").orderBy("dist", *NODE).limit(budget).select(*NODE, F.lit("build").alias("action"))
     return drop.unionByName(build)
+
+
+def ground(points: DataFrame, key: str, cells: DataFrame, layer: str, n: int, radius: float, fine: Column | float, roughness: float, seed: int, name: str = "ground") -> DataFrame:
+    """``points(key, x, y, z)`` (directions) with the surface's height: the cube's, with detail down to wavelength ``fine`` on land."""
+    base = sample_face(points, key, cells, layer, n).withColumnRenamed(layer, "_base")
+    lifted = detail_height(base, tuple(F.col(c) for c in "xyz"), radius, math.pi / 2 * radius / n, fine, roughness, seed, "_detail")
+    return lifted.withColumn(name, surface_height(F.col("_base"), F.col("_detail"))).drop("_base", "_detail")
+
+
+def patch_origins(nodes: DataFrame, cells: DataFrame, layer: str, n: int, radius: float, patch: int = 32, roughness: float = 0.02, seed: int = 0) -> DataFrame:
+    """``nodes`` with ``ox, oy, oz``: each patch's centre, at the surface's height at the patch's own resolution."""
+    x, y, z = node_centre()
+    named = nodes.withColumn("_node", F.concat_ws("/", *NODE)).withColumn("x_", x).withColumn("y_", y).withColumn("z_", z).withColumn("_cell", node_size(radius) / patch)
+    at = ground(named.select("_node", F.col("x_").alias("x"), F.col("y_").alias("y"), F.col("z_").alias("z"), "_cell"), "_node", cells, layer, n, radius, F.col("_cell"), roughness, seed, "_g")
+    placed = at.select("_node", *[(F.col(c) * (radius + F.col("_g"))).alias(f"o{c}") for c in "xyz"])
+    return named.drop("x_", "y_", "z_", "_cell").join(placed, "_node").drop("_node")
+
+
+def under_cameras(cameras: DataFrame, cells: DataFrame, layer: str, n: int, radius: float, fine: float, roughness: float = 0.02, seed: int = 0) -> DataFrame:
+    """``cameras(camera, x, y, z)`` in metres with ``lat``, ``lon``, the ``ground`` below and the ``altitude`` above it."""
+    place = [F.col(c) for c in "xyz"]
+    lat, lon = dir_to_latlon(place)
+    seen = cameras.withColumn("lat", lat).withColumn("lon", lon).withColumn("_d", length(place))
+    unit = seen.select("camera", "lat", "lon", "_d", *[(F.col(c) / F.col("_d")).alias(c) for c in "xyz"])
+    return ground(unit, "camera", cells, layer, n, radius, fine, roughness, seed).select("camera", "lat", "lon", "ground", (F.col("_d") - radius - F.col("ground")).alias("altitude"))

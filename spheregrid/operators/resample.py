@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spheregrid.functions.geometry import dir_to_face, dir_to_uv, face_uv_to_dir
+from spheregrid.functions.geometry import dir_to_face, dir_to_uv, face_pixels, face_uv_to_dir, uv_to_pixel
 
 
 def _corners(x: Column, y: Column) -> Column:
@@ -28,12 +28,13 @@ def sample_equirect(points: DataFrame, key: str, grid: DataFrame, layers: list[s
     """
     x, y = equirect_position(F.col("lat"), F.col("lon"), height, width)
     clamp = lambda r: F.greatest(F.lit(0), F.least(F.lit(height - 1), r)).cast("int")
+    cells = grid.select(F.col("i").alias("_ri"), F.col("j").alias("_rj"), *layers)
     if nearest:
-        at = points.withColumn("i", clamp(F.rint(y))).withColumn("j", F.pmod(F.rint(x).cast("int"), F.lit(width)))
-        return at.join(grid.select("i", "j", *layers), ["i", "j"], "left").drop("i", "j")
+        at = points.withColumn("_ri", clamp(F.rint(y))).withColumn("_rj", F.pmod(F.rint(x).cast("int"), F.lit(width)))
+        return at.join(cells, ["_ri", "_rj"], "left").drop("_ri", "_rj")
     spread = points.withColumn("_c", F.explode(_corners(x, y)))
-    spread = spread.select(*[F.col(c) for c in points.columns], clamp(F.col("_c.i")).alias("i"), F.pmod(F.col("_c.j"), F.lit(width)).alias("j"), F.col("_c.w").alias("_w"))
-    joined = spread.join(grid.select("i", "j", *layers), ["i", "j"], "left")
+    spread = spread.select(*[F.col(c) for c in points.columns], clamp(F.col("_c.i")).alias("_ri"), F.pmod(F.col("_c.j"), F.lit(width)).alias("_rj"), F.col("_c.w").alias("_w"))
+    joined = spread.join(cells, ["_ri", "_rj"], "left")
     sums = [F.when(F.bool_and(F.col(c).isNotNull()), F.sum(F.col("_w") * F.col(c))).alias(c) for c in layers]
     others = [F.first(c).alias(c) for c in points.columns if c != key]
     return joined.groupBy(key).agg(*others, *sums)
@@ -165,3 +166,52 @@ def patch_with_context(cells: DataFrame, context: DataFrame, origins: DataFrame,
     fine = window(cells, F.col("i0"), F.col("j0"), size, layer)
     coarse = window(context, (F.col("i0") - pad) / factor, (F.col("j0") - pad) / factor, (size + 2 * pad) // factor, f"ctx_{layer}")
     return origins.join(fine, "patch").join(coarse, "patch")
+
+
+def sample_layers(points: DataFrame, key: str, grid: DataFrame, height: int, width: int, layers: list[str], nearest: set[str] = frozenset(), bytes_: set[str] = frozenset()) -> DataFrame:
+    """All layers of a grid at ``points(key, lat, lon)``: those in ``nearest`` unchanged, the others bilinear, of which those in ``bytes_`` are rounded to 0..255."""
+    smooth, plain = [c for c in layers if c not in nearest], [c for c in layers if c in nearest]
+    out = points
+    if smooth:
+        out = sample_equirect(out, key, grid, smooth, height, width)
+        out = out.withColumns({c: F.greatest(F.lit(0), F.least(F.lit(255), F.rint(c))).cast("int") for c in smooth if c in bytes_})
+    return sample_equirect(out, key, grid, plain, height, width, nearest=True) if plain else out
+
+
+def nearest_on_faces(points: DataFrame, cells: DataFrame, layers: list[str], n: int) -> DataFrame:
+    """``points(x, y, z, ...)`` with the layers of the cube pixel that each direction lies in."""
+    d = tuple(F.col(c) for c in "xyz")
+    at = points.withColumn("_face", dir_to_face(d))
+    u, v = dir_to_uv(d, F.col("_face"))
+    i, j = uv_to_pixel(n, u, v)
+    at = at.withColumn("_i", i).withColumn("_j", j)
+    own = cells.select(F.col("face").alias("_face"), F.col("i").alias("_i"), F.col("j").alias("_j"), *layers)
+    return at.join(own, ["_face", "_i", "_j"], "left").drop("_face", "_i", "_j")
+
+
+def padded_faces(cells: DataFrame, layers: list[str], n: int, pad: int) -> DataFrame:
+    """``(face, i, j, layers)`` of each face and ``pad`` pixels beyond each edge, taken from the faces they lie on."""
+    ring = face_pixels(cells.sparkSession, n, pad).where(~(F.col("i").between(0, n - 1) & F.col("j").between(0, n - 1)))
+    x, y, z = face_uv_to_dir(F.col("face"), F.col("u"), F.col("v"))
+    around = nearest_on_faces(ring.select("face", "i", "j", x.alias("x"), y.alias("y"), z.alias("z")), cells, layers, n)
+    return cells.select("face", "i", "j", *layers).unionByName(around.select("face", "i", "j", *layers))
+
+
+def coarse_layers(context: DataFrame, layers: list[str], size: int, pad: int, factor: int, keys: list[str], mean_preserving: str = "height") -> DataFrame:
+    """What is known of a patch at coarse scale: the middle of its context ``(keys, i, j, layers)`` at the patch's own resolution, ``size`` cells a side.
+
+    The crop is a coarse cell wider on each side, so the border sees its real
+    neighbours; one layer keeps its means, the others are bilinear.  With a
+    face for a patch these are the fallback layers of the whole face.
+    """
+    first, side = pad // factor - 1, size // factor + 2
+    crop = context.where(F.col("i").between(first, first + side - 1) & F.col("j").between(first, first + side - 1))
+    crop = crop.withColumn("i", F.col("i") - first).withColumn("j", F.col("j") - first)
+    out = None
+    for layer in layers:
+        one = crop.select(*keys, "i", "j", F.col(layer).cast("double").alias(layer))
+        fine = mean_preserving_upsample(one, factor, layer, side, side, keys=keys) if layer == mean_preserving else upsample(one, factor, layer, side, side, keys)
+        fine = fine.where(F.col("i").between(factor, factor + size - 1) & F.col("j").between(factor, factor + size - 1))
+        fine = fine.select(*keys, (F.col("i") - factor).alias("i"), (F.col("j") - factor).alias("j"), layer)
+        out = fine if out is None else out.join(fine, [*keys, "i", "j"])
+    return out

@@ -44,7 +44,7 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
                 cube = array.reshape(*array.shape[:2], -1)
                 for k in range(0, len(cube), 256):
                     part = cube[k : k + 256]
-                    r, c, ch = np.indices(part.shape).reshape(3, -1)
-                    yield pd.DataFrame({"path": name, "row": r + k, "col": c, "channel": ch, "value": part.ravel().astype(np.float32)})
+                    r, c, ch = (np.broadcast_to(x, part.shape).ravel() for x in np.ogrid[tuple(map(slice, part.shape))])
+                    yield pd.DataFrame({"path": name, "row": (r + k).astype(np.int32), "col": c.astype(np.int32), "channel": ch.astype(np.int32), "value": part.ravel().astype(np.float32)})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, col int, channel int, value float")

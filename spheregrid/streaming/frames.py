@@ -23,13 +23,8 @@ def maintain_patches(cameras: DataFrame, state: str, checkpoint: str, radius: fl
         newest = batch.agg(F.max_by(F.struct("x", "y", "z"), "frame").alias("c")).first()["c"]
         before = f"{state}/batch={number - 1}"
         empty = spark.createDataFrame([], "face int, level int, x long, y long")
-        try:
-            built = spark.read.schema(empty.schema).parquet(before)
-            built.schema and built.isEmpty()
-        except Exception as error:  # the first batch has no version before it
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            built = empty
+        # The first batch has no version before it; every later one has, as an empty table is written too.
+        built = spark.read.schema(empty.schema).parquet(before) if number else empty
         if newest is None:
             built.write.mode("overwrite").parquet(f"{state}/batch={number}")
             return

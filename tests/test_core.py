@@ -99,7 +99,7 @@ def test_gradient_noise(spark):
     assert got == [r[0] for r in df.select(noise.Perlin(3)(p)).collect()] and max(map(abs, got)) <= 1.1 and np.std(got) > 0.05
     lattice = spark.range(20).select(one(tuple(F.col("id").cast("double") for _ in range(3))).alias("n"))
     assert all(r["n"] == 0 for r in lattice.collect())
-    detail = df.select(noise.surface_height(F.lit(5.0), noise.detail_height(p, 10.0, 4.0, 1.0, 0.1, 1)).alias("h"))
+    detail = noise.detail_height(df, p, 10.0, 4.0, 1.0, 0.1, 1).select(noise.surface_height(F.lit(5.0), F.col("detail")).alias("h"))
     assert all(r["h"] >= 0.5 for r in detail.collect())
 
 
