@@ -1,11 +1,13 @@
 """Language-model scoring with a hidden Markov model.
 
-Words fall into classes: the commonest words have one each, the others share
+Words fall into classes: the commonest words have one each (as many as the
+training corpus can support, so the model grows with it), the others share
 classes by their last bytes.  A document's probability is the product of the
 HMM's probability of its class sequence and of each word's probability within
 its class (from the exact counts of the whole training corpus).  Baum-Welch
-counts are summed over all partitions; the scaled forward recursion gives the
-exact likelihood of the classes.
+counts are summed over all partitions, round after round over the whole
+training corpus until a round gains next to nothing; the scaled forward
+recursion gives the exact likelihood of the classes.
 
 Word counts go from chunks of documents to hash buckets and back in packed
 form, so the vocabulary may outgrow any machine.
@@ -25,20 +27,25 @@ from pyspark.sql import functions as F
 
 from spheregrid.llm.common import gathered, saved, small_batches
 from spheregrid.llm.langid import held_out
-from spheregrid.llm.sequences import backward, forward, packed_order
+from spheregrid.llm.sequences import Packed
 from spheregrid.llm.tokens import Words
 
 STATES = 6
-#: Words with a class of their own, and classes for all others; one more class ends a text.
-COMMON, SHARED = 1024, 512
-#: Rounds of Baum-Welch, each over the whole training corpus.
-ROUNDS = 22
+#: Classes of the words that have none of their own; one more class ends a text.
+SHARED = 512
+#: Rounds of Baum-Welch, each over the whole training corpus: until one gains less than so many nats a token, and no more than so many.
+ROUNDS, GAIN = 22, 1e-3
 #: Tokens whose recursions run side by side: the steps of the longest text are shared by many others.
 STEP_TOKENS = 600_000
 CHUNK_BYTES, BUCKET_WORDS = 8_000_000, 400_000
 SMOOTHING = 0.1
 
 
+def own_classes(tokens: int) -> int:
+    """How many of the commonest words have a class of their own: four times the cube root of the training tokens (1,024 for 16 million, 40,000 for a trillion)."""
+    return max(1024, round(4 * tokens ** (1 / 3)))
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
@@ -94,25 +101,22 @@ class Hmm:
 
     def log10(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Exact log10 likelihood of each sequence by the scaled forward recursion."""
-        by_length, order, active = packed_order(counts)
-        _, scale = forward(self.emit.T[classes[order]], active, self.start, self.step)
-        owner = by_length[np.arange(len(order)) - np.repeat(np.cumsum(active) - active, active)] if len(order) else np.zeros(0, np.int64)
-        return np.bincount(owner, weights=np.log10(scale), minlength=len(counts))
-
-    def counts(self, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of first states, steps and emissions: the E-step."""
-        _, order, active = packed_order(counts)
-        own = classes[order]
-        phi = self.emit.T[own]
-        alpha, scale = forward(phi, active, self.start, self.step)
-        marginal, pairs = backward(phi, active, self.step, alpha, scale)
-        emit = np.stack([np.bincount(own, weights=marginal[:, k], minlength=self.emit.shape[1]) for k in range(len(self.start))])
-        return marginal[: active[0] if len(active) else 0].sum(axis=0), pairs, emit
+        packed = Packed(counts)
+        _, scale = packed.forward(self.emit[:, classes[packed.order]], self.start, self.step)
+        return packed.sums(np.log10(scale))
+
+    def counts(self, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of first states, steps and emissions: the E-step; and the log likelihood."""
+        packed = Packed(counts)
+        own = classes[packed.order]
+        marginal, first, pairs, scale = packed.backward(self.emit[:, own], self.start, self.step)
+        emit = np.stack([np.bincount(own, weights=each, minlength=self.emit.shape[1]) for each in marginal])
+        return first, pairs, emit, np.log(scale).sum(keepdims=True)
 
 
 def _decoded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(_unpack(x), np.uint16) for x in batch.column("classes").to_pylist()]
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint16)).astype(np.int64), np.array([len(p) for p in parts], np.int64)
+    parts = [np.frombuffer(_unpack(x), np.uint32) for x in batch.column("classes").to_pylist()]
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)).astype(np.int64), np.array([len(p) for p in parts], np.int64)
 
 
 def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -130,24 +134,37 @@ def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _baum_welch(encoded: DataFrame, model: Hmm, frequency: np.ndarray) -> Hmm:
-    """One round over the whole training corpus; every task sends one sum for each parameter."""
+def _baum_welch(encoded: DataFrame, model: Hmm, frequency: np.ndarray) -> tuple[Hmm, float]:
+    """One round over the whole training corpus, every task sending one sum for each parameter; and the log likelihood before it."""
     told = encoded.sparkSession.sparkContext.broadcast(model)
     states, classes = model.emit.shape
+    size = states + states * states + states * classes + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = told.value
-        total = np.zeros(states + states * states + states * classes)
+        total = np.zeros(size)
         for classes_, counts in _side_by_side(batches):
             total += np.concatenate([x.ravel() for x in own.counts(classes_, counts)])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "v"])
 
     rows = encoded.where("not held_out").select("classes").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    total = np.zeros(states + states * states + states * classes)
+    told.unpersist()
+    total = np.zeros(size)
     total[[r["k"] for r in rows]] = [r["v"] for r in rows]
-    start, step, emit = np.split(total, [states, states + states * states])
-    return Hmm.of_counts(start, step.reshape(states, states), emit.reshape(states, classes), frequency)
+    start, step, emit, likelihood = np.split(total, [states, states + states * states, size - 1])
+    return Hmm.of_counts(start, step.reshape(states, states), emit.reshape(states, classes), frequency), float(likelihood[0])
+
+
+def learn(encoded: DataFrame, model: Hmm, frequency: np.ndarray, tokens: int, rounds: int = ROUNDS, gain: float = GAIN) -> Hmm:
+    """Baum-Welch from ``model`` on, until a round gains less than ``gain`` nats a token."""
+    before = -np.inf
+    for _ in range(rounds):
+        model, now = _baum_welch(encoded, model, frequency)
+        if now - before < gain * tokens:
+            break
+        before = now
+    return model
 
 
 def score_documents(docs: DataFrame, parts: int = 10, part: int = 0, states: int = STATES, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
@@ -164,6 +181,7 @@ def score_documents(docs: DataFrame, parts: int = 10, part: int = 0, states: int
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), parts, part).alias("held_out"))
     size = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.sum((~F.col("held_out")).cast("long"))).first()
     train_docs = size[2] or 0
+    common_words = own_classes((size[0] or 0) // 6)
     buckets = max(16, (size[0] or 0) // 10 // BUCKET_WORDS)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +214,7 @@ def score_documents(docs: DataFrame, parts: int = 10, part: int = 0, states: int
         h, first, number = np.unique(np.concatenate([x[1] for x in own]), return_index=True, return_inverse=True)
         total = np.bincount(number, weights=np.concatenate([x[0] for x in own])).astype(np.int64)
         group = np.concatenate([x[2] for x in own])[first].astype(np.int64)
-        often = np.argsort(-total, kind="stable")[:COMMON]
+        often = np.argsort(-total, kind="stable")[:common_words]
         often = often[total[often] > 0]
         known = total > 0
         bounds = np.cumsum([0, *(len(x[0]) for x in own)])
@@ -219,7 +237,7 @@ def score_documents(docs: DataFrame, parts: int = 10, part: int = 0, states: int
     tokens, types = np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64)
     for r in sums:
         tokens[r["g"]], types[r["g"]] = r["t"], r["v"]
-    common = counted.where("chunk is null").select(F.explode("often").alias("x")).select("x.*").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    common = counted.where("chunk is null").select(F.explode("often").alias("x")).select("x.*").orderBy(F.desc("n"), "h").limit(common_words).collect()
     n, v = int(tokens.sum()) + train_docs, int(types.sum()) + (train_docs > 0)
     for r in common:
         tokens[r["group"]] -= r["n"]
@@ -266,17 +284,15 @@ def score_documents(docs: DataFrame, parts: int = 10, part: int = 0, states: int
             base = np.bincount(doc, weights=log_c[number], minlength=m) + np.log10((train_docs + SMOOTHING) / denominator)
             inner = np.bincount(doc, weights=log_in[number], minlength=m)
             hits = np.bincount(doc, weights=known[number], minlength=m).astype(np.int64) + (train_docs > 0)
-            own, bounds = classes[number].astype(np.uint16), np.concatenate([[0], np.cumsum(counts)])
-            packed = [_pack(np.append(own[a:b], np.uint16(end_class))) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            own, bounds = classes[number].astype(np.uint32), np.concatenate([[0], np.cumsum(counts)])
+            packed = [_pack(np.append(own[a:b], np.uint32(end_class))) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             out.append(pa.table({"doc_id": pa.array(ids, mask=~valid), "held_out": pa.array(~train), "n_tokens": pa.array(counts + 1), "n_known": pa.array(hits), "base_score": pa.array(base), "inner": pa.array(inner), "classes": pa.array(packed, pa.binary())}))
         return pa.concat_tables(out)
 
     pairs = table.where("bucket < 0").groupBy("chunk").cogroup(counted.where("chunk is not null").select("bucket", "chunk", "data").groupBy("chunk"))
     encoded = saved(pairs.applyInArrow(encode, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"))
 
-    model = Hmm.first(len(frequency), states, seed, frequency)
-    for _ in range(rounds):
-        model = _baum_welch(encoded, model, frequency)
+    model = learn(encoded, Hmm.first(len(frequency), states, seed, frequency), frequency, n, rounds)
     final = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,15 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Tokens are runs of letters and digits; their features are hashes of the
-lower-cased token and of its first bytes.  The labels say only which documents
-are toxic, so tokens are labelled first: a token of a toxic document is toxic
-if one of its features occurs in enough toxic and in next to no other
-documents.  The CRF (states clean and toxic) learns from those tokens by
-gradient ascent on their likelihood; forward-backward marginals give each
-token's probability, offending offsets, and a document score calibrated on the
-same training documents.
+lower-cased token and of its first bytes, and the tokens before and after.
+The labels say only which documents are toxic, so tokens are labelled first: a
+token of a toxic document is toxic if one of its features occurs in enough
+toxic and in next to no other documents.  The CRF (states clean and toxic)
+learns from those tokens by gradient ascent on their likelihood, all weights
+from zero: of the features that mark tokens, of the commonest tokens of any
+kind, of the same ones as neighbours, and of the four steps between states.
+Forward-backward marginals give each token's probability, offending offsets,
+and a document score calibrated on the same training documents.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql.window import Window
 from spheregrid.llm.common import small_batches
 
 from spheregrid.llm.langid import held_out
-from spheregrid.llm.sequences import backward, forward, packed_order
+from spheregrid.llm.sequences import Packed
 from spheregrid.llm.tokens import Words, mix, shingle_sets
 
 #: Bounds of the fitting sample: documents of each label, whole, and bytes of their texts; the document that reaches the bound is the last.
@@ -35,6 +37,8 @@ PART_BYTES = 1_000_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Share of a feature's documents that must be toxic for it to mark a token.
 MIN_SHARE = 0.97
+#: So many of the commonest tokens are features too, whatever their documents' labels.
+COMMON = 4096
 THRESHOLD = 0.7
 #: Marginals below this don't add up to a document's score.
 NOISE = 0.01
@@ -50,9 +54,39 @@ def token_features(words: Words) -> list[np.ndarray]:
     return [whole] + [np.where(length > n, words.prefixes(n).view(np.int64), 0) for n in PREFIXES]
 
 
+def _placed(feature: np.ndarray, columns: list[np.ndarray], first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(tokens, weights) pairs: each token's own features, then its neighbours' (weights one and two tables further).
+
+    ``first`` marks the first tokens of texts, which have nothing before them.
+    """
+    out, size = [], len(feature)
+    if not size:
+        return out
+    seen = np.zeros(_BUCKETS, bool)
+    seen[feature & (_BUCKETS - 1)] = True
+    for hashes in columns:
+        at = np.flatnonzero(seen[hashes & (_BUCKETS - 1)])
+        k = np.minimum(np.searchsorted(feature, hashes[at]), size - 1)
+        own = feature[k] == hashes[at]
+        out.append((at[own].astype(np.int32), k[own].astype(np.int32)))
+    at, k = out[0]
+    n = len(first)
+    ahead = (at + 1 < n) & ~first[np.minimum(at + 1, n - 1)]
+    out.append((at[ahead] + 1, k[ahead] + np.int32(size)))
+    behind = ~first[at]
+    out.append((at[behind] - 1, k[behind] + np.int32(2 * size)))
+    return out
+
+
+def _firsts(counts: np.ndarray) -> np.ndarray:
+    first = np.zeros(int(counts.sum()), bool)
+    first[(np.cumsum(counts) - counts)[counts > 0]] = True
+    return first
+
+
 @dataclass
 class Crf:
-    """Two states; ``weight`` is what a feature adds to the toxic state's log potential."""
+    """Two states; ``weight`` is what a feature (of a token, of the one before, of the one after) adds to the toxic state's log potential."""
 
     feature: np.ndarray  # ascending hashes
     weight: np.ndarray
@@ -64,28 +98,19 @@ class Crf:
     def emission(self, words: Words) -> np.ndarray:
         """Log potential of the toxic state over the clean one, for each token."""
         out = np.full(len(words.start), self.bias)
-        if not len(self.feature):
-            return out
-        seen = np.zeros(_BUCKETS, bool)
-        seen[self.feature & (_BUCKETS - 1)] = True
-        for hashes in token_features(words):
-            at = np.flatnonzero(seen[hashes & (_BUCKETS - 1)])
-            k = np.minimum(np.searchsorted(self.feature, hashes[at]), len(self.feature) - 1)
-            own = self.feature[k] == hashes[at]
-            out[at[own]] += self.weight[k[own]]
+        for at, k in _placed(self.feature, token_features(words), _firsts(words.counts)):
+            out[at] += self.weight[k]
         return out
 
 
 def forward_backward(counts: np.ndarray, toxic: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of the toxic state and expected edge counts of all sequences at once; ``toxic`` is its log potential over the clean one."""
-    _, order, active = packed_order(counts)
-    shift = np.maximum(toxic[order], 0)
-    phi = np.stack([np.exp(-shift), np.exp(toxic[order] - shift)], axis=1)
-    step = np.exp(edge)
-    alpha, scale = forward(phi, active, np.ones(2), step)
-    marginal, pairs = backward(phi, active, step, alpha, scale)
-    out = np.empty(len(order))
-    out[order] = marginal[:, 1]
+    packed = Packed(counts)
+    log = toxic[packed.order]
+    shift = np.maximum(log, 0)
+    marginal, _, pairs, _ = packed.backward(np.stack([np.exp(-shift), np.exp(log - shift)]), np.ones(2), np.exp(edge))
+    out = np.empty(len(log))
+    out[packed.order] = marginal[1]
     return out, pairs
 
 
@@ -113,77 +138,93 @@ def families(texts: list[str], hashes: int = 6) -> np.ndarray:
     return np.array(keep, bool)
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 25) -> Crf:
+def fit(texts: list[str], toxic: list[int], rounds: int = 30) -> Crf:
     """A CRF from a bounded number of labelled documents, in memory."""
     keep = families(texts)
     texts, y = [t for t, k in zip(texts, keep, strict=True) if k], np.array(toxic, int)[keep]
-    # A part at a time, as the work on bytes takes many times their size; what stays is a hash of each feature.
-    each, counts = [[np.zeros(0, np.int64)] for _ in range(1 + len(PREFIXES))], [np.zeros(0, np.int64)]
+    # A part at a time, as the work on bytes takes many times their size.  What stays is each token's kind, and each kind's features.
+    tokens, counts, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((1 + len(PREFIXES), 0), np.int64)]
     for part in _parts(texts):
         words = Words(pa.array(part, pa.string()), alnum=True)
+        columns = token_features(words)
         counts.append(words.counts)
-        for own, hashes in zip(each, token_features(words), strict=True):
-            own.append(hashes)
-    columns, counts = [np.concatenate(x) for x in each], np.concatenate(counts)
-    del each
-    document = np.repeat(np.arange(len(counts)), counts)
+        tokens.append(columns[0])
+        kinds.append(np.stack(columns)[:, np.unique(columns[0], return_index=True)[1]])
+        del words, columns
+    kinds, counts = np.concatenate(kinds, axis=1), np.concatenate(counts)
+    kinds = kinds[:, np.unique(kinds[0], return_index=True)[1]]
+    code = np.searchsorted(kinds[0], np.concatenate(tokens)).astype(np.int32)
+    del tokens
+    document = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    size = kinds.shape[1]
+    # Each kind with each document that has it.
+    pair = np.unique(document.astype(np.int64) * max(size, 1) + code)
+    of, where = (pair % max(size, 1)).astype(np.int32), (pair // max(size, 1)).astype(np.int32)
+    del pair
     # Features that mark toxic tokens: whole tokens first, then ever shorter beginnings of the tokens that are still unexplained.
     rate = min(max(y.mean() if len(y) else 0.5, 1e-3), 0.99)
-    open_, chosen = np.ones(len(document), bool), [np.zeros(0, np.int64)]
-    for hashes in [columns[0], *columns[:0:-1]]:
-        own = open_ & (hashes != 0)
-        pairs = np.unique(np.stack([hashes[own], document[own]], 1), axis=0)
-        names, code = np.unique(pairs[:, 0], return_inverse=True)
-        bad = np.bincount(code, weights=y[pairs[:, 1]], minlength=len(names))
-        good = (np.bincount(code, minlength=len(names)) - bad) * rate / (1 - rate)  # as if both labels were equally common
+    open_, chosen = np.ones(size, bool), [np.zeros(0, np.int64)]
+    for hashes in [kinds[0], *kinds[:0:-1]]:
+        names, name = np.unique(hashes, return_inverse=True)
+        own = (open_ & (hashes != 0))[of]
+        met = np.unique(where[own].astype(np.int64) * max(len(names), 1) + name[of[own]])
+        k, d = met % max(len(names), 1), met // max(len(names), 1)
+        bad = np.bincount(k, weights=y[d], minlength=len(names))
+        good = (np.bincount(k, minlength=len(names)) - bad) * rate / (1 - rate)  # as if both labels were equally common
         # So many toxic documents that no feature of clean origin is likely to reach them by chance; with few labels, a seventh of them.
-        enough = np.log(max(len(names), 1) / 0.01) / -np.log(rate)
+        enough = np.log(max(int((bad + good > 0).sum()), 1) / 0.01) / -np.log(rate)
         marks = names[(bad >= min(enough, max(3.0, 0.15 * y.sum()))) & (bad / np.maximum(bad + good, 1e-9) >= MIN_SHARE)]
         chosen.append(marks)
         open_ &= ~np.isin(hashes, marks)
-    feature = np.unique(np.concatenate(chosen))
-    hit = [np.isin(h, feature) for h in columns]
-    tag = np.zeros(len(document), bool)
-    for h in hit:
-        tag |= h
+    marks = np.unique(np.concatenate(chosen))
+    tag = np.isin(kinds, marks).any(axis=0)[code]
     tag &= y[document] == 1 if len(y) else False
-    index = [np.searchsorted(feature, h[k]) for h, k in zip(columns, hit, strict=True)]
-    del columns
-    # Near the optimum, which is far out where features separate: a clean token's marginal must be tiny, as long texts have many.
-    weight, bias, edge = np.full(len(feature), 14.0), -12.0, np.zeros((2, 2))
-    # Adagrad on the conditional log-likelihood with an L2 prior.
-    past = [np.full(len(feature), 1e-6), 1e-6, np.full((2, 2), 1e-6)]
-    starts = np.zeros(len(document), bool)
-    starts[(np.cumsum(counts) - counts)[counts > 0]] = True
-    inner = np.flatnonzero(~starts)
+    # The commonest tokens of all documents, ties by hash.
+    often = np.bincount(of, minlength=size)
+    common = kinds[0][np.lexsort((kinds[0], -often))[:COMMON]]
+    feature = np.unique(np.concatenate([marks, common])) if len(marks) else marks
+    # For each kind its features' places in the table, the last place standing for none.
+    place = np.minimum(np.searchsorted(feature, kinds), max(0, len(feature) - 1))
+    place = np.where(feature[place] == kinds, place, len(feature)) if len(feature) else np.zeros(kinds.shape, int)
+    del kinds, of, where
+    first = _firsts(counts)
+    width = len(feature) + 1
+    weight, bias, edge = np.zeros((3, width)), 0.0, np.zeros((2, 2))
+    # Damped Newton steps with the diagonal of the curvature, on the conditional log-likelihood with an L2 prior; some six weights share a token.
+    prior, damping = 0.01, 6.0
+    inner = np.flatnonzero(~first)
     seen = np.zeros((2, 2))
     np.add.at(seen, (tag[inner - 1].astype(int), tag[inner].astype(int)), 1)
 
     def emission() -> np.ndarray:
-        log = np.full(len(document), bias)
-        for k, i in zip(hit, index, strict=True):
-            log[k] += weight[i]
+        own, ahead, behind = weight[0][place].sum(axis=0), weight[1][place[0]], weight[2][place[0]]
+        log = own[code] + bias
+        log[inner] += ahead[code[inner - 1]]
+        log[inner - 1] += behind[code[inner]]
         return log
 
+    def gathered(values: np.ndarray) -> np.ndarray:
+        """The sums of a value of each token over the weights it has: its own, the one before's and the one after's."""
+        own = np.bincount(code, weights=values, minlength=size)
+        ahead = np.bincount(code[inner - 1], weights=values[inner], minlength=size)
+        behind = np.bincount(code[inner], weights=values[inner - 1], minlength=size)
+        out = np.stack([sum(np.bincount(p, weights=own, minlength=width) for p in place), *(np.bincount(place[0], weights=x, minlength=width) for x in (ahead, behind))])
+        out[:, -1] = 0  # what is no feature keeps its weight of 0
+        return out
+
     for _ in range(rounds if len(feature) else 0):
         marginal, expected = forward_backward(counts, emission(), edge)
-        error = tag - marginal
-        slope = -0.01 * weight
-        for k, i in zip(hit, index, strict=True):
-            slope += np.bincount(i, weights=error[k], minlength=len(feature))
-        for name, now in ((0, slope), (1, error.sum()), (2, (seen - expected) - 0.01 * edge)):
-            past[name] = past[name] + now**2
-            move = now / np.sqrt(past[name])
-            if name == 0:
-                weight = weight + 0.5 * move
-            elif name == 1:
-                bias += 0.1 * float(move)
-            else:
-                # Only how toxic tokens follow each other is free; the rest would repeat the bias.
-                edge[1, 1] += 0.3 * move[1, 1]
+        error, spread = tag - marginal, marginal * (1 - marginal)
+        # No weight moves by more than 1 a round: where classes separate the curvature vanishes.
+        weight = weight + np.clip((gathered(error) - prior * weight) / (damping * gathered(spread) + prior), -1.0, 1.0)
+        bias += float(np.clip(error.sum() / (damping * spread.sum() + prior), -1.0, 1.0))
+        share = expected / max(expected.sum(), 1e-9)
+        edge = edge + np.clip((seen - expected - prior * edge) / (damping * expected * (1 - share) + prior), -0.5, 0.5)
+    log = emission()
+    weight = weight[:, :-1].ravel()
     model = Crf(feature, weight, bias, edge, (1.0, 0.0), 0.0)
     # Calibration: logistic regression of the label, both labels weighing the same, on the log of the expected number of toxic tokens.
-    x = np.stack([np.log(_expected(document, len(counts), forward_backward(counts, emission(), edge)[0]) + FLOOR), np.ones(len(y))], axis=1)
+    x = np.stack([np.log(_expected(document, len(counts), forward_backward(counts, log, edge)[0]) + FLOOR), np.ones(len(y))], axis=1)
     balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     theta, prior = np.array([1.0, 2.0]), np.array([1.0, 2.0])
     for _ in range(50):
