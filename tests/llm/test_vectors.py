@@ -29,7 +29,7 @@ def usable(rows, zero):
 def test_exact_topk(spark):
     rows = vectors()
     table = spark.createDataFrame(rows, SCHEMA)
-    got = sorted(map(tuple, exact_topk(table, table.where("vec_id % 50 = 0"), k=5, block=64, query_block=3).collect()))
+    got = sorted(map(tuple, exact_topk(table, table.where("vec_id % 50 = 0"), k=5, group=64).collect()))
     ints = [(i, [math.floor(256 * v) for v in e]) for i, e in usable(rows, True)]
     want = []
     for q, a in ints:
@@ -46,10 +46,25 @@ def test_exact_topk_small(spark):
     assert exact_topk(table.where("false"), table.where("false")).collect() == []
 
 
+def test_forest_scores_candidates_only(spark):
+    """Clustered vectors: a query is scored against little of the table, summed over all trees."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 24))
+    x = centres[rng.integers(60, size=3000)] + 0.05 * rng.standard_normal((3000, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = table.where("vec_id % 50 = 0")
+    scored = [r["scored"] for r in forest_search(table, asked, k=5, cell=400, report=True).collect()]
+    assert len(scored) == 60 and sum(scored) / len(scored) < 3000 * 16 / 10
+    found = forest_search(table, asked, k=5, cell=400).collect()
+    best = np.argsort(-(x @ x.T), axis=1)
+    want = {q: [int(v) for v in best[q] if v != q][:5] for q in range(0, 3000, 50)}
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in found) >= 0.9 * 5 * 60
+
+
 def test_forest_recall(spark):
     rows = vectors(1500, 32)
     table = spark.createDataFrame(rows, SCHEMA)
-    found = forest_search(table, table.where("vec_id % 20 = 0"), k=10, block=500).collect()
+    found = forest_search(table, table.where("vec_id % 20 = 0"), k=10, cell=300).collect()
     own = usable(rows, False)
     x, ids = np.array([e for _, e in own]), np.array([i for i, _ in own])
     hit = total = 0
