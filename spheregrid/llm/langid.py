@@ -19,13 +19,13 @@ from pyspark.sql.window import Window
 
 from spheregrid.llm.common import small_batches
 
-#: Bounds of the fitting sample: documents of a language, bytes of each one's normal form, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 1500, 112_640
-#: At most so many languages: all dictionaries together stay under 60 MB.
-MAX_LANGUAGES = 512
+#: Bounds of the fitting sample: documents of a language, and pieces of each, cut at hashed places of the whole text, in characters.
+SAMPLE_DOCS, PLACES, PLACE = 400, 4, 600
+#: Bytes of a dictionary, and of all together: with more than 71 languages each one's gets smaller, down to the least.
+DICTIONARY_BYTES, ALL_BYTES, LEAST_BYTES = 112_640, 8_000_000, 1024
+#: So many languages, the commonest, can be learned.
+MAX_LANGUAGES = ALL_BYTES // LEAST_BYTES
 PIECE = 2048
-#: Short matches against the dictionary count, repetitions at any distance do too.
-PARAMETERS = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=16, search_log=4, min_match=4, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
 #: Bytes of the parts of the sample that are judged apart.
 PART = 300
 #: A decision is accepted if the best encoding is smaller than the next by this share.
@@ -44,40 +44,57 @@ def normal(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
+def parameters(size: int) -> zstandard.ZstdCompressionParameters:
+    """For dictionaries of ``size`` bytes: short matches against them count, repetitions at any distance do too."""
+    bits = max(10, min(17, size.bit_length()))
+    return zstandard.ZstdCompressionParameters(window_log=17, hash_log=bits, chain_log=bits - 1, search_log=4, min_match=4, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
 def fit_dictionaries(labelled: DataFrame, seed: int = 5) -> dict[str, bytes]:
     """A dictionary for each language of ``labelled(doc_id, text, lang)``, from a bounded hash sample of its documents.
 
-    Rows with a null in any of the three teach nothing.
+    The sample is at most ``SAMPLE_DOCS`` documents of a language; of each, up
+    to ``PLACES`` pieces of ``PLACE`` characters come from hashed places, one
+    in each equal stretch of the whole text.  The parts that agree with the
+    rest fill the dictionary in turn, the first of every document before the
+    second of any.  Rows with a null in any of the three columns teach nothing.
     """
-    rows = labelled.where("doc_id is not null and text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return {}
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * SAMPLE_DOCS / n)))])
+    rows = labelled.where("doc_id is not null and text is not null and lang is not null").withColumn("text", F.col("text").cast("string"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    few = rows.where(F.pmod(key, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
-    few = few.select("lang", F.substring("text", 1, 2 * SAMPLE_BYTES).alias("text"), key.alias("key")).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text")))
+    few = rows.join(F.broadcast(counts), "lang").where(F.pmod(key, F.lit(1 << 30)) < F.least(F.lit(1.0), 2.0 * SAMPLE_DOCS / F.col("n")) * (1 << 30)).withColumn("key", key)
+    few = few.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("at") <= SAMPLE_DOCS)
+    # The stretches of a text, and a place in each.
+    size = F.length("text")
+    places = F.greatest(F.lit(1), F.least(F.lit(PLACES), F.ceil(size / PLACE)))
+    cut = few.withColumn("stretch", F.floor(size / places)).withColumn("place", F.explode(F.sequence(F.lit(0), places.cast("int") - 1)))
+    first = F.col("place") * F.col("stretch") + F.pmod(F.xxhash64("key", "place"), F.greatest(F.lit(1), F.col("stretch") - PLACE + 1))
+    cut = cut.select("lang", "at", "place", F.substr("text", (first + 1).cast("int"), F.lit(PLACE)).alias("text"))
     texts: dict[str, list[bytes]] = {}
-    for r in few.where(F.col("at") <= SAMPLE_DOCS).orderBy("lang", "at").select("lang", "text").collect():
-        texts.setdefault(r["lang"], []).append(normal(r["text"])[:SAMPLE_BYTES])
-    return {lang: _joined(parts) for lang, parts in _agreeing(texts).items()}
+    for r in cut.orderBy("lang", "place", "at").collect():
+        texts.setdefault(r["lang"], []).append(normal(r["text"]))
+    size = max(LEAST_BYTES, min(DICTIONARY_BYTES, ALL_BYTES // max(1, len(texts))))
+    return {lang: _joined(parts, size) for lang, parts in _agreeing(texts, size).items()}
 
 
-def _joined(parts: list[bytes]) -> bytes:
-    return b" ".join(parts)[-DICTIONARY_BYTES:]
+def _joined(parts: list[bytes], size: int) -> bytes:
+    """The parts up to ``size`` bytes, the first of them last, where matches are cheapest."""
+    return b" ".join(reversed(parts))[-size:]
 
 
-def _agreeing(texts: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
+def _agreeing(texts: dict[str, list[bytes]], size: int) -> dict[str, list[bytes]]:
     """The parts of each language's sample that the other half of the sample takes for that language.
 
     Passages in another language would make its texts fit the wrong
     dictionary.  A language of which nothing agrees keeps all its parts.
     """
-    parts = {lang: [t[k : k + PART] for t in each for k in range(0, len(t), PART) if k == 0 or len(t) - k >= PART // 5] for lang, each in sorted(texts.items())}
-    judges = [Encoders({lang: _joined(own[half::2]) for lang, own in parts.items()}) for half in (1, 0)]
-    kept = {lang: [x for half in (0, 1) for x in own[half::2] if judges[half].smallest(x) == lang] for lang, own in parts.items()}
+    parts: dict[str, list[bytes]] = {}
+    for lang, each in sorted(texts.items()):
+        cut = [[t[k : k + PART] for k in range(0, len(t), PART) if k == 0 or len(t) - k >= PART // 5] for t in each]
+        # The first part of every piece, then the second ones.
+        parts[lang] = [own[n] for n in range(max(map(len, cut), default=0)) for own in cut if n < len(own)]
+    judges = [Encoders({lang: _joined(own[half::2], size) for lang, own in parts.items()}) for half in (1, 0)]
+    kept = {lang: [x for n, x in enumerate(own) if judges[n % 2].smallest(x) == lang] for lang, own in parts.items()}
     return {lang: kept[lang] or parts[lang] for lang in parts}
 
 
@@ -87,10 +104,11 @@ class Encoders:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = sorted(dictionaries)
         self.each = []
+        chosen = parameters(max(map(len, dictionaries.values()), default=0))
         for lang in self.langs:
             content = zstandard.ZstdCompressionDict(dictionaries[lang].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(compression_params=PARAMETERS)
-            one = zstandard.ZstdCompressor(dict_data=content, compression_params=PARAMETERS)
+            content.precompute_compress(compression_params=chosen)
+            one = zstandard.ZstdCompressor(dict_data=content, compression_params=chosen)
             self.each.append((one, len(one.compress(b" "))))
 
     def sizes(self, data: bytes) -> list[int]:
