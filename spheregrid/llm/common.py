@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests) a local temporary one."""
+    """The folder in spark.checkpoint.dir; only on a local master where that is unset (tests) a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spheregrid-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -71,18 +74,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for each node of ``edges(a, b)``; a component's label is its smallest node.
 
     Alternating large-star and small-star rounds: every round is a group-by
-    minimum (combined before the shuffle) and an equi-join, so a node with very
-    many neighbours isn't gathered anywhere.  The number of rounds grows with
-    the logarithm of the longest path.  Rows with a null end are left out.
+    minimum (combined before the shuffle) and an equi-join.  The minima are
+    written before they are joined, so both sides of the join are plain
+    shuffles and adaptive execution splits the rows of a node with very many
+    neighbours over several tasks.  The number of rounds grows with the
+    logarithm of the longest path.  Rows with a null end are left out.
     """
     current = saved(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(max_rounds):
         both = current.union(current.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         # Large star: every neighbour larger than the node points to the smallest of the neighbourhood.
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = saved(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m")))
         # Small star: every smaller neighbour, and the node itself, point to the smallest one.
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))

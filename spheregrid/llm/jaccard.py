@@ -50,6 +50,8 @@ SKETCH, WIDE = 64, 1024
 FEW, MANY = 32, 4096
 #: Shingles of all sets of a region that one task joins (8 bytes each, some ten times that at work).
 LEAF_SHINGLES = 2_000_000
+#: Texts with more than this part of all rows are labelled apart.
+HOT = 1024
 #: Document pivots of one region and round.
 PIVOTS = 32
 #: Bytes of the texts that are cut to shingles at once (some fifty times that at work); a longer text is alone.
@@ -78,7 +80,7 @@ def _batches(batches: Iterator[pa.RecordBatch], width: int):
 
 
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, n_shingles, node, sketch, wide)``; a sketch counts a set's shingles by hash parts, up to 255 each."""
+    """``(doc_id, n_shingles, text_hash, node, sketch, wide)``; a sketch counts a set's shingles by hash parts, up to 255 each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offsets, node in _batches(batches, width):
@@ -86,9 +88,10 @@ def _nodes(docs: DataFrame, width: int) -> DataFrame:
             place = np.repeat(np.arange(len(sizes)), sizes) * WIDE + (mix(values.view(np.uint64)) >> np.uint64(54)).astype(np.int64)
             counts = np.bincount(place, minlength=len(sizes) * WIDE).reshape(-1, WIDE)
             cut = lambda x: pa.array([row.tobytes() for row in np.minimum(x, 255).astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(node), cut(counts.reshape(len(sizes), SKETCH, -1).sum(axis=2)), cut(counts)], ["doc_id", "n_shingles", "node", "sketch", "wide"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), part.column("text_hash"), pa.array(node), cut(counts.reshape(len(sizes), SKETCH, -1).sum(axis=2)), cut(counts)], ["doc_id", "n_shingles", "text_hash", "node", "sketch", "wide"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary, wide binary")
+    named = docs.withColumn("text_hash", F.xxhash64("text"))
+    return named.mapInArrow(run, "doc_id long, n_shingles long, text_hash long, node long, sketch binary, wide binary")
 
 
 def _common(docs: DataFrame, width: int, at_least: int) -> list:
@@ -233,19 +236,20 @@ def _shared(cells: DataFrame, members: DataFrame, percent: int, few: int = FEW,
             yield edges(*held[0], begun)
 
     found = rows.mapInArrow(run, "a long, b long, firm boolean").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("firm").alias("firm"))
-    # The edges of a spanning forest stay; those of a cell of which all pairs were looked at can go one by one.
+    # The edges of a spanning forest stay; those of a cell of which all pairs were looked at can go one by one (a set has few of these in a cell, so none is a hot key).
     found = saved(found)
-    wide = members.where("n_shingles > 0").join(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("wide").alias("wide"), F.first("n_shingles").alias("size"))
-    found = found.join(wide.withColumnsRenamed({"node": "a", "wide": "wide_a", "size": "size_a"}), "a").join(wide.withColumnsRenamed({"node": "b", "wide": "wide_b", "size": "size_b"}), "b")
+    loose = found.where("not firm").select("a", "b")
+    wide = members.where("n_shingles > 0").join(loose.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("wide").alias("wide"), F.first("n_shingles").alias("size"))
+    loose = loose.join(wide.withColumnsRenamed({"node": "a", "wide": "wide_a", "size": "size_a"}), "a").join(wide.withColumnsRenamed({"node": "b", "wide": "wide_b", "size": "size_b"}), "b")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, WIDE) for c in ("wide_a", "wide_b"))
             m, n = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
-            keep = batch.column("firm").to_numpy(zero_copy_only=False) | _near(x, y, m, n, percent)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+            keep = pa.array(_near(x, y, m, n, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    return found.mapInArrow(again, "a long, b long")
+    return found.where("firm").select("a", "b").unionByName(loose.mapInArrow(again, "a long, b long"))
 
 
 def _linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -383,16 +387,8 @@ def _split(sets: DataFrame, sizes: DataFrame, percent: int, leaf: int, leaf_shin
     return links.select("a", "b"), saved(parts)
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = 4000, at_least: int = 12, max_depth: int = 4, few: int = FEW, many: int = MANY, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
-
-    * Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a set is the distinct
-      ``width``-word shingles, the whole sequence if there are fewer words.
-    * A null or wordless text has an empty set and its own ``doc_id`` as component.
-    * A row with a null ``doc_id`` gets a null component; it bridges no others.
-    * Repeated rows are returned each; equal texts are one class.
-    * Other columns are ignored; an empty table gives no rows.
-    """
+def components(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = 4000, at_least: int = 12, max_depth: int = 4, few: int = FEW, many: int = MANY, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
+    """``(doc_id, n_shingles, text_hash, class, component_id)`` of each row; ``class`` names its component (null without words)."""
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = saved(_nodes(docs, width))
     cells = _cells(docs, width, percent, _common(docs, width, at_least))
@@ -431,16 +427,51 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, leaf:
     edges = links[0]
     for more in links[1:]:
         edges = edges.union(more)
-    components = saved(connected_components(edges))
-    classes = members.join(components, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    least = classes.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = classes.where("n_shingles > 0").join(least, "class").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))
-    return out.union(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    joined = connected_components(edges)
+    # The smallest id of each text, then of each class: copies count once before they meet, and a class's label goes to its texts before it goes to their rows.
+    least = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    texts = saved(least.join(joined, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"))
+    classes = texts.groupBy("class").agg(F.min("least").alias("component_id"))
+    labels = saved(texts.join(classes, "class").select("node", "n", "class", "component_id"))
+    # At most HOT texts have more than that part of all rows: their labels are told to every task, so no task gets all copies of one.
+    rows = members.select("doc_id", "n_shingles", "text_hash", "node")
+    total = labels.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = labels.where(F.col("n") * HOT > total).drop("n")
+    known = rows.join(F.broadcast(hot.select("node", F.col("class").alias("_class"), F.col("component_id").alias("_id"))), "node", "left")
+    many = known.where("_class is not null").select("doc_id", "n_shingles", "text_hash", F.col("_class").alias("class"), F.col("_id").alias("component_id"))
+    few_ = known.where("_class is null").drop("_class", "_id").join(labels.where(F.col("n") * HOT <= total).drop("n"), "node", "left")
+    found = many.unionByName(few_.drop("node"))
+    own = F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return found.withColumn("component_id", own)
+
+
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, **sizes: int) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
+
+    * Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a set is the distinct
+      ``width``-word shingles, the whole sequence if there are fewer words.
+    * A null or wordless text has an empty set and its own ``doc_id`` as component.
+    * A row with a null ``doc_id`` gets a null component; it bridges no others.
+    * Repeated rows are returned each; equal texts are one class.
+    * Other columns are ignored; an empty table gives no rows.
+
+    ``sizes`` are those of ``components``; they decide the work, not the result.
+    """
+    return components(docs, width, percent, **sizes).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with only the smallest ``doc_id`` of each component; one of several rows with that id and rows without an id stay."""
-    kept = ngram_jaccard_join(docs, width, percent).where("doc_id = component_id").select(F.col("doc_id")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return once.unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each component: the smallest ``doc_id`` (null last), of several such rows the one with the least text hash.
+
+    Rows without words stay, each of them.  An empty table gives no rows;
+    columns of any name pass through.
+    """
+    # A row is known by its id and its text, so rows that share an id are judged apart.
+    named = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    found = saved(components(docs, width, percent).select("doc_id", "text_hash", "class"))
+    best = found.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("b"))
+    best = best.select(F.col("b.doc_id").alias("doc_id"), F.col("b.text_hash").alias("text_hash"))
+    plain = found.where("class is null").select("doc_id", "text_hash").distinct()
+    same = (F.col("_text") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("doc_id"))
+    chosen = named.join(best, same, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_text", "_id").orderBy("_id"))).where("_n = 1").select("_row.*")
+    return chosen.unionByName(named.join(plain, same, "left_semi").select("_row.*"))

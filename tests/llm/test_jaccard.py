@@ -136,3 +136,13 @@ def test_long_sets_are_parted(spark):
     sizes = spark.createDataFrame([(7, 60, 5400)], "region long, n long, total long")
     _, parts = _split(sets, sizes, 80, 4000, 1000, 0)
     assert parts.select("region").distinct().count() > 1 and parts.select("node").distinct().count() == 49
+
+
+def test_one_row_of_each_component(spark):
+    """Rows are judged by id and text: an id with two texts, null ids, and rows that repeat."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b + " more"), (None, c), (None, c), (9, c), (9, c), (11, None), (12, ""), (None, " ")]
+    table = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, class string")
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_one_of_each(table).collect()), key=repr)
+    assert got == sorted([(5, a), (3, b + " more"), (9, c), (11, None), (12, ""), (None, " ")], key=repr)
+    assert keep_one_of_each(table.where("false")).collect() == []
