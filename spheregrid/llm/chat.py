@@ -8,8 +8,10 @@ inserted before it or at the end (3 each); dynamic programming finds the
 cheapest way.
 
 A step is a min-plus matrix over the states, so segments of a conversation are
-solved apart, their matrices composed, and the path then read off inside each
-segment: a conversation of any length is spread over many tasks.
+solved apart and their matrices composed, group by group and level by level;
+the path is then read off downwards, inside each group and at last inside each
+segment.  A conversation of any length is spread over many tasks.  Only roles
+go through the solver; texts meet what is written around them by their row.
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ import itertools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from spheregrid.llm.ordering import running
+from spheregrid.llm.common import saved
 
 #: Automaton: the roles that may follow a state.
 NEXT = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
 STATES = tuple(NEXT)
 ROLES = ("system", "user", "assistant")
 MERGE, RELABEL, INSERT = 1, 2, 3
-SEGMENT = 512
+SEGMENT, GROUP = 512, 256
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 
 
@@ -96,7 +99,47 @@ def _runs(pdf: pd.DataFrame, keys: list[str], columns: list[str]) -> Iterator[tu
         yield key, [x[len(keys) :] for x in own]
 
 
-def repair(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def positions(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``rows``, written once, with ``row`` (a number of its own) and ``position`` (from 0) in its group by ``order``.
+
+    The table is range-sorted by group and order, so neither a group nor rows
+    that are equal in all but their texts are gathered in one task; what is
+    counted is how many rows of a group each partition has.
+    """
+    ends = [F.col(group), *order]
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism * 4)
+    placed = saved(rows.repartitionByRange(parts, *ends).sortWithinPartitions(*ends).withColumn("row", F.monotonically_increasing_id()))
+    slices = placed.groupBy(group, F.shiftright("row", 33).alias("_slice")).agg(F.min("row").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    out = placed.withColumn("_slice", F.shiftright("row", 33)).join(slices, [group, "_slice"])
+    return out.withColumn("position", F.col("_before") + F.col("row") - F.col("_first")).drop("_slice", "_first", "_before")
+
+
+def _through(own: list[tuple], start: str | None, end: str | None) -> tuple[int, list[tuple]]:
+    """The cheapest way through ``(number, a, b, cost)`` in order of number, from ``start`` to ``end`` (None: wherever a conversation ends best): cost, and (number, a, b) of each."""
+    best: dict[str, tuple[int, tuple | None]] = {start: (0, None)}
+    for number, steps in itertools.groupby(own, key=lambda x: x[0]):
+        new: dict[str, tuple[int, tuple | None]] = {}
+        for _, a, b, cost in sorted(steps, key=lambda x: (STATES.index(x[1]), STATES.index(x[2]))):
+            if a in best and (b not in new or best[a][0] + cost < new[b][0]):
+                new[b] = (best[a][0] + int(cost), (best[a][1], number, a, b))
+        best = new
+    if end is None:
+        end = min(best, key=lambda s: (best[s][0] + ending(s)[0], STATES.index(s)))
+        total = best[end][0] + ending(end)[0]
+    elif end not in best:
+        return -1, []
+    else:
+        total = best[end][0]
+    path, steps = best[end][1], []
+    while path:
+        path, step = path[0], path[1:]
+        steps.append(step)
+    return total, steps[::-1]
+
+
+def repair(turns: DataFrame, segment: int = SEGMENT, group: int = GROUP) -> DataFrame:
     """``(conv_id, position, turn, role, new_role, action, inserted, cost, piece)``, one row for each row of ``turns(conv_id, turn, role, text)``.
 
     Turns are in the order of ``turn`` (null first; ties by role and text).
@@ -109,70 +152,82 @@ def repair(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("conv", F.when(F.col("conv_id").isNull(), F.lit("")).otherwise(F.col("conv_id").cast("string")))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 60))))
-    rows = running(rows, ["conv"], "block", [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")], F.lit(1), "position").drop("block")
-    rows = rows.withColumn("segment", F.floor(F.col("position") / segment).cast("long"))
+    rows = positions(rows, "conv", [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text")])
+    roles = saved(rows.select("row", "conv", "position", "role", F.floor(F.col("position") / segment).cast("long").alias("segment")))
 
-    # Many segments share a call: a group is some 20,000 rows, whatever their conversations.
-    groups = max(8, turns.count() // 20_000)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("conv", "segment"), F.lit(groups)))
+    # Many segments share a call: a call has some 20,000 roles, whatever their conversations.
+    calls = F.lit(max(8, roles.count() // 20_000))
+    dealt = lambda *names: F.pmod(F.xxhash64(*names), calls)
+    step = "conv string, segment long, a string, b string, cost long"
 
     def matrix(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (conv, number), own in _runs(pdf, ["conv", "segment"], ["position", "role"]):
-            roles = tuple(r if isinstance(r, str) else None for _, r in own)
-            out += [(conv, number, s, to, cost) for s in STATES for to, (cost, _) in solve(roles, s).items()]
+            pattern = tuple(r if isinstance(r, str) else None for _, r in own)
+            out += [(conv, number, s, to, cost) for s in STATES for to, (cost, _) in solve(pattern, s).items()]
         return pd.DataFrame(out, columns=["conv", "segment", "a", "b", "cost"])
 
-    costs = rows.select("part", "conv", "segment", "position", "role").groupBy("part").applyInPandas(matrix, "conv string, segment long, a string, b string, cost long")
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The matrices of groups of segments."""
+        out = []
+        for (conv, number), own in _runs(pdf, ["conv", "up"], ["segment", "a", "b", "cost"]):
+            for a, b in itertools.product(STATES, STATES):
+                cost, _ = _through(own, a, b)
+                if cost >= 0:
+                    out.append((conv, number, a, b, cost))
+        return pd.DataFrame(out, columns=["conv", "segment", "a", "b", "cost"])
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Through which states the cheapest path enters and leaves each segment."""
+    # Upwards until every conversation is one group.
+    levels = [saved(roles.withColumn("part", dealt("conv", "segment")).groupBy("part").applyInPandas(matrix, step))]
+    most = (roles.agg(F.max("segment")).first()[0] or 0) + 1
+    while most > group:
+        up = levels[-1].withColumn("up", F.floor(F.col("segment") / group).cast("long"))
+        levels.append(saved(up.withColumn("part", dealt("conv", "up")).groupBy("part").applyInPandas(product, step)))
+        most = -(-most // group)
+
+    def top(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Through which states the cheapest path enters and leaves each piece of a conversation."""
         out = []
         for (conv,), own in _runs(pdf, ["conv"], ["segment", "a", "b", "cost"]):
-            best: dict[str, tuple[int, tuple | None]] = {"start": (0, None)}
-            for number, steps in itertools.groupby(own, key=lambda x: x[0]):
-                new: dict[str, tuple[int, tuple | None]] = {}
-                for _, a, b, cost in sorted(steps, key=lambda x: (STATES.index(x[1]), STATES.index(x[2]))):
-                    if a in best and (b not in new or best[a][0] + cost < new[b][0]):
-                        new[b] = (best[a][0] + int(cost), (best[a][1], number, a, b))
-                best = new
-            end = min(best, key=lambda s: (best[s][0] + ending(s)[0], STATES.index(s)))
-            total, path, last = best[end][0] + ending(end)[0], best[end][1], True
-            while path:
-                out.append((conv, path[1], path[2], path[3], total, last))
-                path, last = path[0], False
+            total, steps = _through(own, "start", None)
+            out += [(conv, number, a, b, total, k == len(steps) - 1) for k, (number, a, b) in enumerate(steps)]
         return pd.DataFrame(out, columns=["conv", "segment", "a", "b", "cost", "ends"])
 
-    whole = costs.withColumn("part", F.pmod(F.xxhash64("conv"), F.lit(groups)))
-    chosen = whole.groupBy("part").applyInPandas(compose, "conv string, segment long, a string, b string, cost long, ends boolean")
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The same inside a group that the path enters and leaves as told."""
+        out = []
+        for (conv, _), own in _runs(pdf, ["conv", "up"], ["segment", "a", "b", "cost", "ua", "ub", "total", "uends"]):
+            _, steps = _through([x[:4] for x in own], own[0][4], own[0][5])
+            out += [(conv, number, a, b, own[0][6], bool(own[0][7]) and k == len(steps) - 1) for k, (number, a, b) in enumerate(steps)]
+        return pd.DataFrame(out, columns=["conv", "segment", "a", "b", "cost", "ends"])
+
+    told = step + ", ends boolean"
+    chosen = levels[-1].withColumn("part", dealt("conv")).groupBy("part").applyInPandas(top, told)
+    for lower in levels[-2::-1]:
+        above = saved(chosen).select("conv", F.col("segment").alias("up"), F.col("a").alias("ua"), F.col("b").alias("ub"), F.col("cost").alias("total"), F.col("ends").alias("uends"))
+        both = lower.withColumn("up", F.floor(F.col("segment") / group).cast("long")).join(above, ["conv", "up"])
+        chosen = both.withColumn("part", dealt("conv", "up")).groupBy("part").applyInPandas(inside, told)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What is written before and after each turn's text."""
         out = []
-        columns = ["position", "conv_id", "turn", "role", "text", "a", "b", "cost", "ends"]
-        for _, own in _runs(pdf, ["conv", "segment"], columns):
-            roles = tuple(x[3] if isinstance(x[3], str) else None for x in own)
-            state = own[0][5]
-            steps = solve(roles, state)[own[0][6]][1]
-            for k, ((action, to, before), x, role) in enumerate(zip(steps, own, roles, strict=True)):
-                piece = ""
+        for _, own in _runs(pdf, ["conv", "segment"], ["position", "row", "role", "a", "b", "cost", "ends"]):
+            pattern = tuple(x[2] if isinstance(x[2], str) else None for x in own)
+            state = own[0][3]
+            steps = solve(pattern, state)[own[0][4]][1]
+            for k, ((action, to, before), x) in enumerate(zip(steps, own, strict=True)):
+                head, tail = "", ""
                 for new in before:
-                    piece += (CLOSE if state != "start" else "") + OPEN.format(new)
+                    head += (CLOSE if state != "start" else "") + OPEN.format(new)
                     state = new
-                if action.endswith("merge"):
-                    piece += "\n" + x[4]
-                else:
-                    piece += (CLOSE if state != "start" else "") + OPEN.format(to) + x[4]
+                head += "\n" if action.endswith("merge") else (CLOSE if state != "start" else "") + OPEN.format(to)
                 state, after = to, ()
-                if k == len(steps) - 1 and x[8]:
+                if k == len(steps) - 1 and x[6]:
                     after = ending(state)[1]
-                    piece += CLOSE + "".join(OPEN.format(new) + CLOSE for new in after)
-                out.append((x[1], x[0], x[2], role, to, action, [*before, *after], x[7], piece))
-        return pd.DataFrame(out, columns=["conv_id", "position", "turn", "role", "new_role", "action", "inserted", "cost", "piece"])
-
-    schema = "conv_id long, position long, turn long, role string, new_role string, action string, inserted array<string>, cost long, piece string"
-    joined = rows.join(chosen, ["conv", "segment"])
-    # Nullable integers must not pass through floats.
-    joined = joined.withColumn("conv_id", F.col("conv_id").cast("string")).withColumn("turn", F.col("turn").cast("string"))
-    text = schema.replace("conv_id long", "conv_id string").replace("turn long", "turn string")
-    return joined.groupBy("part").applyInPandas(write, text).withColumn("conv_id", F.col("conv_id").cast("long")).withColumn("turn", F.col("turn").cast("long"))
+                    tail = CLOSE + "".join(OPEN.format(new) + CLOSE for new in after)
+                out.append((x[1], to, action, [*before, *after], x[5], head, tail))
+        return pd.DataFrame(out, columns=["row", "new_role", "action", "inserted", "cost", "head", "tail"])
+
+    solved = roles.join(chosen, ["conv", "segment"]).withColumn("part", dealt("conv", "segment"))
+    written = solved.groupBy("part").applyInPandas(write, "row long, new_role string, action string, inserted array<string>, cost long, head string, tail string")
+    return rows.join(written, "row").select("conv_id", "position", "turn", "role", "new_role", "action", "inserted", "cost", F.concat("head", "text", "tail").alias("piece"))

@@ -34,9 +34,9 @@ def test_repairs(spark):
         rows += [(conv, k, r, f"t{k}" if k % 3 else None, 1) for k, r in enumerate(roles)]
     rng.shuffle(rows)
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, cost int")
-    for segment in (512, 3):
+    for segment, group in ((512, 256), (2, 2)):
         got = {}
-        for r in repair(table, segment).collect():
+        for r in repair(table, segment, group).collect():
             got.setdefault(r["conv_id"], []).append(r)
         assert sorted(got) == sorted(convs)
         for conv, own in got.items():
@@ -54,5 +54,5 @@ def test_repairs(spark):
 def test_chat_edges(spark):
     table = spark.createDataFrame([(None, None, None, None), (1, None, "user", "a"), (1, None, "user", "a"), (2, 5, "assistant", "b" * 100000)], "conv_id long, turn long, role string, text string")
     got = sorted([(r["conv_id"], r["new_role"], r["action"], r["cost"]) for r in repair(table).collect()], key=str)
-    assert got == sorted([(None, "user", "relabel", 5), (1, "user", "keep", 4), (1, "user", "merge", 4), (2, "user", "relabel", 5)], key=str) or [g[3] for g in got if g[0] == 2] in ([3], [5])
+    assert got == sorted([(None, "user", "relabel", 5), (1, "user", "keep", 2), (1, "assistant", "relabel", 2), (2, "assistant", "keep", 3)], key=str)
     assert repair(table.where("false")).collect() == []
