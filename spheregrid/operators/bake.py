@@ -94,7 +94,7 @@ def seeded_patches(cells: DataFrame, indices: DataFrame, seed: int, n: int, patc
     draw = lambda k: hash01(F.col("idx") * 1_000_003 + F.col("attempt") * 7 + k, F.lit(seed))
     pick = lambda k, low, high: (low + F.floor(draw(k) * (high - low + 1))).cast("long")
     last = F.lit((n - patch) // factor)
-    tries = indices.select("idx", F.explode(F.sequence(F.lit(0), F.lit(max_tries - 1))).cast("long").alias("attempt"))
+    tries = indices.select("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_tries - 1).cast("long"))).alias("attempt"))
     if split == "val":
         boxes = [tuple(r) for r in holdout_boxes(cells).orderBy("face").collect()]  # six at most
         if not boxes:

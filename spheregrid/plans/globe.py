@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spheregrid.functions import features, geometry, noise
 from spheregrid.operators import bake, hydro, planets, predicates, quadtree, resample, windows
 from spheregrid.plans.queries import BOXES, DIR, FACE, STEPS, UV, COS, E, G, H, V, W, _LAT, _S, _VEC, _W, _mul, _xor, grid, mean_preserving, on_faces, patches, points, query, r6, read, upsampled
-from spheregrid.sources import tables
+from spheregrid.sources import registry, tables
 from spheregrid.streaming.frames import resumed
 
 M64 = "18446744073709551616::HUGEINT"
@@ -302,6 +302,15 @@ def q65_cube_round_trip(spark, sf_dir):
     return tables.read_cells(spark, path, 2, ["height"]).withColumn("metres", r6(F.lit(metres)))
 
 
+@query(f"""WITH {E}, {DIR}, {placed("d", "p")} SELECT face, count(*) AS n, round(sum(x), 4) + 0.0 AS x, round(sum(u), 4) + 0.0 AS u, round(sum(v), 4) + 0.0 AS v, round(sum(lat), 4) + 0.0 AS lat, round(sum(lon), 4) + 0.0 AS lon
+FROM (SELECT CAST(o AS BIGINT) AS face, x, ou AS u, ov AS v, degrees(asin(z)) AS lat, degrees(atan2(y, x)) AS lon FROM p) GROUP BY face""")
+def q89_vector_sink(spark, sf_dir):
+    path = _folder(spark)
+    registry.write_vectors(on_faces(spark, sf_dir).select(*"xyz"), path)
+    back = spark.read.schema("dir array<double>, face long, u double, v double, lat double, lon double").json(path)
+    return back.groupBy("face").agg(F.count("*").alias("n"), r4(F.sum(F.col("dir")[0])).alias("x"), *[r4(F.sum(c)).alias(c) for c in ("u", "v", "lat", "lon")])
+
+
 @query(f"""SELECT layer, CAST(6 * {BN * BN} AS BIGINT) AS rows, 'py' AS third, 8 AS factor, 'two' AS a, 'x' AS b FROM (VALUES ('height'), ('wet')) t(layer)""")
 def q66_catalogue(spark, sf_dir):
     path = _folder(spark)

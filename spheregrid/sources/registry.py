@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spheregrid.functions.geometry import dir_to_face, dir_to_latlon, dir_to_uv
+
 SOURCE = "name string, filename string, bytes long, description string, license string"
 
 
@@ -48,3 +50,12 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame({"path": name, "row": (r + k).astype(np.int32), "col": c.astype(np.int32), "channel": ch.astype(np.int32), "value": part.ravel().astype(np.float32)})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row int, col int, channel int, value float")
+
+
+def write_vectors(directions: DataFrame, path: str) -> None:
+    """Unit directions ``(x, y, z)`` with their face, place on it, latitude and longitude, as JSON lines for tests elsewhere."""
+    d = [F.col(c) for c in "xyz"]
+    at = directions.withColumn("face", dir_to_face(d))
+    u, v = dir_to_uv(d, F.col("face"))
+    lat, lon = dir_to_latlon(d)
+    at.select(F.array(*d).alias("dir"), "face", u.alias("u"), v.alias("v"), lat.alias("lat"), lon.alias("lon")).write.json(path)
