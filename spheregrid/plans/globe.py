@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -289,13 +288,9 @@ def q64_aligned_layers(spark, sf_dir):
     return tables.overlaid(both, over, ["i", "j"])
 
 
-def _folder(spark) -> str:
-    return f"{tables.shared_folder(spark)}/spheregrid-{uuid.uuid4().hex}"
-
-
 @query(f"SELECT face, i, j, CAST({value_sql('face', 'i', 'j')} AS DOUBLE) AS height, round(pi() / 2 * 6371000 / {BN}, 6) + 0.0 AS metres FROM {pixels(BN)} WHERE face = 2")
 def q65_cube_round_trip(spark, sf_dir):
-    path = _folder(spark)
+    path = tables.scratch(spark)
     tables.write_cells(cube_values(spark, BN).withColumnRenamed("h", "height"), path)
     cells, metres, stride = tables.open_cube(spark, path, BN, 6_371_000.0)
     assert stride is None and cells.columns == ["face", "i", "j", "height"]
@@ -305,7 +300,7 @@ def q65_cube_round_trip(spark, sf_dir):
 @query(f"""WITH {E}, {DIR}, {placed("d", "p")} SELECT face, count(*) AS n, round(sum(x), 4) + 0.0 AS x, round(sum(u), 4) + 0.0 AS u, round(sum(v), 4) + 0.0 AS v, round(sum(lat), 4) + 0.0 AS lat, round(sum(lon), 4) + 0.0 AS lon
 FROM (SELECT CAST(o AS BIGINT) AS face, x, ou AS u, ov AS v, degrees(asin(z)) AS lat, degrees(atan2(y, x)) AS lon FROM p) GROUP BY face""")
 def q89_vector_sink(spark, sf_dir):
-    path = _folder(spark)
+    path = tables.scratch(spark)
     registry.write_vectors(on_faces(spark, sf_dir).select(*"xyz"), path)
     back = spark.read.schema("dir array<double>, face long, u double, v double, lat double, lon double").json(path)
     return back.groupBy("face").agg(F.count("*").alias("n"), r4(F.sum(F.col("dir")[0])).alias("x"), *[r4(F.sum(c)).alias(c) for c in ("u", "v", "lat", "lon")])
@@ -313,7 +308,7 @@ def q89_vector_sink(spark, sf_dir):
 
 @query(f"""SELECT layer, CAST(6 * {BN * BN} AS BIGINT) AS rows, 'py' AS third, 8 AS factor, 'two' AS a, 'x' AS b FROM (VALUES ('height'), ('wet')) t(layer)""")
 def q66_catalogue(spark, sf_dir):
-    path = _folder(spark)
+    path = tables.scratch(spark)
     tables.write_meta(cube_values(spark, BN).withColumnRenamed("h", "height").withColumn("wet", F.col("height") > 9), path, BN, 8, 896)
     meta = tables.with_provenance(tables.with_provenance(tables.read_meta(spark, path), {"a": "one", "b": "x"}), {"a": "two"})
     return meta.select(F.explode("layers").alias("layer", "x"), "faces", "ctx_factor", "run").select("layer", "x.rows", F.col("faces")[2].alias("third"), F.col("ctx_factor").alias("factor"), F.col("run")["a"].alias("a"), F.col("run")["b"].alias("b"))
@@ -321,7 +316,7 @@ def q66_catalogue(spark, sf_dir):
 
 @query("""SELECT event_id AS step, event_type AS phase, (SELECT count(*) FROM events WHERE event_id % 97 IN (0, 5)) AS logged FROM events WHERE event_id = (SELECT max(event_id) FROM events WHERE event_id % 97 IN (0, 5))""")
 def q67_training_log(spark, sf_dir):
-    path, events = _folder(spark), read(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("phase"))
+    path, events = tables.scratch(spark), read(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("phase"))
     for part in (0, 5):
         tables.append_log(events.where(F.col("step") % 97 == part), path)
     log = spark.read.schema("step long, phase string").option("header", True).csv(path)

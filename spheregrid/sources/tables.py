@@ -33,10 +33,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders that this session has written intermediate tables to.
+_WRITTEN: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path for an intermediate table in the shared folder."""
+    _WRITTEN.append(f"{shared_folder(spark)}/spheregrid-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def discard(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this session: to be called when the results that came from them have been read or written."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so a loop's plans stay short and survive lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/spheregrid-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -273,6 +273,16 @@ def test_sources(spark, tmp_path):
     assert tables.last_row(log).first()["loss"] == 0.1
 
 
+def test_discard(spark):
+    kept = tables.settled(spark.range(5))
+    path = tables._WRITTEN[-1]
+    assert kept.count() == 5 and spark.read.parquet(path).count() == 5
+    tables.discard(spark)
+    assert not tables._WRITTEN
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_months(spark):
     rows = [(c, m, 0.0 if c == 1 else -3.4e38 if c == 2 and m == 5 else float(m)) for c in range(4) for m in range(1, 13)]
     out = {r["c"]: r for r in tables.monthly_summary(spark.createDataFrame(rows, "c int, month int, v double"), ["c"], "v", -3.4e38).collect()}
