@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,22 +10,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spheregrid.sources.tables import scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only on a local master where that is unset (tests) a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="spheregrid-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
 
+#: Rows of a table of a few numbers each that one task writes at least.
+TASK_ROWS = 50_000
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: later readers survive lost executors."""
+
+def saved(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: later readers survive lost executors.
+
+    With ``rows``, the most it can have, a small table is written by few tasks.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spheregrid-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,17 +78,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     logarithm of the longest path.  Rows with a null end are left out.
     """
     current = saved(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    # Both stars replace edges one by one, so no later table of edges is larger than twice the first.
+    most, before = 2 * current.count(), None
     for _ in range(max_rounds):
         both = current.union(current.select("b", "a"))
-        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), most)
         # Large star: every neighbour larger than the node points to the smallest of the neighbourhood.
-        large = saved(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        least = saved(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = saved(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), most)
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         # Small star: every smaller neighbour, and the node itself, point to the smallest one.
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        current = saved(small.where("a <> b").distinct())
+        current = saved(small.where("a <> b").distinct(), most)
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             break

@@ -263,10 +263,15 @@ class _Sets:
         offsets = lists.offsets.to_numpy().astype(np.int64)
         values = lists.values.to_numpy()[offsets[0] : offsets[-1]]
         self.offsets, self.sizes = offsets - offsets[0], np.diff(offsets)
-        self.words, self.codes = np.unique(values, return_inverse=True)
-        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.posted = doc[np.argsort(self.codes, kind="stable")]
-        self.post = np.concatenate([[0], np.cumsum(np.bincount(self.codes, minlength=len(self.words)))]).astype(np.int64)
+        # One sort gives the distinct shingles, each set's codes of them, and the sets that have each.
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        first = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+        self.words = values[first]
+        self.codes = np.empty(len(values), np.int32)
+        self.codes[order] = np.cumsum(first, dtype=np.int32) - 1
+        self.posted = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)[order]
+        self.post = np.append(np.flatnonzero(first), len(values))
 
     def overlap(self, codes: np.ndarray) -> np.ndarray:
         """Size of the intersection of each set with the set of ``codes``."""
