@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spheregrid.functions import features, geometry, noise
 from spheregrid.operators import bake, hydro, planets, predicates, quadtree, resample, windows
-from spheregrid.plans.queries import BOXES, DIR, FACE, STEPS, UV, COS, E, G, H, V, W, _LAT, _S, _VEC, _W, _mul, _xor, grid, mean_preserving, on_faces, patches, points, query, r6, read, upsampled
+from spheregrid.plans.queries import BOXES, DIR, FACE, STEPS, UV, E, G, H, V, W, _LAT, _S, _VEC, _W, _mul, _xor, grid, mean_preserving, on_faces, patches, points, query, r6, read, upsampled
 from spheregrid.sources import registry, tables
 from spheregrid.streaming.frames import resumed
 
