@@ -33,6 +33,8 @@ from spheregrid.llm.tokens import Words, mix, shingle_sets
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 12_000_000
 #: Texts of the sample that are cut to tokens at once.
 PART_BYTES = 1_000_000
+#: Tokens whose recursions run side by side.
+STEP_TOKENS = 400_000
 #: First bytes of a token that are features of it, beside the whole token.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Share of a feature's documents that must be toxic for it to mark a token.
@@ -104,13 +106,23 @@ class Crf:
 
 
 def forward_backward(counts: np.ndarray, toxic: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the toxic state and expected edge counts of all sequences at once; ``toxic`` is its log potential over the clean one."""
-    packed = Packed(counts)
-    log = toxic[packed.order]
-    shift = np.maximum(log, 0)
-    marginal, _, pairs, _ = packed.backward(np.stack([np.exp(-shift), np.exp(log - shift)]), np.ones(2), np.exp(edge))
-    out = np.empty(len(log))
-    out[packed.order] = marginal[1]
+    """Marginals of the toxic state and expected edge counts of all sequences; ``toxic`` is its log potential over the clean one.
+
+    Sequences go through some ``STEP_TOKENS`` at a time, which bounds the memory.
+    """
+    out, pairs = np.empty(len(toxic)), np.zeros((2, 2))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    first = 0
+    while first < len(counts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + STEP_TOKENS, side="right")) - 1)
+        own = slice(ends[first], ends[last])
+        packed = Packed(counts[first:last])
+        log = toxic[own][packed.order]
+        shift = np.maximum(log, 0)
+        marginal, _, more, _ = packed.backward(np.stack([np.exp(-shift), np.exp(log - shift)]), np.ones(2), np.exp(edge))
+        out[own][packed.order] = marginal[1]
+        pairs += more
+        first = last
     return out, pairs
 
 
@@ -189,7 +201,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 30) -> Crf:
     del kinds, of, where
     first = _firsts(counts)
     width = len(feature) + 1
-    weight, bias, edge = np.zeros((3, width)), 0.0, np.zeros((2, 2))
+    # Where nothing marks a token, none is toxic.
+    weight, bias, edge = np.zeros((3, width)), 0.0 if len(feature) else -30.0, np.zeros((2, 2))
     # Damped Newton steps with the diagonal of the curvature, on the conditional log-likelihood with an L2 prior; some six weights share a token.
     prior, damping = 0.01, 6.0
     inner = np.flatnonzero(~first)
