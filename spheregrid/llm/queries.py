@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spheregrid.llm.bpe import encode_documents
 from spheregrid.llm.chat import repair
 from spheregrid.llm.common import documents
+from spheregrid.llm.divergence import source_divergence
 from spheregrid.llm.forest import forest_search
 from spheregrid.llm.hmm import score_documents
 from spheregrid.llm.jaccard import ngram_jaccard_join
@@ -65,6 +66,10 @@ def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -161,5 +166,41 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(c.reached) AS component_
 """
 
 
+#: Every share of every kept term, and the costs of all pairs of sources over the whole vocabulary.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), w AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), c AS (
+  SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term
+), v AS (
+  SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang
+), g AS (
+  SELECT lang, source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source) USING (lang, source)
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+         1 + CAST(1000000000 * (coalesce(c.c, 0) + 1) AS HUGEINT) // CAST(g.n + v.v AS HUGEINT) AS p,
+         1 + CAST(1000000000 * (k.c + 1) AS HUGEINT) // CAST(v.n + v.v AS HUGEINT) AS q
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op5_stratified_shards": OP5_SQL, "op7_mixture": OP7_SQL, "op9_exact_topk": OP9_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op5_stratified_shards": OP5_SQL, "op7_mixture": OP7_SQL, "op9_exact_topk": OP9_SQL, "op13_divergence_audit": OP13_SQL}
