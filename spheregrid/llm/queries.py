@@ -19,6 +19,7 @@ from spheregrid.llm.mixing import mixture
 from spheregrid.llm.sharding import stratified_shards
 from spheregrid.llm.topk import exact_topk
 from spheregrid.llm.toxicity import score_toxicity
+from spheregrid.llm.trie import conversation_trie
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,10 @@ def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
@@ -165,6 +170,45 @@ WITH RECURSIVE w AS (
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(c.reached) AS component_id FROM n JOIN c ON c.doc_id = n.doc_id GROUP BY n.doc_id, n.n
 """
 
+#: Prefixes as lists of turns, and every subtree as the nodes whose lists begin with its top's.
+OP11_SQL = """
+WITH t AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS t
+), o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+         md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), i AS (
+  SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id
+), h AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_transform(regexp_extract_all(CAST(conv_id AS VARCHAR), '.'), lambda c: ascii(c)), lambda a, b: xor(a // 256, t.t[xor(a % 256, b) + 1]), 4294967295), 4294967295) % 6 AS h
+  FROM i, t
+), m AS (
+  SELECT h.*, least(h.h, coalesce(b.n, 0)) AS had FROM h LEFT JOIN i b ON b.conv_id = h.base
+), r AS (
+  SELECT m.conv_id, o.place + 1 AS depth, o.role, o.text FROM m JOIN o ON o.conv_id = m.base WHERE o.place < m.h
+  UNION ALL
+  SELECT m.conv_id, m.had + o.place - m.h + 1, o.role, o.text FROM m JOIN o ON o.conv_id = m.conv_id WHERE o.place >= m.h
+), p AS (
+  SELECT conv_id, depth, text, list(struct_pack(r := role, t := text)) OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM r
+  UNION ALL
+  SELECT conv_id, 0, '', [] FROM i
+), e AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p
+), n AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, length(any_value(text)) AS length,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM e GROUP BY key, depth
+), c AS (
+  SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM n k WHERE k.depth = n.depth + 1 AND k.key[1:n.depth] = n.key) AS n_children
+  FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND u.key = n.key[1:n.depth - 1]
+)
+SELECT CAST(a.conv_id AS BIGINT) AS conv_id, CAST(a.depth AS BIGINT) AS depth, CAST(a.parent_conv_id AS BIGINT) AS parent_conv_id, CAST(a.n_convs AS BIGINT) AS n_convs, CAST(a.n_children AS BIGINT) AS n_children,
+       CAST(count(*) FILTER (WHERE b.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((b.n_convs - 1) * b.length) AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM c a JOIN c b ON b.depth >= a.depth AND b.key[1:a.depth] = a.key
+GROUP BY a.key, a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256
+"""
 
 #: Every share of every kept term, and the costs of all pairs of sources over the whole vocabulary.
 OP13_SQL = r"""
@@ -203,4 +247,4 @@ FROM r QUALIFY part = 'pair' OR rank <= 200
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": OP1_SQL, "op5_stratified_shards": OP5_SQL, "op7_mixture": OP7_SQL, "op9_exact_topk": OP9_SQL, "op13_divergence_audit": OP13_SQL}
+    return {"op1_jaccard_join": OP1_SQL, "op5_stratified_shards": OP5_SQL, "op7_mixture": OP7_SQL, "op9_exact_topk": OP9_SQL, "op11_conversation_trie": OP11_SQL, "op13_divergence_audit": OP13_SQL}
