@@ -16,6 +16,7 @@ from spheregrid.llm.hmm import score_documents
 from spheregrid.llm.jaccard import ngram_jaccard_join
 from spheregrid.llm.langid import identify
 from spheregrid.llm.mixing import mixture
+from spheregrid.llm.packing import encoded_pieces, pack
 from spheregrid.llm.sharding import stratified_shards
 from spheregrid.llm.topk import exact_topk
 from spheregrid.llm.toxicity import score_toxicity
@@ -71,6 +72,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = encoded_pieces(documents(spark, sf_dir))
+    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(documents(spark, sf_dir))
 
