@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from spheregrid.llm.common import gathered, saved, small_batches
 
 #: Text of a chunk that is encoded at once, pieces of a batch that leaves it, words of one call of the tokenizer.
-CHUNK_BYTES, BATCH_PIECES, CALL_WORDS = 24_000_000, 500, 1000
+CHUNK_BYTES, BATCH_PIECES, CALL_WORDS = 10_000_000, 250, 1000
 #: Pieces that a task packs, and the share of a sequence that it may be short by and still be done.
 GROUP, SLACK = 8192, 1 / 128
 #: A round whose short sequences hold more than this share of its pieces isn't followed by another: their lengths don't fit together.
@@ -91,8 +91,8 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     edges = ends[:-1][ends[:-1] < len(raw)]
     first[edges] = word[edges]
     begins = np.flatnonzero(first)
-    kept = np.cumsum(word)
-    offsets = np.append(kept[begins] - 1, kept[-1] if len(kept) else 0).astype(np.int64)
+    kept = np.cumsum(word, dtype=np.int32 if len(raw) < 1 << 31 else np.int64)
+    offsets = np.append(kept[begins].astype(np.int64) - 1, kept[-1] if len(kept) else 0).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw[word])])
     return np.diff(np.searchsorted(begins, ends)), words
 
@@ -155,7 +155,8 @@ def encoded_pieces(docs: DataFrame, capacity: int = 4096, end: int = 1, path: st
             number = _ranges(np.zeros(len(counts), np.int64), pieces)
             before = number * capacity
             length = np.minimum(capacity, (ends - begins)[doc] - before)
-            ids = flat[_ranges(start[code], size[code])].astype("<u4")
+            ids = flat[_ranges(start[code], size[code])].astype("<u4", copy=False)
+            del code
             at = begins[doc] + before
             for a in range(0, len(doc), BATCH_PIECES):
                 b = min(len(doc), a + BATCH_PIECES)
