@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from spheregrid.llm.common import gathered, saved, small_batches
 
 #: Text of a chunk whose terms are counted at once.
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 14_000_000
 #: Sources of a block, and postings that a task corrects the overlaps of.
 BLOCK, SHARD_ROWS = 32, 100_000
 #: Copies of a source's totals and of a language's smoothed zeros, among which postings and histograms are dealt.
@@ -52,8 +52,8 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     edges = ends[:-1][ends[:-1] < len(raw)]
     first[edges] = letter[edges]
     begins = np.flatnonzero(first)
-    kept = np.cumsum(letter)
-    offsets = np.append(kept[begins] - 1, kept[-1] if len(kept) else 0).astype(np.int64)
+    kept = np.cumsum(letter, dtype=np.int32 if len(raw) < 1 << 31 else np.int64)
+    offsets = np.append(kept[begins].astype(np.int64) - 1, kept[-1] if len(kept) else 0).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(raw[letter])])
     return np.searchsorted(ends, begins, side="right") - 1, words
 
