@@ -58,10 +58,10 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.searchsorted(ends, begins, side="right") - 1, words
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Counts of each chunk's terms by language and source, and a row without a term for each of these."""
     names = ["lang", "source", "term", "count", "docs"]
-    for batch in gathered(batches, CHUNK_BYTES):
+    for batch in gathered(batches, size):
         lang, source = (batch.column(c).dictionary_encode() for c in ("lang", "source"))
         group, of_text = np.unique(lang.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(zero_copy_only=False), return_inverse=True)
         langs, sources = (x.dictionary.take(pa.array(k)) for x, k in ((lang, group // len(source.dictionary)), (source, group % len(source.dictionary))))
@@ -98,7 +98,7 @@ def _exact(value: Column) -> Column:
     return value.cast("decimal(38,0)")
 
 
-def _overlaps(key: tuple, rows: pa.Table) -> pa.Table:
+def _overlaps(key: tuple, rows: pa.Table, size: int) -> pa.Table:
     """What the terms that two sources of these blocks share add to the priced supports, for each ordered pair of the blocks' sources."""
     block_a, block_b = key[1].as_py(), key[2].as_py()
     term = rows.column("term").combine_chunks().dictionary_encode()
@@ -116,7 +116,7 @@ def _overlaps(key: tuple, rows: pa.Table) -> pa.Table:
     for x in range(len(here)):
         for y in range(x + 1, len(here)):
             # Pairs inside a block are left to the task of that block with itself.
-            if block_a != block_b and here[x] // BLOCK == here[y] // BLOCK:
+            if block_a != block_b and here[x] // size == here[y] // size:
                 continue
             both = np.flatnonzero((table[x] > 0) & (table[y] > 0))
             if not len(both):
@@ -143,7 +143,8 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, top: int = 200) -> D
     no rows; a language's only source has no pairs.
     """
     texts = small_batches(docs).select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counts = texts.mapInArrow(_counted, "lang string, source string, term string, count long, docs long")
+    chunk = CHUNK_BYTES
+    counts = texts.mapInArrow(lambda batches: _counted(batches, chunk), "lang string, source string, term string, count long, docs long")
     # Dealt by term once: sums by source and totals of the language need no other shuffle.
     counts = counts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     of_term = Window.partitionBy("lang", "term")
@@ -156,7 +157,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, top: int = 200) -> D
     groups = groups.withColumn("last", F.floor((F.count("*").over(of_lang) - 1) / BLOCK))
     groups = saved(groups.withColumn("zero", share("0L", "total", "terms")))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    size = postings.agg(F.count("*")).first()[0]
+    shards, block_size = max(1, -(-postings.count() // SHARD_ROWS)), BLOCK
 
     priced = postings.where("term is not null").withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))
     priced = priced.join(groups.withColumn("salt", salts), ["lang", "source", "salt"]).withColumn("p", share("count", "total", "terms"))
@@ -172,11 +173,10 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, top: int = 200) -> D
     prices = saved(against.groupBy("lang", "source", "zero").agg(F.sum(_exact(cost("p", "zero")) * F.col("n")).alias("gone"), F.sum(_exact(cost("zero", "p")) * F.col("n")).alias("come")))
 
     # Terms of both: a posting goes to every pair of blocks that its source's is one of.
-    shards = max(1, -(-size // SHARD_ROWS))
-    block = F.floor(F.col("number") / BLOCK)
+    block = F.floor(F.col("number") / block_size)
     dealt = priced.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     dealt = dealt.select("lang", F.least(block, "other").alias("a"), F.greatest(block, "other").alias("b"), F.pmod(F.xxhash64("term"), F.lit(shards)).alias("shard"), "term", "number", "p", "zero")
-    extra = dealt.groupBy("lang", "a", "b", "shard").applyInArrow(_overlaps, "lang string, number long, other long, extra long").groupBy("lang", "number", "other").agg(F.sum(_exact(F.col("extra"))).alias("extra"))
+    extra = dealt.groupBy("lang", "a", "b", "shard").applyInArrow(lambda key, rows: _overlaps(key, rows, block_size), "lang string, number long, other long, extra long").groupBy("lang", "number", "other").agg(F.sum(_exact(F.col("extra"))).alias("extra"))
 
     mine = groups.select("lang", "source", "number", "terms", "own", "zero")
     theirs = groups.select("lang", F.col("source").alias("item"), F.col("number").alias("other"), F.col("own").alias("own_other"), F.col("zero").alias("zero_other"))

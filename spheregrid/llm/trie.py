@@ -95,14 +95,14 @@ def prefixes(turns: DataFrame) -> DataFrame:
     return whole.select("conv_id", "depth", "length", _named([b + F.col(p) for b, p in zip(before, _PARTS, strict=True)]).alias("key"), _named(before).alias("parent"))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Sorted ``(key, conv_id)``: the ids of a key joined by commas, so many at a time."""
     for batch in batches:
         ids = batch.column("conv_id").to_pylist()
         a, b = (batch.column("key").field(k).to_pylist() for k in (0, 1))
         found, start = [], 0
         for i in range(1, len(ids) + 1):
-            if i == len(ids) or (a[i], b[i]) != (a[start], b[start]) or i - start == PIECE_IDS:
+            if i == len(ids) or (a[i], b[i]) != (a[start], b[start]) or i - start == most:
                 found.append(({"a": a[start], "b": b[start]}, ids[start], ",".join(map(str, ids[start:i]))))
                 start = i
         keys, first, text = zip(*found, strict=True) if found else ((), (), ())
@@ -138,8 +138,8 @@ def hashes_of_ends(ends: DataFrame) -> DataFrame:
     at is read by one task only as a stream of pieces, which is all that the
     hash can't do side by side.
     """
-    key = "key struct<a: long, b: long>"
-    pieces = small_batches(ends).select("key", "conv_id").repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(_pieces, f"{key}, first long, text string")
+    key, most = "key struct<a: long, b: long>", PIECE_IDS
+    pieces = small_batches(ends).select("key", "conv_id").repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").mapInArrow(lambda batches: _pieces(batches, most), f"{key}, first long, text string")
     return pieces.repartition("key").sortWithinPartitions("key", "first").mapInArrow(_hashed, f"{key}, ends_sha256 string")
 
 
@@ -147,9 +147,10 @@ def _paths(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``top`` (the depth at which its path begins), ``path`` (the top's key), ``level`` (light nodes above it)."""
     largest = nodes.where("depth > 0").groupBy("parent").agg(F.min_by("key", F.struct(-F.col("n_convs"), F.col("conv_id"))).alias("heavy"), F.count("*").alias("n_children"))
     nodes = nodes.join(largest.withColumnRenamed("parent", "key"), "key", "left")
-    light = nodes.where("depth > 0").select("key", "parent").join(largest.select("heavy"), F.col("key") == F.col("heavy"), "left_anti")
+    # Written first, so the rows of a light node with very many members can be dealt over several tasks of the next join.
+    light = saved(nodes.where("depth > 0").select("key").join(largest.select("heavy"), F.col("key") == F.col("heavy"), "left_anti"))
     # A conversation's light nodes are at most log2(conversations) many.
-    tops = rows.select("conv_id", "depth", "key").join(light.select("key"), "key").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "key"))).alias("tops"))
+    tops = rows.select("conv_id", "depth", "key").join(light, "key").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "key"))).alias("tops"))
     nodes = nodes.join(tops, "conv_id", "left")
     above = F.filter(F.coalesce("tops", F.array().cast(tops.schema["tops"].dataType)), lambda x: x["depth"] <= F.col("depth"))
     last = F.try_element_at(above, F.lit(-1))
