@@ -1,9 +1,9 @@
 """Drainage on a grid ``(i, j, h)``: filling, routing, accumulation, regions and incision.
 
-Sequential kernels become fixpoints and pointer jumping: a round is a join or
-a window over the whole grid, and the number of rounds grows with the longest
-flat path (filling, regions) or with its logarithm (everything along the
-receiver forest).  Rows wrap in longitude unless said otherwise.
+What a sequential kernel does along a cell's way through the grid is settled
+inside square tiles, and between tiles on graphs of their borders only
+(``tiles``); what is left of a forest takes pointer jumping.  Rows wrap in
+longitude unless said otherwise.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from spheregrid.functions.geometry import cell_area_km2, row_cos
 from spheregrid.functions.noise import hash01
+from spheregrid.operators import tiles
 from spheregrid.sources.tables import settled
 
 # The eight neighbours in the order in which ties are broken.
@@ -32,15 +33,60 @@ def neighbours(grid: DataFrame, width: int | None, columns: list[str]) -> DataFr
     return spread.join(near, ["n_i", "n_j"])
 
 
-def fill_depressions(grid: DataFrame, height: int, width: int, eps: float, sea: float = 0, name: str = "f", max_rounds: int = 100_000) -> DataFrame:
+#: Cells of one connected stretch of flats that a task raises; larger ones are settled in rounds over the grid.
+STRETCH = 4_000_000
+
+
+def fill_depressions(grid: DataFrame, height: int, width: int, eps: float, sea: float = 0, name: str = "f", size: int = tiles.SIZE, stretch: int | None = None) -> DataFrame:
     """The least surface above ``h`` from which everything drains: ``f = h`` on outlets (``h <= sea``, first and last row), else ``max(h, lowest neighbour + eps)``.
 
-    Falls from infinity until nothing changes; the minimum over the
-    neighbourhood comes from two windows, along rows (closed) and columns.
-    Integer heights with an ``eps`` that isn't whole are filled in double.
+    Tiles are flooded from their borders, the graph of spill heights between
+    their watersheds is settled, and tiles are raised once (``tiles.spill_surface``).
+    That is the surface for ``eps`` 0.  Otherwise only cells on flats and slopes
+    under ``eps`` differ: connected stretches of them are raised from their
+    rims, each in a task, and cells that so lose their slope join them until
+    none does.  Neither depends on how long a lake or a valley is; only
+    stretches of more than ``stretch`` cells are settled by rounds.  Integer
+    heights with an ``eps`` that isn't whole are filled in double; cells without
+    a way to an outlet are infinite (2^60 for integers).
+    """
+    kind = dict(grid.dtypes)["h"]
+    whole = kind in ("bigint", "int")
+    if whole and eps != int(eps):
+        grid, kind, whole = grid.withColumn("h", F.col("h").cast("double")), "double", False
+    outlet = (F.col("h") <= sea) | (F.col("i") == 0) | (F.col("i") == height - 1)
+    cells = settled(grid.select("i", "j", F.col("h").cast("double").alias("h"), outlet.alias("outlet")))
+    surface = tiles.spill_surface(cells, width, size).select("i", "j", "h", "outlet", F.col("w").alias("f"))
+    if eps > 0:
+        surface = _sloped(settled(surface), width, eps, size, STRETCH if stretch is None else stretch)
+        if surface is None:
+            return _filled_by_rounds(grid, height, width, eps, sea, name)
+    top = F.lit(1 << 60) if whole else F.lit(float("inf"))
+    filled = surface.select("i", "j", F.when(F.col("f") == float("inf"), top).otherwise(F.col("f")).cast(kind).alias(name))
+    return grid.drop(name).join(filled, ["i", "j"])
+
+
+def _sloped(state: DataFrame, width: int, eps: float, size: int, stretch: int) -> DataFrame | None:
+    """``state(i, j, h, outlet, f)`` with ``f`` raised by ``eps`` a step over flats; None if a stretch of them is too large for a task."""
+    state = state.withColumn("soft", F.lit(False))
+    while True:
+        found = settled(tiles.softened(state, width, eps, size))
+        if found.where("new").isEmpty():
+            return found.select("i", "j", "f")
+        soft = found.where("soft")
+        named = settled(tiles.regions(soft, width, size, diagonal=True, wrap=True))
+        if named.groupBy("label").count().agg(F.max("count")).first()[0] > stretch:
+            return None
+        raised = tiles.raised(soft.join(named, ["i", "j"]), width, eps)
+        state = found.select("i", "j", "h", "outlet", "soft", "f").join(raised.withColumnRenamed("f", "_f"), ["i", "j"], "left")
+        state = settled(state.withColumn("f", F.coalesce("_f", F.when(F.col("f") == float("inf"), F.col("f")).otherwise(F.col("h")))).drop("_f"))
+
+
+def _filled_by_rounds(grid: DataFrame, height: int, width: int, eps: float, sea: float, name: str, max_rounds: int = 100_000) -> DataFrame:
+    """The filled surface as a fixpoint over the whole grid: falls from infinity until nothing changes.
+
+    The minimum over the neighbourhood comes from two windows, along rows (closed) and columns.
     """
-    if dict(grid.dtypes)["h"] in ("bigint", "int") and eps != int(eps):
-        grid = grid.withColumn("h", F.col("h").cast("double"))
     outlet = (F.col("h") <= sea) | (F.col("i") == 0) | (F.col("i") == height - 1)
     kind = dict(grid.dtypes)["h"]
     top = F.lit(1 << 60).cast(kind) if kind in ("bigint", "int") else F.lit(float("inf"))
@@ -93,12 +139,16 @@ def stochastic_receivers(grid: DataFrame, surface: str, width: int, step: int, p
     return grid.select(cell.alias("c")).join(picked, "c", "left").select("c", F.coalesce("rec", "c").alias("rec"))
 
 
-def accumulate(forest: DataFrame, own: str, name: str = "acc") -> DataFrame:
+def accumulate(forest: DataFrame, own: str, name: str = "acc", width: int | None = None, size: int = tiles.SIZE) -> DataFrame:
     """``forest(c, rec, own)`` with the sum of ``own`` over each cell and all that drains through it.
 
+    Where the grid's ``width`` is given (and cells drain to neighbours), tiles
+    are summed first and only the links between their borders take rounds.
     Pointer jumping: after round r every cell holds the sum of all within
     2^r steps upstream, so rounds grow with the logarithm of the longest path.
     """
+    if width:
+        return tiles.accumulate(forest, own, name, width, size, accumulate)
     kind = dict(forest.dtypes)[own]
     state = settled(forest.select("c", F.when(F.col("rec") != F.col("c"), F.col("rec")).alias("r"), F.col(own).alias("a")))
     while True:
@@ -113,13 +163,20 @@ def accumulate(forest: DataFrame, own: str, name: str = "acc") -> DataFrame:
     return forest.join(state.select("c", F.col("a").alias(name)), "c")
 
 
-def flow_depth(forest: DataFrame) -> DataFrame:
-    """``(c, root, depth)``: where each cell drains to, and in how many steps.
+def flow_depth(forest: DataFrame, width: int | None = None, size: int = tiles.SIZE) -> DataFrame:
+    """``(c, root, depth)``: where each cell drains to, and in how many steps; with the grid's ``width`` by tiles, as ``accumulate``.
 
     A cell that points to a root has arrived and takes part in no further join,
     so no join has all cells of a basin under one key.
     """
-    every = settled(forest.select("c", F.col("rec").alias("r"), F.when(F.col("rec") != F.col("c"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("d"), (F.col("rec") == F.col("c")).alias("done")))
+    if width:
+        return tiles.flow_depth(forest, width, size, _chained_depth)
+    return _chained_depth(forest.select("c", "rec", (F.col("rec") != F.col("c")).cast("long").alias("steps"), (F.col("rec") == F.col("c")).alias("arrived")))
+
+
+def _chained_depth(links: DataFrame) -> DataFrame:
+    """``(c, root, depth)`` of ``links(c, rec, steps, arrived)``, by pointer jumping."""
+    every = settled(links.select("c", F.col("rec").alias("r"), F.col("steps").alias("d"), F.col("arrived").alias("done")))
     while True:
         open_ = every.where("not done")
         if open_.isEmpty():
@@ -136,23 +193,9 @@ def donors(forest: DataFrame) -> DataFrame:
     return forest.select("c").join(counts, "c", "left").select("c", F.coalesce("donors", F.lit(0)).cast("long").alias("donors"))
 
 
-def regions(cells: DataFrame, width: int) -> DataFrame:
-    """``(i, j, label)``: 4-connected regions of the given cells (no wrap), labelled by their smallest ``i * width + j``.
-
-    Labels spread along whole runs of a row or a column at once (a run is a
-    window of consecutive positions), so rounds grow with a region's bends.
-    """
-    state = cells.select("i", "j", (F.col("i").cast("long") * width + F.col("j")).alias("label"))
-    row, column = Window.partitionBy("i").orderBy("j"), Window.partitionBy("j").orderBy("i")
-    state = settled(state.withColumn("_r", F.col("j") - F.row_number().over(row)).withColumn("_c", F.col("i") - F.row_number().over(column)))
-    while True:
-        new = state.withColumn("_old", F.col("label"))
-        for _ in range(2):
-            new = new.withColumn("label", F.min("label").over(Window.partitionBy("i", "_r"))).withColumn("label", F.min("label").over(Window.partitionBy("j", "_c")))
-        new = settled(new.withColumn("_moved", F.col("label") < F.col("_old")).drop("_old"))
-        state = new.drop("_moved")
-        if new.where("_moved").isEmpty():
-            return state.select("i", "j", "label")
+def regions(cells: DataFrame, width: int, size: int = tiles.SIZE) -> DataFrame:
+    """``(i, j, label)``: 4-connected regions of the given cells (no wrap), labelled by their smallest ``i * width + j``; by tiles and the links between their borders."""
+    return tiles.regions(cells, width, size)
 
 
 def lake_mask(grid: DataFrame, filled: str, width: int, depth: float = 10.0, flat: float = 0.05, least: int = 40, sea: float = 0) -> DataFrame:
@@ -166,24 +209,30 @@ def lake_mask(grid: DataFrame, filled: str, width: int, depth: float = 10.0, fla
     return ranged.join(flats, ["i", "j"], "left").withColumn("lake", (F.col("h") > sea) & ((F.col(filled) - F.col("h") > depth) | F.coalesce("_big", F.lit(False)))).drop("lo", "hi", "_flat", "_big")
 
 
-def incise(forest: DataFrame, factor: str, sea: float = 0, name: str = "h2") -> DataFrame:
+def incise(forest: DataFrame, factor: str, sea: float = 0, name: str = "h2", width: int | None = None, size: int = tiles.SIZE) -> DataFrame:
     """One implicit step of stream-power incision on ``forest(c, rec, h, factor)``: ``h' = (h + F max(sea, h'(rec))) / (1 + F)``.
 
-    The update is affine in the receiver's new height; pointer jumping composes
-    the maps down to the roots.  Roots and cells up to ``sea`` keep their height.
+    The update is affine in the receiver's new height, so a way's maps are
+    composed: with the grid's ``width`` inside tiles first, then by pointer
+    jumping down to the roots.  Roots and cells up to ``sea`` keep their height.
     """
     fixed = (F.col("rec") == F.col("c")) | (F.col("h") <= sea)
-    state = forest.select("c", F.when(~fixed, F.col("rec")).alias("r"), F.when(fixed, F.greatest(F.col("h").cast("double"), F.lit(float(sea)))).otherwise(F.col("h") / (1 + F.col(factor))).alias("a"), F.when(fixed, F.lit(0.0)).otherwise(F.col(factor) / (1 + F.col(factor))).alias("b"))
-    state = settled(state)
+    maps = forest.select("c", F.when(~fixed, F.col("rec")).alias("r"), F.when(fixed, F.greatest(F.col("h").cast("double"), F.lit(float(sea)))).otherwise(F.col("h") / (1 + F.col(factor))).alias("a"), F.when(fixed, F.lit(0.0)).otherwise(F.col(factor) / (1 + F.col(factor))).alias("b"))
+    new = tiles.composed(maps, width, size, _chained_maps) if width else _chained_maps(maps)
+    new = new.select("c", F.col("a").alias("_a"))
+    return forest.join(new, "c").withColumn(name, F.when(fixed, F.col("h").cast("double")).otherwise(F.col("_a"))).drop("_a")
+
+
+def _chained_maps(maps: DataFrame) -> DataFrame:
+    """``maps(c, r, a, b)`` with ``a`` the value of each cell: ``a + b`` times the value at ``r``."""
+    state = settled(maps)
     while True:
         open_ = state.where("r is not null")
         if open_.isEmpty():
-            break
+            return state
         hop = state.select(F.col("c").alias("r"), F.col("r").alias("rr"), F.col("a").alias("ra"), F.col("b").alias("rb"))
         jumped = open_.join(hop, "r").select("c", F.col("rr").alias("r"), (F.col("a") + F.col("b") * F.col("ra")).alias("a"), (F.col("b") * F.col("rb")).alias("b"))
         state = settled(jumped.unionByName(state.where("r is null")))
-    new = state.select("c", F.col("a").alias("_a"))
-    return forest.join(new, "c").withColumn(name, F.when(fixed, F.col("h").cast("double")).otherwise(F.col("_a"))).drop("_a")
 
 
 def route(grid: DataFrame, height: int, width: int, sea: float = 0.0, eps: float = 1e-3) -> DataFrame:
@@ -192,7 +241,7 @@ def route(grid: DataFrame, height: int, width: int, sea: float = 0.0, eps: float
     cell = F.col("i").cast("long") * width + F.col("j")
     forest = receivers(filled, "f", width, sea, row_cos(F.col("i"), height))
     area = filled.withColumn("c", cell).withColumn("_area", cell_area_km2(F.col("i"), height, width))
-    return accumulate(settled(area.join(forest, "c")), "_area").drop("_area")
+    return accumulate(settled(area.join(forest, "c")), "_area", width=width).drop("_area")
 
 
 def water_layers(grid: DataFrame, height: int, width: int, sea: float = 0.0) -> DataFrame:

@@ -152,13 +152,13 @@ def erode(base: DataFrame, height: int, width: int, params: ErosionParams, sea:
         else:
             forest = receivers(filled, "f", width, sea, cosine)
         cells = filled.join(rock, ["i", "j"]).select(cell.alias("c"), "i", "j", "h", "uplift", "rock", cell_area_km2(F.col("i"), height, width).alias("area"))
-        routed = accumulate(settled(forest.join(cells, "c")), "area")
+        routed = accumulate(settled(forest.join(cells, "c")), "area", width=width)
         ri, rj = F.floor(F.col("rec") / width), F.col("rec") % width
         gap = F.least(F.abs(F.col("j") - rj), F.lit(1))
         distance = dx * F.sqrt((F.col("i") - ri) * (F.col("i") - ri) + (gap * cosine) * (gap * cosine))
         # A root has no distance; its factor isn't used.
         routed = routed.withColumn("factor", params.dt * params.k * F.col("rock") * F.pow(F.col("acc") * 1e6, F.lit(params.m)) / F.greatest(distance, F.lit(1e-9)))
-        cut = incise(settled(routed), "factor", sea).select("i", "j", F.col("h2").alias("h"), "uplift", (F.col("h") > sea).alias("_land"))
+        cut = incise(settled(routed), "factor", sea, width=width).select("i", "j", F.col("h2").alias("h"), "uplift", (F.col("h") > sea).alias("_land"))
         smooth = diffuse(cut, "h", coefficient, height, cosine, sea)
         state = settled(smooth.withColumn("h", F.when(F.col("_land"), F.greatest(F.col("h"), F.lit(sea + 0.5))).otherwise(F.col("h"))).drop("_land"))
     return state

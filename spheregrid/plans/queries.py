@@ -312,7 +312,7 @@ def q21_fill(spark, sf_dir):
 @query(f"""WITH RECURSIVE {REC}, p(src, pos, n) AS (SELECT c, c, n FROM rec UNION ALL SELECT src, r.rec, p.n FROM p JOIN rec r ON r.c = p.pos WHERE r.rec <> r.c)
 SELECT pos AS c, CAST(sum(n) AS BIGINT) AS acc FROM p GROUP BY pos""")
 def q22_accumulate(spark, sf_dir):
-    return hydro.accumulate(forest(spark, sf_dir), "n").select("c", "acc")
+    return hydro.accumulate(forest(spark, sf_dir), "n", width=W).select("c", "acc")
 
 
 @query(f"""WITH RECURSIVE {REC}, p(src, pos, d) AS (SELECT c, c, 0 FROM rec UNION ALL SELECT src, r.rec, p.d + 1 FROM p JOIN rec r ON r.c = p.pos WHERE r.rec <> r.c),
@@ -321,7 +321,7 @@ k AS (SELECT rec AS c, count(*) AS donors FROM rec WHERE rec <> c GROUP BY rec)
 SELECT q.c, root, depth, coalesce(donors, 0) AS donors FROM q LEFT JOIN k ON k.c = q.c""")
 def q23_flow_depth(spark, sf_dir):
     f = forest(spark, sf_dir)
-    return hydro.flow_depth(f).join(hydro.donors(f), "c")
+    return hydro.flow_depth(f, W).join(hydro.donors(f), "c")
 
 
 @query(f"""WITH RECURSIVE {G}, l AS (SELECT i, j, i * {W} + j AS k FROM g WHERE h > 0), r(t, i, j, k) AS (
@@ -337,7 +337,7 @@ def q24_regions(spark, sf_dir):
 SELECT rec.c, round(CASE WHEN rec.rec = rec.c OR rec.h <= 0 THEN rec.h::DOUBLE ELSE q.v END, 4) + 0.0 AS h2 FROM rec JOIN q ON q.c = rec.c""")
 def q25_incision(spark, sf_dir):
     f = forest(spark, sf_dir).withColumn("factor", F.lit(0.01) * F.col("n"))
-    return hydro.incise(f, "factor").select("c", (F.round("h2", 4) + 0.0).alias("h2"))
+    return hydro.incise(f, "factor", width=W).select("c", (F.round("h2", 4) + 0.0).alias("h2"))
 
 
 M64 = "18446744073709551616::HUGEINT"
