@@ -1,4 +1,4 @@
-"""Deterministic noise keyed by position, seed or cell: 64-bit wrapping hashes and gradient noise as Column expressions.
+"""Deterministic noise keyed by position, seed or cell: 64-bit wrapping hashes as Column expressions, gradient noise in Arrow batches.
 
 ANSI arithmetic raises on overflow, so products modulo 2^64 are put together
 from halves and quarters.
@@ -6,10 +6,10 @@ from halves and quarters.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,9 @@ OFFSET = 1 << 20
 _LOW = (1 << 32) - 1
 
 
+Points = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 def _signed(x: int) -> int:
     x &= (1 << 64) - 1
     return x - (1 << 64) if x >= 1 << 63 else x
@@ -108,17 +111,41 @@ def value_noise(df: DataFrame, p: tuple[Column, Column, Column], seed: int, name
     return df.withColumn(name, total).drop(*mixed, *[f"_{a}{n}" for a in "pbw" for n in "xyz"], *[f"_h{n}{d}" for n in "xyz" for d in (0, 1)])
 
 
+def lattice_noise(p: Points, seed: int) -> np.ndarray:
+    """``value_noise`` at many points at once; products of unsigned 64-bit numbers wrap by themselves."""
+    base = [np.floor(v) for v in p]
+    weight = [t * t * (3 - 2 * t) for t in (v - f for v, f in zip(p, base, strict=True))]
+    keys = [[(f.astype(np.int64) + d).astype(np.uint64) * np.uint64(k) for d in (0, 1)] for f, k in zip(base, (KEY_X, KEY_Y, KEY_Z), strict=True)]
+    total, own = np.zeros_like(p[0], dtype=float), np.uint64(seed * KEY_SEED % (1 << 64))
+    for corner in range(8):
+        bits = [corner >> k & 1 for k in range(3)]
+        x = keys[0][bits[0]] ^ keys[1][bits[1]] ^ keys[2][bits[2]] ^ own
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(LAST)
+        value = ((x ^ (x >> np.uint64(27))) >> np.uint64(11)).astype(float) / (1 << 53) * 2 - 1
+        share = 1.0
+        for w, bit in zip(weight, bits, strict=True):
+            share = share * (w if bit else 1 - w)
+        total += share * value
+    return total
+
+
 def detail_height(df: DataFrame, p: tuple[Column, Column, Column], radius: float, coarse: float, fine: Column | float, roughness: float, seed: int, name: str = "detail", octaves: int = 16) -> DataFrame:
     """``df`` with octaves of value noise in ``name``, from wavelength ``coarse`` and halved while above ``fine`` (``octaves`` at most)."""
     least = fine if isinstance(fine, Column) else F.lit(float(fine))
-    df, wave = df.withColumn(name, F.lit(0.0)), coarse
-    for octave in range(octaves):
-        if not isinstance(fine, Column) and wave <= fine:
-            break
-        df = value_noise(df, tuple(c * (radius / wave) for c in p), seed + octave, "_octave")
-        df = df.withColumn(name, F.col(name) + F.when(least < wave, F.col("_octave") * (wave * roughness)).otherwise(F.lit(0.0))).drop("_octave")
-        wave /= 2
-    return df
+
+    def fields(q: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+        *place, floor = q
+        total, wave = np.zeros_like(floor), coarse
+        for octave in range(octaves):
+            going = floor < wave
+            if not going.any():
+                break
+            total[going] += wave * roughness * lattice_noise(tuple(v[going] * (radius / wave) for v in place), seed + octave)
+            wave /= 2
+        return [total]
+
+    df = df.withColumns({f"_d{k}": c.cast("double") for k, c in enumerate((*p, least))})
+    return with_noise(df, tuple(f"_d{k}" for k in range(4)), [name], fields).drop(*[f"_d{k}" for k in range(4)])
 
 
 def surface_height(base: Column, detail: Column) -> Column:
@@ -132,64 +159,71 @@ GRADIENTS = ((1, 1, 0), (-1, 1, 0), (1, -1, 0), (-1, -1, 0), (1, 0, 1), (-1, 0,
 
 
 class Perlin:
-    """Seeded gradient noise over a permutation of 256, which the expressions carry as one constant array."""
+    """Seeded gradient noise over a permutation of 256, at many points at once.
+
+    Arrays in an Arrow batch: a chain of a dozen octaves as columns outgrows
+    the generated code of a stage, and as nested functions of arrays it is
+    interpreted row by row.
+    """
 
     def __init__(self, seed: int):
         order = np.random.default_rng(seed).permutation(256)
-        # Parsed once at planning: a single constant in the plan, not hundreds of them.
-        constant = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
-        self.table = constant([int(v) for v in np.concatenate([order, order])], "int")
-        self.gradients = [constant([float(g[k]) for g in GRADIENTS], "double") for k in range(3)]
-
-    def __call__(self, p: tuple[Column, Column, Column]) -> Column:
-        return bound(F.struct(*[c.alias(n) for c, n in zip(p, "xyz", strict=True)]), self._value)
-
-    def _value(self, q: Column) -> Column:
-        """Each quantity that several corners read is worked out once: cell and place in it, then the fades."""
-        p = [q[n] for n in "xyz"]
-        inside = F.struct(*[(c - F.floor(c)).alias(f"t{n}") for c, n in zip(p, "xyz", strict=True)], *[F.pmod(F.floor(c), F.lit(256)).cast("int").alias(f"c{n}") for c, n in zip(p, "xyz", strict=True)])
-        fades = lambda r: F.struct(*[r[f"{a}{n}"].alias(f"{a}{n}") for a in "tc" for n in "xyz"], *[(r[f"t{n}"] * r[f"t{n}"] * r[f"t{n}"] * (r[f"t{n}"] * (r[f"t{n}"] * 6 - 15) + 10)).alias(f"f{n}") for n in "xyz"])
-        return bound(bound(inside, fades), self._corners)
-
-    def _gradient(self, r: Column, corner: list[int]) -> Callable[[Column], Column]:
-        return lambda g: sum((self.gradients[k][g] * (r[f"t{n}"] - corner[k]) for k, n in enumerate("xyz")), F.lit(0.0))
-
-    def _corners(self, r: Column) -> Column:
-        total = F.lit(0.0)
-        for corner in range(8):
-            b = [(corner >> k) & 1 for k in range(3)]
-            index = self.table[self.table[self.table[r["cx"] + b[0]] + r["cy"] + b[1]] + r["cz"] + b[2]] % 12
-            weight = F.lit(1.0)
-            for k, n in enumerate("xyz"):
-                weight = weight * (r[f"f{n}"] if b[k] else 1 - r[f"f{n}"])
-            total = total + weight * bound(index, self._gradient(r, b))
+        self.table = np.concatenate([order, order]).astype(np.int64)
+        self.slopes = np.array([[g[k] for g in GRADIENTS] for k in range(3)], float)[:, self.table % len(GRADIENTS)]
+
+    def __call__(self, p: Points) -> np.ndarray:
+        floors = [np.floor(v) for v in p]
+        inside = [v - f for v, f in zip(p, floors, strict=True)]
+        cell = [f.astype(np.int64) & 255 for f in floors]
+        # Weights of the lower and the upper corner along each axis.
+        upper = [t * t * t * (t * (t * 6 - 15) + 10) for t in inside]
+        weight = [(1 - w, w) for w in upper]
+        total = np.zeros_like(p[0], dtype=float)
+        for a in (0, 1):
+            row = self.table[cell[0] + a] + cell[1]
+            for b in (0, 1):
+                column, both = self.table[row + b] + cell[2], weight[0][a] * weight[1][b]
+                for c in (0, 1):
+                    slope = self.slopes[:, column + c]
+                    total += both * weight[2][c] * (slope[0] * (inside[0] - a) + slope[1] * (inside[1] - b) + slope[2] * (inside[2] - c))
         return total
 
 
-def scaled(p: tuple[Column, Column, Column], by: float) -> tuple[Column, Column, Column]:
-    return tuple(c * by for c in p)
+def scaled(p: Points, by: float, shift: float = 0.0) -> Points:
+    return tuple(v * by + shift for v in p)
 
 
-def fbm(noise: Perlin, p: tuple[Column, Column, Column], frequency: float, octaves: int, lacunarity: float = 2.0, gain: float = 0.5) -> Column:
+def fbm(noise: Perlin, p: Points, frequency: float, octaves: int, lacunarity: float = 2.0, gain: float = 0.5) -> np.ndarray:
     """Octave sum, divided by the sum of its amplitudes."""
-    total, amplitude, norm = F.lit(0.0), 1.0, 0.0
-    for _ in range(octaves):
-        total, norm = total + noise(scaled(p, frequency)) * amplitude, norm + amplitude
-        frequency, amplitude = frequency * lacunarity, amplitude * gain
-    return total / norm
+    amplitudes = gain ** np.arange(octaves)
+    return sum(a * noise(scaled(p, frequency * lacunarity**o)) for o, a in enumerate(amplitudes)) / amplitudes.sum()
 
 
-def ridged(noise: Perlin, p: tuple[Column, Column, Column], frequency: float, octaves: int, lacunarity: float = 2.0, gain: float = 0.5) -> Column:
+def ridged(noise: Perlin, p: Points, frequency: float, octaves: int, lacunarity: float = 2.0, gain: float = 0.5) -> np.ndarray:
     """Ridges where the noise crosses zero; each octave is weighted by the one before."""
-    total, amplitude, norm, weight = F.lit(0.0), 1.0, 0.0, F.lit(1.0)
-    for _ in range(octaves):
-        ridge = F.pow(1 - F.abs(noise(scaled(p, frequency))), F.lit(2.0)) * weight
-        weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ridge * 2))
-        total, norm = total + ridge * amplitude, norm + amplitude
-        frequency, amplitude = frequency * lacunarity, amplitude * gain
-    return total / norm
+    amplitudes = gain ** np.arange(octaves)
+    total, ridge = 0.0, None
+    for o, a in enumerate(amplitudes):
+        before = 1.0 if ridge is None else np.clip(2 * ridge, 0, 1)
+        ridge = (1 - np.abs(noise(scaled(p, frequency * lacunarity**o)))) ** 2 * before
+        total = total + a * ridge
+    return total / amplitudes.sum()
 
 
-def domain_warp(noise: Perlin, p: tuple[Column, Column, Column], frequency: float, strength: float, offset: float = 17.3) -> tuple[Column, Column, Column]:
+def domain_warp(noise: Perlin, p: Points, frequency: float, strength: float, offset: float = 17.3) -> Points:
     """Points moved by three noise samples taken ``offset`` apart."""
-    return tuple(p[k] + noise(tuple(c * frequency + k * offset for c in p)) * strength for k in range(3))
+    return tuple(v + strength * noise(scaled(p, frequency, k * offset)) for k, v in enumerate(p))
+
+
+def with_noise(df: DataFrame, p: tuple[str, ...], names: list[str], fields: Callable[[tuple[np.ndarray, ...]], list[np.ndarray]]) -> DataFrame:
+    """``df`` with the double columns ``names``, which ``fields`` makes of the columns ``p`` a batch at a time; a null among them gives nulls."""
+
+    @F.pandas_udf(", ".join(f"`{n}` double" for n in names))
+    def made(*values: pd.Series) -> pd.DataFrame:
+        there = np.logical_and.reduce([v.notna().to_numpy() for v in values])
+        found = fields(tuple(v.to_numpy(float)[there] for v in values))
+        out = np.full((len(there), len(names)), np.nan)
+        out[there] = np.column_stack(found)
+        return pd.DataFrame({n: pd.Series(np.where(there, column, None), dtype=object) for n, column in zip(names, out.T, strict=True)} if not there.all() else dict(zip(names, out.T, strict=True)))
+
+    return df.withColumn("_made", made(*p)).select("*", "_made.*").drop("_made")

@@ -111,6 +111,13 @@ def tile_starts(n: int, tile: int, overlap: int, factor: int = 1) -> list[int]:
     return sorted({min(s, n - tile) for s in range(0, n, stride)})
 
 
+def tile_starts_of(extents: DataFrame, n: str, tile: int, overlap: int, factor: int = 1) -> DataFrame:
+    """``extents`` with a row for each ``start`` of the overlapping tiles of an extent ``n`` (of a tile at least), as ``tile_starts``."""
+    stride = max(1, (tile - overlap) // factor * factor)
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1, F.lit(stride).cast("long")), lambda s: F.least(s, F.col(n).cast("long") - tile)))
+    return extents.withColumn("start", F.explode(starts))
+
+
 def hann(position: Column, tile: int) -> Column:
     """Raised-cosine weight of a position in a tile, 0.001 at least."""
     return F.greatest(F.lit(1e-3), 0.5 - 0.5 * F.cos(2 * F.pi() * (position + 0.5) / tile))

@@ -49,18 +49,24 @@ def cell_of(t: str, n: int) -> str:
     return f"CAST(greatest(0, least({n - 1}, round_even({t}, 0))) AS INTEGER)"
 
 
+#: The order grid as a list by cell, each value from 0 to 52 (0 where the grid has no cell).
+_CELLS = f"""(SELECT list(coalesce(v, 0) ORDER BY a, b) FROM (SELECT unnest(range({H})) AS a), (SELECT unnest(range({W})) AS b) LEFT JOIN
+  (WITH {G} SELECT i, j, CAST((h % 53 + 53) % 53 AS INTEGER) AS v FROM g) ON i = a AND j = b)"""
+
+
 def value_sql(face: str, i: str, j: str) -> str:
-    """The synthetic cube's value of a pixel."""
-    return f"((({face}) * 31 + (({i}) + 100) * 7 + (({j}) + 100) * (({j}) + 100) * 3) % 53)"
+    """A cube's value at a pixel: the order grid's, wound around the faces."""
+    return f"{_CELLS}[CAST(((({i}) + 120 + ({face}) * 5) % {H}) * {W} + (({j}) + 144 + ({face}) * 11) % {W} + 1 AS BIGINT)]"
 
 
-def cube(spark, n: int, pad: int = 0) -> DataFrame:
-    i, j = F.col("i") + 100, F.col("j") + 100
-    return geometry.face_pixels(spark, n, pad).withColumn("v_", (F.col("face") * 31 + i * 7 + j * j * 3) % 53)
+def cube(spark, sf_dir, n: int, pad: int = 0) -> DataFrame:
+    g = grid(spark, sf_dir).select(F.col("i").alias("a"), F.col("j").alias("b"), F.pmod("h", F.lit(53)).cast("int").alias("_v"))
+    pixels_ = geometry.face_pixels(spark, n, pad).withColumn("a", (F.col("i") + 120 + F.col("face") * 5) % H).withColumn("b", (F.col("j") + 144 + F.col("face") * 11) % W)
+    return pixels_.join(g, ["a", "b"], "left").withColumn("v_", F.coalesce("_v", F.lit(0))).drop("a", "b", "_v")
 
 
-def cube_values(spark, n: int, pad: int = 0) -> DataFrame:
-    return cube(spark, n, pad).select("face", "i", "j", F.col("v_").cast("double").alias("h"))
+def cube_values(spark, sf_dir, n: int, pad: int = 0) -> DataFrame:
+    return cube(spark, sf_dir, n, pad).select("face", "i", "j", F.col("v_").cast("double").alias("h"))
 
 
 # --- coordinates ---------------------------------------------------------------------------------------------------
@@ -73,22 +79,30 @@ def q43_latlon(spark, sf_dir):
     return on_faces(spark, sf_dir).select("event_id", r6(lat).alias("lat"), r6(lon).alias("lon"))
 
 
-@query(f"""WITH {directed(pixels(8, 1), "d")} SELECT face, i, j, {rounded("u", "v")}, round(degrees(asin(z)), 6) + 0.0 AS lat,
-  round(CASE WHEN degrees(atan2(y, x)) >= 180 THEN degrees(atan2(y, x)) - 360 ELSE degrees(atan2(y, x)) END, 6) + 0.0 AS lon FROM d""")
+#: Events on each face.
+_BUSY = "busy AS (SELECT face, count(*) AS events FROM f GROUP BY face)"
+
+
+def busy(spark, sf_dir) -> DataFrame:
+    return on_faces(spark, sf_dir).groupBy("face").agg(F.count("*").alias("events"))
+
+
+@query(f"""WITH {E}, {DIR}, {FACE}, {_BUSY}, {directed(pixels(8, 1), "px")} SELECT face, i, j, events, {rounded("u", "v")}, round(degrees(asin(z)), 6) + 0.0 AS lat,
+  round(CASE WHEN degrees(atan2(y, x)) >= 180 THEN degrees(atan2(y, x)) - 360 ELSE degrees(atan2(y, x)) END, 6) + 0.0 AS lon FROM px JOIN busy USING (face)""")
 def q44_face_pixels(spark, sf_dir):
-    return geometry.face_pixel_latlon(spark, 8, 1).select("face", "i", "j", *[r6(F.col(c)).alias(c) for c in ("u", "v", "lat", "lon")])
+    return geometry.face_pixel_latlon(spark, 8, 1).join(busy(spark, sf_dir), "face").select("face", "i", "j", "events", *[r6(F.col(c)).alias(c) for c in ("u", "v", "lat", "lon")])
 
 
 _R = geometry.EARTH_RADIUS_KM
 
 
-@query(f"""WITH c AS (SELECT i, j, 90 - (i + 0.5::DOUBLE) * 180 / 12 AS lat, (j + 0.5::DOUBLE) * 360 / 24 - 180 AS lon FROM (SELECT unnest(range(12))::INTEGER AS i), (SELECT unnest(range(24))::INTEGER AS j))
-SELECT i, j, {rounded("lat", "lon")}, round(cos(radians(lat)) * cos(radians(lon)), 6) + 0.0 AS x, round(cos(radians(lat)) * sin(radians(lon)), 6) + 0.0 AS y, round(sin(radians(lat)), 6) + 0.0 AS z,
-  round({_R}::DOUBLE * {_R}::DOUBLE * (pi() / 12) * (2 * pi() / 24) * cos(radians(lat)), 3) + 0.0 AS km2, round(sqrt(1 + pow(greatest(0.15::DOUBLE, cos(radians(lat))), 2)), 6) + 0.0 AS step, 40075.0::DOUBLE / 4 / 64 AS px FROM c""")
+@query(f"""WITH {G}, c AS (SELECT i, j, n, 90 - (i + 0.5::DOUBLE) * 180 / {H} AS lat, (j + 0.5::DOUBLE) * 360 / {W} - 180 AS lon FROM g)
+SELECT i, j, n, {rounded("lat", "lon")}, round(cos(radians(lat)) * cos(radians(lon)), 6) + 0.0 AS x, round(cos(radians(lat)) * sin(radians(lon)), 6) + 0.0 AS y, round(sin(radians(lat)), 6) + 0.0 AS z,
+  round({_R}::DOUBLE * {_R}::DOUBLE * (pi() / {H}) * (2 * pi() / {W}) * cos(radians(lat)), 3) + 0.0 AS km2, round(sqrt(1 + pow(greatest(0.15::DOUBLE, cos(radians(lat))), 2)), 6) + 0.0 AS step, 40075.0::DOUBLE / 4 / 64 AS px FROM c""")
 def q45_equirect_grid(spark, sf_dir):
-    km2 = F.round(geometry.cell_area_km2(F.col("i"), 12, 24), 3) + 0.0
-    step = geometry.step_length(F.lit(1), F.lit(-1), geometry.row_cos(F.col("i"), 12))
-    return geometry.equirect_grid(spark, 12, 24).select("i", "j", *[r6(F.col(c)).alias(c) for c in ("lat", "lon", "x", "y", "z")], km2.alias("km2"), r6(step).alias("step"), F.lit(geometry.px_km(64)).alias("px"))
+    km2 = F.round(geometry.cell_area_km2(F.col("i"), H, W), 3) + 0.0
+    step = geometry.step_length(F.lit(1), F.lit(-1), geometry.row_cos(F.col("i"), H))
+    return geometry.equirect_grid(spark, H, W).join(grid(spark, sf_dir), ["i", "j"]).select("i", "j", "n", *[r6(F.col(c)).alias(c) for c in ("lat", "lon", "x", "y", "z")], km2.alias("km2"), r6(step).alias("step"), F.lit(geometry.px_km(64)).alias("px"))
 
 
 @query(f"WITH {E}, {DIR} SELECT event_id, round(x, 6) + 0.0 AS ex, round(z, 6) + 0.0 AS ey, round(-y, 6) + 0.0 AS ez, true AS back, round((abs(x) * 64 + 2) / 68, 6) + 0.0 AS t FROM d")
@@ -100,10 +114,11 @@ def q46_engine_axes(spark, sf_dir):
     return d.select("event_id", *[r6(c).alias(n) for c, n in zip(e, ("ex", "ey", "ez"), strict=True)], same.alias("back"), r6(geometry.texture_coordinate(F.abs("x"), 64, 2)).alias("t"))
 
 
-@query(f"""WITH e(edge, u, v) AS (VALUES ('top', 0.0::DOUBLE, 1.01::DOUBLE), ('bottom', 0, -1.01), ('left', -1.01, 0), ('right', 1.01, 0)),
-a AS (SELECT face::INTEGER AS face, edge, u, v FROM (SELECT unnest(range(6)) AS face), e), {directed("a", "d")}, {placed("d", "p")} SELECT face, edge, CAST(o AS INTEGER) AS neighbour FROM p""")
+@query(f"""WITH {E}, {DIR}, {FACE}, {_BUSY}, side(edge, u, v) AS (VALUES ('top', 0.0::DOUBLE, 1.01::DOUBLE), ('bottom', 0, -1.01), ('left', -1.01, 0), ('right', 1.01, 0)),
+a AS (SELECT face::INTEGER AS face, edge, u, v FROM (SELECT unnest(range(6)) AS face), side), {directed("a", "ad")}, {placed("ad", "p")} SELECT p.face, edge, CAST(o AS INTEGER) AS neighbour, events FROM p JOIN busy ON busy.face = o""")
 def q47_neighbour_faces(spark, sf_dir):
-    return geometry.neighbour_faces(spark)
+    across = busy(spark, sf_dir).withColumnRenamed("face", "neighbour")
+    return geometry.neighbour_faces(spark).join(across, "neighbour").select("face", "edge", "neighbour", "events")
 
 
 # --- resampling ----------------------------------------------------------------------------------------------------
@@ -129,7 +144,7 @@ N = 16
 @query(f"""WITH {E}, {DIR}, {placed("d", "p")}, c AS (SELECT event_id, o, {cell_of(f"(1 - ov) * 0.5 * {N} - 0.5", N)} AS i, {cell_of(f"(ou + 1) * 0.5 * {N} - 0.5", N)} AS j FROM p)
 SELECT event_id, CAST({value_sql("o", "i", "j")} AS DOUBLE) AS h FROM c""")
 def q49_nearest_on_faces(spark, sf_dir):
-    return resample.nearest_on_faces(on_faces(spark, sf_dir).select("event_id", *"xyz"), cube_values(spark, N), ["h"], N).select("event_id", "h")
+    return resample.nearest_on_faces(on_faces(spark, sf_dir).select("event_id", *"xyz"), cube_values(spark, sf_dir, N), ["h"], N).select("event_id", "h")
 
 
 def cross_face(source: str, key: str, n: int) -> str:
@@ -143,7 +158,7 @@ sampled AS (SELECT {key}, sum(w * v) AS h FROM s6 GROUP BY {key})"""
 
 @query(f"WITH {E}, {DIR}, {cross_face('d', 'event_id', N)} SELECT event_id, round(h, 4) + 0.0 AS h FROM sampled")
 def q50_cross_face_bilinear(spark, sf_dir):
-    return resample.sample_face(on_faces(spark, sf_dir).select("event_id", *"xyz"), "event_id", cube_values(spark, N), "h", N).select("event_id", r4(F.col("h")).alias("h"))
+    return resample.sample_face(on_faces(spark, sf_dir).select("event_id", *"xyz"), "event_id", cube_values(spark, sf_dir, N), "h", N).select("event_id", r4(F.col("h")).alias("h"))
 
 
 BN, BP = 8, 2
@@ -167,19 +182,19 @@ def _blended() -> str:
 
 @query(f"WITH {_blended()} SELECT face, i, j, round(h, 4) + 0.0 AS h FROM b4")
 def q51_blend_faces(spark, sf_dir):
-    return resample.blend_faces(cube_values(spark, BN, BP), "h", BN, BP).select("face", "i", "j", r4(F.col("h")).alias("h"))
+    return resample.blend_faces(cube_values(spark, sf_dir, BN, BP), "h", BN, BP).select("face", "i", "j", r4(F.col("h")).alias("h"))
 
 
 @query(f"""WITH a AS {pixels(BN, 1)}, {directed("a", "d")}, {placed("d", "p")}
 SELECT face, i, j, CAST(CASE WHEN i BETWEEN 0 AND {BN - 1} AND j BETWEEN 0 AND {BN - 1} THEN {value_sql("face", "i", "j")} ELSE {value_sql("o", cell_of(f"(1 - ov) * 0.5 * {BN} - 0.5", BN), cell_of(f"(ou + 1) * 0.5 * {BN} - 0.5", BN))} END AS DOUBLE) AS h FROM p""")
 def q52_padded_faces(spark, sf_dir):
-    return resample.padded_faces(cube_values(spark, BN), ["h"], BN, 1)
+    return resample.padded_faces(cube_values(spark, sf_dir, BN), ["h"], BN, 1)
 
 
-@query(f"""WITH {V}, c AS (SELECT vec_id, i - 1 AS i, j - 1 AS j, x AS v FROM v WHERE vec_id < 60 AND i BETWEEN 1 AND 6 AND j BETWEEN 1 AND 6), {mean_preserving("c", "m", 2, 6, 6, "vec_id")}, {upsampled("c", "b", 2, 6, 6, "vec_id")}
+@query(f"""WITH {V}, c AS (SELECT vec_id, i - 1 AS i, j - 1 AS j, x AS v FROM v WHERE i BETWEEN 1 AND 6 AND j BETWEEN 1 AND 6), {mean_preserving("c", "m", 2, 6, 6, "vec_id")}, {upsampled("c", "b", 2, 6, 6, "vec_id")}
 SELECT vec_id, i - 2 AS i, j - 2 AS j, round(m.v, 6) + 0.0 AS height, round(b.v, 6) + 0.0 AS flowacc FROM m JOIN b USING (vec_id, i, j) WHERE i BETWEEN 2 AND 9 AND j BETWEEN 2 AND 9""")
 def q53_coarse_layers(spark, sf_dir):
-    context = patches(spark, sf_dir).where("vec_id < 60").select("vec_id", "i", "j", F.col("x").alias("height"), F.col("x").alias("flowacc"))
+    context = patches(spark, sf_dir).select("vec_id", "i", "j", F.col("x").alias("height"), F.col("x").alias("flowacc"))
     return resample.coarse_layers(context, ["height", "flowacc"], 8, 4, 2, ["vec_id"]).select("vec_id", "i", "j", r6(F.col("height")).alias("height"), r6(F.col("flowacc")).alias("flowacc"))
 
 
@@ -191,12 +206,14 @@ def q54_keep_means(spark, sf_dir):
     return resample.keep_means(base, residual, 4, "h", H, W).select("i", "j", r4(F.col("h")).alias("h"))
 
 
-TILES = ((100, 32, 8, 1), (64, 16, 5, 4), (40, 40, 8, 1))
+TILES = ((32, 8, 1), (16, 5, 4), (40, 8, 1))
 
 
-@query(" UNION ALL ".join(f"SELECT DISTINCT {n} AS n, CAST(least(s, {n - t}) AS INTEGER) AS start FROM (SELECT unnest(range(0, {n}, {max(1, (t - o) // f * f)})) AS s)" for n, t, o, f in TILES))
+@query(" UNION ALL ".join(f"SELECT DISTINCT {t} AS tile, n, CAST(least(s, n - {t}) AS BIGINT) AS start FROM (SELECT DISTINCT p_size + {t} AS n FROM part), LATERAL (SELECT unnest(range(0, n, {max(1, (t - o) // f * f)})) AS s)" for t, o, f in TILES))
 def q55_tile_starts(spark, sf_dir):
-    return spark.createDataFrame([(n, s) for n, t, o, f in TILES for s in resample.tile_starts(n, t, o, f)], "n int, start int")
+    sizes = read(spark, sf_dir, "part").select("p_size").distinct()
+    parts = [resample.tile_starts_of(sizes.select((F.col("p_size") + t).alias("n")), "n", t, o, f).select(F.lit(t).alias("tile"), "n", "start") for t, o, f in TILES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # --- stencils ------------------------------------------------------------------------------------------------------
@@ -225,7 +242,7 @@ def q57_smooth_relief(spark, sf_dir):
 
 @query(f"""WITH {G}, b AS (SELECT a.i, a.j, any_value(a.h) AS h, avg(CASE WHEN b.h > 0 THEN 1.0::DOUBLE ELSE 0 END) AS m FROM g a, range(-3, 4) p(di), range(-3, 4) q(dj), g b
   WHERE b.i = greatest(0, least({H - 1}, a.i + di)) AND b.j = greatest(0, least({W - 1}, a.j + dj)) GROUP BY a.i, a.j)
-SELECT i, j, round(CASE WHEN h > 0 THEN greatest(0, least(1, (m - 0.5) / 0.5)) ELSE 0 END, 6) + 0.0 AS cont, round(CASE WHEN h > 0 THEN 0.5::DOUBLE * (0.003::DOUBLE + 0.997::DOUBLE * pow(greatest(0, least(1, (h / 20.0::DOUBLE - 0.6 * 900) / 5500)), 1.2)) ELSE 0 END, 6) + 0.0 AS uplift FROM b""")
+SELECT i, j, round(CASE WHEN h > 0 THEN greatest(0, least(1, (m - 0.5) / 0.5)) ELSE 0 END, 6) + 0.0 AS cont, round(CASE WHEN h > 0 THEN 0.5::DOUBLE * (0.003::DOUBLE + 0.997::DOUBLE * pow(greatest(0, least(1, (h / 20.0::DOUBLE - 0.6 * 1000) / 6000)), 1.2)) ELSE 0 END, 6) + 0.0 AS uplift FROM b""")
 def q58_continentality_uplift(spark, sf_dir):
     g = windows.continentality(grid(spark, sf_dir), "h", 3, H, W)
     return g.select("i", "j", r6(F.col("cont")).alias("cont"), r6(planets.uplift(F.col("h") / 20.0, planets.PlanetParams(), 0.5)).alias("uplift"))
@@ -238,7 +255,7 @@ _WET = f"({value_sql('face', 'i', 'j')} % 5 = 0)"
 SELECT face, i, j, {", ".join(f"round(ln(1 + least(30.0::DOUBLE, coalesce((SELECT {agg} FROM o WHERE o.face = c.face AND {where}) * 2.5::DOUBLE, 30))), 6) + 0.0 AS dist_{d}" for d, agg, where in (("up", "min(c.i - o.i)", "o.j = c.j AND o.i <= c.i"), ("down", "min(o.i - c.i)", "o.j = c.j AND o.i >= c.i"), ("left", "min(c.j - o.j)", "o.i = c.i AND o.j <= c.j"), ("right", "min(o.j - c.j)", "o.i = c.i AND o.j >= c.j")))}
 FROM c WHERE i BETWEEN 0 AND {BN - 1} AND j BETWEEN 0 AND {BN - 1}""")
 def q59_face_distances(spark, sf_dir):
-    cells = cube(spark, BN, BP).select("face", "i", "j", (F.col("v_") % 5 == 0).alias("w"))
+    cells = cube(spark, sf_dir, BN, BP).select("face", "i", "j", (F.col("v_") % 5 == 0).alias("w"))
     out = windows.face_distances(cells, "w", BN, 2.5, 30.0)
     return out.select("face", "i", "j", *[r6(F.col(f"dist_{d}")).alias(f"dist_{d}") for d in ("up", "down", "left", "right")])
 
@@ -246,10 +263,11 @@ def q59_face_distances(spark, sf_dir):
 # --- predicates, layers, catalogue ---------------------------------------------------------------------------------
 
 
-@query(f"""WITH {directed(pixels(N), "d")}, l AS (SELECT face, i, j, degrees(asin(z)) AS lat, degrees(atan2(y, x)) AS lon FROM d)
+@query(f"""WITH {E}, {DIR}, {placed("d", "p")}, l AS (SELECT CAST(o AS INTEGER) AS face, {cell_of(f"(1 - ov) * 0.5 * {N} - 0.5", N)} AS i, {cell_of(f"(ou + 1) * 0.5 * {N} - 0.5", N)} AS j, lat, lon FROM p)
 SELECT face, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM l WHERE {" OR ".join(f"(lat BETWEEN {a} AND {b} AND lon BETWEEN {c} AND {d})" for a, b, c, d in BOXES)} GROUP BY face""")
 def q60_holdout_boxes(spark, sf_dir):
-    return bake.holdout_boxes(predicates.mark_holdout(geometry.face_pixel_latlon(spark, N), BOXES))
+    i, j = geometry.uv_to_pixel(N, F.col("u"), F.col("v"))
+    return bake.holdout_boxes(predicates.mark_holdout(on_faces(spark, sf_dir).select("face", i.alias("i"), j.alias("j"), "lat", "lon"), BOXES))
 
 
 @query(f"""WITH c AS (SELECT face, i, j, {value_sql("face", "i", "j")} AS v FROM {pixels(N)}), w AS (SELECT a.face, a.i // 2 AS bi, a.j // 2 AS bj,
@@ -258,7 +276,7 @@ def q60_holdout_boxes(spark, sf_dir):
   FROM c a WHERE a.i % 2 = 0 AND a.j % 2 = 0 AND a.i <= {N - 4} AND a.j <= {N - 4})
 SELECT face, CAST(bi AS BIGINT) AS bi, CAST(bj AS BIGINT) AS bj FROM w WHERE held = 0 AND land >= 8""")
 def q61_acceptable_patches(spark, sf_dir):
-    cells = cube(spark, N).select("face", "i", "j", (F.col("v_") - 26).alias("height"), (F.col("v_") == 1).alias("holdout"))
+    cells = cube(spark, sf_dir, N).select("face", "i", "j", (F.col("v_") - 26).alias("height"), (F.col("v_") == 1).alias("holdout"))
     return bake.acceptable(cells, N, 4, 2, "train", 0.5)
 
 
@@ -291,7 +309,7 @@ def q64_aligned_layers(spark, sf_dir):
 @query(f"SELECT face, i, j, CAST({value_sql('face', 'i', 'j')} AS DOUBLE) AS height, round(pi() / 2 * 6371000 / {BN}, 6) + 0.0 AS metres FROM {pixels(BN)} WHERE face = 2")
 def q65_cube_round_trip(spark, sf_dir):
     path = tables.scratch(spark)
-    tables.write_cells(cube_values(spark, BN).withColumnRenamed("h", "height"), path)
+    tables.write_cells(cube_values(spark, sf_dir, BN).withColumnRenamed("h", "height"), path)
     cells, metres, stride = tables.open_cube(spark, path, BN, 6_371_000.0)
     assert stride is None and cells.columns == ["face", "i", "j", "height"]
     return tables.read_cells(spark, path, 2, ["height"]).withColumn("metres", r6(F.lit(metres)))
@@ -309,16 +327,16 @@ def q89_vector_sink(spark, sf_dir):
 @query(f"""SELECT layer, CAST(6 * {BN * BN} AS BIGINT) AS rows, 'py' AS third, 8 AS factor, 'two' AS a, 'x' AS b FROM (VALUES ('height'), ('wet')) t(layer)""")
 def q66_catalogue(spark, sf_dir):
     path = tables.scratch(spark)
-    tables.write_meta(cube_values(spark, BN).withColumnRenamed("h", "height").withColumn("wet", F.col("height") > 9), path, BN, 8, 896)
+    tables.write_meta(cube_values(spark, sf_dir, BN).withColumnRenamed("h", "height").withColumn("wet", F.col("height") > 9), path, BN, 8, 896)
     meta = tables.with_provenance(tables.with_provenance(tables.read_meta(spark, path), {"a": "one", "b": "x"}), {"a": "two"})
     return meta.select(F.explode("layers").alias("layer", "x"), "faces", "ctx_factor", "run").select("layer", "x.rows", F.col("faces")[2].alias("third"), F.col("ctx_factor").alias("factor"), F.col("run")["a"].alias("a"), F.col("run")["b"].alias("b"))
 
 
-@query("""SELECT event_id AS step, event_type AS phase, (SELECT count(*) FROM events WHERE event_id % 97 IN (0, 5)) AS logged FROM events WHERE event_id = (SELECT max(event_id) FROM events WHERE event_id % 97 IN (0, 5))""")
+@query("""SELECT event_id AS step, event_type AS phase, (SELECT count(*) FROM events) AS logged FROM events WHERE event_id = (SELECT max(event_id) FROM events)""")
 def q67_training_log(spark, sf_dir):
     path, events = tables.scratch(spark), read(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("phase"))
-    for part in (0, 5):
-        tables.append_log(events.where(F.col("step") % 97 == part), path)
+    for part in (0, 1):
+        tables.append_log(events.where(F.col("step") % 2 == part), path)
     log = spark.read.schema("step long, phase string").option("header", True).csv(path)
     return tables.last_row(log).crossJoin(log.agg(F.count("*").alias("logged")))
 
@@ -352,9 +370,9 @@ def q70_patch_changes(spark, sf_dir):
 
 
 def layered(spark, sf_dir, names) -> DataFrame:
-    """Every named layer from the grid by a formula of its own."""
+    """Every named layer from the grid by a formula of its own, none of whose values ends at the place it is rounded at."""
     g = grid(spark, sf_dir)
-    return g.select("i", "j", *[((F.col("h") / 100 + k * F.col("n")) / (k + 1.0)).alias(n) for k, n in enumerate(names)])
+    return g.select("i", "j", *[(((F.col("h") + 0.31831) / 97 + k * F.col("n")) / (k + 1.0)).alias(n) for k, n in enumerate(names)])
 
 
 def _normal(name: str, x: str) -> str:
@@ -363,7 +381,7 @@ def _normal(name: str, x: str) -> str:
 
 
 def _layer_sql(k: int) -> str:
-    return f"((h / 100.0::DOUBLE + {k} * n) / ({k} + 1.0::DOUBLE))"
+    return f"(((h + 0.31831::DOUBLE) / 97 + {k} * n) / ({k} + 1.0::DOUBLE))"
 
 
 @query(f"WITH {G} " + " UNION ALL ".join(f"SELECT i, j, {k} AS channel, round({_normal(n, _layer_sql(k))}, 6) + 0.0 AS x FROM g" for k, n in enumerate(features.CTX)))
@@ -384,16 +402,16 @@ def _conditioning(height: str) -> str:
     return f"y AS (SELECT i, j, h, n, {height} AS height FROM g), x AS (SELECT *, {near} FROM y WINDOW r AS (PARTITION BY i ORDER BY j), c AS (PARTITION BY j ORDER BY i)) " + " UNION ALL ".join(f"SELECT i, j, {k} AS channel, round({c}, 6) + 0.0 AS x FROM x" for k, c in enumerate(channels))
 
 
-@query(f"WITH {G}, {_conditioning('h / 60.0::DOUBLE - 100')}")
+@query(f"WITH {G}, {_conditioning('(h + 0.31831::DOUBLE) / 61 - 100')}")
 def q72_conditioning(spark, sf_dir):
-    cells = layered(spark, sf_dir, _GIVEN).join(grid(spark, sf_dir).select("i", "j", (F.col("h") / 60.0).alias("height")), ["i", "j"])
+    cells = layered(spark, sf_dir, _GIVEN).join(grid(spark, sf_dir).select("i", "j", ((F.col("h") + 0.31831) / 61).alias("height")), ["i", "j"])
     rows = features.conditioning(cells, 2.5, 4.0, 100.0).select("i", "j", F.posexplode("cond").alias("channel", "x"))
     return rows.select("i", "j", "channel", r6(F.col("x")).alias("x"))
 
 
 @query(f"WITH {G}, {_conditioning('n * 10.0::DOUBLE - 100')}")
 def q73_joint_conditioning(spark, sf_dir):
-    cells = layered(spark, sf_dir, _GIVEN).join(grid(spark, sf_dir).select("i", "j", (F.col("h") / 60.0).alias("height")), ["i", "j"])
+    cells = layered(spark, sf_dir, _GIVEN).join(grid(spark, sf_dir).select("i", "j", ((F.col("h") + 0.31831) / 61).alias("height")), ["i", "j"])
     coarse = grid(spark, sf_dir).select("i", "j", (F.col("n") * 10.0).alias("height"))
     rows = features.conditioning(cells, 2.5, 4.0, 100.0, coarse).select("i", "j", F.posexplode("cond").alias("channel", "x"))
     return rows.select("i", "j", "channel", r6(F.col("x")).alias("x"))
@@ -479,12 +497,11 @@ def q79_stochastic_receivers(spark, sf_dir):
     return hydro.stochastic_receivers(grid(spark, sf_dir), "h", W, 9, 1.5)
 
 
-@query(f"""WITH c AS (SELECT i, j, i * {W} + j AS c FROM (SELECT unnest(range({H}))::INTEGER AS i), (SELECT unnest(range({W}))::INTEGER AS j)), {hash_sql("c", "a", "c", "1")}, {hash_sql("c", "b", "c", "2")},
+@query(f"""WITH {G}, c AS (SELECT i, j, i * {W} + j AS c FROM g), {hash_sql("c", "a", "c", "1")}, {hash_sql("c", "b", "c", "2")},
 s AS (SELECT a.i, a.j, sqrt(-2 * ln(1 - a.u)) * cos(2 * pi() * b.u) AS v FROM a JOIN b ON a.c = b.c), {gaussian_sql("s", "o", 1.5, W, H)}
 SELECT i, j, round(exp(v * (0.4::DOUBLE / (SELECT stddev_pop(v) FROM o))), 6) + 0.0 AS rock FROM o""")
 def q80_resistance(spark, sf_dir):
-    cells = geometry.equirect_grid(spark, H, W).select("i", "j")
-    return planets.resistance(cells, W, 0.4, 1.5).select("i", "j", r6(F.col("rock")).alias("rock"))
+    return planets.resistance(grid(spark, sf_dir).select("i", "j"), W, 0.4, 1.5).select("i", "j", r6(F.col("rock")).alias("rock"))
 
 
 # --- gradient noise and planets ------------------------------------------------------------------------------------
@@ -527,28 +544,31 @@ def warp_sql(source: str, out: str, seed: int, frequency: float, strength: float
 {perlin_sql(f"{out}_p", f"{out}_v", seed, "k, m")}, {out} AS MATERIALIZED (SELECT s.k, any_value(s.x) + {strength!r}::DOUBLE * sum(value) FILTER (m = 0) AS x, any_value(s.y) + {strength!r}::DOUBLE * sum(value) FILTER (m = 1) AS y, any_value(s.z) + {strength!r}::DOUBLE * sum(value) FILTER (m = 2) AS z FROM {source} s JOIN {out}_v v ON v.k = s.k GROUP BY s.k)"""
 
 
-_PTS = f"WITH {E}, {DIR}, pts AS (SELECT event_id AS k, x, y, z FROM d WHERE event_id % 7 = 0)"
+_PTS = f"WITH {E}, {DIR}, pts AS (SELECT event_id AS k, x, y, z FROM d)"
 
 
 def some(spark, sf_dir) -> DataFrame:
-    return on_faces(spark, sf_dir).where("event_id % 7 = 0").select("event_id", *"xyz")
+    return on_faces(spark, sf_dir).select("event_id", *"xyz")
 
 
 @query(f"{_PTS}, {fbm_sql('pts', 'a', 3, 5.0, 1)}, {fbm_sql('pts', 'b', 4, 2.0, 3, 0.55)}, {ridged_sql('pts', 'c', 5, 3.0, 3)}, {warp_sql('pts', 'w', 6, 0.8, 0.35)} SELECT k AS event_id, round(a.value, 6) + 0.0 AS one, round(b.value, 6) + 0.0 AS many, round(c.value, 6) + 0.0 AS ridge, round(w.x, 6) + 0.0 AS wx, round(w.y, 6) + 0.0 AS wy, round(w.z, 6) + 0.0 AS wz FROM a JOIN b USING (k) JOIN c USING (k) JOIN w USING (k)")
 def q81_gradient_noise(spark, sf_dir):
-    p = tuple(F.col(c) for c in "xyz")
-    moved = noise.domain_warp(noise.Perlin(6), p, 0.8, 0.35)
-    return some(spark, sf_dir).select(
-        "event_id", r6(noise.Perlin(3)(noise.scaled(p, 5.0))).alias("one"), r6(noise.fbm(noise.Perlin(4), p, 2.0, 3, gain=0.55)).alias("many"), r6(noise.ridged(noise.Perlin(5), p, 3.0, 3)).alias("ridge"), *[r6(m).alias(f"w{c}") for m, c in zip(moved, "xyz", strict=True)]
-    )
+    one, many, ridge, moves = (noise.Perlin(seed) for seed in (3, 4, 5, 6))
+
+    def fields(p):
+        return [one(noise.scaled(p, 5.0)), noise.fbm(many, p, 2.0, 3, gain=0.55), noise.ridged(ridge, p, 3.0, 3), *noise.domain_warp(moves, p, 0.8, 0.35)]
+
+    names = ["one", "many", "ridge", "wx", "wy", "wz"]
+    return noise.with_noise(some(spark, sf_dir), tuple("xyz"), names, fields).select("event_id", *[r6(F.col(n)).alias(n) for n in names])
 
 
 PLANET = planets.PlanetParams(seed=2)
 LEVEL = 0.04
 
 
-def _seed(n: int) -> int:
-    return PLANET.seed * 7 + n
+def _seed(name: str) -> int:
+    """The planet's seed and so many more: continents, warp, mountains, belts, detail, rain, basins."""
+    return PLANET.seed + ("continent", "warp", "mountain", "belt", "detail", "rain", "basin").index(name)
 
 
 def _clip(x: str) -> str:
@@ -556,22 +576,20 @@ def _clip(x: str) -> str:
 
 
 def height_sql(source: str) -> str:
-    """CTEs of a planet's ``heights(k, h)`` at ``source(k, x, y, z)``."""
-    p = PLANET
-    return f"""{warp_sql(source, "pw", _seed(0), 0.8, 0.35)}, {fbm_sql("pw", "pc", _seed(1), 1.2, 5, 0.55)}, {warp_sql(source, "pb", _seed(2), 0.6, 0.3)}, {fbm_sql("pb", "basin", _seed(2), 0.9, 3)},
-{fbm_sql(source, "belt", _seed(3), 1.6, 3)}, {ridged_sql(source, "ridge", _seed(4), 5.0, 6)}, {fbm_sql(source, "fine", _seed(5), 6.0, 5)}, {fbm_sql(source, "floor_", _seed(6), 3.0, 4)},
-relief_ AS (SELECT k, pc.value - {LEVEL}::DOUBLE AS c, basin.value AS basin, {_clip("(belt.value + 0.02) / 0.3")} * {_clip(f"(pc.value - {LEVEL}::DOUBLE) / 0.08")} AS belt, ridge.value AS ridge, fine.value AS fine, floor_.value AS sea FROM pc JOIN basin USING (k) JOIN belt USING (k) JOIN ridge USING (k) JOIN fine USING (k) JOIN floor_ USING (k)),
-heights AS MATERIALIZED (SELECT k, CASE WHEN c > 0 THEN {p.land_height} * (0.1 + 0.9 * {_clip("c / 0.2")}) * (0.25 + 0.75 * basin) * (0.5 + 0.5 * fine) + {p.mountain_height} * belt * pow({_clip("ridge")}, 1.3)
-  ELSE {p.shelf} + ({p.deep} - {p.shelf}) * pow({_clip("-c / 0.12")}, 0.7) + 300 * sea * {_clip("-c / 0.12")} END AS h FROM relief_)"""
+    """CTEs of a planet's ``heights(k, h)`` at ``source(k, x, y, z)``: lowland of 1000 m, mountains of 6000 m, shelves at -150 m, the deep at -4200 m."""
+    return f"""{warp_sql(source, "pw", _seed("warp"), 0.8, 0.35)}, {fbm_sql("pw", "pc", _seed("continent"), 1.2, 5, 0.55)}, {warp_sql(source, "pb", _seed("warp"), 0.6, 0.3)}, {fbm_sql("pb", "basin", _seed("basin"), 0.9, 3)},
+{fbm_sql(source, "belt", _seed("belt"), 1.6, 3)}, {ridged_sql(source, "ridge", _seed("mountain"), 5.0, 6)}, {fbm_sql(source, "fine", _seed("detail"), 6.0, 5)}, {fbm_sql(source, "floor_", _seed("detail"), 3.0, 4)},
+relief_ AS (SELECT k, pc.value - {LEVEL}::DOUBLE AS c, 0.5 + 0.5 * basin.value AS basin, {_clip("(belt.value + 0.02) / 0.3")} * {_clip(f"(pc.value - {LEVEL}::DOUBLE) / 0.08")} AS belt, ridge.value AS ridge, fine.value AS fine, floor_.value AS sea FROM pc JOIN basin USING (k) JOIN belt USING (k) JOIN ridge USING (k) JOIN fine USING (k) JOIN floor_ USING (k)),
+heights AS MATERIALIZED (SELECT k, CASE WHEN c > 0 THEN 1000::DOUBLE * (0.1 + 0.9 * {_clip("c / 0.2")}) * (0.25 + 0.75 * basin) * (0.5 + 0.5 * fine) + 6000 * belt * pow(ridge, 1.3)
+  ELSE -150 + (-4200 + 150) * pow({_clip("-c / 0.12")}, 0.7) + 300 * sea * {_clip("-c / 0.12")} END AS h FROM relief_)"""
 
 
 def climate_sql(source: str, height: str, cont: str) -> str:
-    """CTEs of ``climates(k, tavg, trange, prec)`` from ``source(k, z, height, cont)``."""
-    p = PLANET
+    """CTEs of ``climates(k, tavg, trange, prec)`` from ``source(k, z, height, cont)``: 28 degrees at the equator, -18 at the poles, 6.5 less a kilometre."""
     bump = lambda centre, width: f"exp(-pow((a - {centre}) / {width}, 2))"
-    return f"""{fbm_sql(source, "rain", _seed(5), 3.0, 4)}, zones AS (SELECT s.k, abs(degrees(asin(greatest(-1.0, least(1.0, s.z))))) / 90 AS a, {height} AS h, {cont} AS c, rain.value AS r FROM {source} s JOIN rain ON rain.k = s.k),
-climates AS (SELECT k, {p.pole} + {p.equator - p.pole} * pow(cos(a * pi() / 2), 1.3) - 6.5 * greatest(h, 0) / 1000 AS tavg, 3 + 45 * c * pow(a, 0.8) AS trange,
-  {3200 * p.humidity} * greatest({bump(0.0, 0.14)} + 0.6 * {bump(0.55, 0.16)} + 0.18 - 0.22 * {bump(0.27, 0.08)}, 0.02) * (1 - 0.6 * c) * exp(1.1 * r) AS prec FROM zones)"""
+    return f"""{fbm_sql(source, "rain", _seed("rain"), 3.0, 4)}, zones AS (SELECT s.k, abs(degrees(asin(greatest(-1.0, least(1.0, s.z))))) / 90 AS a, {height} AS h, {cont} AS c, rain.value AS r FROM {source} s JOIN rain ON rain.k = s.k),
+climates AS (SELECT k, -18 + (28 + 18) * pow(cos(a * pi() / 2), 1.3) - 6.5::DOUBLE * greatest(h, 0) / 1000 AS tavg, 3 + 45 * c * pow(a, 0.8) AS trange,
+  greatest(0, 3200 * greatest({bump(0.0, 0.14)} + 0.6 * {bump(0.55, 0.16)} + 0.18 - 0.22 * {bump(0.27, 0.08)}, 0.02) * (1 - 0.6 * c) * exp(1.1 * r)) AS prec FROM zones)"""
 
 
 def planet(spark) -> planets.Planet:
@@ -585,7 +603,7 @@ def q82_planet_points(spark, sf_dir):
     return made.climate(d).select("event_id", (F.round("h", 3) + 0.0).alias("h"), r4(F.col("tavg")).alias("tavg"), r4(F.col("trange")).alias("trange"), (F.round("prec", 3) + 0.0).alias("prec"))
 
 
-_EQ = "eq AS (SELECT i * 24 + j AS k, i, j, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM (SELECT i, j, 90 - (i + 0.5::DOUBLE) * 180 / 12 AS lat, (j + 0.5::DOUBLE) * 360 / 24 - 180 AS lon FROM (SELECT unnest(range(12)) AS i), (SELECT unnest(range(24)) AS j)))"
+_EQ = f"{G}, eq AS (SELECT i * {W} + j AS k, i, j, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM (SELECT i, j, 90 - (i + 0.5::DOUBLE) * 180 / {H} AS lat, (j + 0.5::DOUBLE) * 360 / {W} - 180 AS lon FROM g))"
 
 
 def _inland(source: str, radius: int, height: int, width: int, keys: str = "") -> str:
@@ -595,16 +613,18 @@ def _inland(source: str, radius: int, height: int, width: int, keys: str = "") -
   WHERE {same}b.i = greatest(0, least({height - 1}, a.i + di)) AND b.j = greatest(0, least({width - 1}, a.j + dj)) GROUP BY a.k)"""
 
 
-@query(f"WITH {_EQ}, {height_sql('eq')}, lifted AS (SELECT eq.*, h FROM eq JOIN heights USING (k)), {_inland('lifted', 4, 12, 24)}, src AS (SELECT lifted.*, cont FROM lifted JOIN inland USING (k)), {climate_sql('src', 'h', 'cont')} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(h, 3) + 0.0 AS h, round(tavg, 4) + 0.0 AS tavg, round(trange, 4) + 0.0 AS trange, round(prec, 3) + 0.0 AS prec FROM src JOIN climates USING (k)")
+@query(f"WITH {_EQ}, {height_sql('eq')}, lifted AS (SELECT eq.*, h FROM eq JOIN heights USING (k)), {_inland('lifted', 4, H, W)}, src AS (SELECT lifted.*, cont FROM lifted JOIN inland USING (k)), {climate_sql('src', 'h', 'cont')} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(h, 3) + 0.0 AS h, round(tavg, 4) + 0.0 AS tavg, round(trange, 4) + 0.0 AS trange, round(prec, 3) + 0.0 AS prec FROM src JOIN climates USING (k)")
 def q83_planet_equirect(spark, sf_dir):
     made = planet(spark)
-    out = planets.climate_equirect(made, tables.settled(made.equirect(12, 24)), 12, 24)
+    cells = geometry.equirect_grid(spark, H, W).join(grid(spark, sf_dir).select("i", "j"), ["i", "j"])
+    out = planets.climate_equirect(made, tables.settled(made.height(cells)), H, W)
     return out.select("i", "j", (F.round("h", 3) + 0.0).alias("h"), r4(F.col("tavg")).alias("tavg"), r4(F.col("trange")).alias("trange"), (F.round("prec", 3) + 0.0).alias("prec"))
 
 
-@query(f"WITH a AS (SELECT *, (face * 12 + i) * 12 + j AS k FROM {pixels(12)} WHERE face IN (1, 4)), {directed('a', 'fd')}, {height_sql('fd')}, lifted AS (SELECT fd.*, h FROM fd JOIN heights USING (k)), {_inland('lifted', 4, 12, 12, 'face')}, src AS (SELECT lifted.*, cont FROM lifted JOIN inland USING (k)), {climate_sql('src', 'h', 'cont')} SELECT face, i, j, round(degrees(asin(z)), 6) + 0.0 AS lat, round(h, 3) + 0.0 AS height, round(tavg, 4) + 0.0 AS tavg, round(trange, 4) + 0.0 AS trange, round(prec, 3) + 0.0 AS prec FROM src JOIN climates USING (k)")
+@query(f"WITH {E}, {DIR}, {FACE}, {_BUSY}, a AS (SELECT *, (face * 12 + i) * 12 + j AS k FROM {pixels(12)} WHERE face IN (SELECT face FROM busy)), {directed('a', 'fd')}, {height_sql('fd')}, lifted AS (SELECT fd.*, h FROM fd JOIN heights USING (k)), {_inland('lifted', 4, 12, 12, 'face')}, src AS (SELECT lifted.*, cont FROM lifted JOIN inland USING (k)), {climate_sql('src', 'h', 'cont')} SELECT face, i, j, round(degrees(asin(z)), 6) + 0.0 AS lat, round(h, 3) + 0.0 AS height, round(tavg, 4) + 0.0 AS tavg, round(trange, 4) + 0.0 AS trange, round(prec, 3) + 0.0 AS prec FROM src JOIN climates USING (k)")
 def q84_planet_face(spark, sf_dir):
-    return planet(spark).face_layers(12, [1, 4]).select("face", "i", "j", r6(F.col("lat")).alias("lat"), (F.round("height", 3) + 0.0).alias("height"), r4(F.col("tavg")).alias("tavg"), r4(F.col("trange")).alias("trange"), (F.round("prec", 3) + 0.0).alias("prec"))
+    pixels_ = geometry.face_pixels(spark, 12).join(busy(spark, sf_dir).select("face"), "face")
+    return planet(spark).face_layers(pixels_, 12).select("face", "i", "j", r6(F.col("lat")).alias("lat"), (F.round("height", 3) + 0.0).alias("height"), r4(F.col("tavg")).alias("tavg"), r4(F.col("trange")).alias("trange"), (F.round("prec", 3) + 0.0).alias("prec"))
 
 
 # --- detail and points under the camera ----------------------------------------------------------------------------
@@ -640,19 +660,27 @@ SELECT k AS camera, round(degrees(asin(greatest(-1.0, least(1.0, z)))), 6) + 0.0
 def q86_under_cameras(spark, sf_dir):
     far = 6_371_000 + 5000.0 + F.col("event_id")
     cameras = some(spark, sf_dir).select(F.col("event_id").alias("camera"), *[(F.col(c) * far).alias(c) for c in "xyz"])
-    out = quadtree.under_cameras(cameras, cube_values(spark, N), "h", N, 6_371_000.0, 300_000.0, 1e-5, 3)
+    out = quadtree.under_cameras(cameras, cube_values(spark, sf_dir, N), "h", N, 6_371_000.0, 300_000.0, 1e-5, 3)
     return out.select("camera", *[r6(F.col(c)).alias(c) for c in ("lat", "lon")], r4(F.col("ground")).alias("ground"), (F.round("altitude", 3) + 0.0).alias("altitude"))
 
 
-_ORIGINS = "nodes AS (SELECT face, level, x AS nx, y AS ny, (nx + 0.5::DOUBLE) * 2 / pow(2, level) - 1 AS u, 1 - (ny + 0.5::DOUBLE) * 2 / pow(2, level) AS v, pi() / 2 * 6371000 / pow(2, level) / 4 AS cell, (face * 3 + level) * 100 + x * 8 + y AS k FROM (SELECT unnest(range(6))::INTEGER AS face), (SELECT unnest([1, 2])::INTEGER AS level), (SELECT unnest(range(2))::BIGINT AS x), (SELECT unnest(range(2))::BIGINT AS y))"
+_ORIGINS = f"""{E}, {DIR}, {placed("d", "on_")}, spots AS (SELECT DISTINCT CAST(o AS INTEGER) AS face, level, CAST(least(pow(2, level) - 1, floor((ou + 1) / 2 * pow(2, level))) AS BIGINT) AS x, CAST(least(pow(2, level) - 1, floor((1 - ov) / 2 * pow(2, level))) AS BIGINT) AS y FROM on_, (SELECT unnest([1, 2])::INTEGER AS level)),
+nodes AS (SELECT face, level, x AS nx, y AS ny, (nx + 0.5::DOUBLE) * 2 / pow(2, level) - 1 AS u, 1 - (ny + 0.5::DOUBLE) * 2 / pow(2, level) AS v, pi() / 2 * 6371000 / pow(2, level) / 4 AS cell, (face * 3 + level) * 100 + x * 8 + y AS k FROM spots)"""
+
+
+def event_nodes(spark, sf_dir) -> DataFrame:
+    """The quadtree nodes of two levels that events lie in."""
+    side = F.pow(F.lit(2.0), F.col("level"))
+    at = lambda t: F.least(side - 1, F.floor(t / 2 * side)).cast("long")
+    events = on_faces(spark, sf_dir).select("face", "u", "v", F.explode(F.array(F.lit(1), F.lit(2))).alias("level"))
+    return events.select("face", "level", at(F.col("u") + 1).alias("x"), at(1 - F.col("v")).alias("y")).distinct()
 
 
 @query(f"""WITH {_ORIGINS}, {directed("nodes", "nd")}, {cross_face("nd", "k", N)}, src AS (SELECT nd.*, h FROM nd JOIN sampled USING (k)), {detail_sql("src", "det", "k", 6_371_000.0, _DATA, "s.cell", 1e-5, 0, 2)},
 g AS (SELECT *, CASE WHEN h > 0 THEN greatest(0.5, h + detail * greatest(0, least(1, h / 20))) ELSE 0 END AS ground FROM det)
 SELECT face, level, nx AS x, ny AS y, {", ".join(f"round({c} * (6371000 + ground), 2) + 0.0 AS o{c}" for c in "xyz")} FROM g""")
 def q87_patch_origins(spark, sf_dir):
-    nodes = spark.createDataFrame([(f, level, x, y) for f in range(6) for level in (1, 2) for x in range(2) for y in range(2)], "face int, level int, x long, y long")
-    out = quadtree.patch_origins(nodes, cube_values(spark, N), "h", N, 6_371_000.0, 4, 1e-5)
+    out = quadtree.patch_origins(event_nodes(spark, sf_dir), cube_values(spark, sf_dir, N), "h", N, 6_371_000.0, 4, 1e-5)
     return out.select("face", "level", "x", "y", *[(F.round(f"o{c}", 2) + 0.0).alias(f"o{c}") for c in "xyz"])
 
 

@@ -33,22 +33,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Folders that this session has written intermediate tables to.
-_WRITTEN: list[str] = []
+#: Folders that each session of this process has written intermediate tables to, in order.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def _of_session(spark: SparkSession) -> list[str]:
+    return _WRITTEN.setdefault(spark._jsparkSession.sessionUUID(), [])
 
 
 def scratch(spark: SparkSession) -> str:
     """A new path for an intermediate table in the shared folder."""
-    _WRITTEN.append(f"{shared_folder(spark)}/spheregrid-{uuid.uuid4().hex}")
-    return _WRITTEN[-1]
+    paths = _of_session(spark)
+    paths.append(f"{shared_folder(spark)}/spheregrid-{uuid.uuid4().hex}")
+    return paths[-1]
+
+
+def written(spark: SparkSession) -> int:
+    """How many intermediate tables this session has: a mark for ``discard``."""
+    return len(_of_session(spark))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def discard(spark: SparkSession) -> None:
-    """Removes the intermediate tables of this session: to be called when the results that came from them have been read or written."""
-    conf = spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Removes the intermediate tables of this session from the ``since``-th on: to be called when the results that came from them have been read or written."""
+    paths = _of_session(spark)
+    while len(paths) > since:
+        remove(spark, paths.pop())
 
 
 def settled(df: DataFrame) -> DataFrame:

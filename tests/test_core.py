@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import replace
 
@@ -96,16 +97,36 @@ def test_wrapping_products(spark):
         assert all(got[x] == noise._signed((x % 2**64) * k) for x in xs)
 
 
+def scalar_noise(seed, p):
+    """Gradient noise of one point, corner by corner."""
+    order = [int(v) for v in np.random.default_rng(seed).permutation(256)]
+    low = [math.floor(v) for v in p]
+    total = 0.0
+    for corner in itertools.product((0, 1), repeat=3):
+        k = 0
+        for f, bit in zip(low, corner):
+            k = order[(k + f % 256 + bit) % 256]
+        offset = [v - f - bit for v, f, bit in zip(p, low, corner)]
+        weight = math.prod(1 - abs(t) ** 3 * (abs(t) * (abs(t) * 6 - 15) + 10) for t in offset)
+        total += weight * sum(g * t for g, t in zip(noise.GRADIENTS[k % 12], offset))
+    return total
+
+
 def test_gradient_noise(spark):
-    df = spark.range(400).select((F.col("id") * 0.173).alias("x"), (F.col("id") * 0.071).alias("y"), (F.col("id") * -0.05).alias("z"))
-    p = tuple(F.col(c) for c in "xyz")
+    df = spark.range(400).select(F.when(F.col("id") != 7, F.col("id") * 0.173).alias("x"), (F.col("id") * 0.071).alias("y"), (F.col("id") * -0.05).alias("z"))
     one = noise.Perlin(3)
-    got = [r[0] for r in df.select(one(p)).collect()]
-    assert got == [r[0] for r in df.select(noise.Perlin(3)(p)).collect()] and max(map(abs, got)) <= 1.1 and np.std(got) > 0.05
-    lattice = spark.range(20).select(one(tuple(F.col("id").cast("double") for _ in range(3))).alias("n"))
-    assert all(r["n"] == 0 for r in lattice.collect())
-    detail = noise.detail_height(df, p, 10.0, 4.0, 1.0, 0.1, 1).select(noise.surface_height(F.lit(5.0), F.col("detail")).alias("h"))
-    assert all(r["h"] >= 0.5 for r in detail.collect())
+    got = noise.with_noise(df, ("x", "y", "z"), ["n"], lambda p: [one(p)]).collect()
+    assert all(abs(r["n"] - scalar_noise(3, (r["x"], r["y"], r["z"]))) < 1e-12 for r in got if r["x"] is not None)
+    assert [r["n"] for r in got if r["x"] is None] == [None]
+    points = tuple(np.random.default_rng(1).normal(size=(3, 500)) * 3)
+    assert np.allclose(noise.fbm(one, points, 1.2, 3, gain=0.55), sum(0.55**o * one(tuple(v * 1.2 * 2**o for v in points)) for o in range(3)) / (1 + 0.55 + 0.55**2))
+    assert np.all(one(tuple(np.round(v) for v in points)) == 0)
+    detail = noise.detail_height(df, tuple(F.col(c) for c in "xyz"), 10.0, 4.0, 1.0, 0.1, 1)
+    a, b = (tables.settled(noise.value_noise(df.where("x is not null"), tuple(F.col(c) * by for c in "xyz"), seed, name)) for seed, by, name in ((1, 2.5, "a"), (2, 5.0, "b")))
+    plain = a.join(b, ["x", "y", "z"]).withColumn("want", F.col("a") * 0.4 + F.col("b") * 0.2)
+    both = detail.join(plain, ["x", "y", "z"])
+    assert both.count() == 399 and both.where("abs(detail - want) > 1e-12").isEmpty()
+    assert detail.where("x is not null").select(noise.surface_height(F.lit(5.0), F.col("detail")).alias("h")).where("h < 0.5").isEmpty()
 
 
 def test_bilinear_wraps(spark):
@@ -219,17 +240,67 @@ def test_augmentation_commutes(spark):
         assert moved.select("i", "j", *names).exceptAll(again.select("i", "j", *names)).isEmpty()
 
 
-def test_planet_and_erosion(spark):
+def scalar_planet(p, level, d):
+    """Height, temperature and its range, rain of one direction at 0.25 of the way inland, by the formulas with their numbers."""
+    at = lambda k, q, f: scalar_noise(p.seed + k, tuple(v * f for v in q))
+    many = lambda k, q, f, n, gain=0.5: sum(gain**o * at(k, q, f * 2**o) for o in range(n)) / sum(gain**o for o in range(n))
+    moved = lambda q, f, s: tuple(q[k] + s * scalar_noise(p.seed + 1, tuple(v * f + k * 17.3 for v in q)) for k in range(3))
+    clip = lambda x: max(0.0, min(1.0, x))
+    c = many(0, moved(d, 0.8, 0.35), 1.2, 5, 0.55) - level
+    if c > 0:
+        basin = 0.5 + 0.5 * many(6, moved(d, 0.6, 0.3), 0.9, 3)
+        h = 1000 * (0.1 + 0.9 * clip(c / 0.2)) * (0.25 + 0.75 * basin) * (0.5 + 0.5 * many(4, d, 6.0, 5))
+        total, weight = 0.0, 1.0
+        for o in range(6):
+            r = (1 - abs(at(2, d, 5.0 * 2**o))) ** 2 * weight
+            total, weight = total + 0.5**o * r, clip(2 * r)
+        h += 6000 * clip((many(3, d, 1.6, 3) + 0.02) / 0.3) * clip(c / 0.08) * (total / sum(0.5**o for o in range(6))) ** 1.3
+    else:
+        t = clip(-c / 0.12)
+        h = -150 + (-4200 + 150) * t**0.7 + 300 * many(4, d, 3.0, 4) * t
+    a = abs(math.degrees(math.asin(d[2]))) / 90
+    zonal = math.exp(-((a / 0.14) ** 2)) + 0.6 * math.exp(-(((a - 0.55) / 0.16) ** 2)) + 0.18 - 0.22 * math.exp(-(((a - 0.27) / 0.08) ** 2))
+    tavg = -18 + 46 * math.cos(a * math.pi / 2) ** 1.3 - 6.5 * max(h, 0) / 1000
+    return h, tavg, 3 + 45 * 0.25 * a**0.8, 3200 * max(zonal, 0.02) * (1 - 0.6 * 0.25) * math.exp(1.1 * many(5, d, 3.0, 4))
+
+
+def test_planet_by_the_formulas(spark):
+    params = planets.PlanetParams(seed=4)
+    planet = planets.Planet(spark, params, samples=3000)
+    normals = np.random.default_rng(4).normal(size=(3000, 3)).astype(np.float32)
+    normals /= np.linalg.norm(normals, axis=1, keepdims=True)
+    levels = noise.fbm(noise.Perlin(4), noise.domain_warp(noise.Perlin(5), tuple(normals.astype(float).T), 0.8, 0.35), 1.2, 5, gain=0.55)
+    assert abs(planet.threshold - np.quantile(levels, 0.7)) < 1e-9
+    grid = planet.equirect(8, 16).withColumn("cont", F.lit(0.25))
+    rows = planet.climate(tables.settled(grid)).collect()
+    assert len(rows) == 128 and {r["h"] > 0 for r in rows} == {True, False}
+    for r in rows:
+        want = scalar_planet(params, planet.threshold, (r["x"], r["y"], r["z"]))
+        assert np.allclose((r["h"], r["tavg"], r["trange"], r["prec"]), want, rtol=1e-9, atol=1e-7)
+
+
+def test_erosion_goes_on_where_it_stopped(spark, tmp_path):
     planet = planets.Planet(spark, planets.PlanetParams(seed=1), samples=4000)
-    grid = tables.settled(planet.equirect(16, 32).select("i", "j", "x", "y", "z", "h"))
-    land = grid.agg(F.avg((F.col("h") > 0).cast("double"))).first()[0]
-    assert 0.05 < land < 0.6
-    climate = planets.climate_equirect(planet, grid, 16, 32).agg(F.min("prec"), F.max("tavg"), F.min("trange")).first()
+    grid = tables.settled(planet.equirect(16, 32).select("i", "j", "h"))
+    climate = planets.climate_equirect(planet, tables.settled(planet.equirect(16, 32)), 16, 32).agg(F.min("prec"), F.max("tavg"), F.min("trange")).first()
     assert climate[0] > 0 and climate[1] <= 28.001 and climate[2] >= 3
-    base = grid.select("i", "j", "h", planets.uplift(F.col("h"), planet.params, 1e-3).alias("uplift"))
-    out = planets.erode(base, 16, 32, replace(planets.ErosionParams(), iterations=2))
-    assert out.count() == 512 and out.where("h > 0").count() >= 0.9 * land * 512
-    assert planets.smooth_relief(grid.select("i", "j", "h"), 32).where("h > 0 and h < 0.5").isEmpty()
+    base = tables.settled(grid.select("i", "j", "h", planets.uplift(F.col("h"), planet.params, 1.2).alias("uplift")))
+    params = replace(planets.ErosionParams(), iterations=3, k_variation=0.3)
+    whole = planets.erode(base, 16, 32, params, str(tmp_path / "whole"))
+    assert whole.count() == 512 and whole.where("h > 0").count() == base.where("h > 0").count()
+    assert whole.join(base.select("i", "j", F.col("h").alias("b")), ["i", "j"]).where("b <= 0 and h <> b").isEmpty()
+    # A run that stopped after its second step, in the middle of writing the third.
+    folder = str(tmp_path / "broken")
+    planets.erode(base, 16, 32, replace(params, iterations=2), folder)
+    (tmp_path / "broken" / "step=000003").mkdir()
+    assert planets.finished_steps(spark, folder) == [1, 2]
+    kept = tables.written(spark)
+    again = planets.erode(base, 16, 32, params, folder)
+    assert tables.written(spark) <= kept + 3  # the rock's; tables of steps are removed
+    rows = lambda df: {(r["i"], r["j"]): (r["h"], r["acc"]) for r in df.collect()}
+    a, b = rows(whole), rows(again)
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], rtol=1e-12) for k in a)
+    assert planets.smooth_relief(grid, 32).where("h > 0 and h < 0.5").isEmpty()
 
 
 def test_quadtree_and_frames(spark, tmp_path):
@@ -275,10 +346,13 @@ def test_sources(spark, tmp_path):
 
 def test_discard(spark):
     kept = tables.settled(spark.range(5))
-    path = tables._WRITTEN[-1]
+    path, other = tables._of_session(spark)[-1], tables.settled(spark.newSession().range(3))
     assert kept.count() == 5 and spark.read.parquet(path).count() == 5
+    tables.discard(spark, tables.written(spark) - 1)
+    assert path not in tables._of_session(spark)
     tables.discard(spark)
-    assert not tables._WRITTEN
+    # Another session's tables stay.
+    assert tables.written(spark) == 0 and other.count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
 
@@ -338,7 +412,7 @@ def test_bake_and_patches(spark):
 
 
 def test_rock_changes_erosion(spark):
-    grid = land_and_climate(spark, 12, 24).withColumn("uplift", F.lit(1e-3))
+    grid = land_and_climate(spark, 12, 24).withColumn("uplift", F.lit(1.0))
     plain, rough = (planets.erode(grid, 12, 24, replace(planets.ErosionParams(), iterations=1, k_variation=v, k_variation_cells=1.0)) for v in (0.0, 0.8))
     moved = plain.join(rough.select("i", "j", F.col("h").alias("g")), ["i", "j"]).where(F.abs(F.col("h") - F.col("g")) > 1e-9)
     assert 0 < moved.count() < 12 * 24 and moved.where("h <= 0").isEmpty()
