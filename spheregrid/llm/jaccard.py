@@ -399,13 +399,15 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = 4
     regions = saved(connected_components(_shared(cells, members, percent, few, many)).select("node", F.col("component").alias("region")))
 
     # The sets of the documents that share a cell, one for each node.
-    wanted = members.join(regions, "node").groupBy("node", "region").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
+    # A row is known by its id and its text: ids may be null or repeat.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    wanted = members.join(regions, "node").groupBy("node", "region").agg(F.min(row).alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values, offsets, node in _batches(batches, width):
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(pa.list_(pa.int64()))], ["node", "shingles"])
 
-    texts = docs.join(wanted.select("doc_id"), "doc_id", "left_semi")
+    texts = docs.withColumn("_text", F.xxhash64("text")).join(wanted, (F.col("_text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").drop("_text")
     sets = saved(texts.mapInArrow(run, "node long, shingles array<long>").join(regions, "node").dropDuplicates(["node"]).select("region", "node", "shingles"))
 
     links: list[DataFrame] = []

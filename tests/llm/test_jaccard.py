@@ -146,3 +146,13 @@ def test_one_row_of_each_component(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in keep_one_of_each(table).collect()), key=repr)
     assert got == sorted([(5, a), (3, b + " more"), (9, c), (11, None), (12, ""), (None, " ")], key=repr)
     assert keep_one_of_each(table.where("false")).collect() == []
+
+
+def test_near_copies_without_ids(spark):
+    """Rows are known by id and text, so links of texts whose rows all lack an id, or share one, aren't lost."""
+    words = [f"w{k}" for k in range(60)]
+    near, other = " ".join(words), " ".join([*words[:-1], "end"])
+    for ids in ((None, None, 5), (7, 7, 7), (None, 3, None)):
+        rows = [(ids[0], near), (ids[1], other), (ids[2], "quite another text with words of its own")]
+        kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(kept) == 2 and {r["text"] for r in kept} & {near, other} and rows[2][1] in {r["text"] for r in kept}
