@@ -41,8 +41,10 @@ def stratified_shards(docs: DataFrame, shards: int = 8, seed: int = 1) -> DataFr
 
     ranked = rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("block", key_block(F.col("key"), blocks))
     ranked = running(ranked, ["stratum"], "block", [F.col("key"), F.col("doc_id")], F.lit(1), "rank").drop("block")
-    ranked = ranked.withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("n"))).withColumn("block", F.floor(F.col("fraction") * blocks).cast("int"))
-    placed = running(ranked, [], "block", [F.col("fraction"), F.col("stratum")], F.lit(1), "position")
+    ranked = ranked.withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("n")))
+    # Blocks are ranges of a sample's quantiles: fractions may be the same in very many small sources, which their strata then part.
+    ranged = saved(ranked.repartitionByRange("fraction", "stratum").withColumn("block", F.spark_partition_id()))
+    placed = running(ranged, [], "block", [F.col("fraction"), F.col("stratum")], F.lit(1), "position")
     shard = F.floor(F.col("position") * F.lit(shards) / F.lit(max(1, total))).cast("int")
     # A shard's first position is the least p with floor(p * shards / total) = shard.
     start = F.ceil(F.col("shard") * F.lit(total) / F.lit(shards))

@@ -6,7 +6,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from spheregrid.llm import sharding
 from spheregrid.llm.mixing import mixed_documents, mixture
 from spheregrid.llm.sharding import stratified_shards
 
@@ -112,3 +114,26 @@ def test_mixture_agrees_between_runs(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
     one, two = (sorted(map(tuple, mixture(df).collect())) for df in (table.coalesce(1), table.repartition(7, "text")))
     assert one == two
+
+
+def test_many_small_sources_fill_many_blocks(spark, monkeypatch):
+    """Sources of one row have one fraction; their rows are still dealt over blocks, and shards stay whole."""
+    seen = []
+    plain = sharding.running
+
+    def watched(rows, group, block, *rest):
+        if not group:
+            seen.append(rows.groupBy(block).count().agg(F.max("count"), F.count("*")).first())
+        return plain(rows, group, block, *rest)
+
+    monkeypatch.setattr(sharding, "running", watched)
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), F.concat(F.lit("s"), F.col("id")).alias("source"))
+    # So few rows would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = sharding.stratified_shards(docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = shards.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    assert sorted(r["shard"] for r in rows) == list(range(8)) and {(r["n"], r["last"], r["slots"]) for r in rows} == {(500, 499, 500)}
+    assert seen[0][1] >= 4 and seen[0][0] < 2000
