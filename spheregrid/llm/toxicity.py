@@ -136,17 +136,34 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
             start, size = i + 1, 0
 
 
-def families(texts: list[str], hashes: int = 6) -> np.ndarray:
-    """Which of the sample's texts to learn from: the first of each family that shares a min-hash, so copies don't count as evidence."""
-    seen: set[tuple[int, int]] = set()
+def families(texts: list[str], hashes: int = 6, percent: int = 80) -> np.ndarray:
+    """Which of the sample's texts to learn from: those that aren't near copies of an earlier one, which would count as evidence twice.
+
+    Texts that share one of ``hashes`` min-hashes of their sets of three-word
+    shingles are looked at, and an earlier one that is kept is a near copy's if
+    the intersection is at least ``percent`` of the union.
+    """
+    seen: dict[tuple[int, int], list[int]] = {}
+    sets: list[np.ndarray] = []
     keep: list[bool] = []
     for part in _parts(texts):
         values, offsets = shingle_sets(pa.array(part, pa.string()), 3)
         for i in range(len(part)):
-            own = values[offsets[i] : offsets[i + 1]].view(np.uint64)
-            signature = {(k, int(mix(own + np.uint64(k)).min())) for k in range(hashes)} if len(own) else set()
-            keep.append(not (signature & seen))
-            seen |= signature
+            own = np.unique(values[offsets[i] : offsets[i + 1]].view(np.uint64))
+            signature = [(k, int(mix(own + np.uint64(k)).min())) for k in range(hashes)] if len(own) else []
+            near = False
+            for other in {j for s in signature for j in seen.get(s, ())}:
+                small, large = sorted((len(own), len(sets[other])))
+                if 100 * small >= percent * large:
+                    shared = len(np.intersect1d(own, sets[other], assume_unique=True))
+                    if 100 * shared >= percent * (small + large - shared):
+                        near = True
+                        break
+            keep.append(not near)
+            if not near:
+                for s in signature:
+                    seen.setdefault(s, []).append(len(sets))
+                sets.append(own)
     return np.array(keep, bool)
 
 
@@ -265,7 +282,9 @@ def fit_sample(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Crf:
     """The CRF of a bounded hash sample of ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``; at most ``SAMPLE_DOCS`` of each label.
 
     The documents of the sample are whole.  Where their texts have more than
-    ``SAMPLE_BYTES`` of a label, the sample has fewer of them.
+    ``SAMPLE_BYTES`` of a label, the sample has fewer of them; a text that alone
+    has more teaches nothing.  Of an id with several texts the one with the
+    least hash is learned from.
 
     Rows with a null ``doc_id``, text or label teach nothing; of a document
     with several labels any toxic one counts.
@@ -278,14 +297,15 @@ def fit_sample(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Crf:
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, 1.3 * SAMPLE_DOCS / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, 1.3 * SAMPLE_DOCS / max(1, counts.get(0, 0)))))
     few = known.where(F.pmod(key, F.lit(1 << 30)) < share * (1 << 30)).withColumn("key", key)
     few = few.withColumn("at", F.row_number().over(Window.partitionBy("toxic").orderBy("key", "doc_id"))).where(F.col("at") <= SAMPLE_DOCS).select("doc_id", "toxic", "at")
-    rows = docs.where("text is not null").join(F.broadcast(few), "doc_id")
+    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(few), "doc_id").withColumn("hash", F.xxhash64("text"))
+    chosen = rows.groupBy("doc_id", "toxic", "at").agg(F.min(F.struct("hash", F.octet_length("text").alias("bytes"))).alias("x")).select("toxic", "at", "x.*")
     last, size = {0: 0, 1: 0}, {0: 0, 1: 0}
-    for r in rows.groupBy("doc_id", "toxic", "at").agg(F.max(F.octet_length("text")).alias("bytes")).orderBy("at", "doc_id").collect():
-        if size[r["toxic"]] < SAMPLE_BYTES:
-            last[r["toxic"]] = r["at"]
+    for r in chosen.orderBy("at").collect():
         size[r["toxic"]] += r["bytes"]
-    rows = rows.where(F.col("at") <= F.when(F.col("toxic") == 1, F.lit(last[1])).otherwise(F.lit(last[0])))
-    rows = rows.select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+        if size[r["toxic"]] <= SAMPLE_BYTES:
+            last[r["toxic"]] = r["at"]
+    wanted = chosen.where(F.col("at") <= F.when(F.col("toxic") == 1, F.lit(last[1])).otherwise(F.lit(last[0]))).select("toxic", "at", "hash")
+    rows = rows.join(F.broadcast(wanted), ["toxic", "at", "hash"]).select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import math
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import pytest
 from spheregrid.llm.bpe import Tokenizer, encode_documents, tokenizer_path
 from spheregrid.llm.hmm import Hmm, score_documents
 from spheregrid.llm.langid import identify, keep_identified
-from spheregrid.llm.toxicity import fit_sample, forward_backward, keep_civil, score_toxicity, tag
+from spheregrid.llm.toxicity import families, fit_sample, forward_backward, keep_civil, score_toxicity, tag
 
 DATA = os.environ.get("SPHEREGRID_TESTDATA", "/root/testdata/sf0.01")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -185,3 +186,33 @@ def test_toxic_word_late_in_long_texts(spark):
     odd = spark.createDataFrame([(1, "You loser!"), (2, "the cat"), (3, some(6000)), (4, f"{some(9000)} loser")], "doc_id long, text string")
     got = {r["doc_id"]: (r["predicted"], len(r["spans"])) for r in tag(odd, model).select("row.doc_id", "predicted", "spans").collect()}
     assert got == {1: (1, 1), 2: (0, 0), 3: (0, 0), 4: (1, 1)}
+
+
+def test_only_near_copies_teach_once():
+    """A text goes if at least four fifths of an earlier one's shingles are its own, and for nothing less."""
+    base = [f"w{k}" for k in range(200)]
+    near, shares = [*base[:-3], "x", "y", "z"], [*base[:60], *(f"v{k}" for k in range(140))]
+    texts = [" ".join(t) for t in (base, near, shares, base[:150], base)] + ["", "", "one two"]
+    assert families(texts).tolist() == [True, False, True, True, False, True, True, True]
+    # Against all pairs, on texts that share much or little.
+    random.seed(8)
+    many = []
+    for _ in range(60):
+        own = random.choice(many).split() if many and random.random() < 0.6 else random.choices(base, k=80)
+        for _ in range(random.choice((0, 2, 8, 30))):
+            own[random.randrange(len(own))] = random.choice(base)
+        many.append(" ".join(own))
+    sets, kept = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in many], []
+    for k, own in enumerate(sets):
+        if not any(len(own & sets[j]) >= 0.8 * len(own | sets[j]) for j in kept):
+            kept.append(k)
+    assert np.flatnonzero(families(many, hashes=40)).tolist() == kept
+
+
+def test_repeated_ids_teach_alike(spark):
+    """Of an id with several texts the one with the least hash is learned from, however the rows come."""
+    rows = [(k, f"{'vile scum' if k % 2 else 'good day'} number {k} with words {k * 7} and {k * 11}") for k in range(40)]
+    rows += [(k, f"another text of {k} vile" if k % 3 else f"good {k}") for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    scores = [{(r["doc_id"], round(r["score"], 12)) for r in score_toxicity(spark.createDataFrame(order, "doc_id long, text string"), labels).collect()} for order in (rows, rows[::-1])]
+    assert scores[0] == scores[1]
