@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from spheregrid.functions.geometry import EARTH_RADIUS_KM, cell_area_km2, dir_to_latlon, equirect_grid, face_uv_to_dir, row_cos
 from spheregrid.functions.noise import Perlin, Points, domain_warp, fbm, hash01, ridged, with_noise
 from spheregrid.operators.hydro import accumulate, fill_depressions, incise, receivers, stochastic_receivers
-from spheregrid.operators.windows import continentality, diffuse, gaussian
+from spheregrid.operators.tiles import stencils
+from spheregrid.operators.windows import continentality, diffuse, gaussian, gaussian_step
 from spheregrid.sources.tables import discard, remove, scratch, settled, written
 
 XYZ = ("x", "y", "z")
@@ -108,12 +109,12 @@ class Planet:
         """``(face, i, j, lat, lon, height, tavg, trange, prec)`` of whole faces' ``pixels(face, i, j, u, v)``; the coast reaches ``radius`` pixels inland."""
         heights = settled(self.face(pixels))
         lat, lon = dir_to_latlon([F.col(c) for c in XYZ])
-        inland = continentality(heights, "h", radius or max(4, n // 40), n, n, keys=["face"])
+        inland = continentality(heights, "h", radius or max(4, n // 40), keys=["face"])
         return self.climate(inland.withColumn("lat", lat).withColumn("lon", lon)).select("face", "i", "j", "lat", "lon", F.col("h").alias("height"), "tavg", "trange", "prec")
 
 
 def climate_equirect(planet: Planet, grid: DataFrame, height: int, width: int) -> DataFrame:
-    return planet.climate(continentality(grid, "h", max(4, height // 20), height, width))
+    return planet.climate(continentality(grid, "h", max(4, height // 20)))
 
 
 def uplift(h: Column, params: PlanetParams, most: float) -> Column:
@@ -168,7 +169,7 @@ def erosion_step(state: DataFrame, rock: DataFrame, height: int, width: int, par
     # A root has no distance; its factor isn't used.
     routed = routed.withColumn("factor", params.dt * params.k * F.col("rock") * F.pow(F.col("acc") * 1e6, F.lit(params.m)) / F.greatest(distance, F.lit(1e-9)))
     cut = incise(settled(routed), "factor", sea, width=width).select("i", "j", F.col("h2").alias("h"), "uplift", "acc", (F.col("h") > sea).alias("_land"))
-    smooth = diffuse(cut, "h", coefficient, height, cosine, sea)
+    smooth = diffuse(cut, "h", coefficient, height, width, cosine, sea)
     return smooth.select("i", "j", F.when(F.col("_land"), F.greatest(F.col("h"), F.lit(sea + 0.5))).otherwise(F.col("h")).alias("h"), "uplift", "acc")
 
 
@@ -213,6 +214,6 @@ def finished_steps(spark: SparkSession, folder: str) -> list[int]:
 
 def smooth_relief(grid: DataFrame, width: int, low: float = 6.0, high: float = 3.0) -> DataFrame:
     """Land smoothed more in the plains than in the mountains; ocean untouched, land 0.5 at least."""
-    both = gaussian(gaussian(grid, "h", low, width, "_plain"), "h", high, width, "_peak")
+    both = stencils(grid, [gaussian_step("h", low, "_plain"), gaussian_step("h", high, "_peak")], ["h"], width=width)
     t = _clip(F.col("h") / 1500)
     return both.withColumn("h", F.when(F.col("h") > 0, F.greatest(F.lit(0.5), F.col("_plain") * (1 - t) + F.col("_peak") * t)).otherwise(F.col("h"))).drop("_plain", "_peak")

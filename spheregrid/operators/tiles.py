@@ -10,12 +10,16 @@ no neighbours.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spheregrid.sources.tables import settled
 
@@ -38,7 +42,7 @@ def with_halo(cells: DataFrame, size: int, halo: int, width: int | None = None)
     Rows close to rings of ``width`` where it is given; tiles are then made so
     much wider that the last one of a row isn't narrower than a halo.
     """
-    while width and 0 < width % size < halo:
+    while width and size < width and width % size < halo and width % size:
         size += 1
     steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
     last = -(-width // size) - 1 if width else None
@@ -99,6 +103,66 @@ def border(cells: DataFrame, size: int, width: int | None, steps: tuple, columns
     return spread.join(near, ["n_i", "n_j"]).where((F.col("ti") != F.col("n_ti")) | (F.col("tj") != F.col("n_tj")) | F.col("seam"))
 
 
+# --- stencils ------------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Stencil:
+    """A step over blocks: what it reads and makes of a block's arrays, and how many cells around it looks at.
+
+    ``run`` takes arrays by column name and gives new ones by name, of the
+    same shape; a block's edge stands for the grid's.
+    """
+
+    radius: int
+    made: dict[str, str]  # type of each new column
+    run: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]
+
+
+def stencils(grid: DataFrame, steps: list[Stencil], reads: list[str], width: int | None = None, size: int = SIZE, keys: Sequence[str] = ()) -> DataFrame:
+    """A full ``grid(keys, i, j, ...)`` with the columns of a chain of stencils, each of which may read what those before it made.
+
+    Cells go to their tile with a halo as wide as the whole chain looks, so the
+    chain takes one shuffle; rows close to rings of ``width`` where it is given.
+    """
+    halo = sum(s.radius for s in steps)
+    made = {name: kind for s in steps for name, kind in s.made.items()}
+    fields = [f for f in grid.schema if f.name not in made]
+    schema = T.StructType([*fields, *[T.StructField(n, T._parse_datatype_string(kind)) for n, kind in made.items()]])
+    kinds = to_arrow_schema(schema)
+
+    def run(rows: pa.Table) -> pa.Table:
+        li, lj, own = (rows.column(c).to_numpy() for c in ("li", "lj", "own"))
+        x, y = li - li.min(), lj - lj.min()
+        shape = (int(x.max()) + 1, int(y.max()) + 1)
+        blocks = {}
+        for c in reads:
+            block = np.zeros(shape, rows.column(c).to_numpy().dtype)
+            block[x, y] = rows.column(c).to_numpy()
+            blocks[c] = block
+        for step in steps:
+            blocks |= step.run(blocks)
+        keep = rows.filter(pa.array(own))
+        x, y = x[own], y[own]
+        new = {n: pa.array(blocks[n][x, y]) for n in made}
+        return pa.table([new[f.name].cast(f.type) if f.name in new else keep.column(f.name).cast(f.type) for f in kinds], schema=kinds)
+
+    plain = grid.select(*[f.name for f in grid.schema if f.name not in made or f.name in reads])
+    return with_halo(plain, max(size, halo), halo, width).groupBy(*keys, "ti", "tj").applyInArrow(run, schema)
+
+
+def moved(block: np.ndarray, di: int, dj: int) -> np.ndarray:
+    """Each cell's neighbour ``di, dj`` away; beyond the edge the edge's cell."""
+    i, j = (np.clip(np.arange(n) + d, 0, n - 1) for n, d in zip(block.shape, (di, dj), strict=True))
+    return block[i][:, j]
+
+
+def sliding(block: np.ndarray, radius: int, axis: int, mode: str, fold: Callable[..., np.ndarray], **fill: float) -> np.ndarray:
+    """``fold`` of the 2 radius + 1 cells around each along an axis, the block padded at its edges as numpy's ``mode`` says."""
+    pad = [(radius, radius) if k == axis else (0, 0) for k in (0, 1)]
+    return fold(sliding_window_view(np.pad(block, pad, mode=mode, **fill), 2 * radius + 1, axis=axis), axis=-1)
+
+
 # --- regions -------------------------------------------------------------------------------------------------------
 
 

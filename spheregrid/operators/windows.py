@@ -1,41 +1,52 @@
-"""Scans and stencils over rows and columns of a grid ``(i, j, value)``.
+"""Scans and stencils over a grid ``(i, j, value)``.
 
-A window per row (or column) keeps every scan in the JVM; rows of a global
-raster hold some ten thousand cells, so the partitions stay small and many.
+Scans go along lines in blocks, with a small table that carries on from block
+to block; stencils look at tiles with halos (``tiles.stencils``), a chain of
+them in one shuffle.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
+from spheregrid.operators.tiles import Stencil, moved, sliding, stencils
 
-def _line(axis: int, keys: Sequence[str] = ()) -> WindowSpec:
-    """Windows along j in a row (axis 1) or along i in a column (axis 0), of each grid that ``keys`` name."""
-    return Window.partitionBy(*keys, "i").orderBy("j") if axis == 1 else Window.partitionBy(*keys, "j").orderBy("i")
 
+#: Cells of a line that are scanned together.
+SCAN = 4096
 
-def directional_distance(grid: DataFrame, water: str, axis: int, sign: int, spacing: float, cap: float, wrap_width: int | None = None, name: str = "distance", keys: Sequence[str] = ()) -> DataFrame:
+
+def directional_distance(grid: DataFrame, water: str, axis: int, sign: int, spacing: float, cap: float, wrap_width: int | None = None, name: str = "distance", keys: Sequence[str] = (), block: int = SCAN) -> DataFrame:
     """Cells to the next water along an axis, times ``spacing``, at most ``cap``; 0 on water, ``cap`` without any.
 
-    ``wrap_width`` closes the rows of ``axis`` 1 to rings.
+    ``wrap_width`` closes the rows of ``axis`` 1 to rings.  A line is scanned
+    in blocks of ``block`` cells; a table of each block's first and last water
+    carries on from block to block, so a line of any length is dealt over tasks.
     """
-    pos = F.col("j" if axis == 1 else "i")
+    line, along = ("i", "j") if axis == 1 else ("j", "i")
+    pos, ends = F.col(along), [*keys, line]
     at = F.when(F.col(water), pos)
-    line = _line(axis, keys)
+    cells = grid.withColumn("_block", F.floor(pos / block))
+    blocks = cells.groupBy(*ends, "_block").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    order, whole = Window.partitionBy(*ends).orderBy("_block"), Window.partitionBy(*ends)
+    inside = Window.partitionBy(*ends, "_block").orderBy(along)
     if sign > 0:
-        found = F.min(at).over(line.rowsBetween(0, Window.unboundedFollowing))
-        around = F.min(at).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + (wrap_width or 0)
-        gap = F.coalesce(found, around) - pos if wrap_width else found - pos
+        found = F.min(at).over(inside.rowsBetween(0, Window.unboundedFollowing))
+        further = F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing))
+        around = F.min("_first").over(whole) + (wrap_width or 0)
     else:
-        found = F.max(at).over(line.rowsBetween(Window.unboundedPreceding, 0))
-        around = F.max(at).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - (wrap_width or 0)
-        gap = pos - F.coalesce(found, around) if wrap_width else pos - found
-    return grid.withColumn(name, F.least(F.coalesce(gap * F.lit(float(spacing)), F.lit(float(cap))), F.lit(float(cap))))
+        found = F.max(at).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        further = F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        around = F.max("_last").over(whole) - (wrap_width or 0)
+    carried = blocks.select(*ends, "_block", (F.coalesce(further, around) if wrap_width else further).alias("_further"))
+    scanned = cells.withColumn("_found", found).join(carried, [*ends, "_block"])
+    gap = (F.coalesce("_found", "_further") - pos) * sign
+    return scanned.withColumn(name, F.least(F.coalesce(gap * F.lit(float(spacing)), F.lit(float(cap))), F.lit(float(cap)))).select(*grid.columns, name)
 
 
 def face_distances(cells: DataFrame, water: str, n: int, px_km: float, cap_km: float, keys: Sequence[str] = ("face",)) -> DataFrame:
@@ -47,107 +58,93 @@ def face_distances(cells: DataFrame, water: str, n: int, px_km: float, cap_km: f
 
 def slope(grid: DataFrame, value: str, scale: float = 1.0, name: str = "slope", keys: Sequence[str] = ()) -> DataFrame:
     """Length of the central-difference gradient, edges replicated."""
-    v = F.col(value)
 
-    def diff(axis: int) -> Column:
-        line = _line(axis, keys)
-        return (F.coalesce(F.lead(v).over(line), v) - F.coalesce(F.lag(v).over(line), v)) / 2
+    def run(b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        v = b[value].astype(float)
+        return {name: np.hypot((moved(v, 0, 1) - moved(v, 0, -1)) / 2, (moved(v, 1, 0) - moved(v, -1, 0)) / 2) * scale}
+
+    return stencils(grid, [Stencil(1, {name: "double"}, run)], [value], keys=keys)
 
-    return grid.withColumn("_dx", diff(1)).withColumn("_dy", diff(0)).withColumn(name, F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")) * scale).drop("_dx", "_dy")
 
+def hillshade(grid: DataFrame, value: str, gain: float, name: str = "shade") -> DataFrame:
+    """Light from the north-west: 0.5 + gain (dv/di + dv/dj), within 0 and 1; differences are central inside, one-sided at the ends."""
 
-def gradient(value: Column, axis: int) -> Column:
-    """Central differences inside, one-sided ones at the ends."""
-    line = _line(axis)
-    after, before = F.lead(value).over(line), F.lag(value).over(line)
-    return F.when(before.isNull(), after - value).when(after.isNull(), value - before).otherwise((after - before) / 2)
+    def run(b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        v = b[value].astype(float)
+        slopes = [np.gradient(v, axis=axis) if v.shape[axis] > 1 else np.zeros_like(v) for axis in (0, 1)]
+        return {name: np.clip(0.5 + gain * (slopes[0] + slopes[1]), 0, 1)}
 
+    return stencils(grid, [Stencil(1, {name: "double"}, run)], [value])
 
-def hillshade(grid: DataFrame, value: str, gain: float, name: str = "shade") -> DataFrame:
-    """Light from the north-west: 0.5 + gain (dv/di + dv/dj), within 0 and 1."""
-    shaded = grid.withColumn("_gi", F.coalesce(gradient(F.col(value), 0), F.lit(0.0))).withColumn("_gj", F.coalesce(gradient(F.col(value), 1), F.lit(0.0)))
-    return shaded.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + gain * (F.col("_gi") + F.col("_gj"))))).drop("_gi", "_gj")
 
+def blur_step(value: str, radius: int, name: str) -> Stencil:
+    """Separable box mean, edges replicated."""
 
-def _edge_mean(value: Column, axis: int, radius: int, size: int, keys: Sequence[str] = ()) -> Column:
-    """Mean of 2 radius + 1 cells of a full line, the end cells repeated beyond the ends."""
-    pos, line = F.col("j" if axis == 1 else "i"), _line(axis, keys)
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    inner = F.sum(value).over(line.rowsBetween(-radius, radius))
-    before = F.greatest(F.lit(0), F.lit(radius) - pos) * F.first(value).over(whole)
-    after = F.greatest(F.lit(0), pos + radius - (size - 1)) * F.last(value).over(whole)
-    return (inner + before + after) / (2 * radius + 1)
+    def run(b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        rows = sliding(b[value].astype(float), radius, 1, "edge", np.mean)
+        return {name: sliding(rows, radius, 0, "edge", np.mean)}
 
+    return Stencil(radius, {name: "double"}, run)
 
-def box_blur(grid: DataFrame, value: str, radius: int, height: int, width: int, name: str = "blur", keys: Sequence[str] = ()) -> DataFrame:
+
+def box_blur(grid: DataFrame, value: str, radius: int, name: str = "blur", keys: Sequence[str] = ()) -> DataFrame:
     """Separable box mean of a full grid, edges replicated."""
-    once = grid.withColumn("_row", _edge_mean(F.col(value).cast("double"), 1, radius, width, keys))
-    return once.withColumn(name, _edge_mean(F.col("_row"), 0, radius, height, keys)).drop("_row")
+    return stencils(grid, [blur_step(value, radius, name)], [value], keys=keys)
 
 
-def continentality(grid: DataFrame, height_column: str, radius: int, height: int, width: int, name: str = "cont", keys: Sequence[str] = ()) -> DataFrame:
+def continentality(grid: DataFrame, height_column: str, radius: int, name: str = "cont", keys: Sequence[str] = ()) -> DataFrame:
     """How far inland: the land share within ``radius``, from one half up, on land only."""
-    land = grid.withColumn("_land", (F.col(height_column) > 0).cast("double"))
-    blurred = box_blur(land, "_land", radius, height, width, "_mean", keys)
-    return blurred.withColumn(name, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_mean") - 0.5) / 0.5)) * F.col("_land")).drop("_land", "_mean")
+    land = Stencil(0, {"_land": "double"}, lambda b: {"_land": (b[height_column] > 0).astype(float)})
+    inland = Stencil(0, {name: "double"}, lambda b: {name: np.clip((b["_mean"] - 0.5) / 0.5, 0, 1) * b["_land"]})
+    return stencils(grid, [land, blur_step("_land", radius, "_mean"), inland], [height_column], keys=keys).drop("_land", "_mean")
 
 
 def extrema(grid: DataFrame, value: str, radius: int = 2) -> DataFrame:
     """``lo`` and ``hi`` over the (2 radius + 1)^2 cells around, cut off at the edges."""
-    row, column = _line(1).rowsBetween(-radius, radius), _line(0).rowsBetween(-radius, radius)
-    once = grid.withColumn("_lo", F.min(value).over(row)).withColumn("_hi", F.max(value).over(row))
-    return once.withColumn("lo", F.min("_lo").over(column)).withColumn("hi", F.max("_hi").over(column)).drop("_lo", "_hi")
+    kind = dict(grid.dtypes)[value]
 
+    def run(b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        # Beyond an edge stands the edge's cell, which is in the window anyway.
+        lo, hi = (sliding(sliding(b[value], radius, 1, "edge", fold), radius, 0, "edge", fold) for fold in (np.min, np.max))
+        return {"lo": lo, "hi": hi}
 
-def _ring(value: Column, step: int) -> Column:
-    """The neighbour along a closed row."""
-    line = _line(1)
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return F.coalesce(F.lead(value).over(line), F.first(value).over(whole)) if step > 0 else F.coalesce(F.lag(value).over(line), F.last(value).over(whole))
+    return stencils(grid, [Stencil(radius, {"lo": kind, "hi": kind}, run)], [value])
 
 
-def diffuse(grid: DataFrame, value: str, coefficient: float, height: int, cosine: Column, sea: float | None = None) -> DataFrame:
+def diffuse(grid: DataFrame, value: str, coefficient: float, height: int, width: int, cosine: Column, sea: float | None = None) -> DataFrame:
     """One explicit diffusion step on a full grid: rows are closed, the first and last row stay, the east-west part grows with 1/cos^2; cells up to ``sea`` stay."""
-    v = F.col(value)
-    out = grid.withColumn("_east", _ring(v, 1)).withColumn("_west", _ring(v, -1)).withColumn("_up", F.lag(v).over(_line(0))).withColumn("_down", F.lead(v).over(_line(0)))
-    lap = (F.col("_up") + F.col("_down") - 2 * v) + (F.col("_east") + F.col("_west") - 2 * v) / (cosine * cosine)
-    moves = (F.col("i") > 0) & (F.col("i") < height - 1)
-    if sea is not None:
-        moves = moves & (v > sea)
-    return out.withColumn(value, F.when(moves, v + coefficient * lap).otherwise(v)).drop("_east", "_west", "_up", "_down")
 
+    def run(b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        v, cos = b[value].astype(float), b["_cos"]
+        lap = (moved(v, -1, 0) + moved(v, 1, 0) - 2 * v) + (moved(v, 0, 1) + moved(v, 0, -1) - 2 * v) / (cos * cos)
+        moves = (b["i"] > 0) & (b["i"] < height - 1)
+        return {value: np.where(moves if sea is None else moves & (v > sea), v + coefficient * lap, v)}
 
-def gaussian(grid: DataFrame, value: str, sigma: float, width: int, name: str, wrap: bool = True) -> DataFrame:
-    """Separable Gaussian to four sigmas: rows closed (or replicated), columns replicated; of a full grid.
+    columns = grid.columns
+    out = stencils(grid.withColumn("_cos", cosine.cast("double")), [Stencil(1, {value: "double"}, run)], [value, "_cos", "i"], width=width)
+    return out.select(*columns)
 
-    A cell adds up its line's neighbours at fixed distances; a closed row is
-    first lengthened at both ends by copies of its other end.
-    """
+
+def gaussian_step(value: str, sigma: float, name: str) -> Stencil:
+    """Separable Gaussian to four sigmas, edges replicated."""
     radius = int(4 * sigma + 0.5)
-    if wrap and radius > width:
+    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    weights /= weights.sum()
+    fold = lambda window, axis: window @ weights
+
+    def run(b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        rows = sliding(b[value].astype(float), radius, 1, "edge", fold)
+        return {name: sliding(rows, radius, 0, "edge", fold)}
+
+    return Stencil(radius, {name: "double"}, run)
+
+
+def gaussian(grid: DataFrame, value: str, sigma: float, width: int, name: str, wrap: bool = True) -> DataFrame:
+    """Separable Gaussian to four sigmas: rows closed (or replicated), columns replicated; of a full grid."""
+    step = gaussian_step(value, sigma, name)
+    if wrap and step.radius > width:
         raise ValueError(f"a Gaussian of {sigma} cells goes round a row of {width} more than once")
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(radius + 1)]
-    total = weights[0] + 2 * sum(weights[1:])
-
-    def along(df: DataFrame, source: str, target: str, axis: int) -> DataFrame:
-        line = _line(axis)
-        whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        v = F.col(source)
-        out = v * (weights[0] / total)
-        for d in range(1, radius + 1):
-            near = F.coalesce(F.lag(v, d).over(line), F.first(v).over(whole)) + F.coalesce(F.lead(v, d).over(line), F.last(v).over(whole))
-            out = out + near * (weights[d] / total)
-        return df.withColumn(target, out)
-
-    rows = grid.withColumn("_v", F.col(value).cast("double"))
-    if wrap:
-        at = F.col("j")
-        shifts = F.filter(F.array(F.lit(0), F.when(at < radius, F.lit(width)), F.when(at >= width - radius, F.lit(-width))), lambda s: s.isNotNull())
-        rows = rows.withColumn("_s", F.explode(shifts)).withColumn("j", F.col("j") + F.col("_s"))
-    rows = along(rows, "_v", "_g", 1)
-    if wrap:
-        rows = rows.where("_s = 0").drop("_s")
-    return along(rows, "_g", name, 0).drop("_g", "_v")
+    return stencils(grid, [step], [value], width=width if wrap else None)
 
 
 def zonal_fill(grid: DataFrame, value: str, valid: str, band: int, height: int, name: str = "filled") -> DataFrame:

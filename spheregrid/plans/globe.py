@@ -244,7 +244,7 @@ def q57_smooth_relief(spark, sf_dir):
   WHERE b.i = greatest(0, least({H - 1}, a.i + di)) AND b.j = greatest(0, least({W - 1}, a.j + dj)) GROUP BY a.i, a.j)
 SELECT i, j, round(CASE WHEN h > 0 THEN greatest(0, least(1, (m - 0.5) / 0.5)) ELSE 0 END, 6) + 0.0 AS cont, round(CASE WHEN h > 0 THEN 0.5::DOUBLE * (0.003::DOUBLE + 0.997::DOUBLE * pow(greatest(0, least(1, (h / 20.0::DOUBLE - 0.6 * 1000) / 6000)), 1.2)) ELSE 0 END, 6) + 0.0 AS uplift FROM b""")
 def q58_continentality_uplift(spark, sf_dir):
-    g = windows.continentality(grid(spark, sf_dir), "h", 3, H, W)
+    g = windows.continentality(grid(spark, sf_dir), "h", 3)
     return g.select("i", "j", r6(F.col("cont")).alias("cont"), r6(planets.uplift(F.col("h") / 20.0, planets.PlanetParams(), 0.5)).alias("uplift"))
 
 

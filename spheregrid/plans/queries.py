@@ -215,7 +215,7 @@ def q12_hillshade(spark, sf_dir):
 @query(f"""WITH {G} SELECT a.i, a.j, round(avg(b.h::DOUBLE), 6) + 0.0 AS blur FROM g a, range(-2, 3) p(di), range(-2, 3) q(dj), g b
 WHERE b.i = greatest(0, least({H - 1}, a.i + di)) AND b.j = greatest(0, least({W - 1}, a.j + dj)) GROUP BY a.i, a.j""")
 def q13_box_blur(spark, sf_dir):
-    return windows.box_blur(grid(spark, sf_dir), "h", 2, H, W).select("i", "j", r6(F.col("blur")).alias("blur"))
+    return windows.box_blur(grid(spark, sf_dir), "h", 2).select("i", "j", r6(F.col("blur")).alias("blur"))
 
 
 @query(f"WITH {G} SELECT a.i, a.j, min(b.h) AS lo, max(b.h) AS hi, max(b.h) - min(b.h) < 150000 AS flat FROM g a JOIN g b ON b.i BETWEEN a.i - 2 AND a.i + 2 AND b.j BETWEEN a.j - 2 AND a.j + 2 GROUP BY a.i, a.j")
@@ -231,7 +231,7 @@ COS = f"greatest(0.15::DOUBLE, cos(radians(90 - (i + 0.5) * 180 / {H})))"
   LEFT JOIN g e ON e.i = g.i AND e.j = (g.j + 1) % {W} LEFT JOIN g w ON w.i = g.i AND w.j = (g.j + {W - 1}) % {W})
 SELECT i, j, round(CASE WHEN i > 0 AND i < {H - 1} THEN h + 0.004::DOUBLE * ((nh + sh - 2 * h) + (eh + wh - 2 * h) / (c * c)) ELSE h END, 6) + 0.0 AS h FROM y""".replace("cos(radians(90 - (i", "cos(radians(90 - (g.i"))
 def q15_diffuse(spark, sf_dir):
-    return windows.diffuse(grid(spark, sf_dir).withColumn("h", F.col("h").cast("double")), "h", 0.004, H, geometry.row_cos(F.col("i"), H)).select("i", "j", r6(F.col("h")).alias("h"))
+    return windows.diffuse(grid(spark, sf_dir).withColumn("h", F.col("h").cast("double")), "h", 0.004, H, W, geometry.row_cos(F.col("i"), H)).select("i", "j", r6(F.col("h")).alias("h"))
 
 
 @query(f"""WITH {G}, {E}, p AS (SELECT *, (90 - lat) / 180 * {H} - 0.5 AS y, (lon + 180) / 360 * {W} - 0.5 AS x FROM e),

@@ -219,7 +219,7 @@ def test_gaussian_and_blur(spark):
     row = sum(w[k + r] * np.roll(a, -k, axis=1) for k in range(-r, r + 1))
     want = sum(w[k + r] * row[np.clip(np.arange(9) + k, 0, 8)] for k in range(-r, r + 1))
     assert np.allclose(got, want)
-    land = windows.continentality(table(spark, np.pad(np.full((8, 8), 500.0), 4, constant_values=-1000.0)), "h", 2, 16, 16)
+    land = windows.continentality(table(spark, np.pad(np.full((8, 8), 500.0), 4, constant_values=-1000.0)), "h", 2)
     cont = array(land, "cont", (16, 16))
     assert cont[8, 8] == 1 and cont[0, 0] == 0 and 0 < cont[5, 5] < 1
 
