@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from spheregrid.functions.geometry import face_pixel_latlon, px_km
 from spheregrid.functions.noise import hash01
 from spheregrid.operators.hydro import water_layers
-from spheregrid.operators.predicates import first_accepted, mark_holdout
+from spheregrid.operators.predicates import mark_holdout
 from spheregrid.operators.resample import block_mean, sample_equirect, sample_layers
 from spheregrid.operators.windows import face_distances
 from spheregrid.sources.tables import settled
@@ -84,29 +84,68 @@ def acceptable(cells: DataFrame, n: int, patch: int, factor: int, split: str, mi
     return blocks.where((F.col("bi") <= last) & (F.col("bj") <= last) & wanted & (F.col("land") >= min_land * patch * patch)).select("face", "bi", "bj")
 
 
-def seeded_patches(cells: DataFrame, indices: DataFrame, seed: int, n: int, patch: int, factor: int, split: str = "train", min_land: float = 0.0, max_tries: int = 200) -> DataFrame:
+def ranked_origins(origins: DataFrame) -> DataFrame:
+    """``origins(face, bi, bj)`` with ``rank``, from 0 along rows, face by face; a row of blocks is counted in one task, faces by their rows' counts."""
+    rows = origins.groupBy("face", "bi").agg(F.count("*").alias("_n"))
+    faces = rows.groupBy("face").agg(F.sum("_n").alias("_m"))
+    faces = faces.select("face", F.coalesce(F.sum("_m").over(Window.orderBy("face").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_faces"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("face").orderBy("bi").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.select("face", "bi", before.alias("_rows")).join(faces, "face")
+    own = F.row_number().over(Window.partitionBy("face", "bi").orderBy("bj")) - 1
+    return origins.withColumn("_own", own).join(rows, ["face", "bi"]).select("face", "bi", "bj", (F.col("_faces") + F.col("_rows") + F.col("_own")).alias("rank"))
+
+
+def seeded_patches(cells: DataFrame, indices: DataFrame, seed: int, n: int, patch: int, factor: int, split: str = "train", min_land: float = 0.0) -> DataFrame:
     """``(idx, face, i0, j0, turns, flip)``: the patch of each ``indices(idx)``, by (seed, idx) alone.
 
-    Every index draws up to ``max_tries`` origins (on validation only from the
-    held-out boxes) and takes the first that the split accepts; one without any
-    raises, and so does a validation split that holds nothing out.
+    Drawing origins until the split accepts one gives each accepted origin the
+    chance that a single draw has of it; so the accepted ones are ranked once
+    and every index selects one by its rank.  Training draws are even over all
+    origins; validation draws take one of the held-out boxes (one for each
+    face that has any) and an origin whose window meets it, so an origin's
+    chance falls with the number that its box has.  A split that accepts nothing raises.
     """
-    draw = lambda k: hash01(F.col("idx") * 1_000_003 + F.col("attempt") * 7 + k, F.lit(seed))
-    pick = lambda k, low, high: (low + F.floor(draw(k) * (high - low + 1))).cast("long")
-    last = F.lit((n - patch) // factor)
-    tries = indices.select("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_tries - 1).cast("long"))).alias("attempt"))
+    draw = lambda k: hash01(F.col("idx") * 1_000_003 + k, F.lit(seed))
+    ranked = settled(ranked_origins(acceptable(cells, n, patch, factor, split, min_land)))
+    counts = {r["face"]: r["count"] for r in ranked.groupBy("face").count().collect()}  # six at most
+    last = (n - patch) // factor
+    share = dict.fromkeys(counts, 1.0)
     if split == "val":
-        boxes = [tuple(r) for r in holdout_boxes(cells).orderBy("face").collect()]  # six at most
+        boxes = {r["face"]: r for r in holdout_boxes(cells).collect()}  # six at most
         if not boxes:
             raise ValueError("nothing is held out: the validation split is empty")
-        drawn = F.element_at(F.array(*[F.struct(*[F.lit(int(v)).alias(c) for c, v in zip(("face", "i0", "i1", "j0", "j1"), b, strict=True)]) for b in boxes]), (F.floor(draw(0) * len(boxes)) + 1).cast("int"))
-        tries = tries.withColumn("_b", drawn)
-        low = lambda c: F.floor(F.greatest(F.col(c) - (patch - 1), F.lit(0)) / factor)
-        high = lambda c: F.floor(F.least(F.col(c), F.lit(n - patch)) / factor)
-        at = tries.select("idx", "attempt", F.col("_b.face").alias("face"), pick(1, low("_b.i0"), high("_b.i1")).alias("bi"), pick(2, low("_b.j0"), high("_b.j1")).alias("bj"))
-    else:
-        at = tries.select("idx", "attempt", F.floor(draw(0) * 6).cast("int").alias("face"), pick(1, F.lit(0), last).alias("bi"), pick(2, F.lit(0), last).alias("bj"))
-    fine = acceptable(cells, n, patch, factor, split, min_land).withColumn("ok", F.lit(True))
-    seen = at.join(fine, ["face", "bi", "bj"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    first = first_accepted(seen, ["idx"], "attempt", "ok", max_tries)
-    return at.join(first, ["idx", "attempt"]).select("idx", "face", (F.col("bi") * factor).alias("i0"), (F.col("bj") * factor).alias("j0"), F.floor(draw(3) * 4).cast("int").alias("turns"), (draw(4) < 0.5).alias("flip"))
+        width = lambda low, high: min(high // factor, last) - max(low - (patch - 1), 0) // factor + 1
+        share = {f: 1.0 / (width(boxes[f]["i0"], boxes[f]["i1"]) * width(boxes[f]["j0"], boxes[f]["j1"])) for f in counts}
+    if not counts:
+        raise ValueError(f"the {split} split accepts no patch")
+    # The faces' parts of the draw, in order; within its part a draw is even over the face's accepted origins.
+    total, low, first, pick = sum(counts[f] * share[f] for f in counts), 0.0, 0, None
+    for f in sorted(counts):
+        part = counts[f] * share[f] / total
+        own = F.least(F.floor((draw(0) - low) / part * counts[f]), F.lit(counts[f] - 1)) + first
+        pick = F.when(draw(0) < low + part, own) if pick is None else pick.when(draw(0) < low + part, own)
+        low, first = low + part, first + counts[f]
+    drawn = indices.select("idx", F.coalesce(pick, F.lit(first - 1)).cast("long").alias("rank"), F.floor(draw(3) * 4).cast("int").alias("turns"), (draw(4) < 0.5).alias("flip"))
+    return drawn.join(ranked, "rank").select("idx", "face", (F.col("bi") * factor).alias("i0"), (F.col("bj") * factor).alias("j0"), "turns", "flip")
+
+
+def patch_cells(patches: DataFrame, cells: DataFrame, patch: int, factor: int, around: int = 0) -> DataFrame:
+    """The cells of each of ``patches(idx, face, i0, j0)`` and ``around`` cells beyond it, ``a, b`` from its first one: blocks of ``factor`` cells are joined, never all cells with all patches.
+
+    For the context give its own ``factor`` 1, and origins and sizes in its pixels.
+    """
+    if around % factor:
+        raise ValueError("what is read around a patch must be a multiple of the context's factor")
+    side, beyond = patch // factor, around // factor
+    steps = F.sequence(F.lit(-beyond), F.lit(side + beyond - 1))
+    wanted = patches.select("idx", "face", "i0", "j0", F.explode(steps).alias("_y")).select("*", F.explode(steps).alias("_x"))
+    wanted = wanted.select("idx", "face", "i0", "j0", (F.floor(F.col("i0") / factor) + F.col("_y")).alias("_bi"), (F.floor(F.col("j0") / factor) + F.col("_x")).alias("_bj"))
+    blocks = cells.withColumn("_bi", F.floor(F.col("i") / factor)).withColumn("_bj", F.floor(F.col("j") / factor))
+    read = wanted.join(blocks, ["face", "_bi", "_bj"])
+    return read.select("idx", (F.col("i") - F.col("i0")).cast("int").alias("a"), (F.col("j") - F.col("j0")).cast("int").alias("b"), *[c for c in cells.columns if c not in ("face", "i", "j")])
+
+
+def context_of(patches: DataFrame, context: DataFrame, patch: int, factor: int, pad: int, around: int) -> DataFrame:
+    """The coarse context of each patch: its own pixels and ``around`` fine pixels beyond, from a context that reaches ``pad`` fine pixels beyond the faces."""
+    coarse = patches.select("idx", "face", (F.floor(F.col("i0") / factor) + pad // factor).alias("i0"), (F.floor(F.col("j0") / factor) + pad // factor).alias("j0"))
+    return patch_cells(coarse, context, patch // factor, 1, around // factor)

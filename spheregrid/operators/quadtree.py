@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spheregrid.functions.geometry import dir_to_latlon, face_uv_to_dir, length
 from spheregrid.functions.noise import detail_height, surface_height
@@ -30,42 +32,51 @@ def node_size(radius: float) -> Column:
     return F.lit(math.pi / 2 * radius) / F.pow(F.lit(2.0), F.col("level"))
 
 
-def children(nodes: DataFrame) -> DataFrame:
-    """The four halves in both directions, in the order (0,0) (1,0) (0,1) (1,1)."""
-    four = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (0, 1) for dx in (0, 1)])
-    return nodes.withColumn("_q", F.explode(four)).select("face", (F.col("level") + 1).alias("level"), (F.col("x") * 2 + F.col("_q.dx")).alias("x"), (F.col("y") * 2 + F.col("_q.dy")).alias("y"))
-
-
-def roots(spark: SparkSession) -> DataFrame:
-    return spark.range(6).select(F.col("id").cast("int").alias("face"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
-
-
-def with_distance(nodes: DataFrame, camera: tuple[float, float, float], radius: float) -> DataFrame:
-    """``nodes`` with ``dist`` from the camera to each centre; the centre is a column, so it is worked out once."""
-    c = [F.col("_c")[k] * radius - float(camera[k]) for k in range(3)]
-    return nodes.withColumn("_c", F.array(*node_centre())).withColumn("dist", F.sqrt(c[0] * c[0] + c[1] * c[1] + c[2] * c[2])).drop("_c")
-
-
-def select_leaves(spark: SparkSession, camera: tuple[float, float, float], radius: float, factor: float = 2.5, max_level: int = 18) -> DataFrame:
-    """Leaves of the subdivision in which a node splits while the camera is nearer to its centre than ``factor`` sizes; one level a round."""
-    open_, leaves = roots(spark), None
-    for level in range(min(max_level, 30) + 1):
-        seen = settled(with_distance(open_, camera, radius))
-        split = (F.col("dist") < factor * node_size(radius)) & F.lit(level < max_level)
-        done = seen.where(~split).select(*NODE, "dist")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        more = seen.where(split).select(*NODE)
-        if more.isEmpty():
-            break
-        open_ = children(more)
-    return leaves
-
-
-def patch_changes(wanted: DataFrame, built: DataFrame, budget: int = 12) -> DataFrame:
-    """What a frame does: drops every stale patch and builds the ``budget`` nearest missing ones."""
-    drop = built.join(wanted, NODE, "left_anti").select(*NODE, F.lit("drop").alias("action"))
-    build = wanted.join(built, NODE, "left_anti").orderBy("dist", *NODE).limit(budget).select(*NODE, F.lit("build").alias("action"))
-    return drop.unionByName(build)
+#: Levels that are descended in one plan before what is reached is written: longer chains make plans and generated code too large.
+DESCENT = 4
+
+
+def select_leaves(cameras: DataFrame, radius: float, factor: float = 2.5, max_level: int = 18, keys: Sequence[str] = ("camera",)) -> DataFrame:
+    """Leaves ``(keys, face, level, x, y, dist)`` of each of ``cameras(keys, cx, cy, cz)``: a node splits while the camera is nearer to its centre than ``factor`` sizes.
+
+    All cameras descend together: a level replaces nodes that split by their
+    four children and passes the others on, row by row, so no level takes a
+    shuffle or a look at how far any camera is; every ``DESCENT`` levels the
+    rows of a table (not those of a stream) are written.
+    """
+    max_level = min(max_level, 30)
+    six = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda f: F.struct(f.alias("face"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")))
+    rows = cameras.select(*keys, "cx", "cy", "cz", F.inline(six)).withColumn("leaf", F.lit(False))
+    four = [(dx, dy) for dy in (0, 1) for dx in (0, 1)]
+    for level in range(max_level + 1):
+        rows = _distant(rows, radius)
+        split = ~F.col("leaf") & (F.col("dist") < factor * node_size(radius)) & F.lit(level < max_level)
+        rows = rows.withColumn("_split", split)
+        nodes = [F.struct((F.col("level") + 1).alias("level"), (F.col("x") * 2 + dx).alias("x"), (F.col("y") * 2 + dy).alias("y"), F.lit(False).alias("leaf")) for dx, dy in four]
+        same = F.array(F.struct("level", "x", "y", F.lit(True).alias("leaf")))
+        if level < max_level:
+            rows = rows.withColumn("_next", F.explode(F.when(F.col("_split"), F.array(*nodes)).otherwise(same))).select(*keys, "cx", "cy", "cz", "face", "_next.*")
+        if level % DESCENT == DESCENT - 1 and level < max_level and not cameras.isStreaming:
+            rows = settled(rows)
+    return rows.select(*keys, *NODE, "dist")
+
+
+def _distant(rows: DataFrame, radius: float) -> DataFrame:
+    """``rows`` with ``dist`` from the camera to each node's centre; the centre is a column, so it is worked out once."""
+    gap = [F.col("_c")[k] * radius - F.col(c) for k, c in enumerate(("cx", "cy", "cz"))]
+    return rows.withColumn("_c", F.array(*node_centre())).withColumn("dist", F.sqrt(sum((g * g for g in gap), F.lit(0.0)))).drop("_c")
+
+
+def patch_changes(wanted: DataFrame, built: DataFrame, budget: int = 12, keys: Sequence[str] = ()) -> DataFrame:
+    """What a frame does: drops every stale patch and builds the ``budget`` nearest missing ones; for each camera that ``keys`` name."""
+    drop = built.join(wanted, [*keys, *NODE], "left_anti").select(*keys, *NODE, F.lit("drop").alias("action"))
+    missing = wanted.join(built, [*keys, *NODE], "left_anti")
+    if keys:
+        nearest = F.row_number().over(Window.partitionBy(*keys).orderBy("dist", *NODE))
+        missing = missing.withColumn("_rank", nearest).where(F.col("_rank") <= budget)
+    else:
+        missing = missing.orderBy("dist", *NODE).limit(budget)
+    return drop.unionByName(missing.select(*keys, *NODE, F.lit("build").alias("action")))
 
 
 def ground(points: DataFrame, key: str, cells: DataFrame, layer: str, n: int, radius: float, fine: Column | float, roughness: float, seed: int, name: str = "ground") -> DataFrame:

@@ -69,6 +69,15 @@ def cube_values(spark, sf_dir, n: int, pad: int = 0) -> DataFrame:
     return cube(spark, sf_dir, n, pad).select("face", "i", "j", F.col("v_").cast("double").alias("h"))
 
 
+def hash_sql(source: str, out: str, a: str, b: str) -> str:
+    """CTEs: ``source`` with ``u``, the hash of two integers in [0, 1)."""
+    return f"""{out}1 AS (SELECT *, {_xor(_mul(f"(({a})::HUGEINT % {M64} + {M64}) % {M64}", noise.CELL_A), _mul(f"(({b})::HUGEINT % {M64} + {M64}) % {M64}", noise.CELL_B))} AS hx FROM {source}),
+{out}2 AS (SELECT *, CASE WHEN hx >= 9223372036854775808::UBIGINT THEN hx::HUGEINT - {M64} ELSE hx::HUGEINT END AS hs FROM {out}1),
+{out}3 AS (SELECT *, ((xor(hs::BIGINT, (hs::BIGINT) >> 13)::HUGEINT * {noise.CELL_MIX}::HUGEINT) % {M64} + {M64}) % {M64} AS hz FROM {out}2),
+{out}4 AS (SELECT *, CASE WHEN hz >= 9223372036854775808::HUGEINT THEN hz - {M64} ELSE hz END::BIGINT AS hv FROM {out}3),
+{out} AS (SELECT * EXCLUDE (hx, hs, hz, hv), CAST((xor(hv, hv >> 16) & 16777215) AS DOUBLE) / 16777216 AS u FROM {out}4)"""
+
+
 # --- coordinates ---------------------------------------------------------------------------------------------------
 
 
@@ -280,6 +289,42 @@ def q61_acceptable_patches(spark, sf_dir):
     return bake.acceptable(cells, N, 4, 2, "train", 0.5)
 
 
+_HELD = f"(({value_sql('face', '(i // 8) * 8', '(j // 8) * 8')}) % 3 = 0)"
+
+
+def split_cells(spark, sf_dir) -> DataFrame:
+    """A cube's heights, with square regions held out whole."""
+    region = cube(spark, sf_dir, N).where("i % 8 = 0 and j % 8 = 0").select("face", F.col("i").alias("_i"), F.col("j").alias("_j"), (F.col("v_") % 3 == 0).alias("holdout"))
+    cells = cube(spark, sf_dir, N).withColumn("_i", F.floor(F.col("i") / 8) * 8).withColumn("_j", F.floor(F.col("j") / 8) * 8)
+    return cells.join(region, ["face", "_i", "_j"]).select("face", "i", "j", (F.col("v_") - 26).alias("height"), "holdout")
+
+
+@query(f"""WITH c AS (SELECT face, i, j, {value_sql("face", "i", "j")} - 26 AS height, {_HELD} AS held FROM {pixels(N)}), w AS (SELECT a.face, a.i // 2 AS bi, a.j // 2 AS bj,
+  (SELECT count(*) FROM c b WHERE b.face = a.face AND b.i BETWEEN a.i AND a.i + 3 AND b.j BETWEEN a.j AND a.j + 3 AND b.held) AS held,
+  (SELECT count(*) FROM c b WHERE b.face = a.face AND b.i BETWEEN a.i AND a.i + 3 AND b.j BETWEEN a.j AND a.j + 3 AND b.height > 0) AS land
+  FROM c a WHERE a.i % 2 = 0 AND a.j % 2 = 0 AND a.i <= {N - 4} AND a.j <= {N - 4}),
+bx AS (SELECT face, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM c WHERE held GROUP BY face),
+sh AS (SELECT face, 1.0::DOUBLE / ((least(i1 // 2, {(N - 4) // 2}) - greatest(i0 - 3, 0) // 2 + 1) * (least(j1 // 2, {(N - 4) // 2}) - greatest(j0 - 3, 0) // 2 + 1)) AS share FROM bx),
+ok AS (SELECT 'train' AS split, face, bi, bj, 1.0::DOUBLE AS share FROM w WHERE held = 0 AND land >= 4 UNION ALL SELECT 'val', face, bi, bj, share FROM w JOIN sh USING (face) WHERE held = 16 AND land >= 4),
+fc AS (SELECT split, face, count(*) AS n, count(*) * any_value(share) AS part FROM ok GROUP BY split, face),
+fa AS (SELECT split, face, n, part / sum(part) OVER (PARTITION BY split) AS part, coalesce(sum(part) OVER (PARTITION BY split ORDER BY face ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(part) OVER (PARTITION BY split) AS low,
+  coalesce(sum(n) OVER (PARTITION BY split ORDER BY face ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM fc),
+rk AS (SELECT split, face, bi, bj, row_number() OVER (PARTITION BY split ORDER BY face, bi, bj) - 1 AS rank FROM ok),
+ix AS (SELECT o_orderkey AS idx FROM orders), {hash_sql("ix", "dr", "idx * 1000003", "5")}, {hash_sql("ix", "tu", "idx * 1000003 + 3", "5")}, {hash_sql("ix", "fl", "idx * 1000003 + 4", "5")},
+pk AS (SELECT fa.split, dr.idx, first + least(n - 1, CAST(floor((u - low) / part * n) AS BIGINT)) AS rank FROM dr JOIN fa ON u >= low QUALIFY row_number() OVER (PARTITION BY fa.split, dr.idx ORDER BY low DESC) = 1),
+ch AS (SELECT pk.split, pk.idx, rk.face, rk.bi * 2 AS i0, rk.bj * 2 AS j0, CAST(floor(tu.u * 4) AS INTEGER) AS turns, fl.u < 0.5 AS flip FROM pk JOIN rk USING (split, rank) JOIN tu ON tu.idx = pk.idx JOIN fl ON fl.idx = pk.idx)
+SELECT ch.split, ch.idx, ch.face, CAST(ch.i0 AS BIGINT) AS i0, CAST(ch.j0 AS BIGINT) AS j0, turns, flip, CAST(sum(height * ((c.i - i0) * 4 + c.j - j0 + 1)) AS BIGINT) AS seen FROM ch JOIN c ON c.face = ch.face AND c.i BETWEEN i0 AND i0 + 3 AND c.j BETWEEN j0 AND j0 + 3 GROUP BY ALL""")
+def q91_seeded_patches(spark, sf_dir):
+    cells = tables.settled(split_cells(spark, sf_dir))
+    indices = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"))
+    parts = []
+    for split in ("train", "val"):
+        drawn = tables.settled(bake.seeded_patches(cells, indices, 5, N, 4, 2, split, 0.25))
+        seen = bake.patch_cells(drawn, cells, 4, 2).groupBy("idx").agg(F.sum(F.col("height") * (F.col("a") * 4 + F.col("b") + 1)).alias("seen"))
+        parts.append(drawn.join(seen, "idx").select(F.lit(split).alias("split"), *drawn.columns, "seen"))
+    return parts[0].unionByName(parts[1])
+
+
 @query("""SELECT o_custkey, min(o_orderkey % 40) AS attempt FROM orders WHERE o_totalprice > 1000 OR o_orderkey % 40 = 39 GROUP BY o_custkey""")
 def q62_first_accepted(spark, sf_dir):
     tries = read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 40).alias("attempt"), ((F.col("o_totalprice") > 1000) | (F.col("o_orderkey") % 40 == 39)).alias("ok"))
@@ -478,15 +523,6 @@ def q78_lake_mask(spark, sf_dir):
     return hydro.lake_mask(g, "f", W, flat=2, least=3).select("i", "j", "lake")
 
 
-def hash_sql(source: str, out: str, a: str, b: str) -> str:
-    """CTEs: ``source`` with ``u``, the hash of two integers in [0, 1)."""
-    return f"""{out}1 AS (SELECT *, {_xor(_mul(f"(({a})::HUGEINT % {M64} + {M64}) % {M64}", noise.CELL_A), _mul(f"(({b})::HUGEINT % {M64} + {M64}) % {M64}", noise.CELL_B))} AS hx FROM {source}),
-{out}2 AS (SELECT *, CASE WHEN hx >= 9223372036854775808::UBIGINT THEN hx::HUGEINT - {M64} ELSE hx::HUGEINT END AS hs FROM {out}1),
-{out}3 AS (SELECT *, ((xor(hs::BIGINT, (hs::BIGINT) >> 13)::HUGEINT * {noise.CELL_MIX}::HUGEINT) % {M64} + {M64}) % {M64} AS hz FROM {out}2),
-{out}4 AS (SELECT *, CASE WHEN hz >= 9223372036854775808::HUGEINT THEN hz - {M64} ELSE hz END::BIGINT AS hv FROM {out}3),
-{out} AS (SELECT * EXCLUDE (hx, hs, hz, hv), CAST((xor(hv, hv >> 16) & 16777215) AS DOUBLE) / 16777216 AS u FROM {out}4)"""
-
-
 @query(f"""WITH {G}, {STEPS}, drops AS (SELECT a.i * {W} + a.j AS c, s.k, b.i * {W} + b.j AS r, pow((a.h - b.h) / sqrt(CAST(s.di * s.di + s.dj * s.dj AS DOUBLE)), 1.5) AS w
   FROM g a, steps s, g b WHERE b.i = a.i + s.di AND b.j = (a.j + s.dj + {W}) % {W} AND a.h > b.h AND a.h > 0),
 cells AS (SELECT i * {W} + j AS c FROM g), {hash_sql("cells", "hashed", "c", "9")},

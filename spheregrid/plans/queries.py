@@ -427,20 +427,46 @@ def q33_percentile_stretch(spark, sf_dir):
     return orders.select(tables.stretch(F.col("o_totalprice"), low, high).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
 
 
-CAMERA, RADIUS, LEVELS = (700_000.0, 1_900_000.0, 6_200_000.0), 6_371_000.0, 8
+RADIUS, LEVELS = 6_371_000.0, 5
 _TAN = "tan(({}) * pi() / 4)"
 _NODE = f"""SELECT *, {_TAN.format("(x + 0.5) * 2 / pow(2, level) - 1")} AS s, {_TAN.format("1 - (y + 0.5) * 2 / pow(2, level)")} AS t"""
 _VEC = {"x": "CASE face WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN -s WHEN 3 THEN s WHEN 4 THEN s ELSE t END", "y": "CASE face WHEN 0 THEN s WHEN 1 THEN -s WHEN 2 THEN 1 WHEN 3 THEN -1 WHEN 4 THEN t ELSE s END", "z": "CASE face WHEN 4 THEN 1 WHEN 5 THEN -1 ELSE t END"}
-_DIST = " + ".join(f"pow(({_VEC[a]}) / sqrt(1 + s * s + t * t) * {RADIUS} - {c}, 2)" for a, c in zip("xyz", CAMERA))
+_DIST = " + ".join(f"pow(({_VEC[a]}) / sqrt(1 + s * s + t * t) * {RADIUS} - c{a}, 2)" for a in "xyz")
 
 
-@query(f"""WITH RECURSIVE q(face, level, x, y, split) AS (
-  SELECT face, level, x, y, sqrt({_DIST}) < 2.5 * pi() / 2 * {RADIUS} / pow(2, level) AS split FROM ({_NODE} FROM (SELECT CAST(f AS INTEGER) AS face, 0 AS level, 0::BIGINT AS x, 0::BIGINT AS y FROM range(6) t(f)))
+def leaves_sql(cameras: str, out: str) -> str:
+    """CTE (recursive): the quadtree's leaves of ``cameras(camera, cx, cy, cz)``."""
+    near = f"sqrt({_DIST}) < 2.5 * pi() / 2 * {RADIUS} / pow(2, level)"
+    return f"""{out}_q(camera, cx, cy, cz, face, level, x, y, dist, split) AS (
+  SELECT camera, cx, cy, cz, face, level, x, y, sqrt({_DIST}), {near} FROM ({_NODE} FROM (SELECT camera, cx, cy, cz, CAST(f AS INTEGER) AS face, 0 AS level, 0::BIGINT AS x, 0::BIGINT AS y FROM {cameras}, range(6) t(f)))
   UNION ALL
-  SELECT face, level, x, y, level < {LEVELS} AND sqrt({_DIST}) < 2.5 * pi() / 2 * {RADIUS} / pow(2, level) FROM ({_NODE} FROM (SELECT face, level + 1 AS level, x * 2 + a AS x, y * 2 + b AS y FROM q, range(2) ta(a), range(2) tb(b) WHERE split)))
-SELECT face, level, x, y FROM q WHERE NOT split""")
+  SELECT camera, cx, cy, cz, face, level, x, y, sqrt({_DIST}), level < {LEVELS} AND {near} FROM ({_NODE} FROM (SELECT camera, cx, cy, cz, face, level + 1 AS level, x * 2 + a AS x, y * 2 + b AS y FROM {out}_q, range(2) ta(a), range(2) tb(b) WHERE split))),
+{out} AS (SELECT camera, face, level, x, y, dist FROM {out}_q WHERE NOT split)"""
+
+
+def cameras_sql(pick: str, out: str) -> str:
+    """CTE: a camera for each user, over the place of one of their events and as high as that tells."""
+    return f"{out} AS (SELECT user_id AS camera, x * r AS cx, y * r AS cy, z * r AS cz FROM (SELECT *, {RADIUS} + 300000 + cents * 7 AS r FROM d) WHERE event_id IN (SELECT {pick}(event_id) FROM d GROUP BY user_id))"
+
+
+def cameras(spark, sf_dir, pick) -> DataFrame:
+    d = on_faces(spark, sf_dir)
+    r = RADIUS + 300000 + F.col("cents") * 7
+    each = d.groupBy("user_id").agg(pick(F.struct("x", "y", "z", "cents"), "event_id").alias("e")).select(F.col("user_id").alias("camera"), "e.*")
+    return each.select("camera", *[(F.col(c) * r).alias(f"c{c}") for c in "xyz"])
+
+
+@query(f"WITH RECURSIVE {E}, {DIR}, {cameras_sql('min', 'c')}, {leaves_sql('c', 'l')} SELECT camera, face, level, x, y FROM l")
 def q34_quadtree(spark, sf_dir):
-    return quadtree.select_leaves(spark, CAMERA, RADIUS, max_level=LEVELS).select("face", "level", "x", "y")
+    return quadtree.select_leaves(cameras(spark, sf_dir, F.min_by), RADIUS, max_level=LEVELS).drop("dist")
+
+
+@query(f"""WITH RECURSIVE {E}, {DIR}, {cameras_sql('min', 'c')}, {leaves_sql('c', 'was')}, {cameras_sql('max', 'c2')}, {leaves_sql('c2', 'want')}
+SELECT camera, face, level, x, y, 'drop' AS action FROM was ANTI JOIN want USING (camera, face, level, x, y)
+UNION ALL SELECT camera, face, level, x, y, 'build' FROM (SELECT * FROM want ANTI JOIN was USING (camera, face, level, x, y)) QUALIFY row_number() OVER (PARTITION BY camera ORDER BY dist, face, level, x, y) <= 5""")
+def q90_camera_budgets(spark, sf_dir):
+    was, wanted = (tables.settled(quadtree.select_leaves(cameras(spark, sf_dir, pick), RADIUS, max_level=LEVELS)) for pick in (F.min_by, F.max_by))
+    return quadtree.patch_changes(wanted, was.drop("dist"), 5, keys=["camera"])
 
 
 @query(f"WITH {E}, {DIR} SELECT event_id, round(sqrt(pow(x - 0.6, 2) + pow(y - 0.0, 2) + pow(z - 0.8, 2)), 6) + 0.0 AS dist FROM d ORDER BY round(sqrt(pow(x - 0.6, 2) + pow(y - 0.0, 2) + pow(z - 0.8, 2)), 6), event_id LIMIT 12")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -303,22 +304,48 @@ def test_erosion_goes_on_where_it_stopped(spark, tmp_path):
     assert planets.smooth_relief(grid, 32).where("h > 0 and h < 0.5").isEmpty()
 
 
-def test_quadtree_and_frames(spark, tmp_path):
+def camera_table(spark, *rows):
+    return spark.createDataFrame(rows, "camera long, cx double, cy double, cz double")
+
+
+def test_quadtree_of_many_cameras(spark):
     r = 6_371_000.0
-    far = quadtree.select_leaves(spark, (1e9, 0, 0), r, max_level=8)
-    assert far.count() == 6 and far.agg(F.max("level")).first()[0] == 0
-    near = quadtree.select_leaves(spark, (r + 1000.0, 0.0, 0.0), r, max_level=6)
-    assert near.agg(F.max("level")).first()[0] == 6
-    assert near.agg(F.sum(F.pow(F.lit(0.25), F.col("level")))).first()[0] == 6  # the leaves tile the sphere
-    source = tmp_path / "cameras"
-    spark.createDataFrame([(1, r + 1000.0, 0.0, 0.0)], "frame int, x double, y double, z double").write.parquet(str(source))
-    cameras = spark.readStream.schema("frame int, x double, y double, z double").parquet(str(source))
-    run = maintain_patches(cameras, str(tmp_path / "state"), str(tmp_path / "cp"), r, 3, 12)
-    run.awaitTermination()
-    built = spark.read.parquet(str(tmp_path / "state" / "batch=0"))
-    assert built.count() == 12
-    changes = quadtree.patch_changes(quadtree.select_leaves(spark, (1e9, 0, 0), r, max_level=3), built)
-    assert {x["action"] for x in changes.collect()} <= {"drop", "build"} and changes.where("action = 'drop'").count() >= 11
+    both = quadtree.select_leaves(camera_table(spark, (1, 1e9, 0.0, 0.0), (2, r + 1000.0, 0.0, 0.0)), r, max_level=9)
+    rows = both.collect()
+    far, near = ([x for x in rows if x["camera"] == k] for k in (1, 2))
+    assert len(far) == 6 and {x["level"] for x in far} == {0}
+    assert max(x["level"] for x in near) == 9 and sum(0.25 ** x["level"] for x in near) == 6  # the leaves tile the sphere
+    assert all(x["level"] <= 2 for x in near if x["face"] == 1)
+    # One camera alone has the same leaves, and what isn't wanted any more goes for each camera by itself.
+    alone = quadtree.select_leaves(camera_table(spark, (2, r + 1000.0, 0.0, 0.0)), r, max_level=9)
+    assert sorted(alone.collect()) == sorted(near)
+    changes = quadtree.patch_changes(both, both.where("camera = 2 and level > 7"), 4, ["camera"]).groupBy("camera", "action").count().collect()
+    assert {(x["camera"], x["action"]): x["count"] for x in changes} == {(1, "build"): 4, (2, "build"): 4}
+
+
+def test_patches_as_keyed_state(spark, tmp_path):
+    """Two batches with a restart between them do what the difference of tables does; a late frame changes nothing."""
+    r, budget = 6_371_000.0, 7
+    places = [[(1, 1, r + 2e6, 0.0, 0.0), (2, 1, 0.0, 0.0, r + 3e6)], [(1, 3, 0.0, r + 1e6, 0.0), (1, 2, 0.0, 0.0, 1e9), (3, 1, r + 4e6, 0.0, 0.0)], [(1, 2, r + 2e6, 0.0, 0.0)]]
+    source, kind = tmp_path / "cameras", "camera long, frame long, cx double, cy double, cz double"
+    built = spark.createDataFrame([], "camera long, face int, level int, x long, y long")
+    for number, rows in enumerate(places):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(source))
+        stream = maintain_patches(spark.readStream.schema(kind).parquet(str(source)), r, 3, budget)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "actions")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        newest = [x for x in rows if x[1] == max(y[1] for y in rows if y[0] == x[0])] if number < 2 else []
+        done = spark.read.parquet(str(tmp_path / "actions"))
+        if newest:
+            wanted = tables.settled(quadtree.select_leaves(camera_table(spark, *[(x[0], *x[2:]) for x in newest]), r, max_level=3))
+            seen = built.join(wanted.select("camera").distinct(), "camera", "left_semi")
+            changes = tables.settled(quadtree.patch_changes(wanted, seen, budget, ["camera"]))
+            frames = {x[0]: x[1] for x in newest}
+            got = sorted(tuple(x)[:1] + tuple(x)[2:] for x in done.collect() if frames.get(x["camera"]) == x["frame"])
+            assert got == sorted(map(tuple, changes.collect()))
+            node = ["camera", "face", "level", "x", "y"]
+            built = tables.settled(built.join(changes.where("action = 'drop'"), node, "left_anti").unionByName(changes.where("action = 'build'").select(node)))
+        total = done.count()
+    assert total == sum(done.groupBy("camera", "frame").count().toPandas()["count"]) and done.where("camera = 1 and frame = 2").isEmpty()
     assert resumed(spark.range(10).withColumnRenamed("id", "step"), 6).count() == 3
 
 
@@ -442,3 +469,30 @@ def test_layers_and_names(spark, tmp_path):
     assert np.allclose(tables.percentiles(df, "v", shares, bins=8), np.quantile(values, shares), atol=1e-12)
     assert all(map(math.isnan, tables.percentiles(df.where("false"), "v", [0.5])))
     assert spark.createDataFrame([(1, float("nan"))], "c int, v double").transform(lambda d: tables.monthly_summary(d.withColumn("month", F.lit(1)), ["c"], "v", expected=0)).first()["valid"] is False
+
+
+def test_drawn_patches_and_their_windows(spark):
+    """Rank and select has the chances of drawing until a patch is accepted; windows have every cell once, the context what lies around."""
+    n, patch, factor = 12, 4, 2
+    cells = spark.createDataFrame([(f, i, j, float(i * n + j + f * 1000), i >= 6 and (f == 0 or j < 7)) for f in (0, 3) for i in range(n) for j in range(n)], "face int, i int, j int, height double, holdout boolean")
+    held = {(r["face"], r["i"], r["j"]) for r in cells.where("holdout").collect()}
+    drawn = tables.settled(bake.seeded_patches(cells, spark.range(3000).withColumnRenamed("id", "idx"), 7, n, patch, factor, "val"))
+    got = Counter((r["face"], r["i0"], r["j0"]) for r in drawn.collect())
+    # Chances by trying all draws: a box, then an origin whose window meets it.
+    chance = {}
+    for f in (0, 3):
+        own = [(i, j) for g, i, j in held if g == f]
+        ranges = [range(max(min(x[k] for x in own) - patch + 1, 0) // factor, min(max(x[k] for x in own), n - patch) // factor + 1) for k in (0, 1)]
+        for a, b in itertools.product(*ranges):
+            if all((f, a * factor + x, b * factor + y) in held for x in range(patch) for y in range(patch)):
+                chance[f, a * factor, b * factor] = 1 / (len(ranges[0]) * len(ranges[1]))
+    total = sum(chance.values())
+    assert got.keys() == chance.keys() and all(abs(got[k] - 3000 * c / total) < 5 * math.sqrt(3000 * c / total) for k, c in chance.items())
+    read = bake.patch_cells(drawn, cells, patch, factor).join(drawn, "idx")
+    assert read.count() == 3000 * patch * patch and read.where("height <> (i0 + a) * 12 + j0 + b + face * 1000").isEmpty() and read.groupBy("idx", "a", "b").count().where("count > 1").isEmpty()
+    context = spark.createDataFrame([(f, i, j, float(i * 100 + j)) for f in (0, 3) for i in range(10) for j in range(10)], "face int, i int, j int, height double")
+    around = bake.context_of(drawn.limit(20), context, patch, factor, 4, 4).join(drawn, "idx")
+    # Two coarse pixels beyond the faces, and as many around a patch: 6 x 6 of them.
+    assert around.count() == 20 * 36 and around.where("height <> (i0 / 2 + 2 + a) * 100 + j0 / 2 + 2 + b").isEmpty() and around.agg(F.min("a"), F.max("b")).first() == (-2, 3)
+    with pytest.raises(ValueError, match="accepts no patch"):
+        bake.seeded_patches(cells.withColumn("holdout", F.lit(True)), spark.range(1).withColumnRenamed("id", "idx"), 7, n, patch, factor)
