@@ -23,42 +23,57 @@ def on_pixels(spark: SparkSession, n: int, pad: int, grid: DataFrame, height: in
     return sample_layers(points, "_p", grid, height, width, layers, nearest, bytes_).drop("_p", "u", "v")
 
 
-def bake(grid: DataFrame, height: int, width: int, n: int, layers: list[str], boxes: list[tuple[float, float, float, float]] = (), nearest: set[str] = frozenset(), bytes_: set[str] = frozenset(), factor: int = 8, pad: int = 896, distance_pad: int = 1024, cap_km: float = 2500.0) -> tuple[DataFrame, DataFrame]:
+def bake(grid: DataFrame, height: int, width: int, n: int, layers: list[str], boxes: list[tuple[float, float, float, float]] = (), nearest: set[str] = frozenset(), bytes_: set[str] = frozenset(), factor: int = 8, pad: int = 896, distance_pad: int = 1024, cap_km: float = 2500.0, fine_pad: int = 0, coarse_height: tuple[DataFrame, int, int] | None = None, flow_downsample: int = 1) -> tuple[DataFrame, ...]:
     """Two tables from ``grid(i, j, h, layers)``: the faces' pixels and their coarse context.
 
     Pixels have ``face, i, j, lat, lon, height``, the layers, the derived
     ``water`` and ``flowacc``, four distances to the ocean, and ``holdout`` (in
     any of the boxes).  The context has one pixel for ``factor`` fine ones and
-    reaches ``pad`` fine pixels beyond the edges: heights are block means and
-    what derives from them is derived again.
+    reaches ``pad`` fine pixels beyond the edges: heights are block means, or
+    those of ``coarse_height`` (``(i, j, h)`` and its size), and what derives
+    from them is derived again.  ``flow_downsample`` routes the fine water on
+    block means of so many cells; with ``fine_pad`` a third table has the fine
+    layers so far beyond each face's edges too.
     """
     if pad % factor:
         raise ValueError("the context's pad must be a multiple of its factor")
     spark = grid.sparkSession
 
-    def faces(source: DataFrame, h: int, w: int, side: int, around: int, wider: int, extra: list[str]) -> tuple[DataFrame, DataFrame]:
-        """The source with its water layers on faces of ``side`` pixels and ``around`` more, and the ocean alone on wider ones."""
-        wet = settled(source.join(water_layers(source.select("i", "j", "h"), h, w), ["i", "j"]))
-        plain = {"water", *(set(nearest) & set(extra))}
-        cells = on_pixels(spark, side, around, wet, h, w, ["h", "water", "flowacc", *extra], plain, bytes_)
-        ocean = on_pixels(spark, side, wider, wet, h, w, ["ocean"], {"ocean"})
-        return cells.withColumnRenamed("h", "height"), ocean
-
+    def watered(source: DataFrame, h: int, w: int, down: int = 1) -> tuple[DataFrame, int, int]:
+        """``(i, j, water, ocean, flowacc)`` of a source, on cells of ``down`` of its own."""
+        relief = source.select("i", "j", "h") if down == 1 else settled(block_mean(source, down, ["h"], h, w).drop("n"))
+        return settled(water_layers(relief, h // down, w // down)), h // down, w // down
+
+    def faces(source: DataFrame, h: int, w: int, water: tuple[DataFrame, int, int], side: int, around: int, extra: list[str]) -> DataFrame:
+        """The source and its water layers on faces of ``side`` pixels and ``around`` more."""
+        wet, wh, ww = water
+        plain = set(nearest) & set(extra)
+        if (wh, ww) == (h, w):
+            cells = on_pixels(spark, side, around, source.join(wet, ["i", "j"]), h, w, ["h", "water", "flowacc", *extra], plain | {"water"}, bytes_)
+        else:
+            flow = on_pixels(spark, side, around, wet, wh, ww, ["water", "flowacc"], {"water"}).drop("lat", "lon")
+            cells = on_pixels(spark, side, around, source, h, w, ["h", *extra], plain, bytes_).join(flow, ["face", "i", "j"])
+        return cells.withColumnRenamed("h", "height")
+
+    ocean = lambda water, side, wider: on_pixels(spark, side, wider, *water, ["ocean"], {"ocean"})
     distances = lambda df: df.select("face", "i", "j", *[f"dist_{d}" for d in ("up", "down", "left", "right")])
-    cells, ocean = faces(grid, height, width, n, 0, distance_pad, layers)
-    fine = mark_holdout(cells, list(boxes)).join(distances(face_distances(ocean, "ocean", n, px_km(n), cap_km)), ["face", "i", "j"])
+    wet = watered(grid, height, width, flow_downsample)
+    cells = faces(grid, height, width, wet, n, 0, layers)
+    fine = mark_holdout(cells, list(boxes)).join(distances(face_distances(ocean(wet, n, distance_pad), "ocean", n, px_km(n), cap_km)), ["face", "i", "j"])
+    padded = faces(grid, height, width, wet, n, fine_pad, layers) if fine_pad else None
 
     side, beyond = n // factor, pad // factor
     climate = [c for c in CLIMATE if c in layers]
-    coarse = settled(block_mean(grid, factor, ["h"], height, width).drop("n"))
-    cells, ocean = faces(coarse, height // factor, width // factor, side, beyond, beyond, [])
+    coarse, ch, cw = coarse_height or (settled(block_mean(grid, factor, ["h"], height, width).drop("n")), height // factor, width // factor)
+    wet = watered(coarse, ch, cw)
+    cells = faces(coarse.select("i", "j", "h"), ch, cw, wet, side, beyond, [])
     if climate:
         points = cells.withColumn("_p", F.concat_ws("/", "face", "i", "j"))
         cells = sample_equirect(points, "_p", grid, climate, height, width).drop("_p")
     # The context's own edge ends its distances; its first row and column count from 0.
     moved = lambda df: df.withColumn("i", F.col("i") + beyond).withColumn("j", F.col("j") + beyond)
-    context = moved(cells).join(distances(face_distances(moved(ocean), "ocean", side + 2 * beyond, px_km(n) * factor, cap_km)), ["face", "i", "j"])
-    return fine, context
+    context = moved(cells).join(distances(face_distances(moved(ocean(wet, side, beyond)), "ocean", side + 2 * beyond, px_km(n) * factor, cap_km)), ["face", "i", "j"])
+    return (fine, context) if padded is None else (fine, context, padded)
 
 
 def holdout_boxes(cells: DataFrame) -> DataFrame:

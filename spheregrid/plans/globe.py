@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -509,6 +510,26 @@ def q77_water_layers(spark, sf_dir):
     return hydro.water_layers(relief(spark, sf_dir), H, W).select("i", "j", "water", "ocean", r6(F.col("flowacc")).alias("flowacc"))
 
 
+_COS = f"greatest(0.15::DOUBLE, cos(radians(90 - (i + 0.5) * 180 / {H})))"
+_DX = f"(pi() * {_R}::DOUBLE * 1000 / {H})"
+
+
+@query(f"""WITH RECURSIVE {G}, {STEPS}, start AS (SELECT i, j, h / 20.0::DOUBLE AS h FROM g),
+base AS (SELECT i, j, CASE WHEN h > 0 THEN h + 1e-3 * 5e4 * 1.2::DOUBLE * (0.003::DOUBLE + 0.997 * pow(greatest(0, least(1, (h - 0.6 * 1000) / 6000)), 1.2)) ELSE h END AS h FROM start), {_FILL}, {_ROUTE},
+way AS (SELECT rec.c, rec.rec, acc.acc, b.h, b.i, b.j, 5e4 * 1e-6 * pow(acc.acc * 1e6, 0.5) / ({_DX} * sqrt(pow(b.i - rec.rec // {W}, 2) + pow(least(abs(b.j - rec.rec % {W}), 1) * {_COS.replace("i +", "b.i +")}, 2))) AS factor FROM rec JOIN acc ON acc.c = rec.c JOIN base b ON b.i * {W} + b.j = rec.c),
+q(c, v) AS (SELECT c, greatest(h, 0) FROM way WHERE rec = c OR h <= 0 UNION ALL SELECT w.c, (w.h + w.factor * q.v) / (1 + w.factor) FROM q JOIN way w ON w.rec = q.c AND w.rec <> w.c AND w.h > 0),
+cut AS (SELECT w.i, w.j, w.acc, CASE WHEN w.rec = w.c OR w.h <= 0 THEN w.h ELSE q.v END AS h, w.h > 0 AS land FROM way w JOIN q ON q.c = w.c),
+near AS (SELECT *, lag(h) OVER v AS up, lead(h) OVER v AS down, coalesce(lag(h) OVER r, last_value(h) OVER whole) AS west, coalesce(lead(h) OVER r, first_value(h) OVER whole) AS east FROM cut
+  WINDOW v AS (PARTITION BY j ORDER BY i), r AS (PARTITION BY i ORDER BY j), whole AS (PARTITION BY i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+smooth AS (SELECT i, j, acc, land, CASE WHEN i BETWEEN 1 AND {H - 2} AND h > 0 THEN h + least(0.5 * 5e4 / pow({_DX}, 2), 0.2 * 0.15 * 0.15) * (up + down - 2 * h + (east + west - 2 * h) / pow({_COS}, 2)) ELSE h END AS h FROM near)
+SELECT i, j, round(CASE WHEN land THEN greatest(h, 0.5) ELSE h END, 4) + 0.0 AS h, round(acc, 1) + 0.0 AS acc FROM smooth""")
+def q92_erosion_step(spark, sf_dir):
+    start = relief(spark, sf_dir)
+    state = start.withColumn("uplift", planets.uplift(F.col("h"), planets.PlanetParams(), 1.2))
+    out = planets.erosion_step(state, start.select("i", "j", F.lit(1.0).alias("rock")), H, W, planets.ErosionParams(), 0)
+    return out.select("i", "j", r4(F.col("h")).alias("h"), (F.round("acc", 1) + 0.0).alias("acc"))
+
+
 _STAIRS = "greatest(-1, least(2, h // 120000))"
 
 
@@ -723,11 +744,53 @@ def q87_patch_origins(spark, sf_dir):
 # --- baking --------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {G}, {directed(pixels(BN), "d")}, e AS (SELECT (face * {BN} + i) * {BN} + j AS event_id, face, i AS pi_, j AS pj, degrees(asin(z)) AS lat, CASE WHEN degrees(atan2(y, x)) >= 180 THEN degrees(atan2(y, x)) - 360 ELSE degrees(atan2(y, x)) END AS lon FROM d), {_CORNERS},
-s AS (SELECT event_id, sum(w * h) / 20 AS h, sum(w * ({_BYTES})) AS b FROM c JOIN g ON g.i = greatest(0, least({H - 1}, ci)) AND g.j = (cj + {W}) % {W} GROUP BY event_id)
-SELECT face, pi_ AS i, pj AS j, round(lat, 6) + 0.0 AS lat, round(lon, 6) + 0.0 AS lon, round(s.h, 4) + 0.0 AS height, CAST(greatest(0, least(255, round_even(s.b, 0))) AS INTEGER) AS rgb, {" OR ".join(f"(lat BETWEEN {a} AND {b} AND lon BETWEEN {c} AND {d})" for a, b, c, d in BOXES)} AS holdout, true AS derived FROM e JOIN s ON s.event_id = e.event_id""")
+def water_sql(base: str, out: str, h: int, w: int) -> str:
+    """CTEs (recursive): ``base(i, j, h)`` filled, routed and summed, as ``out(i, j, h, water, ocean, flowacc)``."""
+    text = f"""{_FILL}, {_ROUTE}, flat AS (SELECT a.i, a.j, max(b.h) - min(b.h) < 0.05 AND any_value(a.h) > 0 AS flat FROM base a JOIN base b ON b.i BETWEEN a.i - 2 AND a.i + 2 AND b.j BETWEEN a.j - 2 AND a.j + 2 GROUP BY a.i, a.j),
+OUT_ AS MATERIALIZED (SELECT i, j, h, h <= 0 OR f - h > 10 OR (SELECT count(*) FROM flat WHERE flat) >= 40 AS water, h <= 0 AS ocean, log10(1 + acc) AS flowacc FROM filled JOIN acc ON acc.c = i * {W} + j)"""
+    text = text.replace(f"(0, {H - 1})", f"(0, {h - 1})").replace(f"/ {H})", f"/ {h})").replace(f"/ {W})", f"/ {w})").replace(f"% {W}", f"% {w}").replace(f"+ {W})", f"+ {w})").replace(f"* {W} +", f"* {w} +")
+    for name in ("filled", "drops", "best"):
+        text = re.sub(rf"\b{name}\b", f"{out}_{name}", text)
+    text = text.replace("rec AS (", f"{out}_rec AS (").replace("FROM rec ", f"FROM {out}_rec ").replace("JOIN rec ", f"JOIN {out}_rec ").replace("acc AS (", f"{out}_acc AS (").replace("JOIN acc ON", f"JOIN {out}_acc acc ON")
+    text = text.replace("flat AS (SELECT", f"{out}_flat AS (SELECT").replace("FROM flat WHERE", f"FROM {out}_flat WHERE").replace("p(src, pos, a) AS", f"{out}_p(src, pos, a) AS").replace("FROM p JOIN", f"FROM {out}_p p JOIN").replace("FROM p GROUP", f"FROM {out}_p GROUP")
+    text = text.replace("f(t, i, j, h, f) AS", f"{out}_f(t, i, j, h, f) AS").replace("FROM f b,", f"FROM {out}_f b,").replace("FROM f a WHERE", f"FROM {out}_f a WHERE").replace("FROM f WHERE t", f"FROM {out}_f WHERE t")
+    return text.replace("FROM base", f"FROM {base}").replace("JOIN base", f"JOIN {base}").replace("OUT_", out)
+
+
+def sampled_sql(source: str, out: str, n: int, pad: int, h: int, w: int, smooth: str, plain: str) -> str:
+    """CTEs: ``out(face, i, j, lat, lon, ...)``: pixels of faces with the bilinear ``smooth`` and the nearest ``plain`` columns of ``source(i, j, ...)``."""
+    names = smooth.split(", ")
+    mix = ", ".join(f"sum(w * {c}) AS {c}" for c in names)
+    kept = ", ".join(f"g.{c}" for c in plain.split(", "))
+    y, x = f"((90 - lat) / 180 * {h} - 0.5)", f"((lon + 180) / 360 * {w} - 0.5)"
+    return f"""{directed(pixels(n, pad), f"{out}_d")}, {out}_l AS (SELECT face, i, j, degrees(asin(z)) AS lat, CASE WHEN degrees(atan2(y, x)) >= 180 THEN degrees(atan2(y, x)) - 360 ELSE degrees(atan2(y, x)) END AS lon FROM {out}_d),
+{out}_c AS (SELECT face, i AS pi_, j AS pj, CAST(floor({y}) AS INTEGER) + a AS ci, CAST(floor({x}) AS INTEGER) + b AS cj, (CASE a WHEN 0 THEN 1 - ({y} - floor({y})) ELSE {y} - floor({y}) END) * (CASE b WHEN 0 THEN 1 - ({x} - floor({x})) ELSE {x} - floor({x}) END) AS w FROM {out}_l, range(2) ta(a), range(2) tb(b)),
+{out}_s AS (SELECT face, pi_, pj, {mix} FROM {out}_c JOIN {source} g ON g.i = greatest(0, least({h - 1}, ci)) AND g.j = (cj + {w}) % {w} GROUP BY face, pi_, pj),
+{out} AS MATERIALIZED (SELECT l.face, l.i, l.j, lat, lon, {", ".join(f"s.{c}" for c in names)}, {kept} FROM {out}_l l JOIN {out}_s s ON s.face = l.face AND s.pi_ = l.i AND s.pj = l.j
+  JOIN {source} g ON g.i = greatest(0, least({h - 1}, CAST(round_even({y}, 0) AS INTEGER))) AND g.j = (CAST(round_even({x}, 0) AS INTEGER) + {w}) % {w})"""
+
+
+def shores_sql(source: str, out: str, n: int, km: float) -> str:
+    """CTE: ``out(face, i, j, dist_...)``: log1p of the kilometres to ``source(face, i, j, ocean)`` along the axes, of the ``n`` x ``n`` pixels from 0."""
+    sides = (("up", "min(c.i - o.i)", "o.j = c.j AND o.i <= c.i"), ("down", "min(o.i - c.i)", "o.j = c.j AND o.i >= c.i"), ("left", "min(c.j - o.j)", "o.i = c.i AND o.j <= c.j"), ("right", "min(o.j - c.j)", "o.i = c.i AND o.j >= c.j"))
+    each = ", ".join(f"ln(1 + least(2500.0::DOUBLE, coalesce((SELECT {agg} FROM {source} o WHERE o.ocean AND o.face = c.face AND {where}) * {km!r}::DOUBLE, 2500))) AS dist_{d}" for d, agg, where in sides)
+    return f"{out} AS (SELECT face, i, j, {each} FROM {source} c WHERE i BETWEEN 0 AND {n - 1} AND j BETWEEN 0 AND {n - 1})"
+
+
+_KM = geometry.px_km(BN)
+_SEEN = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in ("lat", "height", "flowacc", "dist_up", "dist_down", "dist_left", "dist_right"))
+
+
+@query(f"""WITH RECURSIVE {G}, {STEPS}, {_BASE}, {water_sql("base", "wet", H, W)}, fine_g AS (SELECT wet.*, wet.h AS height, CAST({_BYTES.replace("h", "g.h")} AS DOUBLE) AS b FROM wet JOIN g USING (i, j)),
+{sampled_sql("fine_g", "fine", BN, 0, H, W, "height, flowacc, b", "water")}, {sampled_sql("fine_g", "sea", BN, 3, H, W, "height", "ocean")}, {shores_sql("sea", "shore", BN, _KM)},
+half AS (SELECT i // 2 AS i, j // 2 AS j, avg(h) AS h FROM base GROUP BY ALL), {water_sql("half", "dim", H // 2, W // 2)}, ctx_g AS (SELECT *, h AS height FROM dim),
+{sampled_sql("ctx_g", "ctx_", BN // 2, 2, H // 2, W // 2, "height, flowacc", "water, ocean")}, ctx AS (SELECT * REPLACE (i + 2 AS i, j + 2 AS j) FROM ctx_), {shores_sql("ctx", "rim", BN // 2 + 4, _KM * 2)}
+SELECT 'fine' AS part, face, i, j, {_SEEN}, water, CAST(greatest(0, least(255, round_even(b, 0))) AS INTEGER) AS rgb, {" OR ".join(f"(lat BETWEEN {a} AND {b} AND lon BETWEEN {c} AND {d})" for a, b, c, d in BOXES)} AS holdout FROM fine JOIN shore USING (face, i, j)
+UNION ALL SELECT 'context', face, i, j, {_SEEN}, water, NULL, NULL FROM ctx JOIN rim USING (face, i, j)""")
 def q88_bake(spark, sf_dir):
     g = grid(spark, sf_dir).select("i", "j", (F.col("h") / 20.0).alias("h"), (F.abs("h") % 300).alias("rgb"))
     fine, context = bake.bake(g, H, W, BN, ["rgb"], BOXES, bytes_={"rgb"}, factor=2, pad=4, distance_pad=3)
-    derived = F.col("water").isNotNull() & (F.col("flowacc") > 0) & (F.col("dist_up") >= 0) & (F.col("dist_right") >= 0)
-    return fine.select("face", "i", "j", r6(F.col("lat")).alias("lat"), r6(F.col("lon")).alias("lon"), r4(F.col("height")).alias("height"), "rgb", "holdout", derived.alias("derived"))
+    seen = ["lat", "height", "flowacc", *[f"dist_{d}" for d in ("up", "down", "left", "right")]]
+    context = context.withColumns({"rgb": F.lit(None).cast("int"), "holdout": F.lit(None).cast("boolean")})
+    parts = [df.select(F.lit(part).alias("part"), "face", "i", "j", *[r4(F.col(c)).alias(c) for c in seen], "water", F.col("rgb").cast("int").alias("rgb"), "holdout") for part, df in (("fine", fine), ("context", context))]
+    return parts[0].unionByName(parts[1])

@@ -417,6 +417,12 @@ def test_bake_and_patches(spark):
     assert {"water", "flowacc", "dist_up", "dist_down", "dist_left", "dist_right", "holdout", "tavg", "rgb"} <= set(fine.columns)
     assert {"height", "water", "flowacc", "tavg", "dist_left", "lat"} <= set(context.columns)
     assert fine.where("height > 1 and not water and dist_up = 0").isEmpty() and context.agg(F.max("i")).first()[0] == 15
+    # Water routed on block means, a context of heights of its own, and the fine layers beyond the edges.
+    own = land_and_climate(spark, 12, 24).select("i", "j", (F.col("h") + 1000).alias("h"))
+    other, high, padded = bake.bake(land_and_climate(spark), 24, 48, 8, ["tavg"], factor=2, pad=4, distance_pad=2, fine_pad=2, coarse_height=(own, 12, 24), flow_downsample=2)
+    assert padded.count() == 6 * 12 * 12 and {"height", "tavg", "water", "flowacc", "lat"} <= set(padded.columns) and high.agg(F.min("height")).first()[0] > 90
+    inner = padded.join(other.select("face", "i", "j", F.col("height").alias("_h"), F.col("flowacc").alias("_f"), F.col("water").alias("_w")), ["face", "i", "j"])
+    assert inner.count() == 6 * 64 and inner.where("height <> _h or flowacc <> _f or water <> _w").isEmpty()
     # The middle of the context is the coarse form of the face.
     coarse = resample.coarse_layers(context, ["height"], 16, 8, 2, ["face"])
     far = fine.select("face", "i", "j", F.col("height").alias("own")).join(coarse, ["face", "i", "j"]).agg(F.avg(F.abs(F.col("own") - F.col("height"))), F.count("*")).first()
