@@ -48,6 +48,21 @@ def conditioning(cells: DataFrame, px_km: float, trained_px_km: float, sea: floa
     return ready.withColumn("cond", vector(COND))
 
 
+#: What joint mode takes from the context.
+JOINT = ("height", "water", "flowacc", "dist_up", "dist_down", "dist_left", "dist_right")
+
+
+def joint_conditioning(cells: DataFrame, context: DataFrame, size: int, pad: int, factor: int, px_km: float, trained_px_km: float, sea: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``conditioning`` in joint mode: heights, water, flow and distances are what the middle of each patch's context ``(keys, i, j, layers)`` tells at coarse scale.
+
+    Patches are ``size`` cells a side and their context reaches ``pad`` of them beyond; heights keep their means, the others are bilinear.
+    """
+    from spheregrid.operators.resample import coarse_layers
+
+    plain = context.select(*keys, "i", "j", *[F.col(c).cast("double").alias(c) for c in JOINT])
+    return conditioning(cells, px_km, trained_px_km, sea, coarse_layers(plain, list(JOINT), size, pad, factor, list(keys)), keys)
+
+
 def stacked(colour: Column, height: Column) -> Column:
     """The channels of a patch's cell as one array: its colour, then its height in the model's units."""
     return F.concat(colour.cast("array<double>"), F.array(norm("height", height)))

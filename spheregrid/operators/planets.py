@@ -63,8 +63,11 @@ class Planet:
         """The level above which the wanted share of a seeded sample of directions lies; the sample has a fixed size."""
         normals = np.random.default_rng(self.params.seed).normal(size=(samples, 3)).astype(np.float32)
         normals /= np.linalg.norm(normals, axis=1, keepdims=True)
-        d = self.spark.createDataFrame(pd.DataFrame(normals.astype(float), columns=XYZ))
-        return with_noise(d, XYZ, ["_c"], self._continents()).agg(F.percentile("_c", 1 - self.params.land)).first()[0]
+        return self.sea_level(self.spark.createDataFrame(pd.DataFrame(normals.astype(float), columns=XYZ))).first()[0]
+
+    def sea_level(self, d: DataFrame) -> DataFrame:
+        """``(level)``: the level of the continents above which the wanted share of the directions ``d(x, y, z)`` lies."""
+        return with_noise(d.select(*XYZ), XYZ, ["_c"], self._continents()).agg(F.percentile("_c", 1 - self.params.land).alias("level"))
 
     def height(self, d: DataFrame, name: str = "h") -> DataFrame:
         """``d(x, y, z, ...)`` with a height in metres: basins, lowland, ridged mountain belts, shelf and deep ocean."""

@@ -58,6 +58,15 @@ def sample_face(points: DataFrame, key: str, cells: DataFrame, layer: str, n: in
     return joined.groupBy(key).agg(*[F.first(c).alias(c) for c in points.columns if c != key], F.sum(F.col("_w") * F.col(layer)).alias(layer))
 
 
+def sample_on_face(points: DataFrame, key: str, cells: DataFrame, layer: str, n: int) -> DataFrame:
+    """``points(key, face, u, v)`` with a layer of that face alone, bilinear; positions beyond its outer pixels' centres are clamped to them."""
+    held = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), t))
+    at = points.withColumn("_c", F.explode(_corners(held((F.col("u") + 1) * 0.5 * n - 0.5), held((1 - F.col("v")) * 0.5 * n - 0.5))))
+    at = at.select(*points.columns, F.col("_c.i").alias("i"), F.col("_c.j").alias("j"), F.col("_c.w").alias("_w"))
+    joined = at.join(cells.select("face", "i", "j", layer), ["face", "i", "j"], "left")
+    return joined.groupBy(key).agg(*[F.first(c).alias(c) for c in points.columns if c != key], F.sum(F.col("_w") * F.col(layer)).alias(layer))
+
+
 def block_mean(grid: DataFrame, factor: int, layers: list[str], height: int | None = None, width: int | None = None, keys: list[str] = ()) -> DataFrame:
     """Means of ``factor`` x ``factor`` blocks; rows and columns beyond the last whole block are left out."""
     if height is not None:

@@ -171,6 +171,14 @@ def q50_cross_face_bilinear(spark, sf_dir):
     return resample.sample_face(on_faces(spark, sf_dir).select("event_id", *"xyz"), "event_id", cube_values(spark, sf_dir, N), "h", N).select("event_id", r4(F.col("h")).alias("h"))
 
 
+@query(f"""WITH {E}, {DIR}, {placed("d", "p")}, s AS (SELECT event_id, o AS face, greatest(0, least({N - 1}, (ou + 1) * 0.5 * {N} - 0.5)) AS x, greatest(0, least({N - 1}, (1 - ov) * 0.5 * {N} - 0.5)) AS y FROM p),
+c AS (SELECT event_id, face, least({N - 1}, CAST(floor(y) AS INTEGER) + a) AS i, least({N - 1}, CAST(floor(x) AS INTEGER) + b) AS j, (CASE a WHEN 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) * (CASE b WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS w FROM s, range(2) ta(a), range(2) tb(b))
+SELECT event_id, round(sum(w * {value_sql("face", "i", "j")}), 4) + 0.0 AS h FROM c GROUP BY event_id""")
+def q93_sample_on_face(spark, sf_dir):
+    at = on_faces(spark, sf_dir).select("event_id", "face", "u", "v")
+    return resample.sample_on_face(at, "event_id", cube_values(spark, sf_dir, N), "h", N).select("event_id", r4(F.col("h")).alias("h"))
+
+
 BN, BP = 8, 2
 
 
@@ -370,12 +378,14 @@ def q89_vector_sink(spark, sf_dir):
     return back.groupBy("face").agg(F.count("*").alias("n"), r4(F.sum(F.col("dir")[0])).alias("x"), *[r4(F.sum(c)).alias(c) for c in ("u", "v", "lat", "lon")])
 
 
-@query(f"""SELECT layer, CAST(6 * {BN * BN} AS BIGINT) AS rows, 'py' AS third, 8 AS factor, 'two' AS a, 'x' AS b FROM (VALUES ('height'), ('wet')) t(layer)""")
+@query(f"""SELECT layer, CAST(CASE layer WHEN 'wet' THEN (SELECT count(*) FROM {pixels(BN)} WHERE {value_sql("face", "i", "j")} > 9) ELSE 6 * {BN * BN} END AS BIGINT) AS rows, 'py' AS third, 8 AS factor, 4 AS fine, {len(BOXES)} AS boxes, {BOXES[0][2]}::DOUBLE AS west, 'two' AS a, 'x' AS b FROM (VALUES ('height'), ('wet')) t(layer)""")
 def q66_catalogue(spark, sf_dir):
     path = tables.scratch(spark)
-    tables.write_meta(cube_values(spark, sf_dir, BN).withColumnRenamed("h", "height").withColumn("wet", F.col("height") > 9), path, BN, 8, 896)
+    cells = cube_values(spark, sf_dir, BN).withColumnRenamed("h", "height").withColumn("wet", F.when(F.col("height") > 9, True))
+    tables.write_meta(cells, path, BN, 8, 896, BOXES, 4)
     meta = tables.with_provenance(tables.with_provenance(tables.read_meta(spark, path), {"a": "one", "b": "x"}), {"a": "two"})
-    return meta.select(F.explode("layers").alias("layer", "x"), "faces", "ctx_factor", "run").select("layer", "x.rows", F.col("faces")[2].alias("third"), F.col("ctx_factor").alias("factor"), F.col("run")["a"].alias("a"), F.col("run")["b"].alias("b"))
+    noted = [F.col("ctx_factor").alias("factor"), F.col("fine_pad").alias("fine"), F.size("holdout").alias("boxes"), F.col("holdout")[0]["lon_min"].alias("west"), F.col("run")["a"].alias("a"), F.col("run")["b"].alias("b")]
+    return meta.select(F.explode("layers").alias("layer", "x"), "faces", *noted).select("layer", "x.rows", F.col("faces")[2].alias("third"), "factor", "fine", "boxes", "west", "a", "b")
 
 
 @query("""SELECT event_id AS step, event_type AS phase, (SELECT count(*) FROM events) AS logged FROM events WHERE event_id = (SELECT max(event_id) FROM events)""")
@@ -660,6 +670,12 @@ def q82_planet_points(spark, sf_dir):
     return made.climate(d).select("event_id", (F.round("h", 3) + 0.0).alias("h"), r4(F.col("tavg")).alias("tavg"), r4(F.col("trange")).alias("trange"), (F.round("prec", 3) + 0.0).alias("prec"))
 
 
+@query(f"""{_PTS}, {warp_sql("pts", "pw", _seed("warp"), 0.8, 0.35)}, {fbm_sql("pw", "pc", _seed("continent"), 1.2, 5, 0.55)}
+SELECT round(quantile_cont(value, 0.7), 6) + 0.0 AS level FROM pc""")
+def q94_sea_level(spark, sf_dir):
+    return planet(spark).sea_level(some(spark, sf_dir)).select(r6(F.col("level")).alias("level"))
+
+
 _EQ = f"{G}, eq AS (SELECT i * {W} + j AS k, i, j, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM (SELECT i, j, 90 - (i + 0.5::DOUBLE) * 180 / {H} AS lat, (j + 0.5::DOUBLE) * 360 / {W} - 180 AS lon FROM g))"
 
 

@@ -6,6 +6,7 @@ import math
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ META = T.StructType(
         T.StructField("n", T.IntegerType()),
         T.StructField("ctx_factor", T.IntegerType()),
         T.StructField("ctx_pad", T.IntegerType()),
+        T.StructField("fine_pad", T.IntegerType()),
+        T.StructField("holdout", T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("lat_min", "lat_max", "lon_min", "lon_max")]))),
         T.StructField("layers", T.MapType(T.StringType(), T.StructType([T.StructField("dtype", T.StringType()), T.StructField("rows", T.LongType())]))),
     ]
 )
@@ -125,14 +128,15 @@ def with_provenance(meta: DataFrame, run: dict[str, str]) -> DataFrame:
     return meta.withColumn("run", noted)
 
 
-def write_meta(cells: DataFrame, path: str, n: int, ctx_factor: int, ctx_pad: int) -> None:
-    """The catalogue of a baked cube: faces, resolution, context window, and each layer's type and row count."""
+def write_meta(cells: DataFrame, path: str, n: int, ctx_factor: int, ctx_pad: int, boxes: Sequence[tuple[float, float, float, float]] = (), fine_pad: int = 0) -> None:
+    """The catalogue of a baked cube: faces, resolution, context window, what is held out, the fine layers' padding, and each layer's type and row count."""
     from spheregrid.functions.geometry import FACE_NAMES
 
     layers = [f for f in cells.schema.fields if f.name not in ("face", "i", "j")]
     counts = cells.agg(*[F.count(f.name).alias(f.name) for f in layers])
     entries = [x for f in layers for x in (F.lit(f.name), F.struct(F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f.name).alias("rows")))]
-    counts.select(F.array(*map(F.lit, FACE_NAMES)).alias("faces"), F.lit(n).alias("n"), F.lit(ctx_factor).alias("ctx_factor"), F.lit(ctx_pad).alias("ctx_pad"), F.create_map(*entries).alias("layers")).coalesce(1).write.mode("overwrite").json(path)
+    held = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for c, v in zip(("lat_min", "lat_max", "lon_min", "lon_max"), b, strict=True)]) for b in boxes]).cast(META["holdout"].dataType)
+    counts.select(F.array(*map(F.lit, FACE_NAMES)).alias("faces"), F.lit(n).alias("n"), F.lit(ctx_factor).alias("ctx_factor"), F.lit(ctx_pad).alias("ctx_pad"), F.lit(fine_pad).alias("fine_pad"), held.alias("holdout"), F.create_map(*entries).alias("layers")).coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:

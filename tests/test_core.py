@@ -502,3 +502,19 @@ def test_drawn_patches_and_their_windows(spark):
     assert around.count() == 20 * 36 and around.where("height <> (i0 / 2 + 2 + a) * 100 + j0 / 2 + 2 + b").isEmpty() and around.agg(F.min("a"), F.max("b")).first() == (-2, 3)
     with pytest.raises(ValueError, match="accepts no patch"):
         bake.seeded_patches(cells.withColumn("holdout", F.lit(True)), spark.range(1).withColumnRenamed("id", "idx"), 7, n, patch, factor)
+
+
+def test_joint_conditioning_takes_the_context(spark):
+    """Heights, water, flow and distances of joint mode are the context's middle at the patch's resolution; the rest stays the patch's own."""
+    context = spark.createDataFrame([(k, i, j, *(float(k * 50 + i * 7 + j * (n + 1)) for n in range(7))) for k in (0, 1) for i in range(8) for j in range(8)], "patch int, i int, j int, " + ", ".join(f"{c} double" for c in features.JOINT))
+    own = spark.createDataFrame([(k, i, j, *(float(900 + n) for n in range(12))) for k in (0, 1) for i in range(8) for j in range(8)], "patch int, i int, j int, " + ", ".join(f"{c} double" for c in features.COND if c not in ("slope", "ocean")))
+    out = features.joint_conditioning(own, context, 8, 4, 2, 2.5, 4.0, 10.0, ("patch",))
+    coarse = resample.coarse_layers(context, list(features.JOINT), 8, 4, 2, ["patch"])
+    rows = {(r["patch"], r["i"], r["j"]): r for r in coarse.collect()}
+    got = out.collect()
+    assert len(got) == 128
+    for r in got:
+        want = rows[r["patch"], r["i"], r["j"]]
+        cond = dict(zip(features.COND, r["cond"], strict=True))
+        assert np.isclose(cond["height"], (want["height"] - 10) / 4000) and np.isclose(cond["water"], want["water"]) and np.isclose(cond["dist_left"], want["dist_left"] / 8) and np.isclose(cond["flowacc"], want["flowacc"] / 6)
+        assert cond["noise"] == r["noise"] >= 900 and np.isclose(cond["lat"], r["lat"] / 90)
