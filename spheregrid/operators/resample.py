@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spheregrid.functions.geometry import dir_to_face, dir_to_uv, face_pixels, face_uv_to_dir, uv_to_pixel
+from spheregrid.operators.tiles import with_halo
 
 
 def _corners(x: Column, y: Column) -> Column:
@@ -89,27 +96,66 @@ def upsample(coarse: DataFrame, factor: int, layer: str, height: int, width: int
     return spread.join(source, [*keys, "_ci", "_cj"]).groupBy(*keys, "i", "j").agg(F.sum(F.col("_w") * F.col("_v")).alias(layer))
 
 
-def mean_preserving_upsample(coarse: DataFrame, factor: int, layer: str, height: int, width: int, corrections: int = 4, keys: list[str] = ()) -> DataFrame:
-    """Smooth upsampling whose block means are the coarse values: the error of the means is upsampled and added a few times, and the rest put in flat."""
-    block = [F.floor(F.col(c) / factor).cast("int").alias(c) for c in "ij"]
-    fine = upsample(coarse, factor, layer, height, width, keys)
+#: Coarse cells along the side of a block that is upsampled in one task.
+UPSAMPLED = 64
+
+
+def _bilinear(block: np.ndarray, factor: int) -> np.ndarray:
+    """A block at ``factor`` times its resolution, bilinear between cell centres; beyond the outer ones they stay."""
+    for axis in (0, 1):
+        n = block.shape[axis]
+        at = np.clip((np.arange(n * factor) + 0.5) / factor - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        part = (at - low)[:, None] if axis == 0 else at - low
+        block = np.take(block, low, axis) * (1 - part) + np.take(block, np.minimum(low + 1, n - 1), axis) * part
+    return block
 
-    def error() -> DataFrame:
-        means = fine.groupBy(*keys, *block).agg(F.avg(layer).alias("_m"))
-        return coarse.join(means, [*keys, "i", "j"]).select(*keys, "i", "j", (F.col(layer) - F.col("_m")).alias("_e"))
 
-    for _ in range(corrections):
-        more = upsample(error(), factor, "_e", height, width, keys)
-        fine = fine.join(more, [*keys, "i", "j"]).select(*keys, "i", "j", (F.col(layer) + F.col("_e")).alias(layer))
-    rest = error().withColumnsRenamed({"i": "_bi", "j": "_bj"})
-    at = fine.withColumn("_bi", F.floor(F.col("i") / factor).cast("int")).withColumn("_bj", F.floor(F.col("j") / factor).cast("int"))
-    return at.join(rest, [*keys, "_bi", "_bj"]).select(*keys, "i", "j", (F.col(layer) + F.col("_e")).alias(layer))
+def smooth_layers(coarse: DataFrame, factor: int, layers: list[str], keep: set[str], keys: Sequence[str] = (), corrections: int = 4) -> DataFrame:
+    """``(keys, i, j, layers)`` at ``factor`` times the resolution of a full grid: bilinear, and with ``keep`` so that block means are the coarse values.
+
+    Those layers' errors of the means are upsampled and added a few times, and
+    the rest is put in flat.  Blocks have a halo as wide as all of that looks,
+    so the whole takes one shuffle of coarse cells.
+    """
+    fields = [f for f in coarse.schema if f.name in keys]
+    schema = T.StructType([*fields, T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in layers]])
+    kinds = to_arrow_schema(schema)
+
+    def run(rows: pa.Table) -> pa.Table:
+        li, lj, own = (rows.column(c).to_numpy() for c in ("li", "lj", "own"))
+        x, y = li - li.min(), lj - lj.min()
+        shape = (int(x.max()) + 1, int(y.max()) + 1)
+        cells = rows.filter(pa.array(own))
+        steps = np.arange(factor)
+        fx, fy = ((np.repeat(v[own], factor * factor) * factor + np.tile(s, own.sum())) for v, s in ((x, np.repeat(steps, factor)), (y, np.tile(steps, factor))))
+        i, j = (np.repeat(cells.column(c).to_numpy(), factor * factor) * factor + np.tile(s, own.sum()) for c, s in (("i", np.repeat(steps, factor)), ("j", np.tile(steps, factor))))
+        out = {c: cells.column(c).take(pa.array(np.repeat(np.arange(cells.num_rows), factor * factor))) for c in keys} | {"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32())}
+        for layer in layers:
+            block = np.zeros(shape)
+            block[x, y] = rows.column(layer).to_numpy()
+            fine = _bilinear(block, factor)
+            if layer in keep:
+                error = lambda f, block=block: block - f.reshape(shape[0], factor, shape[1], factor).mean(axis=(1, 3))
+                for _ in range(corrections):
+                    fine = fine + _bilinear(error(fine), factor)
+                fine = fine + np.kron(error(fine), np.ones((factor, factor)))
+            out[layer] = pa.array(fine[fx, fy])
+        return pa.table([out[f.name] for f in kinds], schema=kinds)
+
+    plain = coarse.select(*keys, F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), *[F.col(c).cast("double").alias(c) for c in layers])
+    return with_halo(plain, UPSAMPLED, corrections + 2).groupBy(*keys, "ti", "tj").applyInArrow(run, schema)
+
+
+def mean_preserving_upsample(coarse: DataFrame, factor: int, layer: str, corrections: int = 4, keys: Sequence[str] = ()) -> DataFrame:
+    """Smooth upsampling of a full grid whose block means are the coarse values."""
+    return smooth_layers(coarse, factor, [layer], {layer}, keys, corrections)
 
 
 def keep_means(base: DataFrame, residual: DataFrame, factor: int, layer: str, height: int, width: int) -> DataFrame:
     """``base + residual - smooth block mean of residual``: detail that leaves the coarse values alone."""
     means = block_mean(residual, factor, [layer]).select("i", "j", layer)
-    flat = mean_preserving_upsample(means, factor, layer, height // factor, width // factor).withColumnRenamed(layer, "_f")
+    flat = mean_preserving_upsample(means, factor, layer).withColumnRenamed(layer, "_f")
     both = base.join(residual.withColumnRenamed(layer, "_r"), ["i", "j"]).join(flat, ["i", "j"])
     return both.select("i", "j", (F.col(layer) + F.col("_r") - F.col("_f")).alias(layer))
 
@@ -223,11 +269,6 @@ def coarse_layers(context: DataFrame, layers: list[str], size: int, pad: int, fa
     first, side = pad // factor - 1, size // factor + 2
     crop = context.where(F.col("i").between(first, first + side - 1) & F.col("j").between(first, first + side - 1))
     crop = crop.withColumn("i", F.col("i") - first).withColumn("j", F.col("j") - first)
-    out = None
-    for layer in layers:
-        one = crop.select(*keys, "i", "j", F.col(layer).cast("double").alias(layer))
-        fine = mean_preserving_upsample(one, factor, layer, side, side, keys=keys) if layer == mean_preserving else upsample(one, factor, layer, side, side, keys)
-        fine = fine.where(F.col("i").between(factor, factor + size - 1) & F.col("j").between(factor, factor + size - 1))
-        fine = fine.select(*keys, (F.col("i") - factor).alias("i"), (F.col("j") - factor).alias("j"), layer)
-        out = fine if out is None else out.join(fine, [*keys, "i", "j"])
-    return out
+    fine = smooth_layers(crop, factor, layers, {mean_preserving}, keys)
+    inner = fine.where(F.col("i").between(factor, factor + size - 1) & F.col("j").between(factor, factor + size - 1))
+    return inner.withColumn("i", F.col("i") - factor).withColumn("j", F.col("j") - factor)

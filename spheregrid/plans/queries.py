@@ -291,7 +291,7 @@ def mean_preserving(source: str, out: str, factor: int, height: int, width: int,
 @query(f"WITH {V}, c AS (SELECT vec_id, i, j, x AS v FROM v), {mean_preserving('c', 'm', 2, 8, 8, 'vec_id')} SELECT vec_id, i, j, round(v, 6) + 0.0 AS x FROM m")
 def q19_mean_preserving(spark, sf_dir):
     few = patches(spark, sf_dir).select("vec_id", "i", "j", "x")
-    return resample.mean_preserving_upsample(few, 2, "x", 8, 8, keys=["vec_id"]).select("vec_id", "i", "j", r6(F.col("x")).alias("x"))
+    return resample.mean_preserving_upsample(few, 2, "x", keys=["vec_id"]).select("vec_id", "i", "j", r6(F.col("x")).alias("x"))
 
 
 @query(f"WITH {REC} SELECT c, rec FROM rec")

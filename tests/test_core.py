@@ -145,7 +145,7 @@ def test_bilinear_wraps(spark):
 
 def test_mean_preserving(spark):
     coarse = np.random.default_rng(1).standard_normal((6, 7)) * 100
-    fine = array(resample.mean_preserving_upsample(table(spark, coarse), 3, "h", 6, 7), "h", (18, 21))
+    fine = array(resample.mean_preserving_upsample(table(spark, coarse), 3, "h"), "h", (18, 21))
     assert np.allclose(fine.reshape(6, 3, 7, 3).mean(axis=(1, 3)), coarse, atol=1e-9)
 
 
