@@ -104,7 +104,8 @@ def positions(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
 
     The table is range-sorted by group and order, so neither a group nor rows
     that are equal in all but their texts are gathered in one task; what is
-    counted is how many rows of a group each partition has.
+    counted is how many rows of a group each partition has.  ``order`` is of
+    short columns, as the sort's bounds are sampled through the driver.
     """
     ends = [F.col(group), *order]
     parts = max(1, rows.sparkSession.sparkContext.defaultParallelism * 4)
@@ -142,7 +143,7 @@ def _through(own: list[tuple], start: str | None, end: str | None) -> tuple[int,
 def repair(turns: DataFrame, segment: int = SEGMENT, group: int = GROUP) -> DataFrame:
     """``(conv_id, position, turn, role, new_role, action, inserted, cost, piece)``, one row for each row of ``turns(conv_id, turn, role, text)``.
 
-    Turns are in the order of ``turn`` (null first; ties by role and text).
+    Turns are in the order of ``turn`` (null first; ties by role and the hash of the text).
     ``inserted`` are the empty turns written before this one and, on the last
     row, after it.  ``cost`` is the conversation's.  The pieces of a
     conversation, in order of ``position``, are its rendered form.  A role that
@@ -152,7 +153,7 @@ def repair(turns: DataFrame, segment: int = SEGMENT, group: int = GROUP) -> Data
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("conv", F.when(F.col("conv_id").isNull(), F.lit("")).otherwise(F.col("conv_id").cast("string")))
-    rows = positions(rows, "conv", [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text")])
+    rows = positions(rows, "conv", [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.md5(F.col("text").cast("binary"))])
     roles = saved(rows.select("row", "conv", "position", "role", F.floor(F.col("position") / segment).cast("long").alias("segment")))
 
     # Many segments share a call: a call has some 20,000 roles, whatever their conversations.
