@@ -15,7 +15,7 @@ DATA = os.environ.get("SPHEREGRID_TESTDATA", "/root/testdata/sf0.01")
 @pytest.mark.parametrize("name", sorted(training.oracle_sql()))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = training.queries()[name](spark, DATA)
     found = con.execute(training.oracle_sql()[name])
