@@ -134,7 +134,7 @@ def test_regions_of_a_spiral(spark, monkeypatch, links):
     assert got(tiles.regions(few, 10, 64, wrap=True), "label")[5, 9] == 50
 
 
-@pytest.mark.parametrize("size", [3, 8, 100])
+@pytest.mark.parametrize("size", [3, 100])
 def test_forest_by_tiles(spark, size):
     """Sums, depths and incision by tiles are those by pointer jumping over all cells."""
     rng = np.random.default_rng(4)
