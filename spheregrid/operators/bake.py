@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -118,7 +118,7 @@ def seeded_patches(cells: DataFrame, indices: DataFrame, seed: int, n: int, patc
     and every index selects one by its rank.  Training draws are even over all
     origins; validation draws take one of the held-out boxes (one for each
     face that has any) and an origin whose window meets it, so an origin's
-    chance falls with the number that its box has.  A split that accepts nothing raises.
+    chance falls with the number that its box has.  A null index draws nothing; a split that accepts nothing raises.
     """
     draw = lambda k: hash01(F.col("idx") * 1_000_003 + k, F.lit(seed))
     ranked = settled(ranked_origins(acceptable(cells, n, patch, factor, split, min_land)))
@@ -140,7 +140,7 @@ def seeded_patches(cells: DataFrame, indices: DataFrame, seed: int, n: int, patc
         own = F.least(F.floor((draw(0) - low) / part * counts[f]), F.lit(counts[f] - 1)) + first
         pick = F.when(draw(0) < low + part, own) if pick is None else pick.when(draw(0) < low + part, own)
         low, first = low + part, first + counts[f]
-    drawn = indices.select("idx", F.coalesce(pick, F.lit(first - 1)).cast("long").alias("rank"), F.floor(draw(3) * 4).cast("int").alias("turns"), (draw(4) < 0.5).alias("flip"))
+    drawn = indices.where("idx is not null").select("idx", F.coalesce(pick, F.lit(first - 1)).cast("long").alias("rank"), F.floor(draw(3) * 4).cast("int").alias("turns"), (draw(4) < 0.5).alias("flip"))
     return drawn.join(ranked, "rank").select("idx", "face", (F.col("bi") * factor).alias("i0"), (F.col("bj") * factor).alias("j0"), "turns", "flip")
 
 
@@ -160,6 +160,18 @@ def patch_cells(patches: DataFrame, cells: DataFrame, patch: int, factor: int, a
     return read.select("idx", (F.col("i") - F.col("i0")).cast("int").alias("a"), (F.col("j") - F.col("j0")).cast("int").alias("b"), *[c for c in cells.columns if c not in ("face", "i", "j")])
 
 
+def patch_sums(patches: DataFrame, cells: DataFrame, patch: int, factor: int, sums: dict[str, Column], around: int = 0) -> DataFrame:
+    """``patches(face, i0, j0, ...)`` with aggregates of each one's window, columns over what ``patch_cells`` gives.
+
+    Patches of the same origin have the same cells: each origin's window is read
+    and added up once, and a patch looks its origin up. So what is grouped is
+    bounded by the raster, and patches are neither multiplied nor grouped by index.
+    """
+    origins = patches.select(F.struct("face", "i0", "j0").alias("idx")).distinct().select("idx", "idx.*")
+    seen = settled(patch_cells(origins, cells, patch, factor, around).groupBy("idx").agg(*[v.alias(c) for c, v in sums.items()]).select("idx.*", *sums))
+    return patches.join(seen, ["face", "i0", "j0"]).select(*patches.columns, *sums)
+
+
 def context_of(patches: DataFrame, context: DataFrame, patch: int, factor: int, pad: int, around: int) -> DataFrame:
     """The coarse context of each patch: its own pixels and ``around`` fine pixels beyond, from a context that reaches ``pad`` fine pixels beyond the faces."""
     coarse = patches.select("idx", "face", (F.floor(F.col("i0") / factor) + pad // factor).alias("i0"), (F.floor(F.col("j0") / factor) + pad // factor).alias("j0"))

@@ -329,8 +329,8 @@ def q91_seeded_patches(spark, sf_dir):
     parts = []
     for split in ("train", "val"):
         drawn = tables.settled(bake.seeded_patches(cells, indices, 5, N, 4, 2, split, 0.25))
-        seen = bake.patch_cells(drawn, cells, 4, 2).groupBy("idx").agg(F.sum(F.col("height") * (F.col("a") * 4 + F.col("b") + 1)).alias("seen"))
-        parts.append(drawn.join(seen, "idx").select(F.lit(split).alias("split"), *drawn.columns, "seen"))
+        seen = bake.patch_sums(drawn, cells, 4, 2, {"seen": F.sum(F.col("height") * (F.col("a") * 4 + F.col("b") + 1))})
+        parts.append(seen.select(F.lit(split).alias("split"), *drawn.columns, "seen"))
     return parts[0].unionByName(parts[1])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spheregrid.functions import features, geometry, noise
 from spheregrid.operators import bake, hydro, planets, predicates, quadtree, resample, windows
+from spheregrid.plans import globe
 from spheregrid.sources import registry, tables
 from spheregrid.streaming.frames import maintain_patches, resumed
 
@@ -504,6 +505,23 @@ def test_drawn_patches_and_their_windows(spark):
         bake.seeded_patches(cells.withColumn("holdout", F.lit(True)), spark.range(1).withColumnRenamed("id", "idx"), 7, n, patch, factor)
 
 
+def test_windows_are_added_up_by_origin(spark, tmp_path):
+    """However many patches there are, only their origins are grouped and shuffled; repeated indices have their own sums, null ones none."""
+    n, patch, factor = 12, 4, 2
+    cells = spark.createDataFrame([(f, i, j, float(i * n + j + f * 1000), False) for f in (0, 3) for i in range(n) for j in range(n)], "face int, i int, j int, height double, holdout boolean")
+    indices = spark.createDataFrame([(k,) for k in (*range(200), 7, 7, None)], "idx long")
+    drawn = tables.settled(bake.seeded_patches(cells, indices, 7, n, patch, factor))
+    assert drawn.count() == 202
+    got = bake.patch_sums(drawn, cells, patch, factor, {"seen": F.sum("height"), "m": F.max(F.col("a") * 10 + F.col("b"))})
+    assert got.columns == [*drawn.columns, "seen", "m"] and got.count() == 202 and got.where("m <> 33 or seen <> 16 * ((i0 + 1.5) * 12 + j0 + 1.5 + face * 1000)").isEmpty()
+    orders = spark.range(20_000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 997).alias("o_custkey"), (F.col("id") * 37 % 400_000 / 1.0).alias("o_totalprice"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    drawn = globe.q91_seeded_patches(spark, str(tmp_path))
+    assert drawn.count() == 40_000
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Aggregate" not in plan
+
+
 def test_joint_conditioning_takes_the_context(spark):
     """Heights, water, flow and distances of joint mode are the context's middle at the patch's resolution; the rest stays the patch's own."""
     context = spark.createDataFrame([(k, i, j, *(float(k * 50 + i * 7 + j * (n + 1)) for n in range(7))) for k in (0, 1) for i in range(8) for j in range(8)], "patch int, i int, j int, " + ", ".join(f"{c} double" for c in features.JOINT))
