@@ -15,18 +15,30 @@ from spheregrid.sources.tables import scratch
 
 #: Rows of a table of a few numbers each that one task writes at least.
 TASK_ROWS = 50_000
+#: Spark's setting that shuffle files are removed at the end of a query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def saved(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: later readers survive lost executors.
 
     With ``rows``, the most it can have, a small table is written by few tasks.
+    What was shuffled for it goes as soon as it is written, else all that an
+    operator has shuffled lies on the disks until the driver collects garbage.
     """
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     path = scratch(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,12 +39,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spheregrid.llm.common import connected_components, saved, small_batches
-from spheregrid.llm.tokens import mix, shingle_sets
+from spheregrid.llm.tokens import Words, mix, shingle_sets, weighed_sets
 
 #: At most so many of the commonest shingles are told to the tasks (12 bytes each); they order pivots, nothing is left out.
 COMMON = 1 << 16
-#: Parts of a sketch, and of the wide one that looks again at what the first lets through.
-SKETCH, WIDE = 64, 1024
+#: Parts of a sketch, and the least of the wide one that looks again at what the first lets through; there a part counts DENSE shingles at most on average.
+SKETCH, WIDE, DENSE = 64, 1024, 4
+#: The same for the sketches that large cells are looked at with: unrelated sets differ there by more than a third of their size.
+SPARSE = 12
+#: Words that are a smaller part than this of a task's batch of words aren't told to the tasks: they are all as rare.
+RARE = 1 << 15
 #: Sets of a cell up to which all pairs are looked at at once, and up to which the sketches are looked at at all.
 FEW, MANY = 32, 4096
 #: Shingles of all sets of a region that one task joins (8 bytes each, some ten times that at work).
@@ -65,88 +69,161 @@ def _signature(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix((sums[offsets[1:]] - sums[offsets[:-1]]) + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], width: int):
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column("text").cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
             stop = min(at + 200, max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, side="right"))))
-            part = batch.slice(at, stop - at)
-            values, offsets = shingle_sets(part.column("text"), width)
-            yield part, values, offsets, _signature(values, offsets)
+            yield batch.slice(at, stop - at)
             at = stop
 
 
+def _batches(batches: Iterator[pa.RecordBatch], width: int):
+    for part in _parts(batches):
+        values, offsets = shingle_sets(part.column("text"), width)
+        yield part, values, offsets, _signature(values, offsets)
+
+
+def _wide(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Counts of each set's shingles by hash parts, up to 255 each: ``WIDE`` parts, twice as many as often as one would count more than ``DENSE`` on average."""
+    key, out = mix(values.view(np.uint64)), []
+    for start, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        bits = max(WIDE, (stop - start - 1) // DENSE + 1) - 1
+        bits = bits.bit_length()
+        out.append(np.minimum(np.bincount((key[start:stop] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8))
+    return out
+
+
+def _folded(counts: np.ndarray, parts: int) -> np.ndarray:
+    return np.minimum(counts.reshape(*counts.shape[:-1], parts, counts.shape[-1] // parts).sum(axis=-1, dtype=np.int32), 255).astype(np.uint8)
+
+
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, n_shingles, text_hash, node, sketch, wide)``; a sketch counts a set's shingles by hash parts, up to 255 each."""
+    """``(doc_id, n_shingles, text_hash, node, sketch, mid, wide)``; a sketch counts a set's shingles by hash parts, up to 255 each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offsets, node in _batches(batches, width):
+            wide = _wide(values, offsets)
+            cut = lambda rows: pa.array([row.tobytes() for row in rows], pa.binary())
             sizes = np.diff(offsets)
-            place = np.repeat(np.arange(len(sizes)), sizes) * WIDE + (mix(values.view(np.uint64)) >> np.uint64(54)).astype(np.int64)
-            counts = np.bincount(place, minlength=len(sizes) * WIDE).reshape(-1, WIDE)
-            cut = lambda x: pa.array([row.tobytes() for row in np.minimum(x, 255).astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), part.column("text_hash"), pa.array(node), cut(counts.reshape(len(sizes), SKETCH, -1).sum(axis=2)), cut(counts)], ["doc_id", "n_shingles", "text_hash", "node", "sketch", "wide"])
+            sketch = [_folded(row, SKETCH) for row in wide]
+            mid = [_folded(row, 1 << (max(SKETCH, (size - 1) // SPARSE + 1) - 1).bit_length()) for row, size in zip(wide, sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), part.column("text_hash"), pa.array(node), cut(sketch), cut(mid), cut(wide)], ["doc_id", "n_shingles", "text_hash", "node", "sketch", "mid", "wide"])
 
     named = docs.withColumn("text_hash", F.xxhash64("text"))
-    return named.mapInArrow(run, "doc_id long, n_shingles long, text_hash long, node long, sketch binary, wide binary")
+    return named.mapInArrow(run, "doc_id long, n_shingles long, text_hash long, node long, sketch binary, mid binary, wide binary")
+
 
+def _told(docs: DataFrame, at_least: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashes of the commonest words in ascending order, of each how many eighths of an octave it is commoner than one word in ``RARE``, and the octaves of the number of all words.
 
-def _common(docs: DataFrame, width: int, at_least: int) -> list:
-    """The commonest shingles with a count; counts of 1 within one task's batch of sets are not sent."""
+    Counts of less than a ``RARE``-th of one task's batch of words are not
+    sent, so there are few words however large the corpus is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts * RARE >= size
+            return pa.RecordBatch.from_arrays([pa.array([None, *values[often].tolist()], pa.int64()), pa.array([size, *counts[often].tolist()], pa.int64())], ["s", "n"])
+
         held: list[np.ndarray] = []
+        size = 0
+        for part in _parts(batches):
+            held.append(Words(part.column("text")).hashes().view(np.int64))
+            size += len(held[-1])
+            if size > 1_500_000:
+                yield counted()
+                held, size = [], 0
+        if size:
+            yield counted()
+
+    counts = saved(docs.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")))
+    total = max(1, counts.where("s is null").agg(F.sum("n")).first()[0] or 1)
+    rows = counts.where(F.col("s").isNotNull() & (F.col("n") >= at_least)).orderBy(F.desc("n"), "s").limit(COMMON).collect()
+    values, often = np.array([r["s"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64)
+    order = np.argsort(values)
+    return values[order], np.rint(8 * np.log2(np.maximum(often[order] * RARE / total, 1))).astype(np.int64), float(np.log2(total))
+
+
+def _level(values: np.ndarray, known: np.ndarray, level: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, level[at], 0)
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], width: int, told: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the texts of a part: shingles, offsets, the sums of their words' levels, signatures, and which sets this task hasn't had yet."""
+    seen: set[int] = set()
+    for part in _parts(batches):
+        words = Words(part.column("text"))
+        h = words.hashes()
+        values, offsets, weight = weighed_sets(words, h, _level(h.view(np.int64), *told[:2]), width)
+        node = _signature(values, offsets)
+        new = np.array([n > 0 and x not in seen and not seen.add(x) for x, n in zip(node.tolist(), np.diff(offsets).tolist(), strict=True)], bool)
+        yield values, offsets, weight, node, new
+
+
+def _common(docs: DataFrame, width: int, at_least: int, told: tuple) -> list:
+    """The commonest shingles with a count, of those that are four times as common as their words make likely.
+
+    Counts of 1 within one task's batch of sets are not sent.
+    """
+    words = docs.sparkSession.sparkContext.broadcast(told)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def counted() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+            values, at, counts = np.unique(values, return_index=True, return_counts=True)
             often = counts >= 2
-            return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(counts[often])], ["s", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(values[often]), pa.array(weight[at][often]), pa.array(counts[often])], ["s", "weight", "n"])
 
         size = 0
-        seen: set[int] = set()
-        for _, values, offsets, node in _batches(batches, width):
-            for i, one in enumerate(node.tolist()):
-                if one not in seen:
-                    seen.add(one)
-                    held.append(values[offsets[i] : offsets[i + 1]])
-                    size += len(held[-1])
+        for values, offsets, weight, _, new in _weighed(batches, width, words.value):
+            own = np.repeat(new, np.diff(offsets))
+            held.append((values[own], weight[own]))
+            size += int(own.sum())
             if size > 1_500_000:
                 yield counted()
                 held, size = [], 0
         if held:
             yield counted()
 
-    counts = docs.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
-    return counts.orderBy(F.desc("n"), "s").limit(COMMON).collect()
+    counts = docs.mapInArrow(run, "s long, weight long, n long").groupBy("s").agg(F.sum("n").alias("n"), F.max("weight").alias("weight")).where(F.col("n") >= at_least)
+    likely = F.col("weight") / 8 + told[2] - width * float(np.log2(RARE))
+    return counts.where(F.log2("n") >= likely + 2).orderBy(F.desc("n"), "s").limit(COMMON).select("s", "n").collect()
+
 
+def _cells(docs: DataFrame, width: int, percent: int, common: list, told: tuple) -> DataFrame:
+    """``(s, node)``: each set with the pivots of its window.
 
-def _cells(docs: DataFrame, width: int, percent: int, common: list) -> DataFrame:
-    """``(s, node)``: each set with the pivots of its window."""
-    spark = docs.sparkSession
-    shingle = np.array([r["s"] for r in common], np.int64)
-    order = np.argsort(shingle)
-    told = spark.sparkContext.broadcast((shingle[order], np.array([r["n"] for r in common], np.int64)[order]))
+    Pivots are ordered by how common they must be: those that were counted
+    last, by their counts; the others by their words' counts.  So sets hardly
+    share a pivot by chance, however large the corpus is.
+    """
+    values, counts = np.array([r["s"] for r in common], np.int64), np.array([r["n"] for r in common], np.float64)
+    order = np.argsort(values)
+    # Words' levels add up to less than 2^12.
+    shared = docs.sparkSession.sparkContext.broadcast((told, (values[order], np.rint(8 * np.log2(counts[order])).astype(np.int64) + (1 << 12))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = told.value
-        seen: set[int] = set()
-        for _, values, offsets, node in _batches(batches, width):
+        words, shingles = shared.value
+        for values, offsets, weight, node, new in _weighed(batches, width, words):
             sizes = np.diff(offsets)
-            use = np.array([s > 0 and x not in seen and not seen.add(x) for x, s in zip(node.tolist(), sizes.tolist(), strict=True)], bool)
-            rare = np.zeros(len(values), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                rare = np.where(known[at] == values, count[at], 0)
-            key, out = mix(values.view(np.uint64)), []
-            for i in np.flatnonzero(use):
-                own = slice(offsets[i], offsets[i + 1])
+            place = np.maximum(_level(values, *shingles), weight).astype(np.uint64)
+            order, out = (place << np.uint64(50)) | (mix(values.view(np.uint64)) >> np.uint64(14)), []
+            for i in np.flatnonzero(new):
+                own = order[offsets[i] : offsets[i + 1]]
                 window = sizes[i] + sizes[i] * -percent // 100 + 1
-                first = np.lexsort((key[own], rare[own]))[:window] if rare[own].any() else np.argpartition(key[own], window - 1)[:window]
-                out.append(values[own][first])
+                # All that are in the last place, so that none of equal ones is chosen by chance.
+                out.append(values[offsets[i] : offsets[i + 1]][own <= np.partition(own, window - 1)[window - 1]])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(node[use], [len(x) for x in out]))], ["s", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(node[new], [len(x) for x in out]))], ["s", "node"])
 
     return docs.mapInArrow(run, "s long, node long")
 
@@ -158,18 +235,41 @@ def _near(a: np.ndarray, b: np.ndarray, m: np.ndarray | int, n: np.ndarray | int
     the symmetric difference, which is at most ``(1-t)/(1+t)`` of ``m + n`` for
     sets of similarity ``t``.
     """
-    far = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    far = np.abs(a.astype(np.int32) - b.astype(np.int32)).sum(axis=-1, dtype=np.int64)
     return (100 + percent) * far <= (100 - percent) * (m + n)
 
 
-def _spanning(sketch: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def _near_sized(x: list[bytes], y: list[bytes], m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """``_near`` of sketches of any numbers of parts: of two, the parts of the larger are added up to as many."""
+    out = np.zeros(len(x), bool)
+    parts = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    for pair in np.unique(parts, axis=0):
+        at = np.flatnonzero((parts == pair).all(axis=1))
+        a, b = (_folded(np.frombuffer(b"".join([z[i] for i in at]), np.uint8).reshape(len(at), -1), int(pair.min())) for z in (x, y))
+        out[at] = _near(a, b, m[at], n[at], percent)
+    return out
+
+
+def _spanning(sketch: list[bytes], size: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the sets of a large cell that can link: breadth-first, each set's row of distances once."""
+    parts = np.array([len(x) for x in sketch])
+    # The sets by their sketches' numbers of parts, and where each set is.
+    of = {k: np.flatnonzero(parts == k) for k in np.unique(parts).tolist()}
+    tables = {k: np.frombuffer(b"".join([sketch[i] for i in at]), np.uint8).reshape(-1, k) for k, at in of.items()}
+    place = np.zeros(len(parts), np.int64)
+    for at in of.values():
+        place[at] = np.arange(len(at))
     rest, out = np.arange(len(size)), []
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             one = queue.pop()
-            hit = _near(sketch[one], sketch[rest], size[one], size[rest], percent)
+            own, hit = tables[int(parts[one])][place[one]], np.zeros(len(rest), bool)
+            for k, table in tables.items():
+                at = np.flatnonzero(parts[rest] == k)
+                least = min(k, len(own))
+                others = table[place[rest[at]]]
+                hit[at] = _near(_folded(own, least), others if least == k else _folded(others, least), size[one], size[rest[at]], percent)
             out += [(one, int(x)) for x in rest[hit]]
             queue += rest[hit].tolist()
             rest = rest[~hit]
@@ -178,10 +278,12 @@ def _spanning(sketch: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[
 
 def _shared(cells: DataFrame, members: DataFrame, percent: int, few: int = FEW, many: int = MANY) -> DataFrame:
     """``(a, b)``: edges that join, in each cell, all sets that can link by their sketches; cells of more than ``many`` sets are joined as they are."""
-    alone = Window.partitionBy("s")
-    shared = cells.withColumn("n", F.count("*").over(alone)).where("n > 1").select("s", "node")
-    sketches = members.where("n_shingles > 0").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size"))
-    rows = shared.join(sketches, "node").select("s", "node", "sketch", "size").repartition("s").sortWithinPartitions("s", "node")
+    # Tasks that read equal texts have sent the same row each, so copies alone share no cell.
+    whole = Window.partitionBy("s")
+    shared = cells.withColumn("low", F.min("node").over(whole)).withColumn("high", F.max("node").over(whole)).where("low < high").select("s", "node").dropDuplicates(["s", "node"])
+    shared = shared.withColumn("few", F.count("*").over(whole) <= few)
+    sketches = members.where("n_shingles > 0").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("mid").alias("mid"), F.first("n_shingles").alias("size"))
+    rows = shared.join(sketches, "node").select("s", "node", F.when(F.col("few"), F.col("sketch")).otherwise(F.col("mid")).alias("sketch"), "size").repartition("s").sortWithinPartitions("s", "node")
 
     def edges(s: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: np.ndarray, begun: bool) -> pa.RecordBatch:
         """The edges of whole cells; if ``begun``, the first one is the rest of a cell whose earlier rows hang together by its first row."""
@@ -192,16 +294,18 @@ def _shared(cells: DataFrame, members: DataFrame, percent: int, few: int = FEW,
         a, b, firm = [none], [none], [none.astype(bool)]
         chain = lengths > many
         chain[0] |= begun
-        for lag in range(1, min(few, int(lengths.max()))):
-            at = np.flatnonzero((s[lag:] == s[:-lag]) & (run[lag:] <= few))
-            at = at[_near(sketch[at], sketch[at + lag], size[at], size[at + lag], percent)]
-            a.append(node[at])
-            b.append(node[at + lag])
+        little = np.flatnonzero((run <= few) & ~np.repeat(chain, lengths))
+        cell, one, sizes, counts = s[little], node[little], size[little], np.frombuffer(b"".join(sketch[little]), np.uint8).reshape(-1, SKETCH)
+        for lag in range(1, min(few, len(little))):
+            at = np.flatnonzero(cell[lag:] == cell[:-lag])
+            at = at[_near(counts[at], counts[at + lag], sizes[at], sizes[at + lag], percent)]
+            a.append(one[at])
+            b.append(one[at + lag])
             firm.append(np.zeros(len(at), bool))
         large = chain | (lengths > few)
         for start, length, whole in zip(starts[large].tolist(), lengths[large].tolist(), chain[large].tolist(), strict=True):
             own = slice(start, start + length)
-            pairs = [(k, k + 1) for k in range(length - 1)] if whole else _spanning(sketch[own], size[own], percent)
+            pairs = [(k, k + 1) for k in range(length - 1)] if whole else _spanning(sketch[own].tolist(), size[own], percent)
             if pairs:
                 i, j = np.array(pairs).T
                 a.append(node[own][i])
@@ -214,12 +318,10 @@ def _shared(cells: DataFrame, members: DataFrame, percent: int, few: int = FEW,
         begun = False  # whether the first row held stands for rows of its cell that have gone
         for batch in batches:
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "node", "size")]
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            sketch = np.empty(batch.num_rows, object)
+            sketch[:] = batch.column("sketch").to_pylist()
             held.append((*columns, sketch))
             s, node, size, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
-            # Tasks that read equal texts have sent the same row each.
-            once = np.concatenate([[True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])])
-            s, node, size, sketch = s[once], node[once], size[once], sketch[once]
             # All cells but the last are complete; of one that is larger than memory should hold, the last row goes on.
             if s[-1] != s[0]:
                 cut = int(np.searchsorted(s, s[-1]))
@@ -243,9 +345,9 @@ def _shared(cells: DataFrame, members: DataFrame, percent: int, few: int = FEW,
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, WIDE) for c in ("wide_a", "wide_b"))
+            x, y = (batch.column(c).to_pylist() for c in ("wide_a", "wide_b"))
             m, n = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
-            keep = pa.array(_near(x, y, m, n, percent))
+            keep = pa.array(_near_sized(x, y, m, n, percent))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     return found.where("firm").select("a", "b").unionByName(loose.mapInArrow(again, "a long, b long"))
@@ -309,15 +411,34 @@ def local_components(lists: pa.ListArray, percent: int) -> np.ndarray:
     return label
 
 
+def _joined(table: pa.Table, percent: int) -> pa.Table:
+    node = table.column("node").to_numpy()
+    order = np.argsort(node)
+    lists = table.column("shingles").combine_chunks().take(pa.array(order))
+    label = node[order][local_components(lists, percent)]
+    return pa.table({"a": node[order], "b": label})
+
+
 def _leaves(sets: DataFrame, percent: int) -> DataFrame:
+    return sets.groupBy("region").applyInArrow(lambda table: _joined(table, percent), "a long, b long").where("a <> b")
+
+
+def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for part, values, offsets, _ in _batches(batches, width):
+        yield pa.RecordBatch.from_arrays([part.column("region"), part.column("node"), pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(pa.list_(pa.int64()))], ["region", "node", "shingles"])
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    return texts.mapInArrow(lambda batches: _cut(batches, width), "region long, node long, shingles array<long>")
+
+
+def _text_leaves(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``_leaves`` of the sets of ``texts``: a text is a fraction of its set's size."""
+
     def run(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        order = np.argsort(node)
-        lists = table.column("shingles").combine_chunks().take(pa.array(order))
-        label = node[order][local_components(lists, percent)]
-        return pa.table({"a": node[order], "b": label})
+        return _joined(pa.Table.from_batches(_cut(iter(table.to_batches()), width)), percent)
 
-    return sets.groupBy("region").applyInArrow(run, "a long, b long").where("a <> b")
+    return texts.groupBy("region").applyInArrow(run, "a long, b long").where("a <> b")
 
 
 def _share(times: int, leaf: int, leaf_shingles: int) -> Column:
@@ -395,23 +516,24 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = 4
     """``(doc_id, n_shingles, text_hash, class, component_id)`` of each row; ``class`` names its component (null without words)."""
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = saved(_nodes(docs, width))
-    cells = _cells(docs, width, percent, _common(docs, width, at_least))
+    told = _told(docs, at_least)
+    cells = _cells(docs, width, percent, _common(docs, width, at_least, told), told)
     regions = saved(connected_components(_shared(cells, members, percent, few, many)).select("node", F.col("component").alias("region")))
 
-    # The sets of the documents that share a cell, one for each node.
+    # The texts of the sets that share a cell, one for each node.
     # A row is known by its id and its text: ids may be null or repeat.
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    wanted = members.join(regions, "node").groupBy("node", "region").agg(F.min(row).alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, values, offsets, node in _batches(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(values)).cast(pa.list_(pa.int64()))], ["node", "shingles"])
-
-    texts = docs.withColumn("_text", F.xxhash64("text")).join(wanted, (F.col("_text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").drop("_text")
-    sets = saved(texts.mapInArrow(run, "node long, shingles array<long>").join(regions, "node").dropDuplicates(["node"]).select("region", "node", "shingles"))
-
-    links: list[DataFrame] = []
-    for depth in range(max_depth + 1):
+    wanted = members.join(regions, "node").groupBy("node", "region").agg(F.min(row).alias("row"), F.first("n_shingles").alias("size")).select("node", "region", "size", F.col("row.doc_id").alias("_id"), F.col("row.text_hash").alias("_hash"))
+    texts = docs.withColumn("_text", F.xxhash64("text")).join(wanted, (F.col("_text") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = saved(texts.select("region", "node", "size", "text").dropDuplicates(["node"]))
+
+    # Regions of a leaf's size are cut to shingles where they are joined; sets are written only for larger ones.
+    sizes = texts.groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.sum(F.octet_length("text")).alias("bytes")).where("n > 1")
+    sizes = saved(sizes.select("region", ((F.col("n") <= leaf) & (F.col("total") <= leaf_shingles) & (F.col("bytes") <= 8 * leaf_shingles)).alias("small")))
+    links = [saved(_text_leaves(texts.join(sizes.where("small").select("region"), "region", "left_semi"), width, percent))]
+    large = sizes.where("not small").select("region")
+    sets = None if large.isEmpty() else saved(_sets(texts.join(large, "region", "left_semi"), width))
+    for depth in range(max_depth + 1 if sets is not None else 0):
         sizes = sets.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("total"))
         sizes = saved(sizes.where("n > 1"))
         large = sizes.where((F.col("n") > leaf) | (F.col("total") > leaf_shingles)).where("n > 1")

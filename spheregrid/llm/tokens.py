@@ -124,7 +124,12 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarra
     a text without words (or a null) has none.
     """
     words = Words(texts)
-    h, counts = words.hashes(), words.counts
+    return weighed_sets(words, words.hashes(), None, width)[:2]
+
+
+def weighed_sets(words: Words, h: np.ndarray, weight: np.ndarray | None, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """``shingle_sets`` of words with hashes ``h``, and of each shingle the sum of its words' whole-number ``weight`` (0 for a text of fewer words)."""
+    counts = words.counts
     n = len(h)
     factor = mix(np.arange(1, width + 1, dtype=np.uint64) * BASE) | np.uint64(1)
     value = h * factor[0]
@@ -136,13 +141,26 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarra
     for at in short.tolist():
         value[at] = (h[at : at + left[at]] * factor[: left[at]]).sum() + np.uint64(left[at])
     value = mix(value)
+    if weight is not None:
+        whole = weight.copy()
+        for k in range(1, min(width, n)):
+            whole[: n - k] += weight[k:]
+        whole[short] = 0
     keep[short] = True
     value, doc = value[keep].view(np.int64), words.doc[keep]
     sizes = np.bincount(doc, minlength=len(counts)) if len(doc) else np.zeros(len(counts), np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    parts, offsets = [], np.zeros(len(counts) + 1, np.int64)
+    parts, sums, offsets = [], [], np.zeros(len(counts) + 1, np.int64)
+    if weight is not None:
+        whole = whole[keep]
     for i in range(len(counts)):
-        own = np.unique(value[bounds[i] : bounds[i + 1]])
-        parts.append(own)
-        offsets[i + 1] = offsets[i] + len(own)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), offsets
+        own = slice(bounds[i], bounds[i + 1])
+        if weight is None:
+            parts.append(np.unique(value[own]))
+        else:
+            one, at = np.unique(value[own], return_index=True)
+            parts.append(one)
+            sums.append(whole[own][at])
+        offsets[i + 1] = offsets[i] + len(parts[-1])
+    joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return joined(parts), offsets, None if weight is None else joined(sums)

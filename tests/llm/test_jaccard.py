@@ -6,6 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
+from spheregrid.llm import jaccard
 from spheregrid.llm.jaccard import _blocks, _split, keep_one_of_each, ngram_jaccard_join
 from spheregrid.llm.tokens import mix, shingle_sets
 
@@ -156,3 +157,22 @@ def test_near_copies_without_ids(spark):
         rows = [(ids[0], near), (ids[1], other), (ids[2], "quite another text with words of its own")]
         kept = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert len(kept) == 2 and {r["text"] for r in kept} & {near, other} and rows[2][1] in {r["text"] for r in kept}
+
+
+def test_long_sets_of_a_large_cell(spark):
+    """40 unrelated sets of 3,000 shingles, and some of 600, that share one cell: in 64 parts any two of the long ones look alike."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"{rng.randrange(10**7)}" for _ in range(3004 if i < 40 else 604))) for i in range(50)], "doc_id long, text string")
+    members = jaccard._nodes(docs, 5)
+    assert jaccard._shared(members.selectExpr("7L as s", "node"), members, 80).collect() == []
+
+
+def test_windows_hold_the_rarest_words(spark):
+    """Shingles of six common words recur by chance, too seldom to be counted; no two texts share a pivot."""
+    rng = random.Random(9)
+    texts = [" ".join([*rng.choices(["the", "of", "and", "to", "in", "is"], k=60), *(f"{rng.randrange(10**9)}" for _ in range(30))]) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = jaccard._told(docs, 12)
+    cells = jaccard._cells(docs, 5, 80, jaccard._common(docs, 5, 12, told), told)
+    assert cells.count() > 300 * 16
+    assert cells.groupBy("s").count().where("count > 1").collect() == []
