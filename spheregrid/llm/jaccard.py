@@ -6,7 +6,7 @@ when ``d <= radius`` (0.2 for a similarity of 0.8).  The join:
 1. Equal sets collapse to one node before anything is shuffled by content.
 2. First cells: the pivots are the single shingles.  ``d(x, {s})`` is
    ``1 - 1/|x|`` for each own shingle and 1 for any other, so a set's nearest
-   pivots are its own shingles; ties go to the rarer one.  A set within the
+   pivots are its own shingles; ties go to the rarer one, by its count or its words'.  A set within the
    radius can lack at most ``floor(radius * |x|)`` of them, so the window
    replicates a set to its first ``|x| - ceil(0.8 |x|) + 1`` pivots and no
    link is lost.  Counting shingles by hash parts maps sets to vectors without
